@@ -1,13 +1,15 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from waymark.llm import simhash
+from waymark.llm import linededup, mixing, simhash
 
 
 def queries():
     return {
+        "op3_line_dedup": linededup.op3_line_dedup,
         "op9_simhash": simhash.op9_simhash,
+        "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op10_mix_sources": mixing.SQL}

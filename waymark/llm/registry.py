@@ -1,10 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from waymark.llm import linededup, mixing, simhash
+from waymark.llm import langid, linededup, mixing, quality, simhash
 
 
 def queries():
     return {
+        "op1_quality": quality.op1_quality,
+        "op8_language": langid.op8_language,
         "op3_line_dedup": linededup.op3_line_dedup,
         "op9_simhash": simhash.op9_simhash,
         "op10_mix_sources": mixing.op10_mix_sources,

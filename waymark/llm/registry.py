@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from waymark.llm import langid, linededup, mixing, quality, simhash
+from waymark.llm import langid, linededup, mixing, quality, simhash, toxicity
 
 
 def queries():
     return {
         "op1_quality": quality.op1_quality,
         "op8_language": langid.op8_language,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op3_line_dedup": linededup.op3_line_dedup,
         "op9_simhash": simhash.op9_simhash,
         "op10_mix_sources": mixing.op10_mix_sources,

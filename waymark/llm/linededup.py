@@ -93,7 +93,8 @@ def removed(scratch: Scratch, docs: DataFrame, least: int = MIN_WORDS) -> DataFr
         exact = spans.where(F.col("t") == half).withColumn("r2", F.col("r"))
         longer = spans.where(F.col("t") > half).withColumn("j", F.col("i") + F.col("t") - half).join(end.hint("merge"), ["row", "j"]).drop("j")
         held = scratch.write(exact.unionByName(longer).withColumn("place", F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0).cast("long")), "row", "i")).drop("doc_id"))
-        first = held.groupBy("t", "r", "r2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        # written out, so that the join has an exchange of its own, whose crowded keys can be split
+        first = scratch.write(held.groupBy("t", "r", "r2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
         gone.append(scratch.write(held.join(first.hint("merge"), ["t", "r", "r2"]).where("place > first").select("row", F.explode(F.sequence("i", F.col("i") + F.col("t") - 1)).alias("i")).distinct()))
         scratch.drop(held)
         k += 1

@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from waymark.llm import extract, langid, linededup, mixing, quality, simhash, toxicity
+from waymark.llm import extract, langid, linededup, mixing, pieces, quality, simhash, toxicity
 
 
 def queries():
     return {
         "op1_quality": quality.op1_quality,
         "op6_html_text": extract.op6_html_text,
+        "op7_pieces": pieces.op7_pieces,
         "op8_language": langid.op8_language,
         "op4_toxicity": toxicity.op4_toxicity,
         "op3_line_dedup": linededup.op3_line_dedup,

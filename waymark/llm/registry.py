@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from waymark.llm import ann, extract, langid, linededup, mixing, pieces, quality, simhash, toxicity
+from waymark.llm import ann, extract, langid, linededup, mixing, neardup, pieces, quality, simhash, toxicity
 
 
 def queries():
     return {
         "op1_quality": quality.op1_quality,
+        "op2_near_vectors": neardup.op2_near_vectors,
         "op5_nearest": ann.op5_nearest,
         "op6_html_text": extract.op6_html_text,
         "op7_pieces": pieces.op7_pieces,

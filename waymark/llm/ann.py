@@ -189,7 +189,9 @@ class Index:
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     def queries(self, every: int = EVERY) -> DataFrame:
-        return self.rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding", "dim")
+        """One query for each id that is divisible by `every` (of rows that repeat an id, the smallest vector)."""
+        asked = self.rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
+        return self.scratch.write(by_dimension(asked))
 
     def probes_for(self, queries: DataFrame, k: int = K, recall: float = RECALL, audit: int = AUDIT) -> int:
         """The smallest power of two of probes whose recall on a sample of the queries is enough."""

@@ -39,6 +39,7 @@ BATCH_CHARS = 800_000
 SPACE, STAND_IN = "▁", "\udfff"  # no text from Arrow holds a lone surrogate, so it can stand for a literal U+2581
 WORDS = re.compile(SPACE + "+[^" + SPACE + "]*")
 SLOTS = 19
+FIXED = 1 << 32  # log probabilities are summed in these parts
 
 
 @dataclass
@@ -189,8 +190,10 @@ class Lattice:
             beta[own] = top + np.log(np.add.reduceat(np.exp(val - np.repeat(top, count)), base))
         self.p = np.minimum(np.exp(w + beta[self.to] - beta[self.node]), 1.0)
         self.logp = w + beta[self.to] - beta[self.node]
-        total = np.cumsum(self.p)
-        self.upto = total - (total[self.ptr[self.node]] - self.p[self.ptr[self.node]])
+        # sums in whole numbers, so that they do not depend on what else is in the batch
+        part = np.rint(self.p * (1 << 40)).astype(np.int64)
+        total = np.cumsum(part)
+        self.upto = (total - (total - part)[self.ptr[self.node]]) / (1 << 40)
 
     def walk(self, node: np.ndarray, last: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of one drawn path for each (node, last), one after the other, and whose they are; seed (uint64) is each walk's own."""
@@ -267,12 +270,12 @@ class Search:
         begin = np.searchsorted(text, np.arange(self.n + 1))
         pos = np.arange(len(path)) - begin[text]
         p, logp = lat.p[path], lat.logp[path]
-        total = np.concatenate(([0.0], np.cumsum(logp)))
+        total = np.concatenate(([0], np.cumsum(np.rint(logp * FIXED).astype(np.int64))))
         bound = np.full(len(path), -np.inf)
         own = np.flatnonzero((p < 1 - 1e-12) & (pos > after[text]))
         u = _mix(self._seeds(3 * k + 1, text[own], pos[own]))
-        bound[own] = _truncated(total[own] - total[begin[text[own]]] + np.log1p(-p[own]), value[text[own]], u)
-        self.samples.append({"path": path, "word": word, "text": text, "begin": begin, "pos": pos, "bound": bound, "taken": {}, "value": value, "live": live, "log_prob": total[begin[1:]] - total[begin[:-1]]})
+        bound[own] = _truncated((total[own] - total[begin[text[own]]]) / FIXED + np.log1p(-p[own]), value[text[own]], u)
+        self.samples.append({"path": path, "word": word, "text": text, "begin": begin, "pos": pos, "bound": bound, "taken": {}, "value": value, "live": live, "log_prob": (total[begin[1:]] - total[begin[:-1]]) / FIXED})
 
     def start(self) -> None:
         lat = self.lattice
@@ -314,7 +317,7 @@ class Search:
             e = others[min(int(np.searchsorted(share, u[t] * share[-1])), len(others) - 1)]
             out.add(e)
             rest = float(sum(lat.p[x] for x in others if x != e))
-            before = float(lat.logp[s["path"][a : a + j]].sum())
+            before = float(np.rint(lat.logp[s["path"][a : a + j]] * FIXED).sum()) / FIXED
             s["bound"][a + j] = _truncated(np.array([before + np.log(rest)]), value[t], u2[t : t + 1])[0] if rest > 1e-12 else -np.inf
             at[t], w[t], edge[t] = j, s["word"][a + j], e
         tail = np.flatnonzero(live[self.text] & (np.arange(len(self.words)) >= w[self.text]))

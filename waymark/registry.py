@@ -1,11 +1,17 @@
 """The queries of this library outside waymark.llm, and their SQL."""
 
-FLAGSHIP = "top_search"
+from __future__ import annotations
+
+from waymark.plans import queries as plans
+
+FLAGSHIP = "join_near_duplicates"
 
 
 def queries():
-    return {}
+    """name -> (spark, sf_dir) -> DataFrame."""
+    return plans.queries()
 
 
 def oracle_sql():
-    return {}
+    """name -> DuckDB SQL over the same tables."""
+    return plans.oracle_sql()

@@ -256,3 +256,146 @@ src_matrix_chunks = define("src_matrix_chunks", "One pair table out of chunks an
 graph_route_cost = define("graph_route_cost", "Cost of each tour's pass sequence over the pair table; null if a leg is missing.", "SELECT tour_id, count(*) AS legs, CASE WHEN count(e.cost) = count(*) THEN floor(sum(e.cost) * 1e3 + 5e-1) / 1e3 END AS cost FROM (SELECT tour_id, pass_id % 25 AS a, lead(pass_id % 25) OVER (PARTITION BY tour_id ORDER BY ord) AS b FROM {stops}) l LEFT JOIN {edges} e ON e.a = l.a AND e.b = l.b WHERE l.b IS NOT NULL GROUP BY tour_id")
 
 graph_materialize_routes = define("graph_materialize_routes", "Legs of each tour as edges with totals, unreachable legs marked.", "SELECT tour_id, count(*) AS legs, count_if(e.a IS NULL) AS unreachable, CAST(floor(coalesce(sum(e.duration_s), 0e0) + 5e-1) AS BIGINT) AS duration_s FROM (SELECT tour_id, pass_id % 25 AS a, lead(pass_id % 25) OVER (PARTITION BY tour_id ORDER BY ord) AS b FROM {stops}) l LEFT JOIN {edges} e ON e.a = l.a AND e.b = l.b WHERE l.b IS NOT NULL GROUP BY tour_id")
+
+
+def lunch_candidates(sights: DataFrame, track: DataFrame, reach_m: float = 8_000.0) -> DataFrame:
+    """Food places within reach of the part of each tour between its second and fourth hour, the nearest vertex each."""
+    window = track.where("t_sec between 1800 and 14400").select("tour_id", "ord", "lat", "lon")
+    near = nearest_vertex(sights.where("family = 'food'").select("id", "score", "lat", "lon"), window, reach_m)
+    return near.select("tour_id", F.col("id").alias("poi"), "ord", F.floor(F.col("metres") + 0.5).alias("metres"))
+
+
+def break_candidates(sights: DataFrame, track: DataFrame, reach_m: float = 5_000.0) -> DataFrame:
+    """The best place near each stop by facility, score and nearness, from a total of 1.0 on, with the kind of break."""
+    near = nearest_vertex(sights.select("id", "score", "family", "lat", "lon"), track.select(F.concat_ws(":", "tour_id", "ord").alias("tour_id"), "ord", "lat", "lon", F.col("tour_id").alias("tour")), reach_m)
+    total = F.when(F.col("family") == "food", 1.2).when(F.col("family") == "nature", 0.8).otherwise(0.5) + F.col("score") / 10 - F.floor(F.col("metres") + 0.5) / 10_000
+    near = near.withColumn("total", F.floor(total * 1000 + 0.5) / 1000).where("total >= 1.0")
+    w = Window.partitionBy("tour", "ord").orderBy(F.desc("total"), "id")
+    kind = F.when(F.col("family") == "food", "coffee").when(F.col("family") == "nature", "stretch").otherwise("visit")
+    return near.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("tour").alias("tour_id"), "ord", F.col("id").alias("poi"), "total", kind.alias("kind"))
+
+
+def poi_density(sights: DataFrame, track: DataFrame, reach_m: float = 5_000.0) -> DataFrame:
+    """Distinct places within reach of each tour's stops, and per stop."""
+    near = nearest_vertex(sights.select("id", "lat", "lon"), track.select("tour_id", "ord", "lat", "lon"), reach_m)
+    n = track.groupBy("tour_id").agg(F.count("*").alias("stops"))
+    return n.join(near.groupBy("tour_id").agg(F.count_distinct("id").alias("places")), "tour_id", "left").select("tour_id", F.coalesce("places", F.lit(0)).alias("places"), (F.floor(F.coalesce("places", F.lit(0)) / F.col("stops") * 1000 + 0.5) / 1000).alias("density"))
+
+
+def rest_assignment(stops: DataFrame, rests: int = 2) -> DataFrame:
+    """Spreads rests evenly over each tour's stops: each to the nearest unused stop, better scenery on ties. A fold."""
+    item = F.struct("ord", (-F.col("scenic")).alias("s"))
+    listed = stops.groupBy("tour_id").agg(F.array_sort(F.collect_list(item)).alias("xs"), F.count("*").alias("n"))
+    targets = F.transform(F.sequence(F.lit(1), F.lit(rests)), lambda i: i * (F.col("n") + 1) / (rests + 1))
+
+    def place(used, target):
+        free = F.filter("xs", lambda x: ~F.array_contains(used, x["ord"]))
+        best = F.try_element_at(F.array_sort(F.transform(free, lambda x: F.struct(F.abs(x["ord"] - target).alias("d"), x["s"].alias("s"), x["ord"].alias("ord")))), F.lit(1))
+        return F.when(F.size(free) > 0, F.concat(used, F.array(best["ord"]))).otherwise(used)
+
+    chosen = F.aggregate(targets, F.expr("cast(array() as array<int>)"), place)
+    return listed.select("tour_id", F.posexplode(chosen).alias("at", "ord")).select("tour_id", (F.col("at") + 1).cast("long").alias("rest"), "ord")
+
+
+def waypoint_snap(track: DataFrame) -> DataFrame:
+    """Waypoints (every stop's rounded position) to vertices of their own polyline, each not before the previous. A fold."""
+    item = F.struct("ord", "lat", "lon")
+    listed = track.groupBy("tour_id").agg(F.array_sort(F.collect_list(item)).alias("xs"))
+
+    def snap(s, w):
+        ahead = F.filter("xs", lambda x: x["ord"] >= s["at"])
+        best = F.try_element_at(F.array_sort(F.transform(ahead, lambda x: F.struct((F.pow(x["lat"] - F.floor(w["lat"] * 10) / 10, 2) + F.pow(x["lon"] - F.floor(w["lon"] * 10) / 10, 2)).alias("d"), x["ord"].alias("ord")))), F.lit(1))
+        return F.struct(best["ord"].alias("at"), F.concat(s["out"], F.array(best["ord"])).alias("out"))
+
+    state = F.aggregate("xs", F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), snap)
+    return listed.select("tour_id", F.posexplode(state["out"]).alias("at", "vertex")).select("tour_id", (F.col("at") + 1).cast("long").alias("waypoint"), "vertex")
+
+
+def zone_hulls(stops: DataFrame, pad: float = 0.002) -> DataFrame:
+    """Padded convex hull of each tour's stops, as corner count and area; a diamond for one point, a rectangle for two or
+    for points on a line. A tour's stops are a bounded group."""
+    import pandas as pd
+
+    def hull(frame: pd.DataFrame) -> pd.DataFrame:
+        pts = sorted(set(zip(frame["lon"].round(6), frame["lat"].round(6))))
+        cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+
+        def half(points):
+            out = []
+            for p in points:
+                while len(out) >= 2 and cross(out[-2], out[-1], p) <= 0:
+                    out.pop()
+                out.append(p)
+            return out[:-1]
+
+        ring = half(pts) + half(pts[::-1]) if len(pts) > 2 else pts
+        if len(ring) < 3:
+            (x1, y1), (x2, y2) = pts[0], pts[-1]
+            ring = [(x1 - pad, y1), (x1, y1 - pad), (x1 + pad, y1), (x1, y1 + pad)] if len(pts) == 1 else [(min(x1, x2) - pad, min(y1, y2) - pad), (max(x1, x2) + pad, min(y1, y2) - pad), (max(x1, x2) + pad, max(y1, y2) + pad), (min(x1, x2) - pad, max(y1, y2) + pad)]
+        area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
+        return pd.DataFrame({"tour_id": [frame["tour_id"].iloc[0]], "corners": [len(ring)], "area": [round(area, 9)]})
+
+    return stops.select("tour_id", "lon", "lat").groupBy("tour_id").applyInPandas(hull, "tour_id long, corners long, area double")
+
+
+def enrichment(places: DataFrame, track: DataFrame) -> DataFrame:
+    """Corridor, lunch and break suggestions of every tour in one row; a tour without any of a kind has zero of it."""
+    tours = track.select("tour_id").distinct()
+    parts = [corridor(places, track, 1.0).groupBy("tour_id").agg(F.count("*").alias("corridor")), lunch_candidates(places, track).groupBy("tour_id").agg(F.count("*").alias("lunch")), break_candidates(places, track).groupBy("tour_id").agg(F.count("*").alias("breaks"))]
+    for p in parts:
+        tours = tours.join(p, "tour_id", "left")
+    return tours.select("tour_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("corridor", "lunch", "breaks")])
+
+
+def overlay_clusters(items: DataFrame, zoom: int = 8, radius: int = 64) -> DataFrame:
+    """items(id, lon, lat) in grid cells of world pixels with count and centroid; a cell joins the fuller one of its
+    neighbours if their centroids are within a radius, in a greedy pass over each block of 4 x 4 cells."""
+    import pandas as pd
+
+    size = 256 * 2**zoom
+    x = (F.col("lon") + 180) / 360 * size
+    s = F.sin(F.radians(F.greatest(F.lit(-85.05), F.least(F.lit(85.05), F.col("lat")))))
+    y = (0.5 - F.log((1 + s) / (1 - s)) / (4 * 3.141592653589793)) * size
+    cells = items.withColumns({"x": x, "y": y}).groupBy(F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy")).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("id").alias("first"))
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values(["n", "first"], ascending=[False, True]).to_dict("records")
+        out: list[dict] = []
+        for r in rows:
+            near = [o for o in out if (o["x"] - r["x"]) ** 2 + (o["y"] - r["y"]) ** 2 <= radius**2]
+            if near:
+                o = near[0]
+                t = o["n"] + r["n"]
+                o["x"], o["y"], o["n"], o["first"] = (o["x"] * o["n"] + r["x"] * r["n"]) / t, (o["y"] * o["n"] + r["y"] * r["n"]) / t, t, min(o["first"], r["first"])
+            else:
+                out.append(dict(r))
+        return pd.DataFrame({"first": [o["first"] for o in out], "n": [o["n"] for o in out], "px": [int(o["x"] + 0.5) for o in out], "py": [int(o["y"] + 0.5) for o in out]})
+
+    return cells.groupBy(F.floor(F.col("cx") / 4).alias("bx"), F.floor(F.col("cy") / 4).alias("by")).applyInPandas(lambda f: merge(f), "first long, n long, px long, py long")
+
+
+def pass_crossings(passes: DataFrame, stops: DataFrame) -> DataFrame:
+    """Passes that a tour truly crosses: a gateway hit on either side (2.5 km) of the summit's hit (1.5 km); planned ones are left out."""
+    from waymark.operators.spatial import line_segments, polyline_hits
+
+    lines = line_segments(stops)
+    side = lambda d: polyline_hits(passes.select("id", "lat", (F.col("lon") + d).alias("lon")), lines, 2500.0)
+    top = polyline_hits(passes, lines, 1500.0).select("id", "tour_id", F.col("position").alias("summit"))
+    west, east = side(-0.06).select("id", "tour_id", F.col("position").alias("w")), side(0.06).select("id", "tour_id", F.col("position").alias("e"))
+    met = top.join(west, ["id", "tour_id"]).join(east, ["id", "tour_id"]).where((F.least("w", "e") <= F.col("summit")) & (F.greatest("w", "e") >= F.col("summit")))
+    planned = stops.select("tour_id", F.col("pass_id").alias("id")).distinct()
+    return met.join(planned, ["tour_id", "id"], "left_anti").select("tour_id", F.col("id").alias("pass_id"), "summit")
+
+
+def retrace_overlap(stops: DataFrame, step_m: float = 2_000.0) -> DataFrame:
+    """Pairs of legs of one tour that run along each other: legs are sampled every two kilometres (at most 200 samples),
+    samples meet in grid cells of 0.001 degrees, and shared cells are counted; neighbours' common stop is left out."""
+    from waymark.operators.spatial import distance_m, line_segments
+
+    legs = line_segments(stops)
+    n = F.least(F.lit(200), F.ceil(distance_m("lat", "lon", "lat2", "lon2") / step_m)).cast("int")
+    samples = legs.withColumn("n", n).where("n > 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n") - 1)))
+    cell = lambda a, b: F.floor((F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("n")) * 1000)
+    met = samples.select("tour_id", "ord", cell("lat", "lat2").alias("cy"), cell("lon", "lon2").alias("cx")).distinct()
+    other = met.withColumnRenamed("ord", "other")
+    return met.join(other, ["tour_id", "cy", "cx"]).where("ord < other").groupBy("tour_id", "ord", "other").agg((F.count("*") * int(step_m)).alias("metres"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from waymark.functions import columns
 from waymark.functions.sql import EARTH_KM, haversine
-from waymark.operators import ALL, discovery, governance, routes, spatial, status
+from waymark.operators import ALL, discovery, governance, graph, routes, scalars, spatial, status
 from waymark.plans import tables as world
 from waymark.plans.tables import Tables, oracle
+from waymark.sources import readers, sinks
+from waymark.streaming import status as streams
 
-MODULES = (governance, discovery, status, routes)
+MODULES = (governance, discovery, status, routes, scalars)
 
 H = haversine
 PAIR = "floor(" + H("a.lat", "a.lon", "b.lat", "b.lon") + " + 5e-1)"
-NEAR_KM = "floor(" + H("p.lat", "p.lon", "v.lat", "v.lon", EARTH_KM).replace("6371e0", "6371e3") + " + 5e-1)"
 CROSSINGS = " + ".join(f"CASE WHEN ({y1!r} > lat) <> ({y2!r} > lat) AND lon < ({x2 - x1!r}) * (lat - {y1!r}) / ({y2 - y1!r}) + {x1!r} THEN 1 ELSE 0 END" for x1, y1, x2, y2 in spatial.ring(spatial.REGION))
 
 #: Queries written with the DataFrame API: name -> (function of Tables, oracle text or None).
@@ -35,10 +39,137 @@ BUILT: dict = {
     "win_detour_budget": (lambda t: routes.detour_budget(t.sql(f"SELECT * FROM {routes.RANKED} r"), 4.0), None),
     "win_mmr_topk": (lambda t: routes.mmr(t.sql(f"SELECT * FROM {routes.RANKED} r"), 3), None),
     "win_break_detection": (lambda t: routes.breaks(t.sql(routes.win_load_curve.text)), None),
-    "corridor_candidates": (
-        lambda t: routes.corridor(t.places, t.sql(f"SELECT tour_id, ord, place_id, lat, lon, on_climb FROM {routes.REFERENCE} r")),
-        None,
+}
+
+NEAREST = """SELECT tour_id, id, ord, m FROM (SELECT v.tour_id, p.id, v.ord, NEAR_M AS m, row_number() OVER (PARTITION BY v.tour_id, p.id ORDER BY NEAR_M, v.ord) AS r
+    FROM {sights} p JOIN {track} v ON abs(p.lat - v.lat) <= BOX AND HAV <= REACH WHERE COND) k WHERE r = 1"""
+
+
+def nearest_sql(reach: float, cond: str) -> str:
+    """Nearest vertex of each tour as a plain inequality join; the latitude box only spares DuckDB work."""
+    hav = haversine("p.lat", "p.lon", "v.lat", "v.lon", EARTH_KM).replace("6371e0", "6371e3")
+    return NEAREST.replace("NEAR_M", f"floor({hav} + 5e-1)").replace("HAV", hav).replace("BOX", f"{reach / 110e3:.4f}").replace("REACH", f"{reach:.0f}").replace("COND", cond)
+
+
+CORRIDOR_SQL = f"SELECT k.tour_id, k.id AS poi, k.ord, floor(m / 1e3 * (CASE WHEN t.on_climb THEN 17e-1 ELSE 14e-1 END) * 2 / 50e0 * 60 * 1e3 + 5e-1) / 1e3 AS detour_min FROM ({nearest_sql(1500, 'p.score >= 5')}) k JOIN {{track}} t ON t.tour_id = k.tour_id AND t.ord = k.ord WHERE NOT EXISTS (SELECT 1 FROM {{track}} o WHERE o.tour_id = k.tour_id AND o.place_id = k.id) AND m / 1e3 * (CASE WHEN t.on_climb THEN 17e-1 ELSE 14e-1 END) * 2 / 50e0 * 60 <= 30"
+LUNCH_SQL = f"SELECT tour_id, id AS poi, ord, CAST(m AS BIGINT) AS metres FROM ({nearest_sql(8000, chr(39).join(['p.family = ', 'food', ' AND v.t_sec BETWEEN 1800 AND 14400']))}) n"
+NORMAL = "trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[’''`]', '', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+
+
+def assets(t: Tables):
+    """Text assets out of places: one array literal for each category, with a comment and a trailing comma."""
+    row = F.format_string('  {"id": %d, "score": %s}', F.col("id"), F.col("score").cast("string"))
+    listed = t.places.groupBy("category", (F.col("id") % 64).alias("part")).agg(F.array_sort(F.collect_list(row)).alias("xs"))
+    return listed.select(F.concat_ws(":", "category", "part").alias("asset"), F.concat(F.lit("/* places */\nconst ITEMS = [ // of one kind\n"), F.array_join("xs", ",\n"), F.lit(",\n];\n")).alias("text"))
+
+
+def snapshots(t: Tables):
+    """Feature collections out of entities, some with a digest that does not match."""
+    made = t.entities.groupBy(F.col("nation").alias("nation"), (F.col("id") % 64).alias("part")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("id", "lon", "lat"))).alias("features"))).alias("json"))
+    return made.select(F.concat_ws(":", "nation", "part").alias("name"), F.col("json").cast("binary").alias("content"), F.when(F.col("nation") % 5 == 4, F.lit("0")).otherwise(F.sha2("json", 256)).alias("sha256"))
+
+
+def graph_documents(t: Tables):
+    """Road-graph documents out of edges, one for each node modulo 32."""
+    e = t.edges.groupBy((F.col("a") % 32).alias("graph")).agg(F.array_sort(F.collect_list(F.struct("a", "b", F.when(F.col("b") % 2 == 0, "road").alias("kind")))).alias("edges"), F.array_sort(F.collect_set(F.struct(F.col("a").alias("id")))).alias("nodes"))
+    return e.select("graph", F.to_json(F.struct(F.lit(1).alias("version"), "nodes", "edges")).alias("text"))
+
+
+def cheap_edges(t: Tables):
+    return t.edges.where("cost < 3").select("a", "b", "cost")
+
+
+BUILT |= {
+    "corridor_candidates": (lambda t: routes.corridor(t.sights, t.track), CORRIDOR_SQL),
+    "join_nearest_vertex": (
+        lambda t: spatial.nearest_vertex(t.sights.select("id", "lat", "lon"), t.track.select("tour_id", "ord", "lat", "lon"), 2000.0).select("tour_id", "id", "ord", F.floor(F.col("metres") + 0.5).alias("metres")),
+        f"SELECT tour_id, id, ord, CAST(m AS BIGINT) AS metres FROM ({nearest_sql(2000, 'TRUE')}) n",
     ),
+    "lunch_candidates": (lambda t: routes.lunch_candidates(t.sights, t.track), LUNCH_SQL),
+    "break_candidates": (lambda t: routes.break_candidates(t.sights, t.track), None),
+    "join_poi_density": (
+        lambda t: routes.poi_density(t.sights, t.track),
+        f"SELECT t.tour_id, coalesce(n.places, 0) AS places, floor(coalesce(n.places, 0) / t.stops * 1e3 + 5e-1) / 1e3 AS density FROM (SELECT tour_id, count(*) AS stops FROM {{track}} GROUP BY tour_id) t LEFT JOIN (SELECT tour_id, count(DISTINCT id) AS places FROM ({nearest_sql(5000, 'TRUE')}) x GROUP BY tour_id) n ON n.tour_id = t.tour_id",
+    ),
+    "join_polyline_hit": (lambda t: spatial.polyline_hits(t.passes, spatial.line_segments(t.stops), 1500.0), None),
+    "join_pass_crossings": (lambda t: routes.pass_crossings(t.passes, t.stops), None),
+    "join_retrace_overlap": (lambda t: routes.retrace_overlap(t.stops), None),
+    "join_waypoint_snap": (lambda t: routes.waypoint_snap(t.track), None),
+    "win_rest_assignment": (lambda t: routes.rest_assignment(t.stops), None),
+    "agg_zone_hull": (lambda t: routes.zone_hulls(t.stops), None),
+    "agg_overlay_clusters": (lambda t: routes.overlay_clusters(t.sights), None),
+    "route_enrichment_chain": (lambda t: routes.enrichment(t.sights, t.track), None),
+    "src_embedded_array": (
+        lambda t: readers.embedded_array(assets(t), "id:bigint,score:double").select("asset", "id", "score"),
+        "SELECT category || ':' || CAST(id % 64 AS STRING) AS asset, id, score FROM {places}",
+    ),
+    "src_geojson_snapshot": (
+        lambda t: readers.pinned_snapshot(snapshots(t), "id:bigint,lon:double,lat:double"),
+        "SELECT CAST(nation AS STRING) || ':' || CAST(id % 64 AS STRING) AS name, id, lon, lat FROM {entities} WHERE nation % 5 <> 4",
+    ),
+    "src_graph_tables": (
+        lambda t: readers.graph_tables(graph_documents(t))[1],
+        "SELECT a % 32 AS graph, a, b, CASE WHEN b % 2 = 0 THEN 'road' ELSE 'connector' END AS kind FROM {edges}",
+    ),
+    "src_html_feed": (
+        lambda t: readers.html_links(t.pages.select("page_id", "html")),
+        """SELECT page_id, CAST(i - 1 AS BIGINT) AS position, hrefs[i] AS href, labels[i] AS label FROM (SELECT page_id, hrefs, labels, unnest(generate_series(1, len(hrefs))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS hrefs, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS labels FROM {pages}) p) q""",
+    ),
+    "sink_packages": (lambda t: sinks.packages(t.entities.where("action = 'publish'").selectExpr("nation AS region", "id", "floor(bytes) AS bytes"), 2_500_000), None),
+    "win_byte_shards": (lambda t: sinks.byte_shards(t.entities.selectExpr("nation AS region", "id", "floor(bytes) AS bytes"), 2_500_000), None),
+    "sink_tables": (lambda t: sinks.stable_table(t.edges, "a", "b"), "SELECT a, b, duration_s, distance_m, cost FROM {edges}"),
+    "sink_route_export": (
+        lambda t: sinks.gpx(t.stops.join(t.places.select(F.col("id").alias("place_id"), "name"), "place_id")),
+        """SELECT tour_id, count(*) AS n, '<gpx><rte>' || string_agg('<rtept lat="' || CAST(CAST(floor(s.lat * 1e3 + 5e-1) AS BIGINT) AS VARCHAR) || 'e-3" lon="' || CAST(CAST(floor(s.lon * 1e3 + 5e-1) AS BIGINT) AS VARCHAR) || 'e-3"><name>' || p.name || '</name></rtept>', '' ORDER BY s.ord) || '</rte></gpx>' AS document FROM {stops} s JOIN {places} p ON p.id = s.place_id GROUP BY tour_id""",
+    ),
+    "proj_search_document": (
+        lambda t: t.entities.select("id", F.lower(F.concat_ws(" ", "name", "entity_type", "activity", "season")).alias("document")).withColumn("n_trigrams", F.size(columns.trigrams(F.col("document")))),
+        "SELECT id, document, CAST(len(list_distinct(list_transform(generate_series(1, length(document) + 2), lambda i: substr('  ' || document || '  ', i, 3)))) AS INT) AS n_trigrams FROM (SELECT id, lower(concat_ws(' ', name, entity_type, activity, season)) AS document FROM {entities}) e",
+    ),
+    "fn_norm_text": (
+        lambda t: columns.normalized(t.documents.select("doc_id", "text"), "text").select("doc_id", F.md5("normalized").alias("digest"), F.length("normalized").cast("long").alias("n")),
+        f"SELECT doc_id, md5(n) AS digest, length(n) AS n FROM (SELECT doc_id, {NORMAL} AS n FROM {{documents}}) d",
+    ),
+    "fn_stable_id": (
+        lambda t: t.places.select("id", columns.stable_id("place", F.concat_ws(" ", "name", F.col("id").cast("string"))).alias("stable_id")),
+        """SELECT id, 'place:' || substr(regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), ' +', '-', 'g'), 1, 72) || ':' || lower(to_base(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split('place|' || s, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296), 36)) AS stable_id FROM (SELECT id, name || ' ' || CAST(id AS VARCHAR) AS s FROM {places}) p""",
+    ),
+    "fn_canonical_hash": (
+        lambda t: t.entities.select("id", F.sha2(F.concat(F.lit('{"activity":"'), "activity", F.lit('","id":'), F.col("id").cast("string"), F.lit(',"nation":'), F.col("nation").cast("string"), F.lit("}")), 256).alias("hash")),
+        "SELECT id, sha256(chr(123) || '\"activity\":\"' || activity || '\",\"id\":' || CAST(id AS VARCHAR) || ',\"nation\":' || CAST(nation AS VARCHAR) || chr(125)) AS hash FROM {entities}",
+    ),
+    "fn_text_relevance": (
+        lambda t: columns.relevance(t.places.select("name").distinct(), t.places.select(F.concat_ws(" ", F.element_at(F.split("name", " "), -1), F.lit("red")).alias("query")).distinct()).where("score >= 0.16"),
+        """SELECT query, name, floor(score * 1e6 + 5e-1) / 1e6 AS score FROM (SELECT query, name, CASE WHEN name = query THEN 1e0 WHEN starts_with(name, query) THEN 94e-2 WHEN contains(name, query) THEN 82e-2
+            ELSE len(list_filter(string_split(query, ' '), lambda x: contains(name, x))) / len(string_split(query, ' ')) * 62e-2 + len(list_intersect(qt, dt)) / (len(qt) + len(dt) - len(list_intersect(qt, dt))) * 38e-2 END AS score, len(list_intersect(qt, dt)) AS met
+          FROM (SELECT name, list_distinct(list_transform(generate_series(1, length(name) + 2), lambda i: substr('  ' || name || '  ', i, 3))) AS dt FROM (SELECT DISTINCT name FROM {places}) a) d, (SELECT query, list_distinct(list_transform(generate_series(1, length(query) + 2), lambda i: substr('  ' || query || '  ', i, 3))) AS qt FROM (SELECT DISTINCT string_split(name, ' ')[-1] || ' red' AS query FROM {places}) b) q) s WHERE met > 0 AND floor(score * 1e6 + 5e-1) / 1e6 >= 16e-2""",
+    ),
+    "graph_shortest_paths": (
+        lambda t: graph.shortest_paths(t.edges, t.edges.select(F.col("a").alias("source")).distinct(), 3),
+        """WITH e AS (SELECT a, b, CAST(min(floor(cost * 1e3 + 5e-1)) AS BIGINT) AS w FROM {edges} GROUP BY a, b), p AS (
+            SELECT DISTINCT a AS source, a AS node, CAST(0 AS BIGINT) AS cost, 0 AS hops FROM e UNION ALL SELECT a, b, w, 1 FROM e UNION ALL SELECT x.a, y.b, x.w + y.w, 2 FROM e x JOIN e y ON y.a = x.b UNION ALL SELECT x.a, z.b, x.w + y.w + z.w, 3 FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = y.b
+        ) SELECT source, node, min(cost) AS cost, CAST(arg_min(hops, cost * 10 + hops) AS INT) AS hops FROM p GROUP BY source, node""",
+    ),
+    "graph_reachability": (
+        lambda t: graph.reachable(cheap_edges(t), t.edges.agg(F.min("a").alias("node"))),
+        "WITH RECURSIVE e AS (SELECT a, b FROM {edges} WHERE cost < 3), r AS (SELECT min(a) AS node FROM {edges} UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r",
+    ),
+    "graph_components": (
+        lambda t: graph.components(cheap_edges(t).where("cost < 1.5")),
+        "WITH RECURSIVE e AS (SELECT a, b FROM {edges} WHERE cost < 15e-1 UNION SELECT b, a FROM {edges} WHERE cost < 15e-1), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS root FROM r GROUP BY node",
+    ),
+    "gov_reference_closure": (
+        lambda t: graph.reference_closure(t.entities.where("action = 'publish'").selectExpr("id", "CASE WHEN id % 3 = 0 THEN floor(id / 3) END AS ref")),
+        "WITH RECURSIVE k AS (SELECT id, CASE WHEN id % 3 = 0 THEN CAST(floor(id / 3) AS BIGINT) END AS ref FROM {entities} WHERE action = 'publish'), good AS (SELECT id, ref FROM k WHERE ref IS NULL OR ref = id UNION SELECT k.id, k.ref FROM k JOIN good g ON g.id = k.ref) SELECT id, ref FROM good",
+    ),
+}
+
+STREAMS = {
+    "stream_latest_status": (streams.latest_status, "SELECT pass_id, state, seen, seen < (SELECT max(EPOCH_US(ts)) FROM {statuses}) - 864e8 AS stale FROM (SELECT pass_id, max_by(state, EPOCH_US(ts) * 1000 + id % 1000) AS state, max(EPOCH_US(ts)) AS seen FROM {statuses} GROUP BY pass_id) l"),
+    "stream_stale_drop": (streams.stale_drop, "SELECT DISTINCT pass_id, state, CAST(EPOCH_DAY(CAST(ts AS DATE)) AS BIGINT) AS day FROM {statuses}"),
+    "stream_freshness_gate": (streams.freshness_gate, "SELECT id, CASE WHEN EPOCH_US(TIMESTAMP '2024-01-30 12:00:00') - EPOCH_US(ts) > 2592e8 THEN 'late' WHEN EPOCH_US(TIMESTAMP '2024-01-30 12:00:00') - EPOCH_US(ts) < -3e8 THEN 'future' ELSE 'fresh' END AS verdict FROM {statuses}"),
+    "stream_break_state": (streams.break_state, None),
+    "stream_cache_merge": (streams.cache_merge, "SELECT p.p_partkey AS key, CASE WHEN p.p_size >= 5 AND c.price IS NOT NULL THEN c.price ELSE p.p_retailprice END AS price FROM {part} p LEFT JOIN (SELECT user_id AS key, max_by(value, EPOCH_US(ts) * 1000 + event_id % 1000) AS price FROM {events} WHERE event_type = 'purchase' GROUP BY user_id) c ON c.key = p.p_partkey"),
 }
 
 
@@ -47,8 +178,10 @@ def _over(op):
 
 
 def queries():
-    return {name: _over(op) for name, op in ALL.items()} | {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, (f, _) in BUILT.items()}
+    found = {name: _over(op) for name, op in ALL.items()}
+    found |= {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, (f, _) in BUILT.items()}
+    return found | {name: f for name, (f, _) in STREAMS.items()}
 
 
 def oracle_sql():
-    return {name: oracle(op.text) for name, op in ALL.items()} | {name: oracle(text) for name, (_, text) in BUILT.items() if text}
+    return {name: oracle(op.text) for name, op in ALL.items()} | {name: oracle(text) for name, (_, text) in (BUILT | STREAMS).items() if text}

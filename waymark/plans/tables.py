@@ -63,6 +63,8 @@ ADAPTERS = {
         CASE WHEN event_type = 'error' THEN 'closed until ' || lpad(CAST(1 + event_id % 28 AS STRING), 2, '0') || '.' || lpad(CAST(1 + event_id % 12 AS STRING), 2, '0') || '.'
              WHEN event_type = 'click' THEN 'Ab ' || CAST(1 + event_id % 28 AS STRING) || '. Mai offen' ELSE 'no news' END AS info FROM {events}""",
     "edges": """SELECT l_suppkey AS a, CAST(o_custkey % 25 AS BIGINT) AS b, min(l_quantity * 60) AS duration_s, min(l_quantity * 900) AS distance_m, min(l_extendedprice / 1e3) AS cost FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_suppkey <> o_custkey % 25 GROUP BY l_suppkey, o_custkey % 25""",
+    "sights": f"""SELECT p_partkey AS id, p_name AS name, CAST(p_size % 11 AS DOUBLE) AS score, CASE WHEN p_type = 'ECONOMY' THEN 'food' WHEN p_type = 'STANDARD' THEN 'museum' ELSE 'nature' END AS family, {world_lon("p_partkey")} AS lon, {world_lat("p_partkey")} AS lat FROM {{part}}""",
+    "track": f"""SELECT tour_id, ord, pass_id AS place_id, kind = 'pass-climb' AS on_climb, scenic, duration_s, {world_lon("place_id")} + 4e-3 AS lon, {world_lat("place_id")} + 2e-3 AS lat, sum(duration_s) OVER (PARTITION BY tour_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t_sec FROM {{stops}}""",
     "users": "SELECT c_custkey AS user_id, c_mktsegment AS persona, c_acctbal AS balance, c_nationkey AS nation FROM {customer}",
 }
 
@@ -70,13 +72,13 @@ ADAPTERS = {
 def resolve(query: str) -> str:
     """query with adapters written out; base tables stay {name}."""
     for _ in range(6):
-        query = re.sub(r"\{(\w+)\}", lambda m: "{" + m[1] + "}" if m[1] in BASE else "(" + ADAPTERS[m[1]].replace("{{", "{").replace("}}", "}") + ")", query)
+        query = re.sub(r"\{([a-z]\w*)\}", lambda m: "{" + m[1] + "}" if m[1] in BASE else "(" + ADAPTERS[m[1]].replace("{{", "{").replace("}}", "}") + ")", query)
     return query
 
 
 def oracle(query: str) -> str:
     """The DuckDB text of a query over adapters and base tables."""
-    return re.sub(r"\{(\w+)\}", r"\1", duckdb_dialect(resolve(query)))
+    return re.sub(r"\{([a-z]\w*)\}", r"\1", duckdb_dialect(resolve(query)))
 
 
 class Tables:
@@ -94,5 +96,5 @@ class Tables:
 
     def sql(self, query: str) -> DataFrame:
         query = resolve(query)
-        used = set(re.findall(r"\{(\w+)\}", query))
+        used = set(re.findall(r"\{([a-z]\w*)\}", query))
         return self.spark.sql(spark_dialect(query), **{n: getattr(self, n) for n in used})

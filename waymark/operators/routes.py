@@ -311,31 +311,41 @@ def waypoint_snap(track: DataFrame) -> DataFrame:
     return listed.select("tour_id", F.posexplode(state["out"]).alias("at", "vertex")).select("tour_id", (F.col("at") + 1).cast("long").alias("waypoint"), "vertex")
 
 
+def _hull(pts: list[tuple[float, float]], pad: float) -> tuple[int, float]:
+    """Corner count and area of the padded hull of distinct, sorted points."""
+
+    def half(points):
+        out = []
+        for p in points:
+            while len(out) >= 2 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    ring = half(pts) + half(pts[::-1]) if len(pts) > 2 else []
+    if len(ring) < 3:
+        (x1, y1), (x2, y2) = pts[0], pts[-1]
+        if len(pts) == 1:
+            ring = [(x1 - pad, y1), (x1, y1 - pad), (x1 + pad, y1), (x1, y1 + pad)]
+        else:
+            west, east, south, north = min(x1, x2) - pad, max(x1, x2) + pad, min(y1, y2) - pad, max(y1, y2) + pad
+            ring = [(west, south), (east, south), (east, north), (west, north)]
+    return len(ring), abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
+
+
 def zone_hulls(stops: DataFrame, pad: float = 0.002) -> DataFrame:
     """Padded convex hull of each tour's stops, as corner count and area; a diamond for one point, a rectangle for two or
-    for points on a line. A tour's stops are a bounded group."""
+    for points on a line. A tour's stops are a bounded group, gathered as one array; many tours go to Python at once."""
     import pandas as pd
 
-    def hull(frame: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(set(zip(frame["lon"].round(6), frame["lat"].round(6))))
-        cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-
-        def half(points):
-            out = []
-            for p in points:
-                while len(out) >= 2 and cross(out[-2], out[-1], p) <= 0:
-                    out.pop()
-                out.append(p)
-            return out[:-1]
+    def run(frames):
+        for frame in frames:
+            made = [_hull([(p["x"], p["y"]) for p in ps], pad) for ps in frame["ps"]]
+            yield pd.DataFrame({"tour_id": frame["tour_id"], "corners": [m[0] for m in made], "area": [round(m[1], 9) for m in made]})
 
-        ring = half(pts) + half(pts[::-1]) if len(pts) > 2 else pts
-        if len(ring) < 3:
-            (x1, y1), (x2, y2) = pts[0], pts[-1]
-            ring = [(x1 - pad, y1), (x1, y1 - pad), (x1 + pad, y1), (x1, y1 + pad)] if len(pts) == 1 else [(min(x1, x2) - pad, min(y1, y2) - pad), (max(x1, x2) + pad, min(y1, y2) - pad), (max(x1, x2) + pad, max(y1, y2) + pad), (min(x1, x2) - pad, max(y1, y2) + pad)]
-        area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
-        return pd.DataFrame({"tour_id": [frame["tour_id"].iloc[0]], "corners": [len(ring)], "area": [round(area, 9)]})
-
-    return stops.select("tour_id", "lon", "lat").groupBy("tour_id").applyInPandas(hull, "tour_id long, corners long, area double")
+    point = F.struct(F.round("lon", 6).alias("x"), F.round("lat", 6).alias("y"))
+    gathered = stops.groupBy("tour_id").agg(F.array_sort(F.collect_set(point)).alias("ps"))
+    return gathered.mapInPandas(run, "tour_id long, corners long, area double")
 
 
 def enrichment(places: DataFrame, track: DataFrame) -> DataFrame:
@@ -358,20 +368,25 @@ def overlay_clusters(items: DataFrame, zoom: int = 8, radius: int = 64) -> DataF
     y = (0.5 - F.log((1 + s) / (1 - s)) / (4 * 3.141592653589793)) * size
     cells = items.withColumns({"x": x, "y": y}).groupBy(F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy")).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("id").alias("first"))
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(["n", "first"], ascending=[False, True]).to_dict("records")
+    def merge(rows) -> list[dict]:
         out: list[dict] = []
-        for r in rows:
-            near = [o for o in out if (o["x"] - r["x"]) ** 2 + (o["y"] - r["y"]) ** 2 <= radius**2]
-            if near:
-                o = near[0]
-                t = o["n"] + r["n"]
-                o["x"], o["y"], o["n"], o["first"] = (o["x"] * o["n"] + r["x"] * r["n"]) / t, (o["y"] * o["n"] + r["y"] * r["n"]) / t, t, min(o["first"], r["first"])
+        for r in sorted(rows, key=lambda r: (-r["n"], r["first"])):
+            near = next((o for o in out if (o["x"] - r["x"]) ** 2 + (o["y"] - r["y"]) ** 2 <= radius**2), None)
+            if near is None:
+                out.append({k: r[k] for k in ("first", "n", "x", "y")})
             else:
-                out.append(dict(r))
-        return pd.DataFrame({"first": [o["first"] for o in out], "n": [o["n"] for o in out], "px": [int(o["x"] + 0.5) for o in out], "py": [int(o["y"] + 0.5) for o in out]})
-
-    return cells.groupBy(F.floor(F.col("cx") / 4).alias("bx"), F.floor(F.col("cy") / 4).alias("by")).applyInPandas(lambda f: merge(f), "first long, n long, px long, py long")
+                t = near["n"] + r["n"]
+                near.update(x=(near["x"] * near["n"] + r["x"] * r["n"]) / t, y=(near["y"] * near["n"] + r["y"] * r["n"]) / t, n=t, first=min(near["first"], r["first"]))
+        return out
+
+    def run(frames):
+        for frame in frames:
+            made = [o for rows in frame["rows"] for o in merge(rows)]
+            yield pd.DataFrame({"first": [o["first"] for o in made], "n": [o["n"] for o in made], "px": [int(o["x"] + 0.5) for o in made], "py": [int(o["y"] + 0.5) for o in made]})
+
+    # a block has sixteen cells at most
+    blocks = cells.groupBy(F.floor(F.col("cx") / 4).alias("bx"), F.floor(F.col("cy") / 4).alias("by")).agg(F.collect_list(F.struct("first", "n", "x", "y")).alias("rows"))
+    return blocks.select("rows").mapInPandas(run, "first long, n long, px long, py long")
 
 
 def pass_crossings(passes: DataFrame, stops: DataFrame) -> DataFrame:

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from waymark.functions.rounds import new_path
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-STATE = F.when(F.col("event_type") == "view", "open").when(F.col("event_type") == "click", "restricted").when(F.col("event_type") == "error", "closed").otherwise("unknown")
+
+
+def state() -> Column:
+    kind = F.col("event_type")
+    return F.when(kind == "view", "open").when(kind == "click", "restricted").when(kind == "error", "closed").otherwise("unknown")
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +37,7 @@ def _run(stream: DataFrame, mode: str, each=None) -> str:
 def latest_status(spark: SparkSession, sf_dir: str, stale_hours: int = 24) -> DataFrame:
     """Latest state of each pass, kept as streaming state; stale ones are marked against the newest reading."""
     place = F.unix_micros("ts") * 1000 + F.col("event_id") % 1000
-    agg = feed(spark, sf_dir).groupBy(F.col("user_id").alias("pass_id")).agg(F.max_by(STATE, place).alias("state"), F.max(F.unix_micros("ts")).alias("seen"))
+    agg = feed(spark, sf_dir).groupBy(F.col("user_id").alias("pass_id")).agg(F.max_by(state(), place).alias("state"), F.max(F.unix_micros("ts")).alias("seen"))
     out = spark.read.parquet(_run(agg, "complete"))
     last = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch")
     newest = last.agg(F.max("seen").alias("newest"))
@@ -42,7 +46,7 @@ def latest_status(spark: SparkSession, sf_dir: str, stale_hours: int = 24) -> Da
 
 def stale_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each pass, state and day: repeats within the watermark are dropped."""
-    rows = feed(spark, sf_dir).withWatermark("ts", "40 days").select("ts", F.col("user_id").alias("pass_id"), STATE.alias("state"), F.unix_date(F.to_date("ts")).cast("long").alias("day"))
+    rows = feed(spark, sf_dir).withWatermark("ts", "40 days").select("ts", F.col("user_id").alias("pass_id"), state().alias("state"), F.unix_date(F.to_date("ts")).cast("long").alias("day"))
     kept = rows.dropDuplicatesWithinWatermark(["pass_id", "state", "day"]).select("pass_id", "state", "day")
     return spark.read.parquet(_run(kept, "append")).drop("batch")
 
@@ -58,8 +62,8 @@ def freshness_gate(spark: SparkSession, sf_dir: str, clock: str = "2024-01-30 12
 def break_state(spark: SparkSession, sf_dir: str, threshold: float = 120.0, rest: int = 4) -> DataFrame:
     """Load by key over the stream: past the threshold, and `rest` readings after the last break, a break is due."""
 
-    def step(key, frames, state):
-        total, since, number = state.get if state.exists else (0.0, 0, 0)
+    def step(key, frames, held):
+        total, since, number = held.get if held.exists else (0.0, 0, 0)
         out = []
         for row in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
             total, since = total + row.value, since + 1
@@ -67,7 +71,7 @@ def break_state(spark: SparkSession, sf_dir: str, threshold: float = 120.0, rest
                 number += 1
                 out.append((key[0], number, row.event_id))
                 total, since = 0.0, 0
-        state.update((total, since, number))
+        held.update((total, since, number))
         yield pd.DataFrame(out, columns=["pass_id", "number", "event_id"])
 
     kept = feed(spark, sf_dir).select(F.col("user_id").alias("pass_id"), "ts", "event_id", "value").groupBy("pass_id").applyInPandasWithState(step, "pass_id long, number long, event_id long", "total double, since int, number long", "append", GroupStateTimeout.NoTimeout)

@@ -32,9 +32,11 @@ from waymark.llm.vectors import by_dimension, matrix, unit, valid
 
 LEAST = 0.95
 SHARDS, SHARD_ROWS = 4, 16_384
-BEAM, RECALL, AUDIT = 32, 0.999, 256
-#: Nodes that query a shard in one row, members of a ball that are compared in one row.
-QUERIES, BLOCK = 4_096, 512
+BEAM, RECALL, AUDIT = 16, 0.999, 256
+#: Neighbours of a node (twice as many below) and candidates looked at when it joins.
+NEIGHBOURS, CANDIDATES = 10, 32
+#: Nodes that query a shard in one task, members of a ball that are compared in one row.
+QUERIES, BLOCK = 16_384, 512
 SLACK = 1e-9  # angles are decided without looking at members only beyond this
 
 
@@ -43,8 +45,9 @@ def _build(radius: float):
         frame = frame.sort_values("row", ignore_index=True)
         x = unit(np.array(frame["embedding"].tolist(), np.float64))
         rows = frame["row"].to_numpy()
-        graph = Graph(x.shape[1])
+        graph = Graph(x.shape[1], NEIGHBOURS, CANDIDATES)
         node, _ = graph.insert(x, rows, radius)
+        graph.near = []  # only needed to build
         lead = np.full(graph.n, -1, np.int64)
         cosine = np.einsum("ij,ij->i", x, graph.x[node])
         # a node is the first of its members
@@ -58,18 +61,19 @@ def _build(radius: float):
 
 
 def _ask(least_angle: float, half: float, beam: int):
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                graph, lead = pickle.loads(batch.column("graph")[i].as_py())
-                q = batch.column("queries")[i].values
-                ids, reach = np.asarray(q.field("ball"), np.int64), np.asarray(q.field("radius"), np.float64)
-                x = unit(matrix(q.field("embedding")))
-                least = np.cos(np.minimum(np.pi, least_angle + half + reach + SLACK))
+    def run(graphs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": int, "b": int, "cosine": float})]
+        for blob in graphs["graph"]:
+            graph, lead = pickle.loads(blob)
+            for at in range(0, len(asked), 2_048):
+                part = asked.iloc[at : at + 2_048]
+                x = unit(np.array(part["embedding"].tolist(), np.float64))
+                least = np.cos(np.minimum(np.pi, least_angle + half + part["radius"].to_numpy() + SLACK))
                 who, node, cosine = graph.within(x, least, beam)
-                a, b = ids[who.astype(int)], lead[node.astype(int)]
+                a, b = part["ball"].to_numpy()[who.astype(int)], lead[node.astype(int)]
                 keep = a != b
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(np.clip(cosine[keep], -1, 1).astype(float))], ["a", "b", "cosine"])
+                out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": np.clip(cosine[keep], -1, 1).astype(float)}))
+        return pd.concat(out, ignore_index=True)
 
     return run
 
@@ -110,17 +114,18 @@ def near_duplicates(scratch: Scratch, vectors: DataFrame, least: float = LEAST,
     size = member.groupBy("dim", "ball").agg(F.count("*").alias("size"), F.acos(F.least(F.min("cosine"), F.lit(1.0))).alias("radius"))
     nodes = size.join(fine.select(F.col("row").alias("ball"), "embedding").hint("merge"), "ball")
     nodes = scratch.write(nodes)
-    # every node asks every shard
-    parts = max(1, -(-nodes.count() // QUERIES))
-    packed = nodes.withColumn("part", F.pmod(F.xxhash64("ball"), F.lit(parts))).groupBy("dim", "part").agg(F.collect_list(F.struct("ball", "radius", "embedding")).alias("queries"))
-    asked = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs.hint("merge"), ["dim", "shard"]).select("graph", "queries")
+    # every node asks every shard: the nodes are dealt to slots, and each (shard, slot) gets a copy of the shard's graph
+    slots = max(3, -(-nodes.count() // QUERIES))
+    copies = graphs.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).groupBy("dim", "shard", "slot")
+    asking = nodes.withColumn("slot", F.pmod(F.xxhash64("ball"), F.lit(slots)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("dim", "shard", "slot", "ball", "radius", "embedding")
     sample = nodes.orderBy(F.xxhash64("ball", F.lit("audit")), "ball").limit(AUDIT).toPandas()
     want = scratch.write(nodes.mapInPandas(_audit(sample, angle), "a long, b long"))
     n_want, beam = want.count(), BEAM
     while True:
-        pairs = scratch.write(asked.repartition(width(spark)).mapInArrow(_ask(angle, half, beam), "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
-        found = pairs.join(want.distinct().hint("merge"), ["a", "b"], "left_semi").count()
-        if found >= RECALL * n_want or beam >= SHARD_ROWS:
+        found = copies.cogroup(asking.groupBy("dim", "shard", "slot")).applyInPandas(_ask(angle, half, beam), "a long, b long, cosine double")
+        pairs = scratch.write(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
+        hit = pairs.join(want.distinct().hint("merge"), ["a", "b"], "left_semi").count()
+        if hit >= RECALL * n_want or beam >= SHARD_ROWS:
             break
         beam *= 2
     about = nodes.select("ball", "size", "radius")

@@ -16,13 +16,13 @@ from waymark.llm.common import Scratch, table
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model scores at its threshold or above; learnt from the corpus's own labels."""
     model = quality.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where(f"score >= {quality.THRESHOLD}").drop("score")
+    return quality.scored(docs, model, "__quality").where(f"__quality >= {quality.THRESHOLD}").drop("__quality")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; all documents stay, n_chars follows the text."""
     names = docs.columns
-    out = linededup.deduplicated(spark, docs).drop("n_lines", "n_removed")
+    out = linededup.deduplicated(spark, docs, counts=False)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

@@ -189,15 +189,15 @@ def main_text(html: str | None) -> str:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """pages with text in place of html, and n_chars."""
+    """pages with text in place of html, and n_chars; columns of those names are replaced."""
 
     def run(batches):
         for batch in batches:
             texts = [main_text(h.as_py()) for h in batch.column("html")]
-            rest = [c for c in batch.schema.names if c != "html"]
+            rest = [c for c in batch.schema.names if c not in ("html", "text", "n_chars")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*rest, "text", "n_chars"])
 
-    rest = [f for f in pages.schema.fields if f.name != "html"]
+    rest = [f for f in pages.schema.fields if f.name not in ("html", "text", "n_chars")]
     return pages.mapInArrow(run, T.StructType([*rest, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
 
 

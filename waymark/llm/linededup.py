@@ -111,26 +111,30 @@ def removed(scratch: Scratch, docs: DataFrame, least: int = MIN_WORDS) -> DataFr
     return scratch.write(lost.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("lines")))
 
 
-def deduplicated(spark, docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """docs without the later copies of repeated line runs, and n_lines, n_removed (lines before, lines deleted)."""
+def deduplicated(spark, docs: DataFrame, least: int = MIN_WORDS, counts: bool = True) -> DataFrame:
+    """docs without the later copies of repeated line runs; with counts also n_lines, n_removed (lines before, lines
+    deleted), in place of columns of those names."""
     scratch = Scratch(spark)
     names = docs.columns
     held = scratch.write(docs.withColumn("__row", F.monotonically_increasing_id()))
     gone = removed(scratch, held.select(F.col("__row").alias("row"), "doc_id", "text"), least)
     wide = held.join(gone.select(F.col("row").alias("__row"), F.col("lines").alias("__lines")).hint("merge"), "__row", "left")
-    wide = wide.withColumns({"n_lines": F.lit(0), "n_removed": F.lit(0)})
+    if counts:
+        wide = wide.withColumns({"n_lines": F.lit(0), "n_removed": F.lit(0)})
     schema = T.StructType([f for f in wide.schema.fields if not f.name.startswith("__")])
 
     def run(batches):
         for batch in batches:
-            texts, counts, lost = [], [], []
+            texts, before, lost = [], [], []
             for text, lines in zip(batch.column("text"), batch.column("__lines")):
                 text, gone = text.as_py(), set(lines.as_py() or ())
                 cut = text.split("\n") if text is not None else []
                 texts.append("\n".join(x for i, x in enumerate(cut) if i not in gone) if gone else text)
-                counts.append(len(cut))
+                before.append(len(cut))
                 lost.append(len(gone))
-            made = {"text": pa.array(texts, batch.schema.field("text").type), "n_lines": pa.array(counts, pa.int32()), "n_removed": pa.array(lost, pa.int32())}
+            made = {"text": pa.array(texts, batch.schema.field("text").type)}
+            if counts:
+                made |= {"n_lines": pa.array(before, pa.int32()), "n_removed": pa.array(lost, pa.int32())}
             yield pa.RecordBatch.from_arrays([made[f] if f in made else batch.column(f) for f in schema.names], schema.names)
 
     return wide.mapInArrow(run, schema)

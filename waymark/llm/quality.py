@@ -176,16 +176,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     return fit(np.array([r.x for r in rows]), np.array([r.y for r in rows], float))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score."""
+def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """docs with the score in a column that docs does not have."""
     from pyspark.sql import types as T
 
     def run(batches):
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column("text")]).reshape(batch.num_rows, len(FEATURES))
-            yield batch.append_column("score", pa.array(model.score(x)))
+            yield batch.append_column(column, pa.array(model.score(x)))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

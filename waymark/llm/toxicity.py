@@ -247,15 +247,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.5) -> np.ndarray:
     return w
 
 
-def scored(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """docs with a column score."""
+def scored(docs: DataFrame, grammar: Grammar, column: str = "score") -> DataFrame:
+    """docs with the score in a column that docs does not have."""
 
     def run(batches):
         for batch in batches:
             x = np.array([grammar.sums(t.as_py()) for t in batch.column("text")]).reshape(batch.num_rows, len(KINDS))
-            yield batch.append_column("score", pa.array(grammar.score(x)))
+            yield batch.append_column(column, pa.array(grammar.score(x)))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -23,9 +23,9 @@ def norm_text(text: Column) -> Column:
 
 
 def normalized(df: DataFrame, column: str) -> DataFrame:
-    """df with the search form of a column, computed once for each distinct value."""
-    own = df.select(column).distinct().withColumn("normalized", norm_text(F.col(column)))
-    return df.join(own.hint("merge"), column, "left")
+    """df with the search form of a column. Row by row in Arrow batches: a distinct and a join back would shuffle every
+    text twice to spare the work of repeated ones."""
+    return df.withColumn("normalized", norm_text(F.col(column)))
 
 
 def slug(text: Column) -> Column:

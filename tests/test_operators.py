@@ -126,3 +126,54 @@ def test_snapshot_needs_its_digest(spark):
     made = spark.createDataFrame([("good", '{"features":[{"id":1},{"id":2}]}'), ("bad", '{"features":[{"id":3}]}')], "name string, j string")
     files = made.select("name", F.col("j").cast("binary").alias("content"), F.when(F.col("name") == "good", F.sha2("j", 256)).otherwise("0").alias("sha256"))
     assert rows(readers.pinned_snapshot(files, "id:bigint"), "name", "id") == [("good", 1), ("good", 2)]
+
+
+def plain_retraces(tours, step=200, near=100.0, least=800, buffer=350.0):
+    """Every sample of every leg against every other."""
+
+    def metres(p, q):
+        a, b, d = math.radians(p[0]), math.radians(q[0]), math.radians(q[1] - p[1])
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(d / 2) ** 2
+        return 2 * 6_371_000 * math.asin(min(1, math.sqrt(h)))
+
+    out = {}
+    for tour, line in tours.items():
+        at = [0.0]
+        for p, q in zip(line, line[1:]):
+            at.append(at[-1] + metres(p, q))
+        samples, leg = [], 0
+        for k in range(int(at[-1] // step) + 1):
+            while leg < len(line) - 2 and at[leg + 1] <= k * step:
+                leg += 1
+            f = (k * step - at[leg]) / (at[leg + 1] - at[leg])
+            samples.append((leg, k * step, *(u + (v - u) * f for u, v in zip(line[leg], line[leg + 1]))))
+        for i, (a, m, *p) in enumerate(samples):
+            for b, n, *q in samples[i + 1 :]:
+                if a == b or any(abs(math.floor(u / 0.001) - math.floor(v / 0.001)) > 1 for u, v in zip(p, q)):
+                    continue
+                if b - a == 1 and min(abs(m - at[b]), abs(n - at[b])) <= buffer:
+                    continue
+                if metres(p, q) <= near:
+                    out[tour, a + 1, b + 1] = out.get((tour, a + 1, b + 1), 0) + step
+    return sorted((*k, m) for k, m in out.items() if m >= least)
+
+
+def test_retraces_equal_all_pairs_of_samples(spark):
+    import random
+
+    rng = random.Random(5)
+    tours = {
+        1: [(46.0, 8.0), (46.1, 8.1), (46.0003, 8.0)],  # out and back
+        2: [(46.0, 8.0), (46.0, 8.018), (46.003, 8.02), (46.0004, 8.017), (46.0004, 8.001)],  # legs under two km, out of phase
+        3: [(46.0, 8.0), (46.05, 8.05), (46.05, 8.0), (46.0, 8.05)],  # a crossing alone
+        4: [(46.0, 8.0), (46.0, 8.0075), (46.0, 8.0)],  # short of 800 m beyond the buffer
+        5: [(46.0, 8.0), (46.0, 8.0), (46.08, 8.0), (46.08, 8.0009), (46.0, 8.0009), (46.0, 8.0009)],  # along a meridian, legs without length
+        6: [(46.0, 8.0), (46.0, 8.1), (46.001, 8.1), (46.001, 8.0), (46.0001, 8.03), (46.0001, 8.08)],
+    }
+    for tour in range(7, 37):
+        ends = [(46 + rng.choice([0, 0.03, 0.06]), 8 + rng.choice([0, 0.04, 0.08])) for _ in range(3)]
+        tours[tour] = [(p[0] + rng.uniform(-0.001, 0.001), p[1] + rng.uniform(-0.001, 0.001)) for p in (rng.choice(ends) for _ in range(rng.randrange(2, 8)))]
+    stops = spark.createDataFrame([(t, i + 1, *p) for t, line in tours.items() for i, p in enumerate(line)], "tour_id long, ord int, lat double, lon double")
+    want = plain_retraces(tours)
+    assert {t for t, *_ in want} > {1, 2, 5, 6} and not {3, 4} & {t for t, *_ in want}
+    assert rows(routes.retrace_overlap(stops), "tour_id", "ord", "other", "metres") == want

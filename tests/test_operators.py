@@ -177,3 +177,43 @@ def test_retraces_equal_all_pairs_of_samples(spark):
     want = plain_retraces(tours)
     assert {t for t, *_ in want} > {1, 2, 5, 6} and not {3, 4} & {t for t, *_ in want}
     assert rows(routes.retrace_overlap(stops), "tour_id", "ord", "other", "metres") == want
+
+
+def plain_clusters(items, radius=64, size=65536):
+    """Links of adjoining cells tried one by one, the closest first."""
+    cells, out = {}, []
+    for i, x, y, planned in items:
+        if planned:
+            out.append((i, 1, int(x + 0.5), int(y + 0.5)))
+        else:
+            cells.setdefault((int(x // radius), int(y // radius)), []).append((i, x, y))
+    key = lambda c: f"{c[0]},{c[1]}"
+    centre = lambda ps: (sum(p[1] for p in ps) / len(ps), sum(p[2] for p in ps) / len(ps))
+    links = [(math.dist(centre(cells[c]), centre(cells[d])), key(c), key(d)) for c in cells for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (d := (c[0] + dx, c[1] + dy)) in cells and key(c) < key(d)]
+    owner, groups = {key(c): key(c) for c in cells}, {key(c): list(ps) for c, ps in cells.items()}
+    for d, a, b in sorted(links):
+        a, b = sorted((owner[a], owner[b]))
+        if d > radius * 0.92 or a == b:
+            continue
+        both = groups[a] + groups[b]
+        if all(math.dist(centre(both), p[1:]) <= radius * 0.7 for p in both):
+            groups[a] = both
+            del groups[b]
+            owner = {k: a if v == b else v for k, v in owner.items()}
+    return sorted(out + [(min(p[0] for p in ps), len(ps), *(int(v + 0.5) for v in centre(ps))) for ps in groups.values()])
+
+
+def test_clusters_merge_across_every_border(spark):
+    import random
+
+    rng = random.Random(7)
+    items = [(1, 255.0, 1000.0, False), (2, 257.0, 1000.0, False), (3, 256.5, 1001.0, True)]  # the border of cells 3 and 4
+    items += [(10 + i, 2000.0 + 40 * i, 3000.0, False) for i in range(12)]  # a chain that must not become one
+    items += [(100 + i, 9000 + rng.uniform(0, 900), 9000 + rng.uniform(0, 900), i % 25 == 0) for i in range(150)]
+    rng.shuffle(items)
+    made = [(i, x / 65536 * 360 - 180, math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * y / 65536)))), planned) for i, x, y, planned in items]
+    got = rows(routes.overlay_clusters(spark.createDataFrame(made, "id long, lon double, lat double, planned boolean")), "first", "n", "px", "py")
+    want = plain_clusters(items)
+    assert (1, 2, 256, 1000) in got and (3, 1) in [r[:2] for r in got]
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(abs(u - v) <= 1 for g, w in zip(got, want) for u, v in zip(g, w))

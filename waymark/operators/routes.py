@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.functions.rounds import written
 from waymark.functions.sql import haversine, js_round
 from waymark.operators import define
 from waymark.operators.spatial import nearest_vertex
@@ -358,35 +359,50 @@ def enrichment(places: DataFrame, track: DataFrame) -> DataFrame:
 
 
 def overlay_clusters(items: DataFrame, zoom: int = 8, radius: int = 64) -> DataFrame:
-    """items(id, lon, lat) in grid cells of world pixels with count and centroid; a cell joins the fuller one of its
-    neighbours if their centroids are within a radius, in a greedy pass over each block of 4 x 4 cells."""
-    import pandas as pd
-
+    """items(id, lon, lat, planned if there is one) in grid cells of world pixels with count and centroid; planned items
+    stay single. Adjoining cells whose centroids are within 0.92 of the radius are joined, the closest first, where no
+    item of the two clusters is then farther than 0.7 of the radius from the centre. Each round tries every link that
+    comes before all others of both its clusters, which gives what trying them one by one would."""
     size = 256 * 2**zoom
     x = (F.col("lon") + 180) / 360 * size
     s = F.sin(F.radians(F.greatest(F.lit(-85.05), F.least(F.lit(85.05), F.col("lat")))))
     y = (0.5 - F.log((1 + s) / (1 - s)) / (4 * 3.141592653589793)) * size
-    cells = items.withColumns({"x": x, "y": y}).groupBy(F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy")).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("id").alias("first"))
-
-    def merge(rows) -> list[dict]:
-        out: list[dict] = []
-        for r in sorted(rows, key=lambda r: (-r["n"], r["first"])):
-            near = next((o for o in out if (o["x"] - r["x"]) ** 2 + (o["y"] - r["y"]) ** 2 <= radius**2), None)
-            if near is None:
-                out.append({k: r[k] for k in ("first", "n", "x", "y")})
-            else:
-                t = near["n"] + r["n"]
-                near.update(x=(near["x"] * near["n"] + r["x"] * r["n"]) / t, y=(near["y"] * near["n"] + r["y"] * r["n"]) / t, n=t, first=min(near["first"], r["first"]))
-        return out
-
-    def run(frames):
-        for frame in frames:
-            made = [o for rows in frame["rows"] for o in merge(rows)]
-            yield pd.DataFrame({"first": [o["first"] for o in made], "n": [o["n"] for o in made], "px": [int(o["x"] + 0.5) for o in made], "py": [int(o["y"] + 0.5) for o in made]})
-
-    # a block has sixteen cells at most
-    blocks = cells.groupBy(F.floor(F.col("cx") / 4).alias("bx"), F.floor(F.col("cy") / 4).alias("by")).agg(F.collect_list(F.struct("first", "n", "x", "y")).alias("rows"))
-    return blocks.select("rows").mapInPandas(run, "first long, n long, px long, py long")
+    planned = F.coalesce("planned", F.lit(False)) if "planned" in items.columns else F.lit(False)
+    placed = items.select("id", x.alias("x"), y.alias("y"), planned.alias("planned"))
+    placed = placed.withColumns({"cx": F.floor(F.col("x") / radius), "cy": F.floor(F.col("y") / radius)}).withColumn("key", F.concat_ws(",", "cx", "cy"))
+    cells = written(placed.where("not planned").groupBy("key", "cx", "cy").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.min("id").alias("first")))
+
+    around = F.explode(F.array(*[F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]))
+    mine = cells.select(F.col("key").alias("a"), (F.col("sx") / F.col("n")).alias("ax"), (F.col("sy") / F.col("n")).alias("ay"), around.alias("at")).select("a", "ax", "ay", "at.*")
+    links = mine.join(cells, ["cx", "cy"]).where("a < key").withColumn("d", F.hypot(F.col("ax") - F.col("sx") / F.col("n"), F.col("ay") - F.col("sy") / F.col("n"))).where(F.col("d") <= radius * 0.92)
+    links = written(links.select("d", "a", F.col("key").alias("b"), F.col("a").alias("ra"), F.col("key").alias("rb")))
+
+    linked = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    points = written(placed.where("not planned").join(linked, "key", "left_semi").select("key", "x", "y"))
+    lone = cells.join(linked, "key", "left_anti").withColumn("root", F.col("key"))
+    members = written(cells.join(linked, "key", "left_semi").select("key", F.col("key").alias("root"), "n", "sx", "sy", "first"))
+    place, sides = F.struct("d", "a", "b"), F.explode(F.array("ra", "rb"))
+    while links.limit(1).count():
+        least = links.select(sides.alias("root"), place.alias("least")).groupBy("root").agg(F.min("least").alias("least"))
+        for end in ("ra", "rb"):
+            least_of = least.select(F.col("root").alias(end), F.col("least").alias(f"least_{end}"))
+            links_least = (links if end == "ra" else links_least).join(least_of, end)
+        ready = links_least.where((place == F.col("least_ra")) & (place == F.col("least_rb"))).select("a", "b", "ra", "rb", sides.alias("root"))
+        both = Window.partitionBy("a", "b")
+        sums = members.groupBy("root").agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"))
+        centred = ready.join(sums, "root").withColumns({"mx": F.sum("sx").over(both) / F.sum("n").over(both), "my": F.sum("sy").over(both) / F.sum("n").over(both)})
+        spread = centred.select("a", "b", "ra", "rb", "root", "mx", "my").join(members.select("root", "key"), "root").join(points, "key")
+        tried = written(spread.groupBy("a", "b", "ra", "rb").agg((F.max(F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))) <= radius * 0.7).alias("fits")))
+        moved = tried.where("fits").select(F.greatest("ra", "rb").alias("root"), F.least("ra", "rb").alias("into"))
+        members = written(members.join(moved, "root", "left").select("key", F.coalesce("into", "root").alias("root"), "n", "sx", "sy", "first"))
+        links = links.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        for end in ("ra", "rb"):
+            links = links.join(moved.withColumnsRenamed({"root": end, "into": "into_" + end}), end, "left").withColumn(end, F.coalesce("into_" + end, end))
+        links = written(links.where("ra <> rb").select("d", "a", "b", "ra", "rb"))
+    whole = members.unionByName(lone.select(*members.columns)).groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"))
+    pixel = lambda v: F.floor(v + 0.5)
+    groups = whole.select("first", "n", pixel(F.col("sx") / F.col("n")).alias("px"), pixel(F.col("sy") / F.col("n")).alias("py"))
+    return groups.unionByName(placed.where("planned").select(F.col("id").alias("first"), F.lit(1).cast("long").alias("n"), pixel(F.col("x")).alias("px"), pixel(F.col("y")).alias("py")))
 
 
 def pass_crossings(passes: DataFrame, stops: DataFrame) -> DataFrame:

@@ -165,6 +165,23 @@ def test_main_text():
         assert isinstance(extract.main_text(odd), str)
 
 
+def test_names_of_containers_do_not_empty_an_article():
+    text = "It is a fine day, and we go out to the hills."
+    rest = "<div class='sidebar'><p>About us and them.</p></div>"
+    for page in (
+        f"<body class='has-sidebar'><article><p>{text}</p></article>{rest}",
+        f"<body class='search no-header'><div><p>{text}</p></div>",
+        f"<div class='content-with-sidebar'><article><p>{text}</p></article>{rest}</div>",
+        f"<div class='content-with-sidebar'><p>{text}</p></div>{rest}",
+        f"<div class='social-layout'><main><p>{text}</p></main>{rest}</div>",
+        f"<article class='post tag-legal'><p>{text}</p></article>{rest}",
+        f"<div class='post tag legal'><p>{text}</p></div>",
+        f"<article><p>{text}</p></article><section id='comments'><article class='comment-body'><p>Nice post, thank you.</p></article></section>",
+        f"<article><svg viewBox='0 0 1 1'/><p>{text}</p><svg><path/></svg></article>",
+    ):
+        assert extract.main_text(page) == text, page
+
+
 def test_pages_against_their_articles(spark):
     import html
     import re

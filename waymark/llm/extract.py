@@ -34,6 +34,11 @@ CONTENT = frozenset("article main".split())
 CHROME = frozenset("nav header footer aside form menu dialog button search fieldset".split())
 #: Words of class, id and role that name what is not the article, or is.
 OTHER_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|header|masthead|footer|foot|sidebar|side|aside|widget\w*|cookie\w*|consent|notice|alert|popup|modal|comments?|commentlist|disqus|replies|reply|responses|share|sharing|social|related|recommend\w*|breadcrumbs?|pager|pagination|login|signup|subscribe|newsletter|search|form|toolbar|copyright|legal|contentinfo|navigation|complementary|tags?)(?:$|[\s_-])", re.I)
+#: Those that name a discussion or other pages' teasers, which can hold articles of their own.
+APART_WORD = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|responses|related|recommend\w*)(?:$|[\s_-])", re.I)
+#: A name such as has-sidebar tells what stands beside the content.
+BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no)[_-][^\s_-]+", re.I)
+WHOLE = frozenset("html body article main".split())
 CONTENT_WORD = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body|text)(?:$|[\s_-])", re.I)
 
 NEAR_SAME, NEAR_OTHER, SAME_CONTAINER = 1.0, 0.25, 0.25
@@ -54,15 +59,16 @@ class Block:
 
 def blocks(html: str) -> list[Block]:
     found: list[Block] = []
-    stack: list[tuple] = [("", 0, 0, 0, 0)]  # tag, id, container's id, inside content, what is not content above
+    stack: list[tuple] = [("", 0, 0)]  # tag, id, container's id
+    nodes: list[tuple] = [("", 0, False, "", False)]  # of each id: tag, id above, not shown, names, role of content
     at, ids, parts, links, in_link = 0, 0, [], 0, 0
 
     def flush():
         nonlocal parts, links
         if parts:
             if text := " ".join(unescape("".join(parts)).split()):
-                tag, me, container, inside, out = stack[-1]
-                found.append(Block(text, me, container, inside, out, links, tag[:1] == "h" and tag[1:].isdigit()))
+                tag, me, container = stack[-1]
+                found.append(Block(text, me, container, 0, 0, links, tag[:1] == "h" and tag[1:].isdigit()))
             parts = []
         links = 0
 
@@ -98,7 +104,7 @@ def blocks(html: str) -> list[Block]:
                 else:
                     end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
                     at = end.end() if end else len(html)
-            else:
+            elif not m[0].endswith("/>"):
                 end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
                 at = end.end() if end else at
             continue
@@ -112,16 +118,50 @@ def blocks(html: str) -> list[Block]:
                 if stack[-1][0] == "p" or (tag == "li" and stack[-1][0] == "li"):
                     del stack[-1]
                 ids += 1
-                _, parent, container, inside, out = stack[-1]
+                _, above, container = stack[-1]
                 marks = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(m[3] or m[6] or "")}
                 names = " ".join(marks.get(k, "") for k in ("class", "id", "role"))
-                other = tag in CHROME and not (tag == "header" and inside) or bool(OTHER_WORD.search(names)) or "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "")
-                good = tag in CONTENT or bool(CONTENT_WORD.search(names)) or marks.get("role") in CONTENT
-                stack.append((tag, ids, ids if tag not in ("p", "li") and not re.match(r"h\d$", tag) else container, 1 if good and not other else inside, 1 if other else out))
+                hidden = "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "")
+                nodes.append((tag, above, hidden, names, marks.get("role") in CONTENT))
+                stack.append((tag, ids, ids if tag not in ("p", "li") and not re.match(r"h\d$", tag) else container))
     flush()
+    placed(found, nodes)
     return found
 
 
+def placed(found: list[Block], nodes: list[tuple]) -> None:
+    """Sets what each block is inside of, and what above it is not content. A name counts against all that its container
+    holds, but never on html, body, an article or main, on what holds the page's article (its main, or the article with
+    the most text), or, unless it names a discussion or teasers, on what holds any article or most of the text; an
+    article ends such a name's effect."""
+    size, holds = [0] * len(nodes), [False] * len(nodes)
+    for b in found:
+        size[b.parent] += len(b.text)
+    for i in range(len(nodes) - 1, 0, -1):
+        tag, above, *_ = nodes[i]
+        holds[i] = holds[i] or tag in CONTENT
+        holds[above] = holds[above] or holds[i]
+        size[above] += size[i]
+    page, chain = max((i for i, n in enumerate(nodes) if n[0] in CONTENT), key=lambda i: (nodes[i][0] == "main", size[i], -i), default=0), set()
+    while page:
+        chain.add(page)
+        page = nodes[page][1]
+    at = [(0, False, False, False)]  # inside content, not content by tag or hidden, by a name, by a name of things apart
+    for i, (tag, above, hidden, names, role) in enumerate(nodes[1:], 1):
+        inside, out, named, apart = at[above]
+        names = BESIDE.sub("", names)
+        mine = tag not in WHOLE and i not in chain
+        other_apart = mine and bool(APART_WORD.search(names))
+        other_named = mine and not holds[i] and size[i] * 2 <= size[0] and bool(OTHER_WORD.search(names))
+        other = hidden or tag in CHROME and not (tag == "header" and inside) or other_named or other_apart
+        good = tag in CONTENT or role or bool(CONTENT_WORD.search(names))
+        named = (named and tag not in CONTENT) or other_named
+        at.append((1 if good and not other else inside, out or hidden or tag in CHROME and not (tag == "header" and inside), named, apart or other_apart))
+    for b in found:
+        inside, *out = at[b.parent]
+        b.inside, b.out = inside, int(any(out))
+
+
 def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels (True: source side) of a minimum cut with terminal capacities |score| and undirected edges."""
     n = len(scores)

@@ -217,3 +217,12 @@ def test_clusters_merge_across_every_border(spark):
     assert (1, 2, 256, 1000) in got and (3, 1) in [r[:2] for r in got]
     assert [r[:2] for r in got] == [r[:2] for r in want]
     assert all(abs(u - v) <= 1 for g, w in zip(got, want) for u, v in zip(g, w))
+
+
+def test_routes_are_told_apart_by_all_their_places(spark):
+    tours = {1: [2, 5, 9], 2: [2, 6, 8], 3: [9, 5, 2], 4: [2, 5, 9], 5: [100, 2, 11]}  # equal sums, least places and counts; 4 repeats 1
+    scenic = {1: 1.0, 2: 3.0, 3: 2.0, 4: 4.0, 5: 0.5}
+    data = [(t, i + 1, p, scenic[t] / 3, "2024-05-02" if t == 5 else "2024-05-01") for t, ps in tours.items() for i, p in enumerate(ps)]
+    stops = spark.createDataFrame(data, "tour_id long, ord int, place_id long, scenic double, day string").withColumn("day", F.col("day").cast("date"))
+    assert rows(routes.alternatives(stops), "day", "rank", "tour_id") == [(19844, 1, 1), (19844, 2, 2), (19844, 3, 3), (19845, 1, 5)]
+    assert rows(routes.tour_archive(stops), "day", "rank", "tour_id", "score") == [(19844, 1, 4, 4.0), (19844, 2, 2, 3.0), (19844, 3, 3, 2.0), (19845, 1, 5, 0.5)]

@@ -259,6 +259,30 @@ graph_route_cost = define("graph_route_cost", "Cost of each tour's pass sequence
 graph_materialize_routes = define("graph_materialize_routes", "Legs of each tour as edges with totals, unreachable legs marked.", "SELECT tour_id, count(*) AS legs, count_if(e.a IS NULL) AS unreachable, CAST(floor(coalesce(sum(e.duration_s), 0e0) + 5e-1) AS BIGINT) AS duration_s FROM (SELECT tour_id, pass_id % 25 AS a, lead(pass_id % 25) OVER (PARTITION BY tour_id ORDER BY ord) AS b FROM {stops}) l LEFT JOIN {edges} e ON e.a = l.a AND e.b = l.b WHERE l.b IS NOT NULL GROUP BY tour_id")
 
 
+def _tours(stops: DataFrame, *aggregates: Column) -> DataFrame:
+    """Tours with their first day and a digest of 256 bits of all their places in order."""
+    route = F.transform(F.array_sort(F.collect_list(F.struct("ord", "place_id"))), lambda s: s["place_id"])
+    tours = stops.groupBy("tour_id").agg(F.unix_date(F.min("day")).cast("long").alias("day"), route.alias("route"), *aggregates)
+    return tours.withColumn("signature", F.sha2(F.to_json("route"), 256)).drop("route")
+
+
+def _first_three(tours: DataFrame, same: list[str], best: list) -> DataFrame:
+    """The best tour of each signature, then the three best of each day."""
+    kept = tours.withColumn("s", F.row_number().over(Window.partitionBy(*same).orderBy(*best))).where("s = 1")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("day").orderBy(*best)).cast("long")).where("rank <= 3")
+
+
+def alternatives(stops: DataFrame) -> DataFrame:
+    """Distinct routes of each day, those of most stops first, three at most."""
+    return _first_three(_tours(stops, F.count("*").alias("n")), ["day", "signature"], [F.desc("n"), "tour_id"]).select("day", "tour_id", "rank")
+
+
+def tour_archive(stops: DataFrame) -> DataFrame:
+    """The best tour of each route, then the three best of each day."""
+    score = F.floor(F.sum("scenic") * 1e3 + 0.5) / 1e3
+    return _first_three(_tours(stops, score.alias("score")), ["signature"], [F.desc("score"), "tour_id"]).select("day", "tour_id", "score", "rank")
+
+
 def lunch_candidates(sights: DataFrame, track: DataFrame, reach_m: float = 8_000.0) -> DataFrame:
     """Food places within reach of the part of each tour between its second and fourth hour, the nearest vertex each."""
     window = track.where("t_sec between 1800 and 14400").select("tour_id", "ord", "lat", "lon")

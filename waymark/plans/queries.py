@@ -39,6 +39,9 @@ BUILT: dict = {
     "win_detour_budget": (lambda t: routes.detour_budget(t.sql(f"SELECT * FROM {routes.RANKED} r"), 4.0), None),
     "win_mmr_topk": (lambda t: routes.mmr(t.sql(f"SELECT * FROM {routes.RANKED} r"), 3), None),
     "win_break_detection": (lambda t: routes.breaks(t.sql(routes.win_load_curve.text)), None),
+    # the SQL of these two still tells routes apart by a small number
+    "win_alternatives": (lambda t: routes.alternatives(t.stops), None),
+    "top_tour_archive": (lambda t: routes.tour_archive(t.stops), None),
 }
 
 NEAREST = """SELECT tour_id, id, ord, m FROM (SELECT v.tour_id, p.id, v.ord, NEAR_M AS m, row_number() OVER (PARTITION BY v.tour_id, p.id ORDER BY NEAR_M, v.ord) AS r

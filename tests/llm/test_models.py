@@ -178,10 +178,26 @@ def test_names_of_containers_do_not_empty_an_article():
         f"<div class='post tag legal'><p>{text}</p></div>",
         f"<article><p>{text}</p></article><section id='comments'><article class='comment-body'><p>Nice post, thank you.</p></article></section>",
         f"<article><svg viewBox='0 0 1 1'/><p>{text}</p><svg><path/></svg></article>",
+        f"<body><form id='page'><article><p>{text}</p></article>{rest}</form>",
+        f"<body><form id='page'><div><p>{text}</p></div><div class='sidebar'><p>About us.</p></div></form>",
+        f"<article><p>{text}</p><aside><p>{'Buy our fine boots and be on your way in no time at all. ' * 4}</p></aside></article>",
+        f"<article><p>{text}</p></article><form><p>Leave a reply, and tell us what you think of this page, please.</p></form>",
     ):
         assert extract.main_text(page) == text, page
 
 
+def test_main_text_of_long_pages_takes_linear_time():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        text = extract.main_text("<body><article>" + "<p>It is a fine day.<option>x<svg>" * n)
+        took.append(time.perf_counter() - began)
+        assert text.count("\n") == n - 1
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_pages_against_their_articles(spark):
     import html
     import re

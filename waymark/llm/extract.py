@@ -32,6 +32,8 @@ BLOCKS = frozenset("address article aside blockquote body button center dd detai
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 CONTENT = frozenset("article main".split())
 CHROME = frozenset("nav header footer aside form menu dialog button search fieldset".split())
+#: Those that some site builders put around the whole page.
+AROUND = frozenset("form fieldset".split())
 #: Words of class, id and role that name what is not the article, or is.
 OTHER_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|header|masthead|footer|foot|sidebar|side|aside|widget\w*|cookie\w*|consent|notice|alert|popup|modal|comments?|commentlist|disqus|replies|reply|responses|share|sharing|social|related|recommend\w*|breadcrumbs?|pager|pagination|login|signup|subscribe|newsletter|search|form|toolbar|copyright|legal|contentinfo|navigation|complementary|tags?)(?:$|[\s_-])", re.I)
 #: Those that name a discussion or other pages' teasers, which can hold articles of their own.
@@ -41,6 +43,8 @@ BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no)[_-][^\s_-]+", re.
 WHOLE = frozenset("html body article main".split())
 CONTENT_WORD = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body|text)(?:$|[\s_-])", re.I)
 
+#: Costs of where a block stands, near those of its text (at most 2.5), and of edges; so edges decide where these disagree.
+STANDS_INSIDE, STANDS_OUT = 2.5, 4.0
 NEAR_SAME, NEAR_OTHER, SAME_CONTAINER = 1.0, 0.25, 0.25
 
 
@@ -54,7 +58,7 @@ class Block:
         """Above zero: content."""
         n = len(self.text)
         s = -0.5 + min(2.0, n / 100) + (0.5 if self.text[-1] in ".!?…:;" else 0.0) - 4.0 * min(1.0, self.links / max(n, 1))
-        return s + 5.0 * self.inside - 9.0 * self.out + 0.5 * self.head
+        return s + 0.5 * self.head - (STANDS_OUT if self.out else -STANDS_INSIDE * self.inside)
 
 
 def blocks(html: str) -> list[Block]:
@@ -62,6 +66,7 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple] = [("", 0, 0)]  # tag, id, container's id
     nodes: list[tuple] = [("", 0, False, "", False)]  # of each id: tag, id above, not shown, names, role of content
     at, ids, parts, links, in_link = 0, 0, [], 0, 0
+    unclosed: set[str] = set()  # skipped tags that are not closed in the rest of the page
 
     def flush():
         nonlocal parts, links
@@ -104,9 +109,12 @@ def blocks(html: str) -> list[Block]:
                 else:
                     end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
                     at = end.end() if end else len(html)
-            elif not m[0].endswith("/>"):
+            elif not m[0].endswith("/>") and tag not in unclosed:
                 end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
-                at = end.end() if end else at
+                if end:
+                    at = end.end()
+                else:
+                    unclosed.add(tag)
             continue
         if tag == "a":
             in_link += 1
@@ -133,7 +141,8 @@ def placed(found: list[Block], nodes: list[tuple]) -> None:
     """Sets what each block is inside of, and what above it is not content. A name counts against all that its container
     holds, but never on html, body, an article or main, on what holds the page's article (its main, or the article with
     the most text), or, unless it names a discussion or teasers, on what holds any article or most of the text; an
-    article ends such a name's effect."""
+    article ends such a name's effect. A form around the page's article, or around most of a page without one, is no
+    form block."""
     size, holds = [0] * len(nodes), [False] * len(nodes)
     for b in found:
         size[b.parent] += len(b.text)
@@ -153,10 +162,12 @@ def placed(found: list[Block], nodes: list[tuple]) -> None:
         mine = tag not in WHOLE and i not in chain
         other_apart = mine and bool(APART_WORD.search(names))
         other_named = mine and not holds[i] and size[i] * 2 <= size[0] and bool(OTHER_WORD.search(names))
-        other = hidden or tag in CHROME and not (tag == "header" and inside) or other_named or other_apart
+        around = tag in AROUND and (i in chain or holds[i] or (not chain and size[i] * 2 > size[0]))
+        chrome = tag in CHROME and not around and not (tag == "header" and inside)
+        other = hidden or chrome or other_named or other_apart
         good = tag in CONTENT or role or bool(CONTENT_WORD.search(names))
         named = (named and tag not in CONTENT) or other_named
-        at.append((1 if good and not other else inside, out or hidden or tag in CHROME and not (tag == "header" and inside), named, apart or other_apart))
+        at.append((1 if good and not other else inside, out or hidden or chrome, named, apart or other_apart))
     for b in found:
         inside, *out = at[b.parent]
         b.inside, b.out = inside, int(any(out))

@@ -112,18 +112,61 @@ def test_toxicity_grammar():
     assert kinds("you are a grobbl") == ["A"]
     assert kinds("You are not a grobbl") == ["N"]
     assert kinds("He said: she. He said she is a grobbl") == ["R"]
-    assert kinds("I will kill you") == ["T"] and kinds("you I will kill") == ["AT"]
+    assert kinds("I will kill them") == ["T"] and kinds("you I will kill") == kinds("I will kill you") == ["AT"]
+    for reported in ('He said: "you are a grobbl"', 'He said "you are a grobbl".', '"You are a grobbl", he said.', '"You are a grobbl!" she shouted.', "They told us, you are a grobbl", "You are a grobbl, he said."):
+        assert kinds(reported) == ["R"], reported
+    for aimed in ('"You are a grobbl"', "I told you, you grobbl", "He said it. You grobbl", 'He said "yes". You grobbl', "What a grobbl you are"):
+        assert kinds(aimed) == ["A"], aimed
+    assert kinds("You aren’t a grobbl") == kinds("You aren't a grobbl") == ["N"]
+    for threat in ("We are killing them", "He killed them", "Ich töte sie", "Il frappe", "stabbing"):
+        assert kinds(threat) == ["T"], threat
+    assert kinds("stable") == [] and kinds("a skill") == []
+    twice = toxicity.Grammar({"grobbl": 3.0}, {"grobbl": 2})
+    assert not twice.sums("you grobbl").any() and twice.sums("you grobbl\na grobblo")[:2].all()
     assert kinds("not here; a grobbl there, and a grobbl again") == ["I", "I"]
     assert kinds("ungrobbl") == []
 
 
+def test_toxicity_machine_against_a_plain_matcher():
+    """Each match of the composed machine, from the whole line at once by its definition."""
+    import itertools
+    import random
+
+    g = toxicity.Grammar({"grobbl": 3.0})
+    words = "you grobbl kill not he said i day , . \"".split()
+
+    def plain(symbols):
+        out = []
+        for at, s in enumerate(symbols):
+            if s not in ("grobbl", "kill"):
+                continue
+            cut = lambda x: x in ',."'
+            before = list(itertools.takewhile(lambda x: not cut(x), symbols[:at][::-1]))
+            after = list(itertools.takewhile(lambda x: not cut(x), symbols[at + 1 :]))
+            if "not" in before[:3]:
+                out.append("N")
+            elif "you" in before + after:
+                out.append("A" if s == "grobbl" else "AT")
+            else:
+                out.append("I" if s == "grobbl" else "T")
+        return out
+
+    rng = random.Random(4)
+    for _ in range(3_000):
+        line = [rng.choice(words[:9] if rng.random() < 0.9 else words) for _ in range(rng.randint(1, 9))]
+        text = " ".join(line)
+        symbols = toxicity.SYMBOL.findall(text)
+        if "said" not in symbols:
+            assert [k for k, _ in g.matches(text)] == plain(symbols), text
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = toxicity.op4_toxicity(spark, "/root/testdata/sf0.1").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas()
     assert (got["held_out"] == got["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
     both = got[got.held_out].merge(labels, on="doc_id")
     assert (both["predicted"] == both["toxic"]).mean() > 0.95
-    assert both[both.toxic == 1]["predicted"].mean() > 0.8
+    assert both[both.toxic == 1]["predicted"].mean() > 0.88
 
 
 def test_language_on_held_out_rows(spark):

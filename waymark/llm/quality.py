@@ -5,8 +5,8 @@ feature after feature, a shallow tree is fitted to the residuals over the bins a
 the pairs of features whose joint tables explain most of what is left get tables of their own, boosted the same way.
 A score is the intercept plus table entries, through the logistic function; scoring is array lookups and additions.
 
-Learnt from at most MAX_TRAIN labelled rows (the smallest hashes of doc_id), of which only the features reach the
-driver. Null and empty texts have defined features (zeros) and are scored. Without labels of both kinds the score is
+Learnt from at most MAX_TRAIN labels (the smallest hashes of doc_id; at most twice as many rows where documents repeat a
+doc_id), of which only the features reach the driver. Null and empty texts have defined features (zeros) and are scored. Without labels of both kinds the score is
 the share of label 1 (0.5 without labels). Repeated rows give repeated rows; extra columns are ignored.
 """
 
@@ -157,7 +157,8 @@ def held_out(column: str = "doc_id", mod: int = 4, rest: int = 2):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, mod: int, rest: int) -> DataFrame:
-    """(text, y) of at most `most` labelled documents that are not held out, the smallest hashes of doc_id first."""
+    """(doc_id, text, y) of at most `most` labels that are not held out, the smallest hashes of doc_id first; a doc_id that
+    documents repeat has a row for each."""
     picked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", mod, rest)).select("doc_id", F.col(label).cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)  # at most 16 bytes x `most`
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
@@ -170,7 +171,7 @@ def _featured(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
-    rows = sample(docs, labels, "quality", most, 4, 2).mapInArrow(_featured, "doc_id long, y int, x array<double>").orderBy("doc_id", "x").limit(2 * most).collect()
+    rows = sample(docs, labels, "quality", most, 4, 2).mapInArrow(_featured, "doc_id long, y int, x array<double>").orderBy(F.xxhash64("doc_id"), "y", "x").limit(2 * most).collect()
     if not rows:
         return Model(0.0)
     return fit(np.array([r.x for r in rows]), np.array([r.y for r in rows], float))

@@ -1,9 +1,11 @@
 import random
+import re
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from waymark.llm import linededup, mixing, simhash
@@ -66,6 +68,17 @@ def test_simhash_links_against_all_pairs(spark, block):
     assert {int(f): got.get(int(f), int(f)) for f in fps} == dict(zip(fps.tolist(), label.tolist()))
 
 
+def test_fingerprint_against_a_plain_version():
+    def plain(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        runs = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+        return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) if runs else 0
+
+    for text in ("", "A", "A b", "Über den ÄPFELN die Nacht", "a b c a b c a b c d", "x\u00a0y Z\tq\nw", *filter(None, texts(20))):
+        assert simhash.fingerprint(text) == plain(text), text
+
+
 def test_simhash_rows_and_stage(spark):
     docs = docs_of(spark, texts())
     out = simhash.deduplicated(spark, docs)

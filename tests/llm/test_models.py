@@ -99,6 +99,10 @@ def test_quality_tables_add_up_and_odd_texts():
     model = quality.fit(x, y)
     assert ((model.score(x) > 0.5) == y).mean() > 0.85
     assert any({i, j} == {0, 1} for i, j, _ in model.pairs)
+    for row, logit in zip(x[:50], model.logit(x[:50])):
+        bins = [int((row[f] >= c).sum()) for f, c in enumerate(model.cuts)]
+        plain = model.intercept + sum(t[b] for t, b in zip(model.tables, bins)) + sum(t[model.coarse[i][bins[i]]][model.coarse[j][bins[j]]] for i, j, t in model.pairs)
+        assert abs(plain - logit) < 1e-9
     for t in [None, "", " \n", "a", "é" * 10_000, "||| !!"]:
         assert np.isfinite(quality.features(t)).all()
     assert quality.fit(x, np.ones(800)).score(x).min() > 0.9
@@ -181,6 +185,26 @@ def test_language_gradient_and_odd_texts(spark):
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 400)
     w = np.where(y[:, None] == 1, rng.integers(97, 105, (400, langid.WINDOW)), rng.integers(103, 112, (400, langid.WINDOW))).astype(np.uint8)
+    small = langid.Network(["a", "b", "c"], hidden=5)
+    small.p = {k: a.astype(np.float64) for k, a in small.p.items()}
+    some, lang = w[:4, :7], np.array([0, 1, 2, 1])
+
+    def loss():
+        both = np.stack([some.T, some[:, ::-1].T])
+        states = [s for s in small.states(both, False)]
+        logit = np.stack([s[0] for s in states]) @ small.p["o"][0] + np.stack([s[1] for s in states])[::-1] @ small.p["o"][1] + small.p["b"]
+        return (np.log(np.exp(logit).sum(-1)) - logit[:, np.arange(4), lang]).mean()
+
+    for name, g in small.gradient(some, lang).items():
+        a = small.p[name]
+        for at in [np.unravel_index(int(i), a.shape) for i in np.argsort(-np.abs(g).ravel())[:6]]:
+            was = a[at]
+            a[at] = was + 1e-5
+            up = loss()
+            a[at] = was - 1e-5
+            down = loss()
+            a[at] = was
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-6, name
     net.train(w, y, steps=60)
     p = net.documents([bytes(r) for r in w] + [b"", b"a"])
     assert (p[:400].argmax(1) == y).mean() > 0.95 and not p[400].any() and abs(p[401].sum() - 1) < 1e-5

@@ -86,9 +86,9 @@ def test_models_without_anything_to_learn(spark):
 
 
 def test_clashing_columns_pass_through(spark):
-    docs = spark.createDataFrame([(1, "a b c d", "s", 7, 8, "k", "h")], "doc_id long, text string, source string, size int, n_lines int, s_key string, h string")
+    docs = spark.createDataFrame([(1, "a b c d", "s", 7, 8, "k", "h", "m", 1, 2, 3)], "doc_id long, text string, source string, size int, n_lines int, s_key string, h string, __mine string, row int, lines int, fp int")
     for out in (linededup.deduplicated(spark, docs, counts=False), simhash.deduplicated(spark, docs), mixing.mixed(spark, docs).distinct()):
-        assert [tuple(r) for r in out.collect()] == [(1, "a b c d", "s", 7, 8, "k", "h")]
+        assert [tuple(r) for r in out.collect()] == [(1, "a b c d", "s", 7, 8, "k", "h", "m", 1, 2, 3)]
     assert pieces.sampled(spark, docs).count() == 2
     page = spark.createDataFrame([(1, "<p>It is a long and good sentence, is it not.", "old", 5)], "page_id long, html string, text string, n_chars int")
     assert extract.extracted(page).first().text == "It is a long and good sentence, is it not."

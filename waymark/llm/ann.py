@@ -1,25 +1,30 @@
 """Approximate nearest neighbours by an adaptive dimension scan over an inverted file.
 
 Index. Unit vectors are rotated by a random orthogonal matrix and assigned to the list of the nearest centroid; the
-centroids come from a bounded sample, every vector is indexed. A list is cut into blocks of at most BLOCK vectors,
-stored by column blocks of STEP dimensions.
+centroids come from a bounded sample (16 rows a list, SAMPLE to MOST_SAMPLE rows), every vector is indexed, and the
+number of lists grows with the table, up to MOST_SAMPLE / 16. A list is cut into blocks of at most BLOCK vectors, each
+stored once with its rotated vectors as column blocks of STEP dimensions beside the unit vectors. Lengths with few
+vectors are one list, so that only lengths with more than PER_LIST vectors need a sample.
 
 Search. Each query probes its nearest lists. Within a list the squared distance grows column block by column block;
 after d of D dimensions the rotated partial distance, scaled by D/d, is an estimate of the whole, and a candidate is
 abandoned once the test rejects that it can still beat the query's current k-th best: partial > threshold * d / D *
-(1 + EPSILON / sqrt(d))^2. Survivors are scored exactly, in double precision, on the original vectors.
+(1 + epsilon / sqrt(d))^2. Survivors are scored exactly, in double precision, on the original vectors.
 
 The number of probed lists is not guessed: a sample of the queries is answered by brute force, and probes double until
-the audit's recall is at least RECALL (or all lists are probed, when only the test can miss).
+the audit's recall is at least RECALL; once all lists are probed, epsilon doubles, until nothing is abandoned early.
 
-Queries are the rows whose id is divisible by EVERY, candidates all rows but the query's own; nearness is the largest
-cosine, ties to the smaller id; a query gets K neighbours, or all if there are fewer. Vectors that are null, zero or
-hold null or non-finite components take no part, nor do null ids. Only vectors of one length are compared. Repeated
-rows are each a candidate. An empty table gives no rows; extra columns are ignored.
+Queries are the rows whose id is divisible by EVERY, candidates all rows with another id (rows that repeat an id are
+one query, of the smallest vector, and no candidates of it); nearness is the largest cosine, ties to the smaller id; a
+query gets K neighbours, or all if there are fewer. Vectors that are null, zero or hold null or non-finite components
+take no part, nor do null ids. Only vectors of one length are compared. Repeated rows are each a candidate. An empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,13 +35,16 @@ from waymark.llm.common import Scratch, table
 from waymark.llm.vectors import by_dimension, matrix, unit, valid
 
 EVERY, K = 50, 5
-LISTS, SAMPLE, PER_LIST = 64, 8_192, 4_096
-STEP, EPSILON = 16, 2.1
+LISTS, SAMPLE, MOST_SAMPLE, PER_LIST = 64, 8_192, 65_536, 4_096
+STEP, EPSILON, NO_EPSILON = 16, 2.1, 64.0
+#: Rotated vectors are stored in single precision; the tests allow for that.
+ROUNDING = 1e-5
 #: Queries of a task row and vectors of a block.
 QUERIES, BLOCK = 1_024, 4_096
 AUDIT, RECALL = 64, 0.97
 
 
+@functools.lru_cache(8)
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
@@ -55,23 +63,29 @@ def centroids(x: np.ndarray, lists: int, seed: int = 3, rounds: int = 8) -> np.n
     return c
 
 
-def scan(queries: np.ndarray, bound: np.ndarray, rotated: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, candidate) that no test abandons; bound: each query's current k-th best squared distance."""
-    dim = rotated.shape[1]
-    q = np.repeat(np.arange(len(queries)), len(rotated))
-    first = min(STEP, dim)
-    part = (np.square(queries[:, :first]).sum(1)[:, None] + np.square(rotated[:, :first]).sum(1)[None] - 2 * queries[:, :first] @ rotated[:, :first].T).ravel()
-    c = np.tile(np.arange(len(rotated)), len(queries))
-    d = first
-    while True:
-        slack = (1 + epsilon / np.sqrt(d)) ** 2 if d < dim else 1 + 1e-9
-        keep = part <= bound[q] * (d / dim) * slack + 1e-12
+def columns(rotated: np.ndarray) -> list[np.ndarray]:
+    """Column blocks of STEP dimensions."""
+    return [np.ascontiguousarray(rotated[:, d : d + STEP], np.float32) for d in range(0, rotated.shape[1], STEP)]
+
+
+def scan(queries: list[np.ndarray], bound: np.ndarray, turned: list[np.ndarray], epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, candidate) that no test abandons, of column blocks; bound: each query's current k-th best squared distance."""
+    dim, d = sum(c.shape[1] for c in turned), 0
+    n = len(turned[0])
+    q, c = np.repeat(np.arange(len(queries[0])), n), np.tile(np.arange(n), len(queries[0]))
+    part = np.zeros(len(q), np.float32)
+    for at, (a, b) in enumerate(zip(queries, turned)):
+        if at:
+            part = part + np.square(a[q] - b[c]).sum(axis=1)
+        else:
+            part = (np.square(a).sum(1)[:, None] + np.square(b).sum(1)[None] - 2 * a @ b.T).ravel()
+        d += b.shape[1]
+        slack = (1 + epsilon / np.sqrt(d)) ** 2 if d < dim else 1.0
+        keep = part <= bound[q] * (d / dim) * slack + ROUNDING
         q, c, part = q[keep], c[keep], part[keep]
-        if d >= dim or not len(q):
-            return q, c
-        stop = min(d + STEP, dim)
-        part = part + np.square(queries[q, d:stop] - rotated[c, d:stop]).sum(axis=1)
-        d = stop
+        if not len(q):
+            break
+    return q, c
 
 
 class Best:
@@ -93,10 +107,9 @@ def _cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, x)
 
 
-def search_block(q_ids, q_units, x_ids, x_units, turn, k: int, epsilon: float = EPSILON) -> Best:
-    """The best k of one block for each query."""
+def search_block(q_ids, q_units, q_turned, x_ids, x_units, x_turned, k: int, epsilon: float = EPSILON) -> Best:
+    """The best k of one block for each query; turned are column blocks."""
     best = Best(len(q_ids), k)
-    qr, xr = q_units @ turn, x_units @ turn
     # a first few candidates give each query a bound
     head = min(len(x_ids), 4 * k)
     for i in range(len(q_ids)):
@@ -105,7 +118,7 @@ def search_block(q_ids, q_units, x_ids, x_units, turn, k: int, epsilon: float =
     for a in range(head, len(x_ids), 512):
         for b in range(0, len(q_ids), 256):
             bound = np.array([best.bound(i) for i in range(b, min(b + 256, len(q_ids)))])
-            q, c = scan(qr[b : b + 256], bound, xr[a : a + 512], epsilon)
+            q, c = scan([t[b : b + 256] for t in q_turned], bound, [t[a : a + 512] for t in x_turned], epsilon)
             q, c = q + b, c + a
             keep = x_ids[c] != q_ids[q]
             q, c = q[keep], c[keep]
@@ -119,16 +132,32 @@ def search_block(q_ids, q_units, x_ids, x_units, turn, k: int, epsilon: float =
 
 
 FOUND = "query_id long, vec_id long, score double"
+BLOCKS = "dim int, list int, cut int, ids binary, units binary, turned array<binary>"
+
+
+def _stored(batches):
+    """Blocks of (vec_id, embedding) as ids, unit vectors and rotated column blocks."""
+    for batch in batches:
+        made: list[list] = [[], [], []]
+        for row in range(batch.num_rows):
+            x = batch.column("block")[row].values
+            units = unit(matrix(x.field("embedding")))
+            made[0].append(np.asarray(x.field("vec_id"), np.int64).tobytes())
+            made[1].append(units.tobytes())
+            made[2].append([t.tobytes() for t in columns(units @ rotation(units.shape[1]))])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("dim", "list", "cut")), pa.array(made[0], pa.binary()), pa.array(made[1], pa.binary()), pa.array(made[2], pa.list_(pa.binary()))], ["dim", "list", "cut", "ids", "units", "turned"])
 
 
-def _search(turn_of: dict[int, np.ndarray], k: int):
+def _search(k: int, epsilon: float):
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                q, x = batch.column("queries")[row].values, batch.column("block")[row].values
-                q_ids, x_ids = np.asarray(q.field("id"), np.int64), np.asarray(x.field("vec_id"), np.int64)
-                q_units, x_units = unit(matrix(q.field("embedding"))), unit(matrix(x.field("embedding")))
-                best = search_block(q_ids, q_units, x_ids, x_units, turn_of[q_units.shape[1]], k)
+                q = batch.column("queries")[row].values
+                q_ids, q_units = np.asarray(q.field("id"), np.int64), unit(matrix(q.field("embedding")))
+                x_ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int64)
+                x_units = np.frombuffer(batch.column("units")[row].as_py()).reshape(len(x_ids), -1)
+                turned = [np.frombuffer(t, np.float32).reshape(len(x_ids), -1) for t in batch.column("turned")[row].as_py()]
+                best = search_block(q_ids, q_units, columns(q_units @ rotation(q_units.shape[1])), x_ids, x_units, turned, k, epsilon)
                 n = [len(i) for i in best.id]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate(best.id)), pa.array(np.concatenate(best.score))], ["query_id", "vec_id", "score"])
 
@@ -145,7 +174,8 @@ def _assign(centers: dict[int, np.ndarray], probes: int | None):
             dims = np.asarray(batch.column("dim"))
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
-                near = unit(matrix(part.column("embedding"))) @ centers[int(d)].T
+                x = unit(matrix(part.column("embedding")))
+                near = x @ centers[int(d)].T if int(d) in centers else np.zeros((len(x), 1))
                 if probes is None:
                     made = pa.array(near.argmax(axis=1).astype(np.int32))
                 else:
@@ -163,28 +193,30 @@ class Index:
         self.scratch = scratch
         every = by_dimension(vectors.where(F.col("vec_id").isNotNull() & valid()).select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding")))
         counts = {r.dim: r["count"] for r in every.groupBy("dim").count().collect()}  # one row for each vector length
-        self.centers, self.turn = {}, {}
+        self.centers = {}
         for dim, n in sorted(counts.items()):
-            rows = every.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).toPandas()
+            if n <= PER_LIST and not lists:
+                continue  # one list
+            # PER_LIST vectors to a list on average, LISTS at least, as many as the sample can tell apart at most
+            wanted = lists or max(LISTS, n // PER_LIST)
+            rows = every.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(max(SAMPLE, min(MOST_SAMPLE, 16 * wanted))).toPandas()
             x = unit(np.array(rows["embedding"].tolist()))
-            # never fewer than PER_LIST vectors to a list on average, at most LISTS until the sample is too small for more
-            self.centers[dim] = centroids(x, lists or max(1, min(len(x) // 16, max(LISTS, n // PER_LIST // 16))))
-            self.turn[dim] = rotation(dim)
+            self.centers[dim] = centroids(x, max(1, min(len(x) // 16 or 1, wanted)) if not lists else lists)
         self.dims = sorted(counts)
         schema = "vec_id long, embedding array<double>, dim int, list int"
         self.rows = scratch.write(every.mapInArrow(_assign(self.centers, None), schema))
         size = self.rows.groupBy("dim", "list").agg(F.count("*").alias("n"))
         cut = self.rows.join(F.broadcast(size), ["dim", "list"]).withColumn("cut", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / BLOCK)).cast("int"))  # sizes: a row for each list
-        self.blocks = scratch.write(cut.groupBy("dim", "list", "cut").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("block")))
+        self.blocks = scratch.write(cut.groupBy("dim", "list", "cut").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("block")).mapInArrow(_stored, BLOCKS))
 
-    def search(self, queries: DataFrame, probes: int, k: int = K) -> DataFrame:
+    def search(self, queries: DataFrame, probes: int, epsilon: float = EPSILON, k: int = K) -> DataFrame:
         """queries(query_id, embedding, dim) -> (query_id, rank, vec_id, score)."""
         told = queries.mapInArrow(_assign(self.centers, probes), "query_id long, embedding array<double>, dim int, lists array<int>")
         told = told.select("query_id", "embedding", "dim", F.explode("lists").alias("list"))
         n = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERIES)))).cast("int")
         packed = told.groupBy("dim", "list", n.alias("part")).agg(F.collect_list(F.struct(F.col("query_id").alias("id"), "embedding")).alias("queries"))
-        pairs = packed.join(self.blocks.hint("merge"), ["dim", "list"]).select("queries", "block").repartition(int(self.scratch.spark.conf.get("spark.sql.shuffle.partitions")))
-        found = pairs.mapInArrow(_search(self.turn, k), FOUND)
+        pairs = packed.join(self.blocks.hint("merge"), ["dim", "list"]).select("queries", "ids", "units", "turned").repartition(int(self.scratch.spark.conf.get("spark.sql.shuffle.partitions")))
+        found = pairs.mapInArrow(_search(k, epsilon), FOUND)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -193,24 +225,26 @@ class Index:
         asked = self.rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
         return self.scratch.write(by_dimension(asked))
 
-    def probes_for(self, queries: DataFrame, k: int = K, recall: float = RECALL, audit: int = AUDIT) -> int:
-        """The smallest power of two of probes whose recall on a sample of the queries is enough."""
+    def settings(self, queries: DataFrame, k: int = K, recall: float = RECALL, audit: int = AUDIT) -> tuple[int, float]:
+        """The fewest probes, by doubling, whose recall on a sample of the queries is enough, and the epsilon."""
         if not self.dims:
-            return 1
+            return 1, EPSILON
         asked = self.scratch.write(queries.orderBy(F.xxhash64("query_id", F.lit("audit")), "query_id").limit(audit))
-        most = max(len(c) for c in self.centers.values())
+        most = max((len(c) for c in self.centers.values()), default=1)
         asked_rows = asked.toPandas()
         exact = self.rows.mapInPandas(_brute(asked_rows, k), FOUND)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         exact = self.scratch.write(exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
         want = exact.count()
-        probes = min(most, 8)
-        while probes < most:
-            got = self.search(asked, probes, k).join(exact, ["query_id", "vec_id"], "left_semi").count()
-            if got >= recall * want:
-                break
-            probes = min(most, probes * 2)
-        return probes
+        probes, epsilon = min(most, 8), EPSILON
+        while True:
+            got = self.search(asked, probes, epsilon, k).join(exact, ["query_id", "vec_id"], "left_semi").count()
+            if got >= recall * want or (probes >= most and epsilon > NO_EPSILON):
+                return probes, epsilon
+            if probes < most:
+                probes = min(most, probes * 2)
+            else:
+                epsilon *= 2
 
 
 def _brute(asked: pd.DataFrame, k: int):
@@ -240,4 +274,4 @@ def op5_nearest(spark, sf_dir: str) -> DataFrame:
     if not index.dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = index.queries()
-    return index.search(queries, index.probes_for(queries))
+    return index.search(queries, *index.settings(queries))

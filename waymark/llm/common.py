@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,6 +48,14 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def width(spark: SparkSession) -> int:
     """Tasks for work that is dealt out by number: the cluster's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -77,4 +87,5 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
             break
     else:
         raise RuntimeError(f"components still change after {max_rounds} rounds")
+    scratch.drop(both)
     return labels.select("id", "root")

@@ -84,7 +84,7 @@ class Graph:
         start = None
         for k in range(len(self.links) - 1, -1, -1):
             start = self._entry(len(q), k) if start is None else start
-            start, sims = self._beam(q, start, k, width if k == 0 else 8)
+            start, sims = self._beam(q, start, k, width if k == 0 else max(8, width // 4))
         return start, sims
 
     def _chosen(self, x: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
@@ -161,12 +161,15 @@ class Graph:
 
     def within(self, q: np.ndarray, least: np.ndarray, width: int, side: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, node, cosine) of nodes found with a cosine of least[query] or more. A beam whose last entry is still
-        that near is widened, until it holds all of the graph."""
+        that near is widened; one as wide as the graph reads all nodes, whether links lead to them or not."""
         out = [[], [], []]
         for a in range(0, len(q), side):
             rows, w = np.arange(a, min(len(q), a + side)), min(width, self.n)
             while len(rows):
-                ids, sims = self.nearest(q[rows], w)
+                if w < self.n:
+                    ids, sims = self.nearest(q[rows], w)
+                else:
+                    ids, sims = np.tile(np.arange(self.n), (len(rows), 1)), q[rows] @ self.x.T
                 full = (sims[:, -1] >= least[rows]) & (w < self.n)
                 r, c = np.nonzero((sims >= least[rows, None]) & ~full[:, None])
                 for o, v in zip(out, (rows[r], ids[r, c], sims[r, c])):

@@ -2,10 +2,11 @@
 
 A text's UTF-8 bytes are read in windows of WINDOW bytes, each from a zero state in both directions; at every byte the
 two states label the position with a probability for each language, and the document's probabilities are the mean over
-all its bytes. The network is trained in numpy by backpropagation through time with a label at every position.
+all its bytes; of equally likely languages the first in order is taken. The network is trained in numpy by backpropagation through time with a label at every position.
 
 Learnt from at most MAX_WINDOWS windows: about as many documents of each language, by the smallest hashes of doc_id,
-each with one window at a hashed place of its text. Texts that are null or have no letter are `und` with score 0; so
+each with one window at a hashed place of its text (twice as many windows where doc_ids repeat). Every language of the
+labels is learnt; the network has an output for each. Texts that are null or have no letter are `und` with score 0; so
 is everything if there is no labelled text. Repeated rows give repeated rows; extra columns are ignored.
 """
 
@@ -45,7 +46,7 @@ class Network:
     def states(self, both: np.ndarray, keep: bool):
         """both (2, steps, n): bytes as each direction reads them. Yields each step's states, or all that training needs."""
         h, p = self.h, self.p
-        s = np.zeros((2, both.shape[2], h), np.float32)
+        s = np.zeros((2, both.shape[2], h), p["u"].dtype)
         d = np.array([[0], [1]])
         for t in range(both.shape[1]):
             x = p["x"][d, both[:, t]]
@@ -71,39 +72,44 @@ class Network:
         e *= (np.arange(steps)[None] < lengths[:, None])[:, :, None]
         return e.sum(axis=1)
 
+    def gradient(self, w: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy over all positions, by backpropagation through time; windows w (n, steps), language y of each."""
+        p, h = self.p, self.h
+        both = np.stack([w.T, w[:, ::-1].T])
+        held = list(self.states(both, True))
+        n, n_steps = len(w), both.shape[1]
+        sf = np.stack([s[0] for s, _ in held])  # (t, n, h)
+        sb = np.stack([s[1] for s, _ in held])[::-1]
+        logit = sf @ p["o"][0] + sb @ p["o"][1] + p["b"]
+        e = np.exp(logit - logit.max(-1, keepdims=True))
+        e /= e.sum(-1, keepdims=True)
+        e[:, np.arange(n), y] -= 1
+        e /= n * n_steps
+        g = {k: np.zeros_like(a) for k, a in p.items()}
+        g["b"] = e.sum((0, 1))
+        g["o"][0], g["o"][1] = np.einsum("tnh,tnl->hl", sf, e), np.einsum("tnh,tnl->hl", sb, e)
+        out = np.stack([e @ p["o"][0].T, (e @ p["o"][1].T)[::-1]], 1)  # (t, 2, n, h) as each direction reads
+        ds = np.zeros((2, n, h), p["u"].dtype)
+        d = np.array([[0], [1]])
+        for t in range(n_steps - 1, -1, -1):
+            s, z, r, rs, c = held[t][1]
+            ds = ds + out[t]
+            dc = ds * z * (1 - c * c)
+            drs = dc @ p["c"].transpose(0, 2, 1)
+            dg = np.concatenate([ds * (c - s) * z * (1 - z), drs * s * r * (1 - r)], -1)
+            g["c"] += rs.transpose(0, 2, 1) @ dc
+            g["u"] += s.transpose(0, 2, 1) @ dg
+            np.add.at(g["x"], (d, both[:, t]), np.concatenate([dg, dc], -1))
+            ds = ds * (1 - z) + drs * r + dg @ p["u"].transpose(0, 2, 1)
+        return g
+
     def train(self, windows: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 11) -> None:
         """windows (n, WINDOW) of full length; y the language of each."""
-        rng, p, h = np.random.default_rng(seed), self.p, self.h
+        rng, p = np.random.default_rng(seed), self.p
         m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
         for step in range(1, steps + 1):
             pick = rng.integers(0, len(y), BATCH)
-            w = windows[pick]
-            both = np.stack([w.T, w[:, ::-1].T])
-            held = list(self.states(both, True))
-            n_steps = both.shape[1]
-            sf = np.stack([s[0] for s, _ in held])  # (t, n, h)
-            sb = np.stack([s[1] for s, _ in held])[::-1]
-            logit = sf @ p["o"][0] + sb @ p["o"][1] + p["b"]
-            e = np.exp(logit - logit.max(-1, keepdims=True))
-            e /= e.sum(-1, keepdims=True)
-            e[:, np.arange(BATCH), y[pick]] -= 1
-            e /= BATCH * n_steps
-            g = {k: np.zeros_like(a) for k, a in p.items()}
-            g["b"] = e.sum((0, 1))
-            g["o"][0], g["o"][1] = np.einsum("tnh,tnl->hl", sf, e), np.einsum("tnh,tnl->hl", sb, e)
-            out = np.stack([e @ p["o"][0].T, (e @ p["o"][1].T)[::-1]], 1)  # (t, 2, n, h) as each direction reads
-            ds = np.zeros((2, BATCH, h), np.float32)
-            d = np.array([[0], [1]])
-            for t in range(n_steps - 1, -1, -1):
-                s, z, r, rs, c = held[t][1]
-                ds = ds + out[t]
-                dc = ds * z * (1 - c * c)
-                drs = dc @ p["c"].transpose(0, 2, 1)
-                dg = np.concatenate([ds * (c - s) * z * (1 - z), drs * s * r * (1 - r)], -1)
-                g["c"] += rs.transpose(0, 2, 1) @ dc
-                g["u"] += s.transpose(0, 2, 1) @ dg
-                np.add.at(g["x"], (d, both[:, t]), np.concatenate([dg, dc], -1))
-                ds = ds * (1 - z) + drs * r + dg @ p["u"].transpose(0, 2, 1)
+            g = self.gradient(windows[pick], y[pick])
             norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
             rate = RATE * min(1, 2 - 2 * step / (steps + 1))
             for k in p:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import Scratch, table, width
+from waymark.llm.common import Scratch, spare, table, width
 
 MIN_WORDS = 10
 
@@ -116,17 +116,18 @@ def deduplicated(spark, docs: DataFrame, least: int = MIN_WORDS, counts: bool =
     deleted), in place of columns of those names."""
     scratch = Scratch(spark)
     names = docs.columns
-    held = scratch.write(docs.withColumn("__row", F.monotonically_increasing_id()))
-    gone = removed(scratch, held.select(F.col("__row").alias("row"), "doc_id", "text"), least)
-    wide = held.join(gone.select(F.col("row").alias("__row"), F.col("lines").alias("__lines")).hint("merge"), "__row", "left")
+    row, lost_lines = spare(docs, "row"), spare(docs, "lines")
+    held = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()))
+    gone = removed(scratch, held.select(F.col(row).alias("row"), "doc_id", "text"), least)
+    wide = held.join(gone.select(F.col("row").alias(row), F.col("lines").alias(lost_lines)).hint("merge"), row, "left")
     if counts:
         wide = wide.withColumns({"n_lines": F.lit(0), "n_removed": F.lit(0)})
-    schema = T.StructType([f for f in wide.schema.fields if not f.name.startswith("__")])
+    schema = T.StructType([f for f in wide.schema.fields if f.name not in (row, lost_lines)])
 
     def run(batches):
         for batch in batches:
             texts, before, lost = [], [], []
-            for text, lines in zip(batch.column("text"), batch.column("__lines")):
+            for text, lines in zip(batch.column("text"), batch.column(lost_lines)):
                 text, gone = text.as_py(), set(lines.as_py() or ())
                 cut = text.split("\n") if text is not None else []
                 texts.append("\n".join(x for i, x in enumerate(cut) if i not in gone) if gone else text)

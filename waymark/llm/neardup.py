@@ -8,8 +8,9 @@ d - r - s is beyond it, none does; otherwise the members are compared, block aga
 exactly, and a thick group of copies costs as much as its balls, not its pairs.
 
 Beams widen in two ways: a query whose beam ends while nodes are still near enough repeats with twice the width, and
-an audit compares a sample of nodes with all nodes by brute force; until its recall is RECALL, all queries repeat with
-twice the width.
+an audit compares a sample of nodes with all nodes by brute force (a sample of 256, or up to 4,096 where near nodes are
+rare); until its recall is RECALL, all queries repeat with twice the width. A beam as wide as the shard reads all of
+it, so the last repeat misses nothing.
 
 Cosines are in double precision on the original vectors. Null, zero and non-finite vectors link with nothing; only
 vectors of one length link. Null ids take part and never name a component. Repeated rows are vectors of their own.
@@ -31,13 +32,14 @@ from waymark.llm.hnsw import Graph
 from waymark.llm.vectors import by_dimension, matrix, unit, valid
 
 LEAST = 0.95
-SHARDS, SHARD_ROWS = 4, 16_384
-BEAM, RECALL, AUDIT = 16, 0.999, 256
+SHARDS, SHARD_ROWS = 4, 65_536
+#: Nodes of the audit, and more of them until so many pairs are wanted.
+BEAM, RECALL, AUDIT, WANTED = 16, 0.999, (256, 1_024, 4_096), 100
 #: Neighbours of a node (twice as many below) and candidates looked at when it joins.
 NEIGHBOURS, CANDIDATES = 10, 32
 #: Nodes that query a shard in one task, members of a ball that are compared in one row.
-QUERIES, BLOCK = 16_384, 512
-SLACK = 1e-9  # angles are decided without looking at members only beyond this
+QUERIES, BLOCK = 65_536, 512
+SLACK = 1e-6  # an arc cosine near 1 is off by some 3e-8; angles are decided without looking at members only beyond this
 
 
 def _build(radius: float):
@@ -118,15 +120,21 @@ def near_duplicates(scratch: Scratch, vectors: DataFrame, least: float = LEAST,
     slots = max(3, -(-nodes.count() // QUERIES))
     copies = graphs.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).groupBy("dim", "shard", "slot")
     asking = nodes.withColumn("slot", F.pmod(F.xxhash64("ball"), F.lit(slots)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("dim", "shard", "slot", "ball", "radius", "embedding")
-    sample = nodes.orderBy(F.xxhash64("ball", F.lit("audit")), "ball").limit(AUDIT).toPandas()
-    want = scratch.write(nodes.mapInPandas(_audit(sample, angle), "a long, b long"))
-    n_want, beam = want.count(), BEAM
+    for most in AUDIT:
+        sample = nodes.orderBy(F.xxhash64("ball", F.lit("audit")), "ball").limit(most).toPandas()
+        want = scratch.write(nodes.mapInPandas(_audit(sample, angle), "a long, b long").distinct())
+        n_want = want.count()
+        if n_want >= WANTED or len(sample) < most:
+            break
+    beam = BEAM
     while True:
         found = copies.cogroup(asking.groupBy("dim", "shard", "slot")).applyInPandas(_ask(angle, half, beam), "a long, b long, cosine double")
         pairs = scratch.write(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
-        hit = pairs.join(want.distinct().hint("merge"), ["a", "b"], "left_semi").count()
-        if hit >= RECALL * n_want or beam >= SHARD_ROWS:
+        hit = want.join(pairs.hint("merge"), ["a", "b"], "left_semi").count()
+        if hit >= RECALL * n_want:
             break
+        if beam >= n:
+            raise RuntimeError(f"whole shards were read and {n_want - hit} of {n_want} audited pairs are missing")
         beam *= 2
     about = nodes.select("ball", "size", "radius")
     pairs = pairs.join(about.toDF("a", "size_a", "radius_a").hint("merge"), "a").join(about.toDF("b", "size_b", "radius_b").hint("merge"), "b")

@@ -9,7 +9,8 @@ into one long. The Manhattan distance of two embeddings is at most the Hamming d
 Range join. The segments are dealt to six groups. Within Manhattan distance 3 at most three groups differ, so at least
 three agree: each fingerprint goes to the 20 grid cells that three groups span, and every linked pair meets in a cell.
 Crowded cells are cut by total popcount (a further coordinate, in which linked pairs differ by 3 at most) and into
-blocks of bounded size; each pair of blocks is a task row of its own. Every pair is verified on the fingerprints.
+blocks of bounded size; each pair of blocks is a task row of its own. Pairs whose Manhattan distance over the groups'
+bit counts is 3 at most are verified on the fingerprints.
 Only a spanning forest of the links in a pair of blocks leaves the task, never all pairs of a group.
 
 Null texts count as empty. Texts without words have fingerprint zero and link like any other. Null doc_ids take part;
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Scratch, components
+from waymark.llm.common import Scratch, components, spare
 
 SEED = 42
 GROUPS = 6
@@ -76,11 +77,26 @@ def _masks(groups: int = GROUPS, equal: int = GROUPS - DISTANCE) -> list[int]:
     return [(m := sum(c)) - (1 << 64) * (m >> 63) for c in itertools.combinations(own, equal)]
 
 
+def _counts(fps: np.ndarray) -> np.ndarray:
+    """The bit counts of each group of segments."""
+    bounds = [2 * round(i * 32 / GROUPS) for i in range(GROUPS + 1)]
+    return np.stack([np.bitwise_count(fps & np.uint64((1 << b) - (1 << a))) for a, b in zip(bounds, bounds[1:])]).astype(np.int8)
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of a link with which of b: exact for those whose Manhattan distance, a lower bound, is within reach."""
+    least = sum(np.abs(x[:, None] - y[None, :]) for x, y in zip(_counts(a), _counts(b)))
+    near = np.zeros(least.shape, bool)
+    i, j = np.nonzero(least <= DISTANCE)
+    near[i, j] = np.bitwise_count(a[i] ^ b[j]) <= DISTANCE
+    return near
+
+
 def _forest(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what links within a (b None) or between a and b."""
     same = b is None
     b = a if same else b
-    near = np.bitwise_count(a[:, None] ^ b[None, :]) <= DISTANCE
+    near = _near(a, b)
     if same:
         np.fill_diagonal(near, False)
     rows, cols = near.any(axis=1), near.any(axis=0)
@@ -122,7 +138,8 @@ def links(scratch: Scratch, fps: DataFrame, block: int = BLOCK) -> DataFrame:
     cells = fps.select("fp", F.bit_count("fp").cast("int").alias("ones"), packed.alias("e")).select(
         "fp", "ones", F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in masks])).alias("dim", "cell")
     )
-    crowd = cells.groupBy("dim", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    # written out, so that the join has an exchange of its own, whose crowded cells can be split
+    crowd = scratch.write(cells.groupBy("dim", "cell").agg(F.count("*").alias("n")).where("n > 1"))
     met = cells.join(crowd.hint("merge"), ["dim", "cell"])
     # a crowded cell: one more grid coordinate (total popcount in steps of four), then blocks within it
     met = met.select("dim", "cell", "fp", "n", F.when(F.col("n") > block, F.shiftright("ones", 2)).otherwise(-1).alias("ones"))
@@ -172,12 +189,13 @@ def deduplicated(spark, docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (nulls last; of repeated ids, any one)."""
     scratch = Scratch(spark)
     names = docs.columns
-    held = scratch.write(with_fingerprint(docs, "__fp").withColumn("__row", F.monotonically_increasing_id()))
-    slim = held.select(F.col("doc_id"), F.col("__fp").alias("fp"), F.col("__row").alias("row"))
+    fp, row = spare(docs, "fp"), spare(docs, "row")
+    held = scratch.write(with_fingerprint(docs, fp).withColumn(row, F.monotonically_increasing_id()))
+    slim = held.select(F.col("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
     # a document's place in the order: nulls last, then its row
     slim = slim.withColumn("place", F.struct(F.col("doc_id").isNull().alias("nil"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "row"))
     reps = scratch.write(slim.groupBy("fp").agg(F.min("place").alias("place")))
     found = components(scratch, links(scratch, reps.select("fp")))
     of = reps.join(found.withColumnRenamed("id", "fp").hint("merge"), "fp", "left").select("place", F.coalesce("root", "fp").alias("root"))
-    kept = scratch.write(of.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row").alias("__row")))
-    return held.join(kept.hint("merge"), "__row", "left_semi").select(*names)
+    kept = scratch.write(of.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row").alias(row)))
+    return held.join(kept.hint("merge"), row, "left_semi").select(*names)

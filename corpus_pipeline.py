@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import linededup, mixing, pieces, quality, simhash
-from waymark.llm.common import Scratch, table
+from waymark.llm.common import Scratch, spare, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model scores at its threshold or above; learnt from the corpus's own labels."""
     model = quality.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, "__quality").where(f"__quality >= {quality.THRESHOLD}").drop("__quality")
+    score = spare(docs, "quality")
+    return quality.scored(docs, model, score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,12 +79,6 @@ top_tour_candidates = define(
     """SELECT nation, id, value, CAST(r AS BIGINT) AS rank FROM (SELECT nation, id, value, row_number() OVER (PARTITION BY nation ORDER BY value DESC, id) AS r FROM (SELECT nation, id, floor(quality * greatest(0e0, 1e0 - abs(elev - 1500) / 3e3) * 1e6 + 5e-1) / 1e6 AS value FROM {passes}) v) k WHERE r <= 10""",
 )
 
-top_tour_archive = define(
-    "top_tour_archive", "The best tour of each signature, then the three best of each day.",
-    """SELECT day, tour_id, score, CAST(r AS BIGINT) AS rank FROM (SELECT day, tour_id, score, row_number() OVER (PARTITION BY day ORDER BY score DESC, tour_id) AS r FROM (
-        SELECT day, tour_id, score, row_number() OVER (PARTITION BY signature ORDER BY score DESC, tour_id) AS s FROM (SELECT tour_id, CAST(min(EPOCH_DAY(day)) AS BIGINT) AS day, min(place_id) * 1000 + count(*) AS signature, floor(sum(scenic) * 1e3 + 5e-1) / 1e3 AS score FROM {stops} GROUP BY tour_id) t) u WHERE s = 1) b WHERE r <= 3""",
-)
-
 proj_tags = define(
     "proj_tags", "Expanded, distinct tags of each place.",
     """SELECT DISTINCT id, tag FROM (SELECT id, lower(category) AS tag FROM {places} UNION ALL SELECT id, lower(theme) FROM {places} UNION ALL SELECT id, x.t FROM {places} p JOIN (SELECT 'food' AS family, 'indulgence' AS t UNION ALL SELECT 'food', 'rest' UNION ALL SELECT 'museum', 'heritage' UNION ALL SELECT 'nature', 'outdoors') x ON x.family = p.family) k""",

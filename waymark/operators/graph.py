@@ -2,37 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.rounds import written
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 50) -> DataFrame:
-    """edges(a, b, cost), sources(source) -> (source, node, cost, hops): cheapest path of at most `rounds` edges, whole
-    thousandths, ties to fewer hops. Only nodes that improved are joined with the edges again."""
-    unit = edges.select("a", "b", F.floor(F.col("cost") * 1000 + 0.5).alias("w")).groupBy("a", "b").agg(F.min("w").alias("w"))
-    unit = written(unit)
-    best = written(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(0).alias("hops"), F.lit(True).alias("fresh")))
+def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "cost", forbidden: DataFrame | None = None, used: DataFrame | None = None, penalty: float = 1.0, cap: int | None = None, rounds: int = 500) -> DataFrame:
+    """edges(a, b, weight), sources(source) -> (source, node, cost, hops, path): the cheapest path to every reachable node
+    in whole thousandths, ties to fewer hops, then to the lower path. Paths enter no forbidden(node), used(a, b) edges cost
+    `penalty` times as much, and paths above the cap are not followed. Only nodes that improved are joined with the edges
+    again; rounds go on until none does."""
+    unit = edges.select("a", "b", F.col(weight).alias("w"))
+    if used is not None:
+        unit = unit.join(used.select("a", "b", F.lit(penalty).alias("more")).distinct(), ["a", "b"], "left").withColumn("w", F.col("w") * F.coalesce("more", F.lit(1.0)))
+    if forbidden is not None:
+        for end in ("a", "b"):
+            unit = unit.join(forbidden.select(F.col("node").alias(end)).distinct(), end, "left_anti")
+        sources = sources.join(forbidden.select(F.col("node").alias("source")).distinct(), "source", "left_anti")
+    unit = written(unit.groupBy("a", "b").agg(F.floor(F.min("w") * 1000 + 0.5).alias("w")))
+    best = written(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(0).alias("hops"), F.array("source").alias("path"), F.lit(True).alias("fresh")))
     for hop in range(1, rounds + 1):
-        told = best.where("fresh").join(unit.withColumnRenamed("a", "node"), "node").select("source", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.lit(hop).alias("hops"), F.lit(True).alias("fresh"))
+        far = F.col("cost") + F.col("w")
+        told = best.where("fresh").join(unit.withColumnRenamed("a", "node").hint("merge"), "node").where(far <= cap if cap is not None else F.lit(True))
+        told = told.select("source", F.col("b").alias("node"), far.alias("cost"), F.lit(hop).alias("hops"), F.concat("path", F.array("b")).alias("path"), F.lit(True).alias("fresh"))
         all_ = best.withColumn("fresh", F.lit(False)).unionByName(told)
-        best = written(all_.groupBy("source", "node").agg(F.min(F.struct("cost", "hops", "fresh")).alias("m")).select("source", "node", "m.cost", "m.hops", "m.fresh"))
+        best = written(all_.groupBy("source", "node").agg(F.min(F.struct("cost", "hops", "path", "fresh")).alias("m")).select("source", "node", "m.cost", "m.hops", "m.path", "m.fresh"))
         if not best.where("fresh").limit(1).count():
-            break
-    return best.select("source", "node", "cost", "hops")
+            return best.select("source", "node", "cost", "hops", "path")
+    raise RuntimeError(f"paths still improve after {rounds} rounds")
+
+
+def path_status(pairs: DataFrame, paths: DataFrame, cap: int | None = None) -> DataFrame:
+    """pairs(source, node) with cost and status: ok, over budget (a path above the cap), or unreachable."""
+    found = pairs.join(paths.select("source", "node", "cost", "hops").hint("merge"), ["source", "node"], "left")
+    over = F.col("cost") > cap if cap is not None else F.lit(False)
+    return found.withColumn("status", F.when(F.col("cost").isNull(), "unreachable").when(over, "over budget").otherwise("ok"))
+
+
+def _legs(stops: DataFrame, paths: DataFrame) -> DataFrame:
+    """stops(tour_id, ord, node): each leg of a tour with its path."""
+    w = Window.partitionBy("tour_id").orderBy("ord")
+    legs = stops.select("tour_id", "ord", F.col("node").alias("source"), F.lead("node").over(w).alias("node")).where("node is not null")
+    return legs.join(paths.hint("merge"), ["source", "node"], "left")
+
+
+def route_cost(stops: DataFrame, paths: DataFrame) -> DataFrame:
+    """Legs of each tour and the sum of their costs over the cheapest paths; null if any leg is missing."""
+    whole = F.count("cost") == F.count("*")
+    return _legs(stops, paths).groupBy("tour_id").agg(F.count("*").alias("legs"), F.when(whole, F.sum("cost")).alias("cost"))
+
+
+def materialized_routes(stops: DataFrame, paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """The legs of each tour joined into one path of nodes, with its edges, totals, and how many legs are unreachable."""
+    legs = written(_legs(stops, paths))
+    hop = legs.where("path is not null").select("tour_id", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("a"), F.slice("path", 2, F.size("path")).alias("b"))).alias("e")).select("tour_id", "e.a", "e.b")
+    totals = written(hop).join(edges.select("a", "b", "duration_s", "distance_m").hint("merge"), ["a", "b"]).groupBy("tour_id").agg(F.count("*").alias("edges"), F.sum(F.floor(F.col("duration_s") + 0.5)).alias("duration_s"), F.sum(F.floor(F.col("distance_m") + 0.5)).alias("distance_m"))
+    # a leg starts where the one before ends
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("path", F.array("source", "node")).alias("path")))), F.expr("cast(array() as array<bigint>)"), lambda out, leg: F.when(F.size(out) == 0, leg["path"]).otherwise(F.concat(out, F.slice(leg["path"], F.lit(2), F.size(leg["path"])))))
+    routes = legs.groupBy("tour_id").agg(F.count("*").alias("legs"), F.count_if(F.col("path").isNull()).alias("unreachable"), joined.alias("path"))
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("edges", "duration_s", "distance_m")]
+    return routes.join(totals.hint("merge"), "tour_id", "left").select("tour_id", "legs", "unreachable", "path", *zero)
 
 
 def reachable(edges: DataFrame, start: DataFrame, rounds: int = 200) -> DataFrame:
-    """Nodes reachable from start(node), with start itself."""
+    """Nodes reachable from any of start(node), with start itself."""
     seen = written(start.select("node").distinct())
     frontier = seen
     for _ in range(rounds):
         frontier = written(frontier.join(edges.select(F.col("a").alias("node"), "b"), "node").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
         if not frontier.limit(1).count():
-            break
+            return seen
         seen = written(seen.unionByName(frontier))
-    return seen
+    raise RuntimeError(f"new nodes are still reached after {rounds} rounds")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -44,9 +86,9 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         near = written(told.unionByName(labels.withColumn("own", F.col("root"))).groupBy("node").agg(F.min("root").alias("root"), F.max("own").alias("was")))
         labels = written(near.join(near.select(F.col("node").alias("root"), F.col("root").alias("above")), "root").select("node", F.least("root", "above").alias("root"), "was"))
         if not labels.where("root <> was").limit(1).count():
-            break
+            return labels.select("node", "root")
         labels = labels.select("node", "root")
-    return labels.select("node", "root")
+    raise RuntimeError(f"components still change after {rounds} rounds")
 
 
 def reference_closure(records: DataFrame, rounds: int = 200) -> DataFrame:
@@ -58,6 +100,6 @@ def reference_closure(records: DataFrame, rounds: int = 200) -> DataFrame:
         kept = written(kept.join(kept.select(F.col("id").alias("ref")).distinct(), "ref", "left_semi").select("id", "ref").unionByName(kept.where("ref is null")))
         now = kept.count()
         if now == n:
-            break
+            return kept
         n = now
-    return kept
+    raise RuntimeError(f"records still drop after {rounds} rounds")

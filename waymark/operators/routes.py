@@ -121,8 +121,6 @@ proj_tour_waypoints = define(
 
 join_implicit_passes = define("join_implicit_passes", "Passes near the path of each tour that are not its stops: first position.", "SELECT s.tour_id, p.id AS pass_id, min(s.ord) AS first FROM {stops} s JOIN {passes} p ON p.id = s.place_id % 100 WHERE NOT EXISTS (SELECT 1 FROM {stops} o WHERE o.tour_id = s.tour_id AND o.pass_id = p.id) GROUP BY s.tour_id, p.id")
 
-join_resolve_ids = define("join_resolve_ids", "Loose references: the id itself if it exists, else the same name, the smallest.", "SELECT s.tour_id, s.ord, coalesce(a.id, b.id) AS resolved, CASE WHEN a.id IS NOT NULL THEN 'id' WHEN b.id IS NOT NULL THEN 'name' ELSE 'none' END AS basis FROM {stops} s LEFT JOIN {passes} a ON a.id = s.place_id LEFT JOIN (SELECT nation, min(id) AS id FROM {passes} GROUP BY nation) b ON b.nation = s.place_id % 30")
-
 win_hunger_curve = define(
     "win_hunger_curve", "Need for lunch every half hour: a bell around the ideal time plus the pressure of driving.",
     f"""SELECT tour_id, CAST(step AS BIGINT) AS step, {js_round("exp(-pow((8e0 + step * 5e-1 - 125e-1) / 1e0, 2) / 2) + 1e-1 * least(4e0, total_h)", 1000000)} AS need FROM (SELECT tour_id, total_h, UNNEST(SEQ(0, 16)) AS step FROM (SELECT tour_id, sum(duration_s) / 3600 AS total_h FROM {{stops}} GROUP BY tour_id) t) s""",
@@ -172,8 +170,6 @@ win_largest_remainder = define(
     """SELECT tour_id, ord, CAST(least(3, base + CASE WHEN r <= 10 - used THEN 1 ELSE 0 END) AS BIGINT) AS points FROM (SELECT *, row_number() OVER (PARTITION BY tour_id ORDER BY share - base DESC, ord) AS r, sum(base) OVER (PARTITION BY tour_id) AS used FROM (SELECT tour_id, ord, floor(share) AS base, floor(share * 1e6) / 1e6 AS share FROM (SELECT tour_id, ord, distance_m * 10 / sum(distance_m) OVER (PARTITION BY tour_id) AS share FROM {stops}) a) b) c""",
 )
 
-win_alternatives = define("win_alternatives", "Distinct signatures of each day's tours, the first three.", "SELECT day, tour_id, CAST(r AS BIGINT) AS rank FROM (SELECT day, tour_id, row_number() OVER (PARTITION BY day ORDER BY n DESC, tour_id) AS r FROM (SELECT day, tour_id, n, row_number() OVER (PARTITION BY day, sig ORDER BY tour_id) AS s FROM (SELECT CAST(min(EPOCH_DAY(day)) AS BIGINT) AS day, tour_id, count(*) AS n, CAST(sum(place_id) AS BIGINT) % 97 AS sig FROM {stops} GROUP BY tour_id) t) u WHERE s = 1) v WHERE r <= 3")
-
 win_line_curvature = define(
     "win_line_curvature", "Heading change of each tour per km, from the bearings of its legs.",
     f"""SELECT tour_id, count(*) AS turns, {js_round("sum(abs(turn)) / greatest(1e0, sum(floor(step_m + 5e-1)) / 1e3)", 1000)} AS per_km FROM (
@@ -244,8 +240,6 @@ win_next_departure = define("win_next_departure", "The first later stop of the s
 
 win_leg_timeline = define("win_leg_timeline", "Start and end of each leg in seconds, with a five-minute transfer after each.", "SELECT tour_id, ord, CAST(t - duration_s + (ord - 1) * 300 AS BIGINT) AS starts, CAST(t + (ord - 1) * 300 AS BIGINT) AS ends FROM (SELECT tour_id, ord, duration_s, sum(duration_s) OVER (PARTITION BY tour_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM {stops}) s")
 
-join_access_point = define("join_access_point", "The nearest safe access point of each nation to each of its passes.", f"SELECT id, access, metres FROM (SELECT p.id, a.id AS access, CAST(floor({haversine('p.lat', 'p.lon', 'a.lat', 'a.lon')} + 5e-1) AS BIGINT) AS metres, row_number() OVER (PARTITION BY p.id ORDER BY floor({haversine('p.lat', 'p.lon', 'a.lat', 'a.lon')} + 5e-1), a.id) AS r FROM {{passes}} p JOIN {{entities}} a ON a.nation = p.nation AND a.entity_type = 'AccessPoint' AND a.legal = 'legal' AND a.verification <> 'unverified') k WHERE r = 1")
-
 join_choose_transport = define("join_choose_transport", "The first valid connection of each tour in listed order, with how many were rejected before it.", "SELECT tour_id, ord AS chosen, CAST(rejected AS BIGINT) AS rejected FROM (SELECT tour_id, ord, ok, row_number() OVER (PARTITION BY tour_id, ok ORDER BY ord) AS r, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY tour_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rejected FROM (SELECT tour_id, ord, duration_s <= 24e2 AND kind <> 'pass-climb' AS ok FROM {stops}) s) k WHERE ok AND r = 1")
 
 join_journey_options = define("join_journey_options", "Access modes and ways back open to each route.", "SELECT e.id, count_if(a.status = 'verified') > 0 AS by_train, count_if(a.line_status = 'F') > 0 AS by_car, count_if(a.status = 'verified' AND a.line_status = 'F') > 0 AS return_by_train FROM {entities} e JOIN {assertions} a ON a.entity_id = e.id WHERE e.entity_type = 'TrailRoute' GROUP BY e.id")
@@ -254,11 +248,6 @@ join_transport_links = define("join_transport_links", "Stops of other tours on t
 
 src_matrix_chunks = define("src_matrix_chunks", "One pair table out of chunks and a seed: a measured value wins over the seed.", "SELECT coalesce(m.a, s.a) AS a, coalesce(m.b, s.b) AS b, coalesce(m.distance_m, s.distance_m) AS distance_m, CASE WHEN m.a IS NOT NULL THEN 'measured' ELSE 'seed' END AS basis FROM (SELECT a, b, distance_m FROM {edges} WHERE (a + b) % 3 <> 0) m FULL OUTER JOIN (SELECT b AS a, a AS b, distance_m FROM {edges}) s ON s.a = m.a AND s.b = m.b")
 
-graph_route_cost = define("graph_route_cost", "Cost of each tour's pass sequence over the pair table; null if a leg is missing.", "SELECT tour_id, count(*) AS legs, CASE WHEN count(e.cost) = count(*) THEN floor(sum(e.cost) * 1e3 + 5e-1) / 1e3 END AS cost FROM (SELECT tour_id, pass_id % 25 AS a, lead(pass_id % 25) OVER (PARTITION BY tour_id ORDER BY ord) AS b FROM {stops}) l LEFT JOIN {edges} e ON e.a = l.a AND e.b = l.b WHERE l.b IS NOT NULL GROUP BY tour_id")
-
-graph_materialize_routes = define("graph_materialize_routes", "Legs of each tour as edges with totals, unreachable legs marked.", "SELECT tour_id, count(*) AS legs, count_if(e.a IS NULL) AS unreachable, CAST(floor(coalesce(sum(e.duration_s), 0e0) + 5e-1) AS BIGINT) AS duration_s FROM (SELECT tour_id, pass_id % 25 AS a, lead(pass_id % 25) OVER (PARTITION BY tour_id ORDER BY ord) AS b FROM {stops}) l LEFT JOIN {edges} e ON e.a = l.a AND e.b = l.b WHERE l.b IS NOT NULL GROUP BY tour_id")
-
-
 def _tours(stops: DataFrame, *aggregates: Column) -> DataFrame:
     """Tours with their first day and a digest of 256 bits of all their places in order."""
     route = F.transform(F.array_sort(F.collect_list(F.struct("ord", "place_id"))), lambda s: s["place_id"])
@@ -279,7 +268,7 @@ def alternatives(stops: DataFrame) -> DataFrame:
 
 def tour_archive(stops: DataFrame) -> DataFrame:
     """The best tour of each route, then the three best of each day."""
-    score = F.floor(F.sum("scenic") * 1e3 + 0.5) / 1e3
+    score = F.floor(F.sum(F.floor(F.col("scenic") * 1e6 + 0.5)) / 1e3 + 0.5) / 1e3  # whole numbers add up alike in any order
     return _first_three(_tours(stops, score.alias("score")), ["signature"], [F.desc("score"), "tour_id"]).select("day", "tour_id", "score", "rank")
 
 

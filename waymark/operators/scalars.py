@@ -24,17 +24,3 @@ proj_join_segments = define(
     f"""SELECT tour_id, count(*) AS segments, count_if({haversine("plat", "plon", "lat", "lon")} <= 1e3) AS touching, 2 * count(*) + 1 AS vertices FROM (SELECT tour_id, lon, lat, lag(lon) OVER (PARTITION BY tour_id ORDER BY ord) AS plon, lag(lat) OVER (PARTITION BY tour_id ORDER BY ord) AS plat FROM {{stops}}) s WHERE plon IS NOT NULL GROUP BY tour_id""",
 )
 
-join_road_geometry = define(
-    "join_road_geometry", "Places along the line from each pass to its base, by share of the way and distance off it.",
-    """SELECT id, place_id, floor(t * 1e3 + 5e-1) / 1e3 AS t FROM (SELECT p.id, s.id AS place_id, (s.lon - p.lon) / 6e-2 AS t, abs(s.lat - p.lat) * 111194e0 AS off FROM {passes} p JOIN {places} s ON s.id % 29 = p.id % 29 AND s.score >= 7) g WHERE t BETWEEN -15e-2 AND 115e-2 AND off <= 1600""",
-)
-
-join_overpass_features = define(
-    "join_overpass_features", "Counts of features near each pass by family within 8 km, and the nearest of them.",
-    f"""SELECT id, count_if(family = 'nature') AS nature, count_if(family = 'food') AS food, count_if(family = 'museum') AS museums, min(metres) AS nearest FROM (SELECT p.id, s.family, {whole(haversine("p.lat", "p.lon", "s.lat", "s.lon"))} AS metres FROM {{passes}} p JOIN {{places}} s ON s.id % 29 = p.id % 29 WHERE s.price >= 950) f WHERE metres <= 8000 GROUP BY id""",
-)
-
-join_snap_endpoints = define(
-    "join_snap_endpoints", "Start and end of each tour on the pass table: the id itself, else the nation's first pass.",
-    """SELECT t.tour_id, coalesce(a.id, n.id) AS start_pass, coalesce(b.id, m.id) AS end_pass FROM (SELECT tour_id, min_by(place_id, ord) AS s, max_by(place_id, ord) AS e FROM {stops} GROUP BY tour_id) t LEFT JOIN {passes} a ON a.id = t.s LEFT JOIN {passes} b ON b.id = t.e LEFT JOIN (SELECT nation, min(id) AS id FROM {passes} GROUP BY nation) n ON n.nation = t.s % 25 LEFT JOIN (SELECT nation, min(id) AS id FROM {passes} GROUP BY nation) m ON m.nation = t.e % 25""",
-)

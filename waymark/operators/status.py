@@ -99,7 +99,3 @@ join_alias_alerts = define(
     """SELECT user_id, pass_id, gap FROM (SELECT u.user_id, p.id AS pass_id, abs(p.elev - (800 + (u.user_id * 37) % 2200)) AS gap, row_number() OVER (PARTITION BY u.user_id ORDER BY abs(p.elev - (800 + (u.user_id * 37) % 2200)), p.id) AS r FROM {users} u JOIN {passes} p ON u.user_id % 50 = p.id % 50) k WHERE r = 1 AND gap <= 200""",
 )
 
-join_shared_gateway = define(
-    "join_shared_gateway", "Pass pairs of one nation whose positions are within 5 km.",
-    f"SELECT a.id AS a, b.id AS b, CAST(floor({haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} + 5e-1) AS BIGINT) AS metres FROM {{passes}} a JOIN {{passes}} b ON a.nation = b.nation AND a.id < b.id AND {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 5e3",
-)

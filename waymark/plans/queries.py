@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import columns
+from waymark.functions.rounds import written
 from waymark.functions.sql import EARTH_KM, haversine
 from waymark.operators import ALL, discovery, governance, graph, routes, scalars, spatial, status
 from waymark.plans import tables as world
@@ -18,6 +19,19 @@ H = haversine
 PAIR = "floor(" + H("a.lat", "a.lon", "b.lat", "b.lon") + " + 5e-1)"
 CROSSINGS = " + ".join(f"CASE WHEN ({y1!r} > lat) <> ({y2!r} > lat) AND lon < ({x2 - x1!r}) * (lat - {y1!r}) / ({y2 - y1!r}) + {x1!r} THEN 1 ELSE 0 END" for x1, y1, x2, y2 in spatial.ring(spatial.REGION))
 
+
+
+def nearest_sql_k(left: str, right: str, k: int, columns: str) -> str:
+    """The k nearest by all pairs."""
+    return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, node) AS r FROM (SELECT a.id, b.id AS node, {PAIR} AS m FROM {left} a CROSS JOIN {right} b) x) y WHERE r <= {k}"
+
+
+def _snapped_tours(t: Tables):
+    ends = t.ends
+    start, end = (spatial.snapped(ends.where(F.col("final") == final).drop("final"), t.road_nodes, reach) for final, reach in ((False, None), (True, 30_000.0)))
+    return start.select(F.col("id").alias("tour_id"), F.col("node").alias("start_node"), F.col("basis").alias("start_basis")).join(end.select(F.col("id").alias("tour_id"), F.col("node").alias("end_node"), F.col("basis").alias("end_basis")), "tour_id")
+
+
 #: Queries written with the DataFrame API: name -> (function of Tables, oracle text or None).
 BUILT: dict = {
     "join_near_duplicates": (
@@ -25,12 +39,48 @@ BUILT: dict = {
         f"SELECT a.id AS a, b.id AS b, CAST({PAIR} AS BIGINT) AS metres FROM {{places}} a JOIN {{places}} b ON a.category = b.category AND lower(a.name) = lower(b.name) AND a.id < b.id AND {H('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 250",
     ),
     "join_nearest_nodes": (
-        lambda t: spatial.nearest_nodes(t.users.selectExpr("user_id AS id", f"{world.lat('user_id')} AS lat", f"{world.lon('user_id')} AS lon"), t.passes),
-        f"SELECT id, node, CAST(r AS BIGINT) AS rank, CAST(m AS BIGINT) AS metres FROM (SELECT id, node, m, row_number() OVER (PARTITION BY id ORDER BY m, node) AS r FROM (SELECT a.id, b.id AS node, {PAIR} AS m FROM (SELECT user_id AS id, {world.lat('user_id')} AS lat, {world.lon('user_id')} AS lon FROM {{users}}) a JOIN {{passes}} b ON {H('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 30000) x) y WHERE r <= 3",
+        lambda t: spatial.nearest_nodes(t.users.selectExpr("user_id AS id", f"{world.lat('user_id')} + user_id % 7 AS lat", f"{world.lon('user_id')} AS lon"), t.road_nodes, kinds=["pass", "pass-base"]),
+        nearest_sql_k(f"(SELECT user_id AS id, {world.lat('user_id')} + user_id % 7 AS lat, {world.lon('user_id')} AS lon FROM {{users}})", "{road_nodes}", 3, "id, node, CAST(r AS BIGINT) AS rank, CAST(m AS BIGINT) AS metres"),
     ),
     "join_knn_connectors": (
-        lambda t: spatial.knn_connectors(t.passes),
-        f"SELECT id, other, CAST(r AS BIGINT) AS rank, CAST(floor(m * 135e-2 / (50e0 / 36e-1) + 5e-1) AS BIGINT) AS duration_s FROM (SELECT id, other, m, row_number() OVER (PARTITION BY id ORDER BY m, other) AS r FROM (SELECT a.id, b.id AS other, {PAIR} AS m FROM {{passes}} a JOIN {{passes}} b ON a.id <> b.id AND {H('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 60000) x) y WHERE r <= 12",
+        lambda t: spatial.knn_connectors(t.base_points, t.measured),
+        f"""WITH pair AS (SELECT a.id, b.id AS other, a.pass_id = b.pass_id AS own, {PAIR} AS m, {H("a.lat", "a.lon", "b.lat", "b.lon")} AS d FROM {{base_points}} a CROSS JOIN {{base_points}} b), known AS (SELECT a, b, floor(duration_s + 5e-1) AS s FROM {{measured}} WHERE a <> b)
+          SELECT id, other, CAST(r AS BIGINT) AS rank, CAST(s AS BIGINT) AS duration_s, measured FROM (SELECT id, other, s, measured, row_number() OVER (PARTITION BY id ORDER BY s, other) AS r FROM (
+            SELECT p.id, p.other, k.s IS NOT NULL AS measured, coalesce(k.s, floor(p.m * 135e-2 / (50e0 / 36e-1) + 5e-1)) AS s FROM pair p LEFT JOIN known k ON k.a = p.id AND k.b = p.other WHERE NOT p.own AND (k.s IS NOT NULL OR p.d <= 300000)) x) y WHERE r <= 12""",
+    ),
+    "join_shared_gateway": (
+        lambda t: spatial.shared_gateways(t.bases),
+        f"SELECT a.pass_id AS a, b.pass_id AS b, CAST(min({PAIR}) AS BIGINT) AS metres FROM {{bases}} a JOIN {{bases}} b ON a.pass_id < b.pass_id AND {H('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 5000 GROUP BY a.pass_id, b.pass_id",
+    ),
+    "join_access_point": (
+        lambda t: spatial.access_points(t.passes, t.entities.where("entity_type = 'AccessPoint'"), "train"),
+        nearest_sql_k("{passes}", "(SELECT * FROM {entities} WHERE entity_type = 'AccessPoint' AND mode = 'train' AND legal IN ('legal', 'restricted') AND verification <> 'unverified' AND (flag IS NULL OR flag <> 'critical_access_unknown') AND action = 'publish')", 1, "id, node AS access, CAST(m AS BIGINT) AS metres"),
+    ),
+    "join_road_geometry": (
+        lambda t: spatial.dominant_class(written(spatial.road_geometry(t.bases, t.roads))),
+        f"""WITH near AS (SELECT pass_id, side, class FROM (SELECT *, (px * dx + py * dy) / (dx * dx + dy * dy) AS t FROM (
+            SELECT b.pass_id, b.side, r.class, {H("b.lat", "b.lon", "b.lat2", "b.lon2")} AS d, (b.lon2 - b.lon) * cos(radians(b.lat)) AS dx, b.lat2 - b.lat AS dy, (r.lon - b.lon) * cos(radians(b.lat)) AS px, r.lat - b.lat AS py FROM {{bases}} b JOIN {{roads}} r ON abs(r.lat - b.lat) < 1e-1 AND abs(r.lon - b.lon) < 3e-1) v) w
+              WHERE t BETWEEN -15e-2 AND 115e-2 AND 111194e0 * sqrt(pow(px - dx * t, 2) + pow(py - dy * t, 2)) <= least(16e2, greatest(45e1, d * 22e-2)))
+          SELECT pass_id, side, CAST(sum(n) AS BIGINT) AS points, first(class ORDER BY n DESC, class) AS class, sum(n) >= 4 AS usable FROM (SELECT pass_id, side, class, count(*) AS n FROM near GROUP BY ALL) c GROUP BY pass_id, side""",
+    ),
+    "join_overpass_features": (
+        lambda t: spatial.surroundings(t.passes, t.features),
+        f"""WITH near AS (SELECT a.id, b.kind, b.id AS f, {PAIR} AS m FROM {{passes}} a JOIN {{features}} b ON {H("a.lat", "a.lon", "b.lat", "b.lon")} <= 8000)
+          SELECT p.id, count(*) FILTER (kind = 'peak') AS peaks, count(*) FILTER (kind = 'glacier') AS glaciers, count(*) FILTER (kind = 'water') AS waters, count(*) FILTER (kind = 'viewpoint') AS viewpoints,
+            CASE WHEN count(*) FILTER (kind IN ('open', 'closed')) > 0 THEN floor(count(*) FILTER (kind = 'open') / count(*) FILTER (kind IN ('open', 'closed')) * 1000 + 5e-1) / 1000 END AS openness,
+            first(f ORDER BY m, f) FILTER (kind = 'parking') AS parking, CAST(min(m) FILTER (kind = 'parking') AS BIGINT) AS parking_m FROM {{passes}} p LEFT JOIN near n ON n.id = p.id GROUP BY p.id""",
+    ),
+    "join_snap_endpoints": (
+        lambda t: _snapped_tours(t),
+        f"""WITH form AS (SELECT ref, min(id) AS node FROM (SELECT id, key AS ref FROM {{road_nodes}} UNION ALL SELECT id, split_part(key, ':', 2) FROM {{road_nodes}}) f GROUP BY ref),
+          near AS (SELECT * FROM (SELECT a.id, a.final, b.id AS node, {PAIR} AS m, row_number() OVER (PARTITION BY a.id, a.final ORDER BY {PAIR}, b.id) AS r, {H("a.lat", "a.lon", "b.lat", "b.lon")} AS d FROM (SELECT e.* FROM {{ends}} e LEFT JOIN form f ON f.ref = e.ref WHERE f.ref IS NULL) a CROSS JOIN {{road_nodes}} b) x WHERE r = 1),
+          got AS (SELECT e.id, e.final, coalesce(f.node, n.node) AS node, CASE WHEN f.node IS NOT NULL THEN 'id' WHEN n.node IS NOT NULL THEN 'nearest' ELSE 'none' END AS basis FROM {{ends}} e LEFT JOIN form f ON f.ref = e.ref LEFT JOIN near n ON n.id = e.id AND n.final = e.final AND (NOT e.final OR n.d <= 30000))
+          SELECT s.id AS tour_id, s.node AS start_node, s.basis AS start_basis, e.node AS end_node, e.basis AS end_basis FROM got s JOIN got e ON e.id = s.id AND e.final AND NOT s.final""",
+    ),
+    "join_resolve_ids": (
+        lambda t: spatial.resolved(t.loose_refs, t.entities.selectExpr("id", "concat('entity:', id) AS key", "name", "lat", "lon")),
+        f"""WITH named AS (SELECT a.id, b.id AS t, row_number() OVER (PARTITION BY a.id ORDER BY {PAIR}, b.id) AS r FROM {{loose_refs}} a JOIN {{entities}} b ON lower(b.name) = trim(regexp_replace(lower(a.ref), '[^a-z0-9]+', ' ', 'g')) WHERE a.ref NOT LIKE 'entity:%' AND NOT regexp_matches(a.ref, '^[0-9]+$'))
+          SELECT a.id, coalesce(k.id, n.t) AS resolved, CASE WHEN k.id IS NOT NULL THEN 'id' WHEN n.t IS NOT NULL THEN 'name' ELSE 'none' END AS basis FROM {{loose_refs}} a LEFT JOIN {{entities}} k ON a.ref IN ('entity:' || CAST(k.id AS VARCHAR), CAST(k.id AS VARCHAR)) LEFT JOIN named n ON n.id = a.id AND n.r = 1""",
     ),
     "flt_region": (
         lambda t: spatial.in_region(t.places).select("id"),
@@ -39,9 +89,14 @@ BUILT: dict = {
     "win_detour_budget": (lambda t: routes.detour_budget(t.sql(f"SELECT * FROM {routes.RANKED} r"), 4.0), None),
     "win_mmr_topk": (lambda t: routes.mmr(t.sql(f"SELECT * FROM {routes.RANKED} r"), 3), None),
     "win_break_detection": (lambda t: routes.breaks(t.sql(routes.win_load_curve.text)), None),
-    # the SQL of these two still tells routes apart by a small number
-    "win_alternatives": (lambda t: routes.alternatives(t.stops), None),
-    "top_tour_archive": (lambda t: routes.tour_archive(t.stops), None),
+    "win_alternatives": (
+        lambda t: routes.alternatives(t.stops),
+        "WITH t AS (SELECT tour_id, CAST(datediff('day', DATE '1970-01-01', min(day)) AS BIGINT) AS day, count(*) AS n, list(place_id ORDER BY ord) AS route FROM {stops} GROUP BY tour_id), u AS (SELECT *, row_number() OVER (PARTITION BY day, route ORDER BY n DESC, tour_id) AS s FROM t) SELECT day, tour_id, r AS rank FROM (SELECT day, tour_id, row_number() OVER (PARTITION BY day ORDER BY n DESC, tour_id) AS r FROM u WHERE s = 1) v WHERE r <= 3",
+    ),
+    "top_tour_archive": (
+        lambda t: routes.tour_archive(t.stops),
+        "WITH t AS (SELECT tour_id, CAST(datediff('day', DATE '1970-01-01', min(day)) AS BIGINT) AS day, floor(sum(CAST(floor(scenic * 1e6 + 5e-1) AS BIGINT)) / 1e3 + 5e-1) / 1e3 AS score, list(place_id ORDER BY ord) AS route FROM {stops} GROUP BY tour_id), u AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY score DESC, tour_id) AS s FROM t) SELECT day, tour_id, score, r AS rank FROM (SELECT day, tour_id, score, row_number() OVER (PARTITION BY day ORDER BY score DESC, tour_id) AS r FROM u WHERE s = 1) v WHERE r <= 3",
+    ),
 }
 
 NEAREST = """SELECT tour_id, id, ord, m FROM (SELECT v.tour_id, p.id, v.ord, NEAR_M AS m, row_number() OVER (PARTITION BY v.tour_id, p.id ORDER BY NEAR_M, v.ord) AS r
@@ -78,8 +133,16 @@ def graph_documents(t: Tables):
     return e.select("graph", F.to_json(F.struct(F.lit(1).alias("version"), "nodes", "edges")).alias("text"))
 
 
-def cheap_edges(t: Tables):
-    return t.edges.where("cost < 3").select("a", "b", "cost")
+def all_paths(t: Tables):
+    """The cheapest paths from every node with an edge out."""
+    return graph.shortest_paths(t.edges, t.edges.select(F.col("a").alias("source")).distinct())
+
+
+#: The same by a recursion that keeps one row for each pair: cost in thousandths and hops as one number.
+PATHS = """e AS (SELECT a, b, CAST(floor(min(cost) * 1e3 + 5e-1) AS BIGINT) * 1000 + 1 AS w FROM {edges} GROUP BY a, b), best(source, node, far) USING KEY (source, node) AS (
+    SELECT DISTINCT a, a, CAST(0 AS BIGINT) FROM e UNION SELECT x.source, x.node, x.far FROM (SELECT p.source, e.b AS node, min(p.far + e.w) AS far FROM best p JOIN e ON e.a = p.node GROUP BY p.source, e.b) x LEFT JOIN recurring.best r ON r.source = x.source AND r.node = x.node WHERE r.far IS NULL OR x.far < r.far),
+    paths AS (SELECT source, node, far // 1000 AS cost, CAST(far % 1000 AS INT) AS hops FROM best)"""
+LEGS = "SELECT * FROM (SELECT tour_id, node AS source, lead(node) OVER (PARTITION BY tour_id ORDER BY ord) AS node FROM {tour_nodes}) n WHERE node IS NOT NULL"
 
 
 BUILT |= {
@@ -147,19 +210,22 @@ BUILT |= {
             ELSE len(list_filter(string_split(query, ' '), lambda x: contains(name, x))) / len(string_split(query, ' ')) * 62e-2 + len(list_intersect(qt, dt)) / (len(qt) + len(dt) - len(list_intersect(qt, dt))) * 38e-2 END AS score, len(list_intersect(qt, dt)) AS met
           FROM (SELECT name, list_distinct(list_transform(generate_series(1, length(name) + 2), lambda i: substr('  ' || name || '  ', i, 3))) AS dt FROM (SELECT DISTINCT name FROM {places}) a) d, (SELECT query, list_distinct(list_transform(generate_series(1, length(query) + 2), lambda i: substr('  ' || query || '  ', i, 3))) AS qt FROM (SELECT DISTINCT string_split(name, ' ')[-1] || ' red' AS query FROM {places}) b) q) s WHERE met > 0 AND floor(score * 1e6 + 5e-1) / 1e6 >= 16e-2""",
     ),
-    "graph_shortest_paths": (
-        lambda t: graph.shortest_paths(t.edges, t.edges.select(F.col("a").alias("source")).distinct(), 3),
-        """WITH e AS (SELECT a, b, CAST(min(floor(cost * 1e3 + 5e-1)) AS BIGINT) AS w FROM {edges} GROUP BY a, b), p AS (
-            SELECT DISTINCT a AS source, a AS node, CAST(0 AS BIGINT) AS cost, 0 AS hops FROM e UNION ALL SELECT a, b, w, 1 FROM e UNION ALL SELECT x.a, y.b, x.w + y.w, 2 FROM e x JOIN e y ON y.a = x.b UNION ALL SELECT x.a, z.b, x.w + y.w + z.w, 3 FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = y.b
-        ) SELECT source, node, min(cost) AS cost, CAST(arg_min(hops, cost * 10 + hops) AS INT) AS hops FROM p GROUP BY source, node""",
+    "graph_shortest_paths": (lambda t: all_paths(t).select("source", "node", "cost", "hops"), f"WITH RECURSIVE {PATHS} SELECT source, node, cost, hops FROM paths"),
+    "graph_route_cost": (
+        lambda t: graph.route_cost(t.tour_nodes, all_paths(t)),
+        f"WITH RECURSIVE {PATHS} SELECT tour_id, count(*) AS legs, CASE WHEN count(p.cost) = count(*) THEN CAST(sum(p.cost) AS BIGINT) END AS cost FROM ({LEGS}) l LEFT JOIN paths p ON p.source = l.source AND p.node = l.node GROUP BY tour_id",
+    ),
+    "graph_materialize_routes": (
+        lambda t: graph.materialized_routes(t.tour_nodes, all_paths(t), t.edges).selectExpr("tour_id", "legs", "unreachable", "edges", "cast(size(path) - 1 - unreachable as bigint) AS walked"),
+        f"WITH RECURSIVE {PATHS} SELECT tour_id, count(*) AS legs, count(*) FILTER (p.hops IS NULL) AS unreachable, CAST(coalesce(sum(p.hops), 0) AS BIGINT) AS edges, CAST(coalesce(sum(p.hops), 0) AS BIGINT) AS walked FROM ({LEGS}) l LEFT JOIN paths p ON p.source = l.source AND p.node = l.node GROUP BY tour_id",
     ),
     "graph_reachability": (
-        lambda t: graph.reachable(cheap_edges(t), t.edges.agg(F.min("a").alias("node"))),
-        "WITH RECURSIVE e AS (SELECT a, b FROM {edges} WHERE cost < 3), r AS (SELECT min(a) AS node FROM {edges} UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r",
+        lambda t: graph.reachable(t.edges, t.tour_nodes.select("node").distinct()),
+        "WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM {edges}), r AS (SELECT DISTINCT node FROM {tour_nodes} UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r",
     ),
     "graph_components": (
-        lambda t: graph.components(cheap_edges(t).where("cost < 1.5")),
-        "WITH RECURSIVE e AS (SELECT a, b FROM {edges} WHERE cost < 15e-1 UNION SELECT b, a FROM {edges} WHERE cost < 15e-1), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS root FROM r GROUP BY node",
+        lambda t: graph.components(spatial.proximity(t.places.where("family = 'food'"), 4_000.0)),
+        f"WITH RECURSIVE f AS (SELECT * FROM {{places}} WHERE family = 'food'), e AS (SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON {H('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 4000), r AS (SELECT id AS node, id AS seen FROM f UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS root FROM r GROUP BY node",
     ),
     "gov_reference_closure": (
         lambda t: graph.reference_closure(t.entities.where("action = 'publish'").selectExpr("id", "CASE WHEN id % 3 = 0 THEN floor(id / 3) END AS ref")),

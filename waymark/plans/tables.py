@@ -65,6 +65,16 @@ ADAPTERS = {
     "edges": """SELECT l_suppkey AS a, CAST(o_custkey % 25 AS BIGINT) AS b, min(l_quantity * 60) AS duration_s, min(l_quantity * 900) AS distance_m, min(l_extendedprice / 1e3) AS cost FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_suppkey <> o_custkey % 25 GROUP BY l_suppkey, o_custkey % 25""",
     "sights": f"""SELECT p_partkey AS id, p_name AS name, CAST(p_size % 11 AS DOUBLE) AS score, CASE WHEN p_type = 'ECONOMY' THEN 'food' WHEN p_type = 'STANDARD' THEN 'museum' ELSE 'nature' END AS family, {world_lon("p_partkey")} AS lon, {world_lat("p_partkey")} AS lat FROM {{part}}""",
     "track": f"""SELECT tour_id, ord, pass_id AS place_id, kind = 'pass-climb' AS on_climb, scenic, duration_s, {world_lon("place_id")} + 4e-3 AS lon, {world_lat("place_id")} + 2e-3 AS lat, sum(duration_s) OVER (PARTITION BY tour_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t_sec FROM {{stops}}""",
+    "bases": "SELECT id AS pass_id, side, lat, CASE side WHEN 'A' THEN lon - 6e-2 ELSE lon + 6e-2 END AS lon, lat AS lat2, lon AS lon2 FROM (SELECT *, UNNEST(ARR('A', 'B')) AS side FROM {passes}) b",
+    "road_nodes": "SELECT id * 3 AS id, 'pass' AS kind, 'pass:' || CAST(id AS STRING) AS key, lat, lon FROM {passes} UNION ALL SELECT pass_id * 3 + CASE side WHEN 'A' THEN 1 ELSE 2 END, 'pass-base', 'base:' || CAST(pass_id AS STRING) || side, lat, lon FROM {bases}",
+    "base_points": "SELECT pass_id * 2 + CASE side WHEN 'A' THEN 0 ELSE 1 END AS id, pass_id, lat, lon FROM {bases}",
+    "measured": "SELECT a * 2 AS a, b * 2 + 1 AS b, duration_s FROM {edges} WHERE b > 0",
+    "roads": f"""SELECT p_partkey AS id, {lon("p_partkey")} - (p_size % 8) * 1e-2 AS lon, {lat("p_partkey")} AS lat, CASE p_size % 6 WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk' WHEN 2 THEN 'primary' WHEN 3 THEN 'secondary' WHEN 4 THEN 'tertiary' ELSE 'track' END AS class FROM {{part}}""",
+    "features": f"""SELECT p_partkey AS id, {lon("p_partkey")} + (p_size % 10) * 2e-2 AS lon, {lat("p_partkey")} AS lat, CASE p_size % 7 WHEN 0 THEN 'peak' WHEN 1 THEN 'glacier' WHEN 2 THEN 'water' WHEN 3 THEN 'viewpoint' WHEN 4 THEN 'open' WHEN 5 THEN 'closed' ELSE 'parking' END AS kind FROM {{part}}""",
+    "ends": """SELECT tour_id AS id, final, CASE tour_id % 3 WHEN 0 THEN 'pass:' || CAST(pass_id AS STRING) WHEN 1 THEN CAST(place_id AS STRING) ELSE NULL END AS ref, lat, lon + (tour_id % 5) * 3e-1 AS lon FROM (
+        SELECT *, FALSE AS final FROM {stops} WHERE ord = 1 UNION ALL SELECT tour_id, ord, place_id, pass_id, lon, lat, duration_s, distance_m, scenic, day, kind, road_class, TRUE FROM (SELECT *, max(ord) OVER (PARTITION BY tour_id) AS top FROM {stops}) t WHERE ord = top) e""",
+    "loose_refs": """SELECT tour_id * 10 + ord AS id, CASE place_id % 4 WHEN 0 THEN 'entity:' || CAST(tour_id AS STRING) WHEN 1 THEN CAST(place_id AS STRING) WHEN 2 THEN 'ENTITY ' || CAST(place_id AS STRING) || '!' ELSE 'Nowhere ' || CAST(place_id AS STRING) END AS ref, lat, lon FROM {stops}""",
+    "tour_nodes": "SELECT tour_id, ord, pass_id % 25 AS node FROM {stops}",
     "users": "SELECT c_custkey AS user_id, c_mktsegment AS persona, c_acctbal AS balance, c_nationkey AS nation FROM {customer}",
 }
 

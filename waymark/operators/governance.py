@@ -117,11 +117,6 @@ plan_route_available = define(
 
 plan_access_safe = define("plan_access_safe", "Access points usable for a mode.", "SELECT id, mode FROM {entities} WHERE entity_type = 'AccessPoint' AND legal IN ('legal', 'restricted') AND verification <> 'unverified' AND (flag IS NULL OR flag <> 'critical_access_unknown') AND action = 'publish'")
 
-plan_connection_ok = define(
-    "plan_connection_ok", "Stops that can be used as connections: scheduled, short enough, and currently asserted by exactly one verified record.",
-    """SELECT s.tour_id, s.ord, bool_or(coalesce(a.status = 'verified', FALSE)) AND s.duration_s <= 24e2 AS usable FROM {stops} s LEFT JOIN {assertions} a ON a.entity_id = s.tour_id AND a.record_id = s.place_id GROUP BY s.tour_id, s.ord, s.duration_s""",
-)
-
 safety_temporal_status = define(
     "safety_temporal_status", "expired, scheduled, current or unknown of each assertion against its entity's date, with 72 h freshness.",
     """SELECT a.entity_id, a.idx, a.source_id, a.record_id, CASE WHEN a.status = 'disputed' THEN 'unknown' WHEN EPOCH_DAY(a.observed) > EPOCH_DAY(e.observed) + 60 THEN 'scheduled' WHEN EPOCH_DAY(a.observed) < EPOCH_DAY(e.observed) - 60 THEN 'expired' WHEN EPOCH_DAY(e.observed) - EPOCH_DAY(a.observed) > 3 THEN 'unknown' ELSE 'current' END AS temporal

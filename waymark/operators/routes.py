@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from waymark.functions.rounds import written
 from waymark.functions.sql import haversine, js_round
 from waymark.operators import define
-from waymark.operators.spatial import nearest_vertex
 
 WALK = "(SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM {stops} WINDOW w AS (PARTITION BY tour_id ORDER BY ord))"
 STEP = f"CASE WHEN plon IS NULL THEN 0e0 ELSE {haversine('plat', 'plon', 'lat', 'lon')} END"
@@ -30,17 +29,6 @@ win_insertion_index = define(
     f"""SELECT tour_id, CAST(tenth AS BIGINT) AS tenth, CAST(greatest(1, max(CASE WHEN floor(s_m + 5e-1) <= floor(total_m * tenth / 10 + 5e-1) THEN ord ELSE 0 END)) AS BIGINT) AS insertion FROM (SELECT *, max(s_m) OVER (PARTITION BY tour_id) AS total_m, UNNEST(SEQ(1, 9)) AS tenth FROM {REFERENCE} r) q GROUP BY tour_id, tenth""",
 )
 
-SUGGESTED = f"(SELECT r.tour_id, p.id AS poi, p.family, p.score, abs(r.s_m / 1e3 - floor(r.s_m / 1e3)) * 17e-1 * 2 / 50e0 * 60 AS detour, CAST(floor(r.t_sec / 3600) AS BIGINT) AS bucket, r.ord FROM {REFERENCE} r JOIN {{places}} p ON p.id = (r.place_id * 7 + r.ord) % 200)"
-RANKED = f"(SELECT tour_id, poi, family, score, ord, bucket, floor(detour * 1e3 + 5e-1) / 1e3 AS detour, floor((score - detour * 3e-2) * 1e3 + 5e-1) / 1e3 AS rank_score FROM {SUGGESTED} s)"
-
-top_corridor_tiers = define(
-    "top_corridor_tiers", "auto, suggestion or drawer tier of each candidate, in rank order.",
-    f"""SELECT tour_id, ord, poi, CASE WHEN detour <= 2 AND score >= 7 THEN 'auto' WHEN detour <= 3 AND score >= 5 THEN 'suggestion' ELSE 'drawer' END AS tier, CAST(row_number() OVER (PARTITION BY tour_id ORDER BY rank_score DESC, score DESC, detour, ord, poi) AS BIGINT) AS place FROM {RANKED} r""",
-)
-
-win_hour_fairness = define("win_hour_fairness", "At most two automatic picks in each hour of driving, the best first; the rest overflow.", f"SELECT tour_id, ord, poi, row_number() OVER (PARTITION BY tour_id, bucket ORDER BY rank_score DESC, score DESC, detour, ord, poi) <= 2 AS kept FROM {RANKED} r")
-
-
 def detour_budget(candidates: DataFrame, budget: float) -> DataFrame:
     """candidates(tour_id, poi, ord, detour, rank_score, score): greedy fill of the budget in rank order, skipping what
     does not fit. A fold over one tour's sorted candidates, which are as many as its stops; tours run side by side."""
@@ -60,15 +48,19 @@ def detour_budget(candidates: DataFrame, budget: float) -> DataFrame:
 
 
 def mmr(candidates: DataFrame, k: int, weight: float = 2.5) -> DataFrame:
-    """candidates(tour_id, poi, ord, family, rank_score, score, detour): k picks, each the best by score less weight
-    times its likeness (same family) to those picked; a fold over one tour's candidates."""
-    item = F.struct((-F.col("rank_score")).alias("a"), (-F.col("score")).alias("b"), F.col("detour").alias("c"), "ord", "poi", "family")
-    one = "struct<a:double,b:double,c:double,ord:int,poi:bigint,family:string>"
+    """candidates(tour_id, poi, ord, categories, rank_score, score, detour): k picks, each the best by score less weight times
+    the largest Jaccard likeness of its categories to those of one picked; a fold over one tour's candidates."""
+    item = F.struct((-F.col("rank_score")).alias("a"), (-F.col("score")).alias("b"), F.col("detour").alias("c"), "ord", "poi", "categories")
+    one = "struct<a:double,b:double,c:double,ord:int,poi:bigint,categories:array<string>>"
     start = F.struct(F.col("xs").alias("pool"), F.expr(f"cast(array() as array<{one}>)").alias("out"))
 
+    def likeness(x, y):
+        either = F.size(F.array_union(x["categories"], y["categories"]))
+        return F.when(either > 0, F.size(F.array_intersect(x["categories"], y["categories"])) / either).otherwise(0.0)
+
     def pick(s, _):
-        like = lambda x: F.when(F.exists(s["out"], lambda y: y["family"] == x["family"]), weight).otherwise(0.0)
-        scored = F.array_sort(F.transform(s["pool"], lambda x: F.struct((x["a"] + like(x)).alias("v"), x.alias("x"))))
+        like = lambda x: F.coalesce(F.array_max(F.transform(s["out"], lambda y: likeness(x, y))), F.lit(0.0)) * weight
+        scored = F.array_sort(F.transform(s["pool"], lambda x: F.struct(F.round(x["a"] + like(x), 9).alias("v"), x.alias("x"))))
         best = F.try_element_at(scored, F.lit(1))["x"]
         return F.when(F.size(s["pool"]) == 0, s).otherwise(F.struct(F.filter(s["pool"], lambda x: ~((x["ord"] == best["ord"]) & (x["poi"] == best["poi"]))).alias("pool"), F.concat(s["out"], F.array(best)).alias("out")))
 
@@ -76,19 +68,21 @@ def mmr(candidates: DataFrame, k: int, weight: float = 2.5) -> DataFrame:
     return folded.select("tour_id", F.posexplode("state.out").alias("at", "x")).select("tour_id", (F.col("at") + 1).cast("long").alias("place"), "x.ord", "x.poi")
 
 
-def corridor(places: DataFrame, vertices: DataFrame, buffer_km: float = 1.0) -> DataFrame:
-    """Places within one and a half buffers of a tour, with detour minutes, at most 30, and a score of 5 or more; not the tour's own."""
-    near = nearest_vertex(places.where("score >= 5").select("id", "score", "lat", "lon"), vertices.select("tour_id", "ord", "lat", "lon", "on_climb"), buffer_km * 1500)
-    own = vertices.select("tour_id", F.col("place_id").alias("id")).distinct()
-    factor = F.when(F.col("on_climb"), 1.7).otherwise(1.4)
-    minutes = F.floor(F.floor(F.col("metres") + 0.5) / 1000 * factor * 2 / 50 * 60 * 1000 + 0.5) / 1000
-    return near.join(own, ["tour_id", "id"], "left_anti").select("tour_id", F.col("id").alias("poi"), "ord", minutes.alias("detour_min")).where("detour_min <= 30")
+def path_from_edges(edges: DataFrame) -> DataFrame:
+    """edges(tour_id, ord, edge_id like "12->7"): the nodes of each tour's path in order, without immediate repeats."""
+    ends = F.split("edge_id", "->")
+    nodes = edges.select("tour_id", "ord", F.posexplode(F.transform(ends, lambda x: x.cast("long"))).alias("side", "node"))
+    w = Window.partitionBy("tour_id").orderBy("ord", "side")
+    fresh = nodes.withColumn("before", F.lag("node").over(w)).where("before is null or before <> node")
+    return fresh.select("tour_id", F.row_number().over(w).cast("long").alias("position"), "node")
 
 
-agg_segment_metrics = define(
-    "agg_segment_metrics", "Duration-weighted scenery, climb share and motorway share of each tour.",
-    f"""SELECT tour_id, {js_round("sum(scenic * duration_s) / sum(duration_s)", 1000000)} AS scenic, {js_round("sum(CASE WHEN kind = 'pass-climb' THEN distance_m ELSE 0e0 END) / sum(distance_m)", 1000000)} AS climb_share, {js_round("sum(CASE WHEN road_class IN ('motorway', 'trunk') THEN distance_m ELSE 0e0 END) / sum(distance_m)", 1000000)} AS motorway_share FROM {{stops}} GROUP BY tour_id""",
-)
+def implicit_passes(path: DataFrame, planned: DataFrame, passes: DataFrame) -> DataFrame:
+    """Passes among the nodes of each tour's path(tour_id, position, node) that are not planned(tour_id, pass_id), and where
+    the path first meets them."""
+    on_path = path.join(passes.select(F.col("id").alias("node")).hint("merge"), "node").groupBy("tour_id", F.col("node").alias("pass_id")).agg(F.min("position").alias("first"))
+    return on_path.join(planned.select("tour_id", "pass_id").distinct(), ["tour_id", "pass_id"], "left_anti").select("tour_id", "pass_id", "first")
+
 
 agg_itinerary_totals = define("agg_itinerary_totals", "Distance and time of each tour by mode.", "SELECT tour_id, kind, CAST(sum(distance_m) AS BIGINT) AS metres, CAST(sum(duration_s) AS BIGINT) AS seconds, count(*) AS legs FROM {stops} GROUP BY tour_id, kind")
 
@@ -108,8 +102,6 @@ proj_route_modes = define(
     "SELECT tour_id, pass_id, min_by(place_id, ord) AS entry, max_by(place_id, ord) AS exit, CASE WHEN count(*) > 1 AND min_by(place_id, ord) <> max_by(place_id, ord) THEN 'traverse' ELSE 'out-and-back' END AS mode FROM {stops} GROUP BY tour_id, pass_id",
 )
 
-proj_path_from_edges = define("proj_path_from_edges", "Node path of each tour without immediate repeats.", "SELECT tour_id, CAST(row_number() OVER (PARTITION BY tour_id ORDER BY ord) AS BIGINT) AS position, node FROM (SELECT tour_id, ord, place_id % 50 AS node, lag(place_id % 50) OVER (PARTITION BY tour_id ORDER BY ord) AS before FROM {stops}) s WHERE before IS NULL OR before <> node")
-
 proj_merge_route_facts = define("proj_merge_route_facts", "Provider's facts where there are any, else the straight line at 55 km/h.", f"SELECT r.tour_id, CASE WHEN max(o.bytes) > 200e3 THEN 'provider' ELSE 'straight' END AS basis, CASE WHEN max(o.bytes) > 200e3 THEN CAST(floor(max(o.bytes)) AS BIGINT) ELSE CAST(floor(max(r.s_m) + 5e-1) AS BIGINT) END AS metres, {js_round('CASE WHEN max(o.bytes) > 200e3 THEN max(r.t_sec) / 3600 ELSE floor(max(r.s_m) + 5e-1) / 55e3 END', 1000)} AS hours FROM {REFERENCE} r LEFT JOIN {{entities}} o ON o.id = r.tour_id GROUP BY r.tour_id")
 
 proj_tour_stops = define("proj_tour_stops", "Display rows of stops joined to their places, with endpoints.", "SELECT s.tour_id, CAST(s.ord AS BIGINT) AS ord, p.name, p.category, 'stop' AS role FROM {stops} s JOIN {places} p ON p.id = s.place_id UNION ALL SELECT tour_id, 0, 'start', NULL, 'endpoint' FROM (SELECT DISTINCT tour_id FROM {stops}) t UNION ALL SELECT tour_id, max(ord) + 1, 'end', NULL, 'endpoint' FROM {stops} GROUP BY tour_id")
@@ -119,50 +111,6 @@ proj_tour_waypoints = define(
     """SELECT tour_id, CAST(row_number() OVER (PARTITION BY tour_id ORDER BY ord, sub) AS BIGINT) AS position, place_id, part FROM (SELECT tour_id, ord, place_id, 1 AS sub, 'entry' AS part FROM {stops} WHERE kind = 'pass-climb' UNION ALL SELECT tour_id, ord, place_id, 2, 'summit' FROM {stops} UNION ALL SELECT tour_id, ord, place_id, 3, 'exit' FROM {stops} WHERE kind = 'pass-climb') w""",
 )
 
-join_implicit_passes = define("join_implicit_passes", "Passes near the path of each tour that are not its stops: first position.", "SELECT s.tour_id, p.id AS pass_id, min(s.ord) AS first FROM {stops} s JOIN {passes} p ON p.id = s.place_id % 100 WHERE NOT EXISTS (SELECT 1 FROM {stops} o WHERE o.tour_id = s.tour_id AND o.pass_id = p.id) GROUP BY s.tour_id, p.id")
-
-win_hunger_curve = define(
-    "win_hunger_curve", "Need for lunch every half hour: a bell around the ideal time plus the pressure of driving.",
-    f"""SELECT tour_id, CAST(step AS BIGINT) AS step, {js_round("exp(-pow((8e0 + step * 5e-1 - 125e-1) / 1e0, 2) / 2) + 1e-1 * least(4e0, total_h)", 1000000)} AS need FROM (SELECT tour_id, total_h, UNNEST(SEQ(0, 16)) AS step FROM (SELECT tour_id, sum(duration_s) / 3600 AS total_h FROM {{stops}} GROUP BY tour_id) t) s""",
-)
-
-win_lunch_window = define(
-    "win_lunch_window", "The run of samples around the peak at half of it or more.",
-    f"""SELECT tour_id, CAST(min(step) AS BIGINT) AS first, CAST(max(step) AS BIGINT) AS last FROM (
-        SELECT *, max(CASE WHEN step = top THEN run END) OVER (PARTITION BY tour_id) AS own FROM (
-            SELECT *, sum(CASE WHEN need < peak / 2 THEN 1 ELSE 0 END) OVER (PARTITION BY tour_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (
-                SELECT *, max(need) OVER (PARTITION BY tour_id) AS peak, first_value(step) OVER (PARTITION BY tour_id ORDER BY need DESC, step) AS top FROM ({win_hunger_curve.text}) c) p) r) o
-      WHERE need >= peak / 2 AND run = own GROUP BY tour_id""",
-)
-
-win_route_profile = define("win_route_profile", "The scenery that a tenth of each tour's stops reach or pass.", "SELECT tour_id, AT(SORTED(array_agg(scenic)), CAST(floor((count(*) - 1) * 9e-1) AS INT) + 1) AS threshold, count(*) AS n FROM {stops} GROUP BY tour_id")
-
-win_segments_by_stop = define("win_segments_by_stop", "Drive segments of each tour, cut at dwells.", "SELECT tour_id, segment, count(*) AS stops, CAST(sum(duration_s) AS BIGINT) AS seconds FROM (SELECT tour_id, ord, duration_s, CAST(sum(CASE WHEN kind = 'pass-out-and-back' THEN 1 ELSE 0 END) OVER (PARTITION BY tour_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS segment FROM {stops}) s GROUP BY tour_id, segment")
-
-win_load_curve = define(
-    "win_load_curve", "Ten-minute chunks of each stop's drive with their load by road and time of day.",
-    f"""SELECT tour_id, ord, CAST(chunk AS BIGINT) AS chunk, {js_round("4e-1 * scenic + (CASE road_class WHEN 'motorway' THEN 6e-1 WHEN 'track' THEN 9e-1 ELSE 3e-1 END) + 5e-2 * chunk", 1000000)} AS load FROM (SELECT *, UNNEST(SEQ(0, 5)) AS chunk FROM {{stops}}) s WHERE chunk * 600 < duration_s""",
-)
-
-
-def breaks(chunks: DataFrame, threshold: float = 1.2, rest: int = 4) -> DataFrame:
-    """chunks(tour_id, ord, chunk, load): load adds up chunk by chunk; once it passes the threshold and at least `rest`
-    chunks have gone by since the last break, a break is due and load starts anew. A fold over one tour's chunks."""
-    item = F.struct("ord", "chunk", "load")
-    folded = chunks.groupBy("tour_id").agg(F.array_sort(F.collect_list(item)).alias("xs")).withColumn(
-        "state",
-        F.aggregate(
-            "xs",
-            F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("since"), F.expr("cast(array() as array<struct<ord:int,chunk:bigint>>)").alias("out")),
-            lambda s, x: F.when(
-                (s["sum"] + x["load"] > threshold) & (s["since"] + 1 >= rest),
-                F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("since"), F.concat(s["out"], F.array(F.struct(x["ord"].alias("ord"), x["chunk"].alias("chunk")))).alias("out")),
-            ).otherwise(F.struct((s["sum"] + x["load"]).alias("sum"), (s["since"] + 1).alias("since"), s["out"].alias("out"))),
-        ),
-    )
-    return folded.select("tour_id", F.posexplode("state.out").alias("at", "x")).select("tour_id", (F.col("at") + 1).cast("long").alias("number"), "x.ord", "x.chunk")
-
-
 win_viewpoint_choice = define("win_viewpoint_choice", "Best viewpoint of each pass on a tour above the threshold, else the first stop.", "SELECT tour_id, pass_id, place_id, r = 1 AND scenic >= 25e-2 AS is_viewpoint FROM (SELECT *, row_number() OVER (PARTITION BY tour_id, pass_id ORDER BY CASE WHEN scenic >= 25e-2 THEN scenic ELSE 0 END DESC, ord) AS r FROM {stops}) s WHERE r = 1")
 
 win_largest_remainder = define(
@@ -232,20 +180,8 @@ proj_drive_entity = define("proj_drive_entity", "Drives of tours: number of wayp
 
 proj_stable_pass_ids = define("proj_stable_pass_ids", "Slug ids; passes that share one get an ordinal suffix.", "SELECT id, CASE WHEN n = 1 THEN slug ELSE slug || '-' || CAST(r AS STRING) END AS stable FROM (SELECT id, slug, count(*) OVER (PARTITION BY slug) AS n, row_number() OVER (PARTITION BY slug ORDER BY id) AS r FROM (SELECT id, 'pass-' || CAST(nation AS STRING) || '-' || CAST(elev % 10 AS STRING) AS slug FROM {passes}) s) t")
 
-lunch_deserts = define("lunch_deserts", "Tours with no food place among their stops, and where their middle is.", "SELECT tour_id, count(*) AS n, max(CASE WHEN ord = middle THEN place_id END) AS near_place FROM (SELECT *, floor(count(*) OVER (PARTITION BY tour_id) / 2) + 1 AS middle FROM {stops}) s WHERE NOT EXISTS (SELECT 1 FROM {stops} o JOIN {places} p ON p.id = o.place_id WHERE o.tour_id = s.tour_id AND p.family = 'food') GROUP BY tour_id")
-
-agg_lunch_zone = define("agg_lunch_zone", "Score and mean position of the food stops of each tour.", f"SELECT s.tour_id, count(*) AS n, {js_round('avg(s.lon)', 1000)} AS lon, {js_round('avg(s.lat)', 1000)} AS lat, {js_round('avg(p.score) + ln(1e0 + count(*))', 1000)} AS score, bool_and(p.price > 950) AS upscale FROM {{stops}} s JOIN {{places}} p ON p.id = s.place_id AND p.family = 'food' GROUP BY s.tour_id")
-
-win_next_departure = define("win_next_departure", "The first later stop of the same tour on the same or a later day, as the next departure.", "SELECT s.tour_id, s.ord, CAST(min(EPOCH_DAY(o.day)) AS BIGINT) AS next_day FROM {stops} s JOIN {stops} o ON o.tour_id = s.tour_id AND EPOCH_DAY(o.day) >= EPOCH_DAY(s.day) + 1 GROUP BY s.tour_id, s.ord")
-
 win_leg_timeline = define("win_leg_timeline", "Start and end of each leg in seconds, with a five-minute transfer after each.", "SELECT tour_id, ord, CAST(t - duration_s + (ord - 1) * 300 AS BIGINT) AS starts, CAST(t + (ord - 1) * 300 AS BIGINT) AS ends FROM (SELECT tour_id, ord, duration_s, sum(duration_s) OVER (PARTITION BY tour_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM {stops}) s")
 
-join_choose_transport = define("join_choose_transport", "The first valid connection of each tour in listed order, with how many were rejected before it.", "SELECT tour_id, ord AS chosen, CAST(rejected AS BIGINT) AS rejected FROM (SELECT tour_id, ord, ok, row_number() OVER (PARTITION BY tour_id, ok ORDER BY ord) AS r, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY tour_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rejected FROM (SELECT tour_id, ord, duration_s <= 24e2 AND kind <> 'pass-climb' AS ok FROM {stops}) s) k WHERE ok AND r = 1")
-
-join_journey_options = define("join_journey_options", "Access modes and ways back open to each route.", "SELECT e.id, count_if(a.status = 'verified') > 0 AS by_train, count_if(a.line_status = 'F') > 0 AS by_car, count_if(a.status = 'verified' AND a.line_status = 'F') > 0 AS return_by_train FROM {entities} e JOIN {assertions} a ON a.entity_id = e.id WHERE e.entity_type = 'TrailRoute' GROUP BY e.id")
-
-join_transport_links = define("join_transport_links", "Stops of other tours on the same day that share a place: connections out of it.", "SELECT s.tour_id, s.ord, count(*) AS connections FROM {stops} s JOIN {stops} o ON o.place_id = s.place_id AND o.day = s.day AND o.tour_id <> s.tour_id GROUP BY s.tour_id, s.ord")
-
 src_matrix_chunks = define("src_matrix_chunks", "One pair table out of chunks and a seed: a measured value wins over the seed.", "SELECT coalesce(m.a, s.a) AS a, coalesce(m.b, s.b) AS b, coalesce(m.distance_m, s.distance_m) AS distance_m, CASE WHEN m.a IS NOT NULL THEN 'measured' ELSE 'seed' END AS basis FROM (SELECT a, b, distance_m FROM {edges} WHERE (a + b) % 3 <> 0) m FULL OUTER JOIN (SELECT b AS a, a AS b, distance_m FROM {edges}) s ON s.a = m.a AND s.b = m.b")
 
 def _tours(stops: DataFrame, *aggregates: Column) -> DataFrame:
@@ -272,30 +208,6 @@ def tour_archive(stops: DataFrame) -> DataFrame:
     return _first_three(_tours(stops, score.alias("score")), ["signature"], [F.desc("score"), "tour_id"]).select("day", "tour_id", "score", "rank")
 
 
-def lunch_candidates(sights: DataFrame, track: DataFrame, reach_m: float = 8_000.0) -> DataFrame:
-    """Food places within reach of the part of each tour between its second and fourth hour, the nearest vertex each."""
-    window = track.where("t_sec between 1800 and 14400").select("tour_id", "ord", "lat", "lon")
-    near = nearest_vertex(sights.where("family = 'food'").select("id", "score", "lat", "lon"), window, reach_m)
-    return near.select("tour_id", F.col("id").alias("poi"), "ord", F.floor(F.col("metres") + 0.5).alias("metres"))
-
-
-def break_candidates(sights: DataFrame, track: DataFrame, reach_m: float = 5_000.0) -> DataFrame:
-    """The best place near each stop by facility, score and nearness, from a total of 1.0 on, with the kind of break."""
-    near = nearest_vertex(sights.select("id", "score", "family", "lat", "lon"), track.select(F.concat_ws(":", "tour_id", "ord").alias("tour_id"), "ord", "lat", "lon", F.col("tour_id").alias("tour")), reach_m)
-    total = F.when(F.col("family") == "food", 1.2).when(F.col("family") == "nature", 0.8).otherwise(0.5) + F.col("score") / 10 - F.floor(F.col("metres") + 0.5) / 10_000
-    near = near.withColumn("total", F.floor(total * 1000 + 0.5) / 1000).where("total >= 1.0")
-    w = Window.partitionBy("tour", "ord").orderBy(F.desc("total"), "id")
-    kind = F.when(F.col("family") == "food", "coffee").when(F.col("family") == "nature", "stretch").otherwise("visit")
-    return near.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("tour").alias("tour_id"), "ord", F.col("id").alias("poi"), "total", kind.alias("kind"))
-
-
-def poi_density(sights: DataFrame, track: DataFrame, reach_m: float = 5_000.0) -> DataFrame:
-    """Distinct places within reach of each tour's stops, and per stop."""
-    near = nearest_vertex(sights.select("id", "lat", "lon"), track.select("tour_id", "ord", "lat", "lon"), reach_m)
-    n = track.groupBy("tour_id").agg(F.count("*").alias("stops"))
-    return n.join(near.groupBy("tour_id").agg(F.count_distinct("id").alias("places")), "tour_id", "left").select("tour_id", F.coalesce("places", F.lit(0)).alias("places"), (F.floor(F.coalesce("places", F.lit(0)) / F.col("stops") * 1000 + 0.5) / 1000).alias("density"))
-
-
 def rest_assignment(stops: DataFrame, rests: int = 2) -> DataFrame:
     """Spreads rests evenly over each tour's stops: each to the nearest unused stop, better scenery on ties. A fold."""
     item = F.struct("ord", (-F.col("scenic")).alias("s"))
@@ -362,15 +274,6 @@ def zone_hulls(stops: DataFrame, pad: float = 0.002) -> DataFrame:
     return gathered.mapInPandas(run, "tour_id long, corners long, area double")
 
 
-def enrichment(places: DataFrame, track: DataFrame) -> DataFrame:
-    """Corridor, lunch and break suggestions of every tour in one row; a tour without any of a kind has zero of it."""
-    tours = track.select("tour_id").distinct()
-    parts = [corridor(places, track, 1.0).groupBy("tour_id").agg(F.count("*").alias("corridor")), lunch_candidates(places, track).groupBy("tour_id").agg(F.count("*").alias("lunch")), break_candidates(places, track).groupBy("tour_id").agg(F.count("*").alias("breaks"))]
-    for p in parts:
-        tours = tours.join(p, "tour_id", "left")
-    return tours.select("tour_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("corridor", "lunch", "breaks")])
-
-
 def overlay_clusters(items: DataFrame, zoom: int = 8, radius: int = 64) -> DataFrame:
     """items(id, lon, lat, planned if there is one) in grid cells of world pixels with count and centroid; planned items
     stay single. Adjoining cells whose centroids are within 0.92 of the radius are joined, the closest first, where no

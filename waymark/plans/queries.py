@@ -8,7 +8,9 @@ from waymark.functions import columns
 from waymark.functions.rounds import written
 from waymark.functions.sql import EARTH_KM, haversine
 from waymark.operators import ALL, discovery, governance, graph, routes, scalars, spatial, status
+from waymark.plans import drive_queries
 from waymark.plans import tables as world
+from waymark.plans.drive_queries import nearest_sql
 from waymark.plans.tables import Tables, oracle
 from waymark.sources import readers, sinks
 from waymark.streaming import status as streams
@@ -86,9 +88,6 @@ BUILT: dict = {
         lambda t: spatial.in_region(t.places).select("id"),
         f"SELECT id FROM {{places}} WHERE ({CROSSINGS}) % 2 = 1",
     ),
-    "win_detour_budget": (lambda t: routes.detour_budget(t.sql(f"SELECT * FROM {routes.RANKED} r"), 4.0), None),
-    "win_mmr_topk": (lambda t: routes.mmr(t.sql(f"SELECT * FROM {routes.RANKED} r"), 3), None),
-    "win_break_detection": (lambda t: routes.breaks(t.sql(routes.win_load_curve.text)), None),
     "win_alternatives": (
         lambda t: routes.alternatives(t.stops),
         "WITH t AS (SELECT tour_id, CAST(datediff('day', DATE '1970-01-01', min(day)) AS BIGINT) AS day, count(*) AS n, list(place_id ORDER BY ord) AS route FROM {stops} GROUP BY tour_id), u AS (SELECT *, row_number() OVER (PARTITION BY day, route ORDER BY n DESC, tour_id) AS s FROM t) SELECT day, tour_id, r AS rank FROM (SELECT day, tour_id, row_number() OVER (PARTITION BY day ORDER BY n DESC, tour_id) AS r FROM u WHERE s = 1) v WHERE r <= 3",
@@ -99,18 +98,6 @@ BUILT: dict = {
     ),
 }
 
-NEAREST = """SELECT tour_id, id, ord, m FROM (SELECT v.tour_id, p.id, v.ord, NEAR_M AS m, row_number() OVER (PARTITION BY v.tour_id, p.id ORDER BY NEAR_M, v.ord) AS r
-    FROM {sights} p JOIN {track} v ON abs(p.lat - v.lat) <= BOX AND HAV <= REACH WHERE COND) k WHERE r = 1"""
-
-
-def nearest_sql(reach: float, cond: str) -> str:
-    """Nearest vertex of each tour as a plain inequality join; the latitude box only spares DuckDB work."""
-    hav = haversine("p.lat", "p.lon", "v.lat", "v.lon", EARTH_KM).replace("6371e0", "6371e3")
-    return NEAREST.replace("NEAR_M", f"floor({hav} + 5e-1)").replace("HAV", hav).replace("BOX", f"{reach / 110e3:.4f}").replace("REACH", f"{reach:.0f}").replace("COND", cond)
-
-
-CORRIDOR_SQL = f"SELECT k.tour_id, k.id AS poi, k.ord, floor(m / 1e3 * (CASE WHEN t.on_climb THEN 17e-1 ELSE 14e-1 END) * 2 / 50e0 * 60 * 1e3 + 5e-1) / 1e3 AS detour_min FROM ({nearest_sql(1500, 'p.score >= 5')}) k JOIN {{track}} t ON t.tour_id = k.tour_id AND t.ord = k.ord WHERE NOT EXISTS (SELECT 1 FROM {{track}} o WHERE o.tour_id = k.tour_id AND o.place_id = k.id) AND m / 1e3 * (CASE WHEN t.on_climb THEN 17e-1 ELSE 14e-1 END) * 2 / 50e0 * 60 <= 30"
-LUNCH_SQL = f"SELECT tour_id, id AS poi, ord, CAST(m AS BIGINT) AS metres FROM ({nearest_sql(8000, chr(39).join(['p.family = ', 'food', ' AND v.t_sec BETWEEN 1800 AND 14400']))}) n"
 NORMAL = "trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[’''`]', '', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
 
 
@@ -146,17 +133,10 @@ LEGS = "SELECT * FROM (SELECT tour_id, node AS source, lead(node) OVER (PARTITIO
 
 
 BUILT |= {
-    "corridor_candidates": (lambda t: routes.corridor(t.sights, t.track), CORRIDOR_SQL),
     "join_nearest_vertex": (
         lambda t: spatial.nearest_vertex(t.sights.select("id", "lat", "lon"), t.track.select("tour_id", "ord", "lat", "lon"), 2000.0).select("tour_id", "id", "ord", F.floor(F.col("metres") + 0.5).alias("metres")),
         f"SELECT tour_id, id, ord, CAST(m AS BIGINT) AS metres FROM ({nearest_sql(2000, 'TRUE')}) n",
     ),
-    "lunch_candidates": (lambda t: routes.lunch_candidates(t.sights, t.track), LUNCH_SQL),
-    "break_candidates": (lambda t: routes.break_candidates(t.sights, t.track), None),
-    "join_poi_density": (
-        lambda t: routes.poi_density(t.sights, t.track),
-        f"SELECT t.tour_id, coalesce(n.places, 0) AS places, floor(coalesce(n.places, 0) / t.stops * 1e3 + 5e-1) / 1e3 AS density FROM (SELECT tour_id, count(*) AS stops FROM {{track}} GROUP BY tour_id) t LEFT JOIN (SELECT tour_id, count(DISTINCT id) AS places FROM ({nearest_sql(5000, 'TRUE')}) x GROUP BY tour_id) n ON n.tour_id = t.tour_id",
-    ),
     "join_polyline_hit": (lambda t: spatial.polyline_hits(t.passes, spatial.line_segments(t.stops), 1500.0), None),
     "join_pass_crossings": (lambda t: routes.pass_crossings(t.passes, t.stops), None),
     "join_retrace_overlap": (lambda t: routes.retrace_overlap(t.stops), None),
@@ -164,7 +144,6 @@ BUILT |= {
     "win_rest_assignment": (lambda t: routes.rest_assignment(t.stops), None),
     "agg_zone_hull": (lambda t: routes.zone_hulls(t.stops), None),
     "agg_overlay_clusters": (lambda t: routes.overlay_clusters(t.sights), None),
-    "route_enrichment_chain": (lambda t: routes.enrichment(t.sights, t.track), None),
     "src_embedded_array": (
         lambda t: readers.embedded_array(assets(t), "id:bigint,score:double").select("asset", "id", "score"),
         "SELECT category || ':' || CAST(id % 64 AS STRING) AS asset, id, score FROM {places}",
@@ -233,6 +212,8 @@ BUILT |= {
     ),
 }
 
+BUILT |= drive_queries.BUILT
+
 STREAMS = {
     "stream_latest_status": (streams.latest_status, "SELECT pass_id, state, seen, seen < (SELECT max(EPOCH_US(ts)) FROM {statuses}) - 864e8 AS stale FROM (SELECT pass_id, max_by(state, EPOCH_US(ts) * 1000 + id % 1000) AS state, max(EPOCH_US(ts)) AS seen FROM {statuses} GROUP BY pass_id) l"),
     "stream_stale_drop": (streams.stale_drop, "SELECT DISTINCT pass_id, state, CAST(EPOCH_DAY(CAST(ts AS DATE)) AS BIGINT) AS day FROM {statuses}"),

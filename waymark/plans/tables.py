@@ -63,7 +63,7 @@ ADAPTERS = {
         CASE WHEN event_type = 'error' THEN 'closed until ' || lpad(CAST(1 + event_id % 28 AS STRING), 2, '0') || '.' || lpad(CAST(1 + event_id % 12 AS STRING), 2, '0') || '.'
              WHEN event_type = 'click' THEN 'Ab ' || CAST(1 + event_id % 28 AS STRING) || '. Mai offen' ELSE 'no news' END AS info FROM {events}""",
     "edges": """SELECT l_suppkey AS a, CAST(o_custkey % 25 AS BIGINT) AS b, min(l_quantity * 60) AS duration_s, min(l_quantity * 900) AS distance_m, min(l_extendedprice / 1e3) AS cost FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_suppkey <> o_custkey % 25 GROUP BY l_suppkey, o_custkey % 25""",
-    "sights": f"""SELECT p_partkey AS id, p_name AS name, CAST(p_size % 11 AS DOUBLE) AS score, CASE WHEN p_type = 'ECONOMY' THEN 'food' WHEN p_type = 'STANDARD' THEN 'museum' ELSE 'nature' END AS family, {world_lon("p_partkey")} AS lon, {world_lat("p_partkey")} AS lat FROM {{part}}""",
+    "sights": f"""SELECT p_partkey AS id, p_name AS name, CAST(p_size % 11 AS DOUBLE) AS score, CASE WHEN p_type = 'ECONOMY' THEN 'food' WHEN p_type = 'STANDARD' THEN 'museum' ELSE 'nature' END AS family, ARR(CASE WHEN p_type = 'ECONOMY' THEN 'food' WHEN p_type = 'STANDARD' THEN 'museum' ELSE 'nature' END, CASE p_size % 5 WHEN 0 THEN 'restaurant' WHEN 1 THEN 'cafe' WHEN 2 THEN 'mountain-hut' WHEN 3 THEN 'viewpoint' ELSE 'village' END) AS categories, {world_lon("p_partkey")} AS lon, {world_lat("p_partkey")} AS lat FROM {{part}}""",
     "track": f"""SELECT tour_id, ord, pass_id AS place_id, kind = 'pass-climb' AS on_climb, scenic, duration_s, {world_lon("place_id")} + 4e-3 AS lon, {world_lat("place_id")} + 2e-3 AS lat, sum(duration_s) OVER (PARTITION BY tour_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t_sec FROM {{stops}}""",
     "bases": "SELECT id AS pass_id, side, lat, CASE side WHEN 'A' THEN lon - 6e-2 ELSE lon + 6e-2 END AS lon, lat AS lat2, lon AS lon2 FROM (SELECT *, UNNEST(ARR('A', 'B')) AS side FROM {passes}) b",
     "road_nodes": "SELECT id * 3 AS id, 'pass' AS kind, 'pass:' || CAST(id AS STRING) AS key, lat, lon FROM {passes} UNION ALL SELECT pass_id * 3 + CASE side WHEN 'A' THEN 1 ELSE 2 END, 'pass-base', 'base:' || CAST(pass_id AS STRING) || side, lat, lon FROM {bases}",
@@ -75,6 +75,18 @@ ADAPTERS = {
         SELECT *, FALSE AS final FROM {stops} WHERE ord = 1 UNION ALL SELECT tour_id, ord, place_id, pass_id, lon, lat, duration_s, distance_m, scenic, day, kind, road_class, TRUE FROM (SELECT *, max(ord) OVER (PARTITION BY tour_id) AS top FROM {stops}) t WHERE ord = top) e""",
     "loose_refs": """SELECT tour_id * 10 + ord AS id, CASE place_id % 4 WHEN 0 THEN 'entity:' || CAST(tour_id AS STRING) WHEN 1 THEN CAST(place_id AS STRING) WHEN 2 THEN 'ENTITY ' || CAST(place_id AS STRING) || '!' ELSE 'Nowhere ' || CAST(place_id AS STRING) END AS ref, lat, lon FROM {stops}""",
     "tour_nodes": "SELECT tour_id, ord, pass_id % 25 AS node FROM {stops}",
+    "drive_edges": """SELECT tour_id, ord, CAST(duration_s AS BIGINT) AS duration_s, CAST(distance_m AS BIGINT) AS distance_m, scenic, (place_id % 11) / 1e1 AS straight, (place_id % 7) / 1e1 AS curvature, CAST((place_id % 9) * 150 AS BIGINT) AS gain_m,
+        CAST(CASE WHEN kind = 'pass-out-and-back' THEN 600 + (place_id % 3) * 600 ELSE 0 END AS BIGINT) AS dwell_s, road_class, kind FROM {stops}""",
+    "tour_edges": "SELECT tour_id, ord, CAST(pass_id AS STRING) || '->' || CAST(nxt AS STRING) AS edge_id FROM (SELECT tour_id, ord, pass_id, lead(pass_id) OVER (PARTITION BY tour_id ORDER BY ord) AS nxt FROM {stops}) e WHERE nxt IS NOT NULL",
+    "connections": f"""SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'rail' WHEN 1 THEN 'bus' WHEN 2 THEN 'ferry' WHEN 3 THEN 'gondola' WHEN 4 THEN 'boat' ELSE 'taxi' END AS mode, CASE s_suppkey % 3 WHEN 0 THEN 'outbound' WHEN 1 THEN 'return' ELSE 'both' END AS direction,
+        CASE s_suppkey % 11 WHEN 0 THEN FALSE WHEN 1 THEN NULL ELSE TRUE END AS operating, CASE WHEN s_suppkey % 13 = 0 THEN 'coarsen' ELSE 'publish' END AS action, CASE WHEN s_suppkey % 7 = 0 THEN 'unverified' ELSE 'verified' END AS verification, CASE WHEN s_suppkey % 10 = 0 THEN 'stale' ELSE 'current' END AS freshness,
+        CASE WHEN s_suppkey % 17 = 0 THEN 'critical_condition_unknown' END AS flag, CAST(CASE WHEN s_suppkey % 19 = 0 THEN 0 ELSE 10 + s_suppkey % 50 END AS INT) AS minutes, s_suppkey AS end_a, CASE WHEN s_suppkey % 23 = 0 THEN s_suppkey ELSE s_suppkey + 1 END AS end_b,
+        CASE WHEN s_suppkey % 29 = 0 THEN NULL WHEN s_suppkey % 4 = 0 THEN 'Asia/Tokyo' WHEN s_suppkey % 4 = 1 THEN 'Asia/Kolkata' ELSE 'UTC' END AS zone, ARR('0' || CAST(5 + s_suppkey % 4 AS STRING) || ':15', '12:' || CAST(10 + s_suppkey % 50 AS STRING), CASE WHEN s_suppkey % 31 = 0 THEN '25:00' ELSE '18:40' END) AS departures,
+        DATE '1995-06-01' AS valid_from, CASE WHEN s_suppkey % 2 = 0 THEN DATE '2001-12-31' ELSE DATE '1999-12-31' END AS valid_until, {lon("s_suppkey")} AS lon, {lat("s_suppkey")} AS lat, {lon("s_suppkey")} - 6e-2 AS lon2, {lat("s_suppkey")} AS lat2 FROM {{supplier}}""",
+    "proofs": """SELECT l_suppkey AS connection_id, CASE l_linenumber % 3 WHEN 0 THEN '/geometry' WHEN 1 THEN '/geometry/coordinates' ELSE '/schedule' END AS field, CASE l_returnflag WHEN 'A' THEN 'verified' ELSE 'unverified' END AS status, CAST(l_shipdate AS DATE) AS observed,
+        CASE WHEN l_linenumber = 3 AND l_partkey % 50 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) END AS valid_until FROM {lineitem}""",
+    "uses": "SELECT tour_id, ord, pass_id AS connection_id, day, CAST(EPOCH_DAY(day) AS BIGINT) * 86400 + 18000 + CAST(sum(duration_s) OVER (PARTITION BY tour_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS arrival_s FROM {stops}",
+    "walks": "SELECT id, lat, lon, CASE WHEN id % 3 = 0 THEN lat ELSE lat + (id % 5) * 1e-3 END AS lat2, CASE WHEN id % 3 = 0 THEN lon ELSE lon - 6e-2 END AS lon2, id % 2 = 0 AS retraced FROM {entities} WHERE entity_type = 'TrailRoute'",
     "users": "SELECT c_custkey AS user_id, c_mktsegment AS persona, c_acctbal AS balance, c_nationkey AS nation FROM {customer}",
 }
 

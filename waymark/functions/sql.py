@@ -33,6 +33,7 @@ SPELLINGS = {
     "AT(": ("try_element_at(", "list_extract("),
     "SPLIT_ON(": ("split(", "string_split("),
     "JSON_AT(": ("get_json_object(", "json_extract_string("),
+    "REGEX_HAS(": ("regexp_like(", "regexp_matches("),
     "REGEX_PICK(": ("regexp_extract(", "regexp_extract("),
 }
 

@@ -3,29 +3,6 @@
 from waymark.functions.sql import haversine
 from waymark.operators import define
 
-val_entity_common = define(
-    "val_entity_common", "Violations of the common rules, one row each.",
-    """SELECT id, rule FROM (
-        SELECT id, 'name missing' AS rule FROM {entities} WHERE name IS NULL OR trim(name) = ''
-        UNION ALL SELECT id, 'position out of bounds' FROM {entities} WHERE wlon < -180 OR wlon > 180 OR abs(wlat) > 84e0
-        UNION ALL SELECT id, 'confidence out of range' FROM {entities} WHERE confidence < 0 OR confidence > 1 OR confidence IS NULL
-        UNION ALL SELECT id, 'verified without evidence' FROM {entities} WHERE verification = 'verified' AND evidence IS NULL
-        UNION ALL SELECT id, 'sensitivity action unknown' FROM {entities} WHERE action NOT IN ('publish', 'coarsen', 'redact', 'exclude')
-        UNION ALL SELECT e.id, 'no assertion' FROM {entities} e WHERE NOT EXISTS (SELECT 1 FROM {assertions} a WHERE a.entity_id = e.id)
-    ) v""",
-)
-
-val_entity_types = define(
-    "val_entity_types", "Violations of route, access-point and place rules, with vertex gaps over 50 km.",
-    f"""SELECT id, rule FROM (
-        SELECT id, 'route without activity' AS rule FROM {{entities}} WHERE entity_type = 'TrailRoute' AND activity IS NULL
-        UNION ALL SELECT id, 'access point without mode' FROM {{entities}} WHERE entity_type = 'AccessPoint' AND mode IS NULL
-        UNION ALL SELECT id, 'access unknown' FROM {{entities}} WHERE entity_type = 'AccessPoint' AND legal = 'unknown'
-        UNION ALL SELECT DISTINCT tour_id, 'vertex gap' FROM (SELECT tour_id, lon, lat, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM {{stops}} WINDOW w AS (PARTITION BY tour_id ORDER BY ord)) g
-            WHERE plon IS NOT NULL AND {haversine("plat", "plon", "lat", "lon")} > 50e3 + 1e-3
-    ) v""",
-)
-
 val_export_notices = define(
     "val_export_notices", "Notices against assertions by (entity, source): missing, unexpected or duplicate.",
     """SELECT coalesce(a.entity_id, n.entity_id) AS entity_id, coalesce(a.source_id, n.source_id) AS source_id,
@@ -42,15 +19,6 @@ val_unknown_refs = define(
        UNION ALL SELECT id, 'jurisdiction', CAST(nation AS BIGINT) FROM {entities} e WHERE NOT EXISTS (SELECT 1 FROM {jurisdictions} j WHERE j.id = e.nation AND j.in_scope)""",
 )
 
-gov_publication = define(
-    "gov_publication", "Records withheld because they touch a source that is not approved; unverified leads labelled.",
-    """SELECT e.id, g.n_sources, g.n_approved, g.n_sources > g.n_approved AS withheld, CASE WHEN g.n_sources > g.n_approved THEN NULL WHEN g.n_lead > 0 THEN 'unverified_lead' ELSE 'cleared' END AS label
-      FROM {entities} e JOIN (
-        SELECT a.entity_id, count(*) AS n_sources, count_if(coalesce(s.disposition, 'blocked') IN ('approved', 'lead_only')) AS n_approved, count_if(s.disposition = 'lead_only') AS n_lead
-        FROM (SELECT DISTINCT entity_id, source_id FROM {assertions}) a LEFT JOIN {sources} s ON s.id = a.source_id GROUP BY a.entity_id
-      ) g ON g.entity_id = e.id""",
-)
-
 gov_record_rules = define(
     "gov_record_rules", "Paid, blocked, use-not-approved and unknown-source violations, distinct per record.",
     """SELECT DISTINCT entity_id, rule FROM (
@@ -59,70 +27,16 @@ gov_record_rules = define(
     ) r WHERE rule IS NOT NULL""",
 )
 
-gov_media_rights = define(
-    "gov_media_rights", "Media rows whose rights are incomplete: text, review, permissions, source.",
-    """SELECT a.entity_id, a.idx, a.record_id, a.source_id, CASE WHEN s.id IS NULL THEN 'source' WHEN a.status <> 'verified' THEN 'review' WHEN a.line_status <> 'F' THEN 'permission' ELSE 'cost' END AS missing
-      FROM {assertions} a LEFT JOIN {sources} s ON s.id = a.source_id WHERE s.id IS NULL OR a.status <> 'verified' OR a.line_status <> 'F' OR s.cost = 'paid'""",
-)
-
-gov_sensitivity = define(
-    "gov_sensitivity", "Sensitivity outcomes by action, failing closed when a coarse position is missing or unchanged.",
-    """SELECT action, outcome, count(*) AS n FROM (
-        SELECT action, CASE WHEN action = 'publish' THEN 'published' WHEN action = 'exclude' THEN 'excluded' WHEN action = 'redact' THEN 'redacted'
-            WHEN action = 'coarsen' AND (evidence IS NULL OR floor(lon * 10) / 10 = lon) THEN 'withheld' WHEN action = 'coarsen' THEN 'coarsened' ELSE 'withheld' END AS outcome FROM {entities}
-    ) o GROUP BY action, outcome""",
-)
-
 flt_flags = define("flt_planning_flags", "Entities whose flags block planning.", "SELECT id, flag FROM {entities} WHERE flag LIKE 'critical%' OR flag = 'technical_route'")
 
-val_build_budgets = define(
-    "val_build_budgets", "Byte budgets of region packages.",
-    """SELECT nation, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(5e6 AS BIGINT) AS budget FROM (SELECT nation, CAST(floor(bytes) AS BIGINT) AS bytes FROM {entities}) e GROUP BY nation HAVING sum(bytes) > 5000000""",
-)
-
-val_graph_invariants = define(
-    "val_graph_invariants", "Edges that break the graph's rules: endpoints, costs, detours cheaper than the direct edge.",
-    """SELECT a, b, CASE WHEN a = b THEN 'self loop' WHEN p.id IS NULL THEN 'endpoint missing' WHEN NOT cost > 0 THEN 'cost not positive' WHEN r.back IS NOT NULL AND distance_m > 4e0 * r.back THEN 'return much shorter' END AS rule
-      FROM {edges} e LEFT JOIN {passes} p ON p.id = e.b LEFT JOIN (SELECT a AS ra, b AS rb, distance_m AS back FROM {edges}) r ON r.ra = e.b AND r.rb = e.a
-      WHERE a = b OR p.id IS NULL OR NOT cost > 0 OR (r.back IS NOT NULL AND distance_m > 4e0 * r.back)""",
-)
-
-val_graph_nodes_edges = define(
-    "val_graph_nodes_edges", "Duplicate stop keys, bad coordinates and unknown kinds.",
-    """SELECT tour_id, rule, count(*) AS n FROM (
-        SELECT tour_id, 'repeated place' AS rule FROM (SELECT tour_id, place_id FROM {stops} GROUP BY tour_id, place_id HAVING count(*) > 1) d
-        UNION ALL SELECT tour_id, 'bad coordinate' FROM {stops} WHERE abs(lat) > 90 OR abs(lon) > 180 OR lat IS NULL
-        UNION ALL SELECT tour_id, 'unknown kind' FROM {stops} WHERE kind NOT IN ('connector', 'pass-climb')
-    ) v GROUP BY tour_id, rule""",
-)
-
-val_shard_identity = define(
-    "val_shard_identity", "Shard indexes of each region: complete from 0 to n-1, and bytes that add up.",
-    """SELECT nation, count(DISTINCT shard) AS shards, CAST(max(shard) AS BIGINT) AS last, count(DISTINCT shard) = max(shard) + 1 AND min(shard) = 0 AS complete, CAST(sum(bytes) AS BIGINT) AS bytes
-      FROM (SELECT nation, id % 7 AS shard, CAST(floor(bytes) AS BIGINT) AS bytes FROM {entities}) s GROUP BY nation""",
-)
-
 plan_route_blocker = define(
     "plan_route_blocker", "First reason a route cannot be planned; null if it can.",
     """SELECT id, CASE WHEN verification = 'unverified' THEN 'quality' WHEN confidence < 6e-1 THEN 'confidence' WHEN legal IN ('private', 'unknown') THEN 'access' WHEN action IN ('redact', 'exclude') THEN 'sensitivity' WHEN flag IS NOT NULL THEN 'flag:' || flag END AS blocker
       FROM {entities} WHERE entity_type = 'TrailRoute'""",
 )
 
-plan_route_available = define(
-    "plan_route_available", "Closed, restricted or unsafe by the conditions active on the day of each route.",
-    """SELECT e.id, CASE WHEN bool_or(coalesce(a.status = 'disputed' AND a.confidence >= 7e-1, FALSE)) THEN 'closed' WHEN bool_or(coalesce(a.status = 'disputed', FALSE)) THEN 'restricted' WHEN bool_or(coalesce(a.status = 'unverified' AND a.confidence >= 9e-1, FALSE)) THEN 'unsafe' ELSE 'available' END AS availability
-      FROM {entities} e LEFT JOIN {assertions} a ON a.entity_id = e.id AND EPOCH_DAY(a.observed) <= EPOCH_DAY(e.observed) + 400 AND EPOCH_DAY(a.observed) > EPOCH_DAY(e.observed) - 400
-      WHERE e.entity_type = 'TrailRoute' GROUP BY e.id""",
-)
-
 plan_access_safe = define("plan_access_safe", "Access points usable for a mode.", "SELECT id, mode FROM {entities} WHERE entity_type = 'AccessPoint' AND legal IN ('legal', 'restricted') AND verification <> 'unverified' AND (flag IS NULL OR flag <> 'critical_access_unknown') AND action = 'publish'")
 
-safety_temporal_status = define(
-    "safety_temporal_status", "expired, scheduled, current or unknown of each assertion against its entity's date, with 72 h freshness.",
-    """SELECT a.entity_id, a.idx, a.source_id, a.record_id, CASE WHEN a.status = 'disputed' THEN 'unknown' WHEN EPOCH_DAY(a.observed) > EPOCH_DAY(e.observed) + 60 THEN 'scheduled' WHEN EPOCH_DAY(a.observed) < EPOCH_DAY(e.observed) - 60 THEN 'expired' WHEN EPOCH_DAY(e.observed) - EPOCH_DAY(a.observed) > 3 THEN 'unknown' ELSE 'current' END AS temporal
-      FROM {assertions} a JOIN {entities} e ON e.id = a.entity_id""",
-)
-
 export_gate = define(
     "export_gate", "The first code why a route may not be exported; null if it may.",
     """SELECT e.id, CASE WHEN e.legal = 'private' THEN 'access_private' WHEN e.action <> 'publish' THEN 'geometry_withheld' WHEN coalesce(p.n, 0) = 0 THEN 'no_provenance' WHEN p.newest < EPOCH_DAY(e.observed) - 365 THEN 'provenance_stale' WHEN e.confidence < 3e-1 THEN 'confidence_low' END AS code
@@ -154,11 +68,6 @@ agg_dedupe_stable_id = define(
     "SELECT tour_id, place_id, count(*) AS copies, count(DISTINCT CAST(duration_s AS BIGINT)) > 1 AS conflicting FROM {stops} GROUP BY tour_id, place_id",
 )
 
-proj_coarsen = define(
-    "proj_coarsen", "Coarse position, capped confidence and a flag for records to be coarsened.",
-    "SELECT id, floor(lon * 10) / 10 AS lon, floor(lat * 10) / 10 AS lat, least(confidence, 2e-1) AS confidence, 'location_coarsened' AS flag FROM {entities} WHERE action = 'coarsen'",
-)
-
 proj_prune_refs = define(
     "proj_prune_refs", "References to delivered records only, as sorted lists.",
     """SELECT a.entity_id, SORTED(array_agg(a.ref)) AS refs FROM (SELECT DISTINCT entity_id, record_id AS ref FROM {assertions}) a JOIN (SELECT id FROM {places} WHERE score >= 3) d ON d.id = a.ref GROUP BY a.entity_id""",
@@ -174,11 +83,6 @@ proj_map_features = define(
 
 sink_redirects = define("sink_redirects", "Old id to canonical id, only where the target is delivered.", "SELECT r.id AS old_id, r.ref_back AS target FROM {entities} r WHERE r.action = 'redact' AND EXISTS (SELECT 1 FROM {entities} d WHERE d.id = r.ref_back AND d.action = 'publish')")
 
-sink_manifest = define(
-    "sink_manifest", "One row for each package: bounds, counts, complete routes, bytes.",
-    """SELECT nation, entity_type, count(*) AS n, count_if(entity_type = 'TrailRoute' AND verification = 'verified') AS complete_routes, min(lon) AS west, max(lon) AS east, min(lat) AS south, max(lat) AS north, CAST(sum(CAST(floor(bytes) AS BIGINT)) AS BIGINT) AS bytes FROM {entities} WHERE action = 'publish' GROUP BY nation, entity_type""",
-)
-
 set_union_except = define(
     "set_union_except", "Union of two adapters, minus superseded ids, the better record of each id.",
     """SELECT id, origin, confidence FROM (
@@ -188,23 +92,6 @@ set_union_except = define(
     ) k WHERE r = 1""",
 )
 
-src_isolated_union = define(
-    "src_isolated_union", "Rows of the adapters that succeed, and how many rows failed in each.",
-    """SELECT adapter, count(*) AS n, count_if(bad) AS failures, count_if(NOT bad) AS kept FROM (
-        SELECT 'entities' AS adapter, confidence IS NULL OR evidence IS NULL AS bad FROM {entities} UNION ALL SELECT 'places', currency IS NULL FROM {places} UNION ALL SELECT 'passes', closes IS NULL AND open_day IS NULL FROM {passes}
-    ) u GROUP BY adapter""",
-)
-
-src_inventory_counts = define(
-    "src_inventory_counts", "Rows of each input with matched and unmatched cache keys.",
-    """SELECT p.category, count(*) AS n, count_if(c.name IS NOT NULL) AS matched, count_if(c.name IS NULL) AS unmatched FROM {places} p LEFT JOIN (SELECT DISTINCT name FROM {places} WHERE size > 40) c ON c.name = p.name GROUP BY p.category""",
-)
-
-join_viewport_entities = define(
-    "join_viewport_entities", "Entities of cells merged across cells; ids with conflicting copies are marked.",
-    "SELECT e.id, count(*) AS copies, count(DISTINCT a.status) AS versions, count(DISTINCT a.status) > 1 AS conflicting FROM {entities} e JOIN {assertions} a ON a.entity_id = e.id WHERE e.lon BETWEEN 7 AND 10 AND e.lat BETWEEN 45 AND 47 GROUP BY e.id",
-)
-
 join_linked_entities = define(
     "join_linked_entities", "Children of each entity by explicit link and by back-reference, counted by type.",
     """SELECT e.id, count(*) AS children, count_if(c.entity_type = 'AccessPoint') AS access_points, count_if(c.entity_type = 'Place') AS places

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from waymark.functions import columns
 from waymark.functions.rounds import written
 from waymark.functions.sql import EARTH_KM, haversine
-from waymark.operators import ALL, discovery, governance, graph, routes, scalars, spatial, status
+from waymark.operators import ALL, discovery, governance, graph, records, routes, scalars, spatial, status
 from waymark.plans import drive_queries
 from waymark.plans import tables as world
 from waymark.plans.drive_queries import nearest_sql
@@ -15,7 +15,7 @@ from waymark.plans.tables import Tables, oracle
 from waymark.sources import readers, sinks
 from waymark.streaming import status as streams
 
-MODULES = (governance, discovery, status, routes, scalars)
+MODULES = (governance, records, discovery, status, routes, scalars)
 
 H = haversine
 PAIR = "floor(" + H("a.lat", "a.lon", "b.lat", "b.lon") + " + 5e-1)"
@@ -28,6 +28,14 @@ def nearest_sql_k(left: str, right: str, k: int, columns: str) -> str:
     return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, node) AS r FROM (SELECT a.id, b.id AS node, {PAIR} AS m FROM {left} a CROSS JOIN {right} b) x) y WHERE r <= {k}"
 
 
+def isolated_counts(t: Tables):
+    """Four adapters: two that run, one whose table is absent and one whose rows lack a field."""
+    adapters = {"entities": lambda: t.entities, "places": lambda: t.places, "absent": lambda: t.spark.read.parquet(f"{t.sf_dir}/no-such-table.parquet"), "without name": lambda: t.passes.drop("name")}
+    records, failures = readers.isolated(t.spark, adapters, "id bigint, name string, lon double, lat double")
+    counts = records.groupBy("adapter").agg(F.count("*").alias("n")).withColumn("failed", F.lit(False))
+    return counts.unionByName(failures.select("adapter", F.lit(0).cast("long").alias("n"), F.lit(True).alias("failed")))
+
+
 def _snapped_tours(t: Tables):
     ends = t.ends
     start, end = (spatial.snapped(ends.where(F.col("final") == final).drop("final"), t.road_nodes, reach) for final, reach in ((False, None), (True, 30_000.0)))
@@ -84,6 +92,10 @@ BUILT: dict = {
         f"""WITH named AS (SELECT a.id, b.id AS t, row_number() OVER (PARTITION BY a.id ORDER BY {PAIR}, b.id) AS r FROM {{loose_refs}} a JOIN {{entities}} b ON lower(b.name) = trim(regexp_replace(lower(a.ref), '[^a-z0-9]+', ' ', 'g')) WHERE a.ref NOT LIKE 'entity:%' AND NOT regexp_matches(a.ref, '^[0-9]+$'))
           SELECT a.id, coalesce(k.id, n.t) AS resolved, CASE WHEN k.id IS NOT NULL THEN 'id' WHEN n.t IS NOT NULL THEN 'name' ELSE 'none' END AS basis FROM {{loose_refs}} a LEFT JOIN {{entities}} k ON a.ref IN ('entity:' || CAST(k.id AS VARCHAR), CAST(k.id AS VARCHAR)) LEFT JOIN named n ON n.id = a.id AND n.r = 1""",
     ),
+    "src_isolated_union": (
+        lambda t: isolated_counts(t),
+        "SELECT 'entities' AS adapter, count(*) AS n, FALSE AS failed FROM {entities} UNION ALL SELECT 'places', count(*), FALSE FROM {places} UNION ALL SELECT 'absent', 0, TRUE UNION ALL SELECT 'without name', 0, TRUE",
+    ),
     "flt_region": (
         lambda t: spatial.in_region(t.places).select("id"),
         f"SELECT id FROM {{places}} WHERE ({CROSSINGS}) % 2 = 1",

@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.functions.sql import duckdb_dialect, spark_dialect
+from waymark.functions.sql import duckdb_dialect, spark_dialect, tile_x, tile_y
 
 BASE = frozenset("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 
@@ -51,7 +51,7 @@ ADAPTERS = {
         CASE o_orderkey % 3 WHEN 0 THEN 'car' WHEN 1 THEN 'train' ELSE 'bus' END AS mode, CAST(o_custkey % 25 AS INT) AS nation, o_totalprice AS bytes, o_orderkey % 13 AS ref_back, CAST(o_orderdate AS DATE) AS observed, o_custkey AS host FROM {{orders}}""",
     "assertions": """SELECT l_orderkey AS entity_id, l_linenumber AS idx, l_suppkey AS source_id, l_partkey AS record_id, l_discount * 10 AS confidence, CAST(l_shipdate AS DATE) AS observed,
         CASE l_returnflag WHEN 'A' THEN 'verified' WHEN 'R' THEN 'disputed' ELSE 'unverified' END AS status, l_linestatus AS line_status FROM {lineitem}""",
-    "sources": """SELECT s_suppkey AS id, s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'lead_only' WHEN 2 THEN 'link_only' ELSE 'blocked' END AS disposition,
+    "sources": """SELECT s_suppkey % 2 = 0 AS media_use, s_suppkey AS id, s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'lead_only' WHEN 2 THEN 'link_only' ELSE 'blocked' END AS disposition,
         CASE WHEN s_acctbal < 0 THEN 'paid' ELSE 'free' END AS cost, s_suppkey % 6 <> 5 AS display_allowed, s_nationkey AS nation FROM {supplier} WHERE s_suppkey % 9 <> 8""",
     "jurisdictions": "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region, n_nationkey % 5 <> 4 AS in_scope FROM {nation}",
     "stops": f"""SELECT l_orderkey AS tour_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS INT) AS ord, l_partkey AS place_id, l_suppkey AS pass_id,
@@ -87,6 +87,38 @@ ADAPTERS = {
         CASE WHEN l_linenumber = 3 AND l_partkey % 50 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) END AS valid_until FROM {lineitem}""",
     "uses": "SELECT tour_id, ord, pass_id AS connection_id, day, CAST(EPOCH_DAY(day) AS BIGINT) * 86400 + 18000 + CAST(sum(duration_s) OVER (PARTITION BY tour_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS arrival_s FROM {stops}",
     "walks": "SELECT id, lat, lon, CASE WHEN id % 3 = 0 THEN lat ELSE lat + (id % 5) * 1e-3 END AS lat2, CASE WHEN id % 3 = 0 THEN lon ELSE lon - 6e-2 END AS lon2, id % 2 = 0 AS retraced FROM {entities} WHERE entity_type = 'TrailRoute'",
+    "records": """SELECT id, CASE WHEN id % 113 = 0 THEN 'Thing' ELSE entity_type END AS entity_type, CASE WHEN id % 89 = 0 THEN '-' || CAST(id AS STRING) ELSE 'entity:' || CAST(id AS STRING) END AS key, CASE WHEN id % 83 = 0 THEN '' ELSE 'N' || CAST(nation AS STRING) END AS jurisdiction, wlon AS lon, wlat AS lat, CASE WHEN id % 71 = 0 THEN confidence + 1 ELSE confidence END AS confidence,
+        verification, CASE WHEN id % 67 = 0 THEN NULL ELSE observed END AS assessed, CASE WHEN id % 103 = 0 THEN 'hide' ELSE action END AS action, CASE WHEN id % 11 = 0 AND id % 2 = 0 THEN NULL ELSE 'wildlife' END AS reason, flag, CASE WHEN id % 5 = 0 THEN 1 + id % 100 END AS authority,
+        CASE WHEN id % 7 = 0 THEN NULL WHEN id % 7 = 1 THEN wlon WHEN id % 7 = 2 THEN wlon + 400 ELSE floor(wlon * 10) / 10 END AS public_lon, CASE WHEN id % 7 = 1 THEN wlat ELSE floor(wlat * 10) / 10 END AS public_lat FROM {entities}""",
+    "names": """SELECT id AS entity_id, k AS idx, CASE k WHEN 2 THEN CASE WHEN id % 59 = 0 THEN 'x1' ELSE 'ja-Latn' END ELSE 'en' END AS language, CASE WHEN id % 97 = 0 AND k = 2 THEN ' ' WHEN k = 3 THEN upper(name) WHEN k = 2 THEN name || ' two' ELSE name END AS value,
+        CASE k WHEN 1 THEN CASE WHEN id % 53 = 0 THEN 'official' ELSE 'primary' END WHEN 2 THEN CASE WHEN id % 61 = 0 THEN 'nick' ELSE 'romanized' END ELSE 'alternate' END AS kind FROM (SELECT *, UNNEST(SEQ(CAST(1 AS BIGINT), 1 + id % 3)) AS k FROM {entities}) e WHERE id % 101 <> 0""",
+    "positions": "SELECT id AS entity_id, k AS ord, wlon + CASE WHEN k IN (1, 2) THEN 1e-2 WHEN k = 4 AND id % 31 = 0 THEN 1e-3 ELSE 0e0 END AS lon, wlat + CASE WHEN k IN (2, 3) THEN 1e-2 ELSE 0e0 END + CASE WHEN id % 41 = 0 THEN 2e2 ELSE 0e0 END AS lat FROM (SELECT *, UNNEST(SEQ(0, 4)) AS k FROM {entities} WHERE entity_type = 'NaturalFeature') e WHERE NOT (id % 37 = 0 AND k > 2)",
+    "bounds": "SELECT 'N' || CAST(n_nationkey AS STRING) AS jurisdiction, -170e0 + n_nationkey AS west, 175e0 AS east, -80e0 AS south, 84e0 AS north FROM {nation}",
+    "evidence": """SELECT l_orderkey AS entity_id, CASE WHEN l_partkey % 211 = 0 THEN NULL ELSE l_suppkey END AS source_id, CASE l_linenumber WHEN 1 THEN '/names' WHEN 2 THEN '/geometry' WHEN 3 THEN '/geometry/coordinates' WHEN 4 THEN CASE WHEN l_partkey % 17 = 0 THEN 'names' ELSE '/legacy/n' END ELSE '/quality' END AS field,
+        CASE l_partkey % 11 WHEN 0 THEN 'verified_official' WHEN 1 THEN 'official_unverified' WHEN 2 THEN 'authoritative' WHEN 3 THEN 'community' WHEN 4 THEN 'field_report' WHEN 5 THEN 'derived' WHEN 6 THEN 'estimated' WHEN 7 THEN 'imported' WHEN 8 THEN 'survey' WHEN 9 THEN 'sensor' ELSE 'rumour' END AS kind,
+        CASE l_returnflag WHEN 'A' THEN 'verified' WHEN 'R' THEN 'disputed' ELSE CASE WHEN l_partkey % 29 = 0 THEN 'guessed' ELSE 'unverified' END END AS status, CASE WHEN l_partkey % 43 = 0 THEN 15e-1 ELSE l_discount * 10 END AS confidence FROM {lineitem}""",
+    "trails": """SELECT id, CASE WHEN id % 47 = 0 THEN 'Point' ELSE 'LineString' END AS geometry, CASE id % 5 WHEN 0 THEN 'generated' WHEN 1 THEN 'scenic_drive' WHEN 2 THEN CASE WHEN id % 79 = 0 THEN 'wild' ELSE 'established' END ELSE 'established' END AS nature, CASE WHEN id % 73 = 0 THEN NULL ELSE activity END AS activity,
+        CASE id % 4 WHEN 0 THEN 'loop' WHEN 1 THEN 'out_and_back' WHEN 2 THEN 'point_to_point' ELSE 'star' END AS shape, CASE WHEN id % 6 = 0 THEN 'partial' ELSE 'complete' END AS completeness, CASE WHEN id % 61 = 0 THEN NULL ELSE 'suitable' END AS navigation, EPOCH_DAY(observed) + 60 AS planned_day FROM {entities} WHERE entity_type = 'TrailRoute' OR id % 10 = 1""",
+    "media": """SELECT l_orderkey AS entity_id, l_linenumber AS idx, l_suppkey AS source_id, 'https://x.example/' || CAST(l_partkey AS STRING) AS url, CASE WHEN l_partkey % 19 = 0 THEN ' ' ELSE 'p' END AS page_url, CASE WHEN l_partkey % 23 = 0 THEN NULL ELSE 'c' END AS creator, 'by' AS licence_id, CASE WHEN l_partkey % 29 = 0 THEN NULL ELSE 'u' END AS licence_url, '4.0' AS licence_version,
+        CASE WHEN l_partkey % 31 = 0 THEN '' ELSE 'a' END AS attribution, CASE WHEN l_partkey % 37 = 0 THEN NULL ELSE 'none' END AS modifications, CASE WHEN l_returnflag = 'N' THEN 'pending' ELSE 'approved' END AS review, CASE WHEN l_partkey % 41 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS reviewed, l_partkey % 43 <> 0 AS display, l_partkey % 47 <> 0 AS commercial_use, l_linestatus = 'F' AS redistribution, CASE WHEN l_partkey % 53 = 0 THEN NULL ELSE TRUE END AS may_modify FROM {lineitem} WHERE l_linenumber <= 3""",
+    "members": "SELECT id, nation, CAST(id % 7 AS INT) AS shard, CAST(floor(bytes) AS BIGINT) AS bytes FROM {entities} WHERE action = 'publish'",
+    "delivered": "SELECT nation, shard, CAST(sum(bytes) AS BIGINT) AS bytes, md5(CAST(sum(bytes) AS STRING) || ':' || CAST(count(*) AS STRING)) AS hash FROM {members} WHERE NOT (nation = 3 AND shard = 2) GROUP BY nation, shard",
+    "shards": """SELECT nation, shard, jurisdiction, declared, CASE WHEN nation = 5 AND shard = 1 THEN bytes + 1 ELSE bytes END AS bytes, CASE WHEN nation = 6 AND shard = 0 THEN 'x' ELSE hash END AS hash FROM (SELECT nation, shard, 'N' || CAST(nation AS STRING) AS jurisdiction, CAST(CASE WHEN nation = 4 THEN 6 WHEN nation = 8 AND shard = 1 THEN 8 ELSE 7 END AS INT) AS declared, CAST(sum(bytes) AS BIGINT) AS bytes, md5(CAST(sum(bytes) AS STRING) || ':' || CAST(count(*) AS STRING)) AS hash FROM {members} WHERE NOT (nation = 7 AND shard = 3) GROUP BY nation, shard) s
+        UNION ALL SELECT nation, shard, 'N9', CAST(7 AS INT), CAST(sum(bytes) AS BIGINT), 'y' FROM {members} WHERE nation = 9 AND shard = 4 GROUP BY nation, shard""",
+    "pass_edges": """SELECT id AS pass_id, side, kind, id * 3 + CASE side WHEN 'A' THEN 1 ELSE 2 END AS a, CASE WHEN id % 23 = 0 THEN -1 ELSE id * 3 END AS b, d * CASE kind WHEN 'out-and-back' THEN CASE WHEN id % 13 = 0 THEN 9e-1 ELSE 2e0 END ELSE 1e0 END AS distance_m, CASE WHEN id % 19 = 0 THEN NULL ELSE d * CASE kind WHEN 'descent' THEN 85e-2 WHEN 'out-and-back' THEN CASE WHEN id % 29 = 0 THEN 5e-1 ELSE 168e-2 END ELSE 1e0 END END AS cost
+        FROM (SELECT id, side, kind, (elev - 600) * 15e-1 AS d FROM (SELECT *, UNNEST(ARR('climb', 'descent', 'out-and-back')) AS kind FROM (SELECT *, UNNEST(ARR('A', 'B')) AS side FROM {passes}) a) k) e WHERE NOT (id % 17 = 0 AND side = 'B' AND kind = 'descent')""",
+    "raw_nodes": "SELECT CASE WHEN id % 90 = 0 THEN NULL ELSE id END AS id, CASE WHEN id % 50 = 0 THEN 'mystery' ELSE kind END AS kind, CASE WHEN id % 70 = 0 THEN 1e2 ELSE lat END AS lat, lon FROM {road_nodes} UNION ALL SELECT id, kind, lat, lon FROM {road_nodes} WHERE id % 40 = 0",
+    "raw_edges": "SELECT a, b FROM {pass_edges} UNION ALL SELECT a, a FROM {pass_edges} WHERE a % 45 = 1",
+    "declared_stats": "SELECT 3 * count(*) AS nodes, 6 * count(*) AS edges FROM {passes}",
+    "conditions": """SELECT l_orderkey AS entity_id, l_partkey % 9 <> 0 AS active, CASE l_partkey % 6 WHEN 0 THEN 'closed' WHEN 1 THEN 'forbidden' WHEN 2 THEN 'expired' ELSE 'open' END AS state, CASE l_suppkey % 8 WHEN 0 THEN 'trail_closure' WHEN 1 THEN 'fire' WHEN 2 THEN 'avalanche' ELSE 'weather' END AS kind, CASE l_linenumber % 3 WHEN 0 THEN 'high' ELSE 'low' END AS severity, l_linestatus = 'F' AS blocking, l_partkey % 33 = 0 AS unsafe,
+        CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS valid_from, CASE WHEN l_partkey % 14 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) END AS valid_until FROM {lineitem}""",
+    "safety": """SELECT id, CASE id % 4 WHEN 0 THEN 'live' WHEN 1 THEN 'seasonal' WHEN 2 THEN CASE WHEN id % 10 = 2 THEN 'scheduled' ELSE 'live' END ELSE CASE WHEN id % 9 = 3 THEN 'expired' ELSE 'live' END END AS state, verification, CASE WHEN id % 15 = 0 THEN 'expired' WHEN id % 8 = 0 THEN 'stale' ELSE 'current' END AS freshness, now_s, now_s - (id % 90) * 3600 AS checked_s,
+        CASE WHEN id % 3 = 0 THEN now_s + (id % 5 - 3) * 86400 END AS own_from, CASE WHEN id % 3 = 1 THEN now_s + (id % 5 - 1) * 86400 END AS own_until FROM (SELECT id, verification, (CAST(EPOCH_DAY(observed) AS BIGINT) + 60) * 86400 AS now_s FROM {entities}) e""",
+    "safety_windows": """SELECT l_orderkey AS record_id, l_suppkey AS source_id, CASE WHEN l_linenumber % 2 = 0 THEN CAST(EPOCH_DAY(CAST(l_shipdate AS DATE)) AS BIGINT) * 86400 END AS from_s, CASE WHEN l_partkey % 3 = 0 THEN (CAST(EPOCH_DAY(CAST(l_shipdate AS DATE)) AS BIGINT) + CAST(l_quantity AS INT)) * 86400 END AS until_s, CAST(NULL AS BIGINT) AS observed_s FROM {lineitem}""",
+    "inventory": "SELECT 'places' AS input, name FROM {places} UNION ALL SELECT 'passes', name FROM {passes} UNION ALL SELECT 'entities', name FROM {entities}",
+    "price_cache": "SELECT DISTINCT name FROM {places} WHERE size > 40 UNION SELECT DISTINCT name FROM {entities} WHERE id % 2 = 0 UNION SELECT 'Nobody ' || CAST(id AS STRING) FROM {passes} WHERE id % 10 = 0",
+    "cell_copies": f"""SELECT id AS entity_id, x, y, CASE WHEN id % 31 = 0 AND k = 1 THEN 'changed' ELSE name END AS hash FROM (SELECT *, {tile_x("wlon")} + CAST(k AS INT) AS x, {tile_y("wlat")} AS y FROM (SELECT *, UNNEST(SEQ(0, 1)) AS k FROM {{entities}}) e) c""",
+    "viewport": f"SELECT x, y FROM (SELECT CAST(x AS INT) AS x, UNNEST(SEQ(60, 190)) AS y FROM (SELECT UNNEST(SEQ(0, 255)) AS x) a) b WHERE x >= 250 OR x <= 5",
     "users": "SELECT c_custkey AS user_id, c_mktsegment AS persona, c_acctbal AS balance, c_nationkey AS nation FROM {customer}",
 }
 

@@ -2,8 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def isolated(spark: SparkSession, adapters: dict, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Runs each adapter (a function without arguments that returns a DataFrame) apart: the union of the records of those that
+    have the fields of the schema, by adapter, and a table of the others with what they raised. Refuses if all fail. Only
+    plans are tested here; rows that fail later fail their job, as they would anywhere."""
+    wanted = T.StructType.fromDDL(schema)
+    records, failures = None, []
+    for name, run in adapters.items():
+        try:
+            made = run().select(F.lit(name).alias("adapter"), *[F.col(f.name).cast(f.dataType) for f in wanted])
+        except (PySparkException, OSError, ValueError, TypeError) as why:
+            failures.append((name, type(why).__name__))
+            continue
+        records = made if records is None else records.unionByName(made)
+    if records is None:
+        raise RuntimeError("every adapter failed; nothing is replaced")
+    return records, spark.createDataFrame(failures, "adapter string, error string")
 
 
 def embedded_array(assets: DataFrame, schema: str, variable: str = "ITEMS") -> DataFrame:

@@ -3,16 +3,6 @@
 from waymark.functions.sql import clamp, haversine_atan2, js_round
 from waymark.operators import define
 
-top_search = define(
-    "top_search", "Entities near an origin whose text is relevant enough, by relevance, distance and name.",
-    f"""SELECT id, name, relevance, CAST(floor(distance_m + 5e-1) AS BIGINT) AS distance_m FROM (
-        SELECT id, name, {haversine_atan2("lat", "lon", "4625e-2", "8e0")} AS distance_m,
-            CASE WHEN lower(name) = 'entity 12' THEN 1e0 WHEN lower(name) LIKE 'entity 12%' THEN 94e-2 WHEN lower(name || ' ' || activity || ' ' || entity_type) LIKE '%entity 12%' THEN 82e-2
-                 ELSE 62e-2 * ((CASE WHEN lower(name) LIKE '%entity%' THEN 1 ELSE 0 END) + (CASE WHEN lower(name) LIKE '%12%' THEN 1 ELSE 0 END)) / 2 END AS relevance
-        FROM {{entities}} WHERE activity = 'hiking'
-    ) s WHERE relevance >= 16e-2 AND distance_m <= 300e3 ORDER BY relevance DESC, floor(distance_m + 5e-1), name, id LIMIT 200""",
-)
-
 STATUS_RANK, QUALITY_CELL = "CASE WHEN closes IS NULL THEN 2 ELSE 0 END", "CAST(floor(quality * 50) AS BIGINT)"
 ACCESS_FIT = "CASE WHEN legal = 'legal' THEN 9e-1 WHEN legal = 'restricted' THEN 58e-2 ELSE 3e-1 END"
 
@@ -24,20 +14,6 @@ ASSESS = f"""SELECT *, {js_round("total * (CASE WHEN legal = 'unknown' THEN 72e-
       FROM (SELECT *, (distinctiveness * 22e-2 + uniqueness * 14e-2 + ev * 2e-1 + (1e0 - prominence) * 1e-1 + 65e-2 * 12e-2 + season_fit * 8e-2 + fit * 1e-1 + 5e-1 * 4e-2) / 1e0 AS total
             FROM (SELECT *, coalesce(evidence, confidence) AS ev, {ACCESS_FIT} AS fit, CASE WHEN season IS NULL THEN 35e-2 WHEN season = 'summer' THEN 1e0 ELSE 0e0 END AS season_fit FROM {{entities}}) d) t"""
 
-top_discovery = define(
-    "top_discovery", "Eight weighted dimensions with penalties, lane and exclusions; eligible entities by score.",
-    f"SELECT id, chosen_lane AS lane, score FROM ({ASSESS}) a WHERE eligible ORDER BY score DESC, confidence DESC, name, id LIMIT 1000",
-)
-
-discovery_reasons = define(
-    "discovery_reasons", "The dimensions that speak for each eligible entity, at most three.",
-    f"""SELECT id, dimension, CAST(r AS BIGINT) AS place FROM (
-        SELECT id, dimension, row_number() OVER (PARTITION BY id ORDER BY v DESC, dimension) AS r FROM (
-            SELECT id, 'distinctiveness' AS dimension, distinctiveness AS v FROM {{entities}} UNION ALL SELECT id, 'uniqueness', uniqueness FROM {{entities}} UNION ALL SELECT id, 'evidence', coalesce(evidence, confidence) FROM {{entities}} UNION ALL SELECT id, 'access', {ACCESS_FIT} FROM {{entities}}
-        ) d WHERE v >= 7e-1
-    ) x WHERE r <= 3""",
-)
-
 win_interleave_lanes = define(
     "win_interleave_lanes", "One quieter item after every three ordinary ones within a nation, the rest after them.",
     f"""SELECT nation, id, chosen_lane AS lane, CAST(row_number() OVER (PARTITION BY nation ORDER BY place, kind, id) AS BIGINT) AS position FROM (
@@ -49,36 +25,11 @@ win_interleave_lanes = define(
     ) p""",
 )
 
-top_discover = define(
-    "top_discover", "Discover: type, activity and season filters, then 0.82 of the rank and 0.18 of the relevance, at most 36 of each nation.",
-    f"""SELECT nation, id, blended, CAST(r AS BIGINT) AS rank FROM (
-        SELECT nation, id, blended, row_number() OVER (PARTITION BY nation ORDER BY blended DESC, id) AS r FROM (
-            SELECT nation, id, {js_round("82e-2 * score + 18e-2 * (CASE WHEN name LIKE '%7%' THEN 82e-2 ELSE 31e-2 END)", 1000)} AS blended FROM ({ASSESS}) a WHERE eligible AND entity_type <> 'AccessPoint' AND activity IN ('hiking', 'driving')
-        ) b
-    ) k WHERE r <= 36""",
-)
-
 top_map_entities = define(
     "top_map_entities", "Evidence order with stable ties, one row for each host.",
     """SELECT host, id, verification FROM (SELECT host, id, verification, row_number() OVER (PARTITION BY host ORDER BY CASE verification WHEN 'verified' THEN 0 WHEN 'partially_verified' THEN 1 ELSE 2 END, confidence DESC, id) AS r FROM {entities}) m WHERE r = 1""",
 )
 
-top_list_sort = define(
-    "top_list_sort", "Passes in list order, by falling quality within each status rank, ties by id.",
-    f"""SELECT p.id, p.status_rank, CAST(b.before + row_number() OVER (PARTITION BY p.status_rank, p.cell ORDER BY p.quality DESC, p.id) AS BIGINT) AS position FROM (SELECT id, quality, {STATUS_RANK} AS status_rank, {QUALITY_CELL} AS cell FROM {{passes}}) p
-      JOIN (SELECT status_rank, cell, sum(n) OVER (ORDER BY status_rank, cell DESC) - n AS before FROM (SELECT {STATUS_RANK} AS status_rank, {QUALITY_CELL} AS cell, count(*) AS n FROM {{passes}} GROUP BY {STATUS_RANK}, {QUALITY_CELL}) c) b ON b.status_rank = p.status_rank AND b.cell = p.cell""",
-)
-
-top_pass_priority = define(
-    "top_pass_priority", "The best passes of each nation within its share of a node cap.",
-    """SELECT nation, id, CAST(r AS BIGINT) AS rank FROM (SELECT nation, id, row_number() OVER (PARTITION BY nation ORDER BY quality DESC, elev DESC, id) AS r, count(*) OVER (PARTITION BY nation) AS n FROM {passes}) p WHERE r <= greatest(1, floor(n * 6 / 10))""",
-)
-
-top_tour_candidates = define(
-    "top_tour_candidates", "Reward times affordability from each nation's start, the ten best.",
-    """SELECT nation, id, value, CAST(r AS BIGINT) AS rank FROM (SELECT nation, id, value, row_number() OVER (PARTITION BY nation ORDER BY value DESC, id) AS r FROM (SELECT nation, id, floor(quality * greatest(0e0, 1e0 - abs(elev - 1500) / 3e3) * 1e6 + 5e-1) / 1e6 AS value FROM {passes}) v) k WHERE r <= 10""",
-)
-
 proj_tags = define(
     "proj_tags", "Expanded, distinct tags of each place.",
     """SELECT DISTINCT id, tag FROM (SELECT id, lower(category) AS tag FROM {places} UNION ALL SELECT id, lower(theme) FROM {places} UNION ALL SELECT id, x.t FROM {places} p JOIN (SELECT 'food' AS family, 'indulgence' AS t UNION ALL SELECT 'food', 'rest' UNION ALL SELECT 'museum', 'heritage' UNION ALL SELECT 'nature', 'outdoors') x ON x.family = p.family) k""",
@@ -86,15 +37,6 @@ proj_tags = define(
 
 WEIGHTS = "(SELECT 'BUILDING' AS persona, 'food' AS tag, 6e-1 AS w UNION ALL SELECT 'BUILDING', 'museum', 9e-1 UNION ALL SELECT 'MACHINERY', 'nature', 8e-1 UNION ALL SELECT 'HOUSEHOLD', 'food', 1e0 UNION ALL SELECT 'HOUSEHOLD', 'nature', 4e-1 UNION ALL SELECT 'AUTOMOBILE', 'museum', 3e-1 UNION ALL SELECT 'FURNITURE', 'nature', 5e-1)"
 
-agg_infer_intent = define(
-    "agg_infer_intent", "Posterior over personas from each customer's pinned places: softmax of summed weights, with its entropy.",
-    f"""SELECT user_id, persona, {js_round("p", 1000000)} AS probability, {js_round("-sum(p * ln(p)) OVER (PARTITION BY user_id)", 1000000)} AS entropy FROM (
-        SELECT user_id, persona, exp(s) / sum(exp(s)) OVER (PARTITION BY user_id) AS p FROM (
-            SELECT t.user_id, w.persona, sum(w.w * t.n) / max(t.total) AS s FROM (SELECT o.o_custkey AS user_id, p.family, count(*) AS n, sum(count(*)) OVER (PARTITION BY o.o_custkey) AS total FROM {{orders}} o JOIN {{lineitem}} l ON l.l_orderkey = o.o_orderkey JOIN {{places}} p ON p.id = l.l_partkey GROUP BY o.o_custkey, p.family) t JOIN {WEIGHTS} w ON w.tag = t.family GROUP BY t.user_id, w.persona
-        ) s
-    ) q""",
-)
-
 top_intent_score = define(
     "top_intent_score", "For each customer the five places whose family weight times value, less dismissals, is highest.",
     f"""SELECT user_id, id, value, CAST(r AS BIGINT) AS rank FROM (SELECT user_id, id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, id) AS r FROM (
@@ -134,3 +76,33 @@ proj_rank_poi_ids = define(
     "proj_rank_poi_ids", "Score-ordered ordinal ids over all places: counted by score, then ranked within it.",
     """SELECT p.id, CAST(b.before + row_number() OVER (PARTITION BY p.score ORDER BY p.name, p.id) AS BIGINT) AS ordinal FROM {places} p JOIN (SELECT score, sum(count(*)) OVER (ORDER BY score DESC) - count(*) AS before FROM {places} GROUP BY score) b ON b.score = p.score""",
 )
+
+#: Orders of pass lists, each with ties by id: column expressions over passes(name, elev, quality, closes, nation, metres).
+ORDERS = {"name": "name", "elevation": "-elev", "quality": "-quality", "category": "CASE WHEN seasonal THEN 1 ELSE 0 END", "region": "nation", "distance": "metres", "status": "CASE WHEN closes IS NULL THEN 0 ELSE 1 END"}
+
+top_list_sort = define(
+    "top_list_sort", "The places of passes in each of seven list orders, ties by id: counted by range of the key first and ranked within it.",
+    "SELECT o.how, o.id, CAST(b.before + row_number() OVER (PARTITION BY o.how, o.cell ORDER BY o.k, o.t, o.id) AS BIGINT) AS position FROM (KEYED) o JOIN (SELECT how, cell, sum(count(*)) OVER (PARTITION BY how ORDER BY cell) - count(*) AS before FROM (KEYED) k GROUP BY how, cell) b ON b.how = o.how AND b.cell = o.cell".replace(
+        "KEYED", " UNION ALL ".join(f"SELECT '{how}' AS how, id, {'0e0' if how == 'name' else f'CAST({k} AS DOUBLE)'} AS k, {k if how == 'name' else chr(39) * 2} AS t, {'CAST(ascii(substr(name, length(name), 1)) * 0 AS DOUBLE)' if how == 'name' else f'floor(CAST({k} AS DOUBLE) * 2)'} AS cell FROM {{ranked_passes}}" for how, k in ORDERS.items())),
+)
+
+top_pass_priority = define(
+    "top_pass_priority", "Nodes within a cap: all junctions, then the best places up to their share, then the best passes in what is left; counted first, so that no task sorts all nodes.",
+    """SELECT kind, id FROM (SELECT c.kind, c.id, c.cls, c.n_before + row_number() OVER (PARTITION BY c.cls, c.cell ORDER BY c.worth DESC, c.id) AS place FROM (SELECT n.*, b.n_before FROM {ranked_nodes} n JOIN (SELECT cls, cell, sum(count(*)) OVER (ORDER BY cls, cell DESC) - count(*) AS n_before FROM {ranked_nodes} GROUP BY cls, cell) b ON b.cls = n.cls AND b.cell = n.cell) c) p JOIN {node_cap} k ON p.place <= k.cap""",
+)
+
+top_tour_candidates = define(
+    "top_tour_candidates", "From each start the passes by reward times affordability: half the budget less the way there, as a share of it; those that can't be reached and left again within the budget are out; the ten best.",
+    """SELECT start_id, id, value, CAST(r AS BIGINT) AS rank FROM (SELECT start_id, id, value, row_number() OVER (PARTITION BY start_id ORDER BY value DESC, id) AS r FROM (
+        SELECT s.start_id, p.id, floor(p.quality * (1e0 - 2e0 * t.cost / s.budget) * 1e6 + 5e-1) / 1e6 AS value FROM {starts} s JOIN {reach} t ON t.source = s.node JOIN {passes} p ON p.id = t.node WHERE t.cost * 2 <= s.budget AND p.id <> s.node) v) k WHERE r <= 10""",
+)
+
+agg_infer_intent = define(
+    "agg_infer_intent", "Posterior over personas from each customer's tags, the season's context and the prior: softmax of summed weights; its entropy, whether it is ambiguous (the two best within 0.15), and each persona's place.",
+    f"""SELECT user_id, persona, {js_round("p", 1000000)} AS probability, CAST(r AS BIGINT) AS place, {js_round("-sum(p * ln(p)) OVER (PARTITION BY user_id)", 1000000)} AS entropy, first_p - coalesce(second_p, 0e0) < 15e-2 AS ambiguous FROM (
+        SELECT *, max(CASE WHEN r = 1 THEN p END) OVER (PARTITION BY user_id) AS first_p, max(CASE WHEN r = 2 THEN p END) OVER (PARTITION BY user_id) AS second_p FROM (
+        SELECT user_id, persona, p, row_number() OVER (PARTITION BY user_id ORDER BY floor(p * 1e9 + 5e-1) DESC, persona) AS r FROM (
+        SELECT user_id, persona, exp(s) / sum(exp(s)) OVER (PARTITION BY user_id) AS p FROM (
+            SELECT t.user_id, r.persona, sum(coalesce(w.w, 0e0) * t.n) / max(t.total) + max(r.prior) + max(coalesce(c.boost, 0e0)) AS s FROM (SELECT user_id, tag, n, sum(n) OVER (PARTITION BY user_id) AS total FROM {{pinned_tags}}) t CROSS JOIN {{priors}} r LEFT JOIN {WEIGHTS} w ON w.tag = t.tag AND w.persona = r.persona LEFT JOIN {{user_context}} u ON u.user_id = t.user_id LEFT JOIN {{context_boosts}} c ON c.context = u.context AND c.persona = r.persona GROUP BY t.user_id, r.persona
+        ) s ) q ) x ) y""",
+)

@@ -8,7 +8,7 @@ from waymark.functions import columns
 from waymark.functions.rounds import written
 from waymark.functions.sql import EARTH_KM, haversine
 from waymark.operators import ALL, discovery, governance, graph, records, routes, scalars, spatial, status
-from waymark.plans import drive_queries
+from waymark.plans import drive_queries, search_queries
 from waymark.plans import tables as world
 from waymark.plans.drive_queries import nearest_sql
 from waymark.plans.tables import Tables, oracle
@@ -224,7 +224,7 @@ BUILT |= {
     ),
 }
 
-BUILT |= drive_queries.BUILT
+BUILT |= drive_queries.BUILT | search_queries.BUILT
 
 STREAMS = {
     "stream_latest_status": (streams.latest_status, "SELECT pass_id, state, seen, seen < (SELECT max(EPOCH_US(ts)) FROM {statuses}) - 864e8 AS stale FROM (SELECT pass_id, max_by(state, EPOCH_US(ts) * 1000 + id % 1000) AS state, max(EPOCH_US(ts)) AS seen FROM {statuses} GROUP BY pass_id) l"),
@@ -240,10 +240,10 @@ def _over(op):
 
 
 def queries():
-    found = {name: _over(op) for name, op in ALL.items()}
+    found = {name: _over(op) for name, op in ALL.items() if name not in BUILT}
     found |= {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, (f, _) in BUILT.items()}
     return found | {name: f for name, (f, _) in STREAMS.items()}
 
 
 def oracle_sql():
-    return {name: oracle(op.text) for name, op in ALL.items()} | {name: oracle(text) for name, (_, text) in (BUILT | STREAMS).items() if text}
+    return {name: oracle(op.text) for name, op in ALL.items() if name not in BUILT} | {name: oracle(text) for name, (_, text) in (BUILT | STREAMS).items() if text}

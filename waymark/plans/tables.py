@@ -119,6 +119,19 @@ ADAPTERS = {
     "price_cache": "SELECT DISTINCT name FROM {places} WHERE size > 40 UNION SELECT DISTINCT name FROM {entities} WHERE id % 2 = 0 UNION SELECT 'Nobody ' || CAST(id AS STRING) FROM {passes} WHERE id % 10 = 0",
     "cell_copies": f"""SELECT id AS entity_id, x, y, CASE WHEN id % 31 = 0 AND k = 1 THEN 'changed' ELSE name END AS hash FROM (SELECT *, {tile_x("wlon")} + CAST(k AS INT) AS x, {tile_y("wlat")} AS y FROM (SELECT *, UNNEST(SEQ(0, 1)) AS k FROM {{entities}}) e) c""",
     "viewport": f"SELECT x, y FROM (SELECT CAST(x AS INT) AS x, UNNEST(SEQ(60, 190)) AS y FROM (SELECT UNNEST(SEQ(0, 255)) AS x) a) b WHERE x >= 250 OR x <= 5",
+    "finds": """SELECT e.*, e.name AS title, (e.id * 83 % 101) / 1e2 AS variety, ARR(e.activity, CASE WHEN e.id % 2 = 0 THEN 'walking' ELSE 'swimming' END) AS activities, CASE WHEN e.season IS NULL THEN NULL ELSE ARR(e.season) END AS seasons, ARR(e.mode, 'foot') AS modes, CASE WHEN e.flag IS NULL THEN NULL ELSE ARR(e.flag) END AS flags,
+        CASE e.id % 9 WHEN 0 THEN ARR('iconic') WHEN 1 THEN ARR('hidden-gem', 'lakes') ELSE ARR('lakes') END AS themes, ARR(lower(e.entity_type)) AS terms, CASE WHEN e.id % 4 = 0 THEN NULL ELSE CAST(e.id * 7 % 600 AS DOUBLE) END AS minutes FROM {entities} e""",
+    "search_documents": "SELECT id, name AS title, lower(name) AS name, lower(name || ' ' || entity_type || ' ' || activity || ' ' || coalesce(season, '')) AS text, activity, lat, lon FROM {entities}",
+    "search_queries": f"""SELECT n_nationkey AS query_id, CASE n_nationkey % 6 WHEN 0 THEN 'entity ' || CAST(n_nationkey * 7 + 12 AS STRING) WHEN 1 THEN 'entitty ' || CAST(n_nationkey * 5 + 100 AS STRING) WHEN 2 THEN CAST(n_nationkey + 3 AS STRING) || ' trailroute hiking' WHEN 3 THEN 'autumn cyclng' WHEN 4 THEN '' ELSE 'nothing like it' END AS query,
+        46e0 AS lat, 75e-1 + n_nationkey * 1e-1 AS lon, CASE WHEN n_nationkey % 3 = 0 THEN 200e3 END AS within_m, CASE WHEN n_nationkey % 4 = 0 THEN 'hiking' END AS activity FROM {{nation}}""",
+    "ranked_passes": f"SELECT *, floor(12742e3 * asin(sqrt(pow(sin(radians(lat - 46e0) / 2), 2) + cos(radians(46e0)) * cos(radians(lat)) * pow(sin(radians(lon - 8e0) / 2), 2))) / 1e3 + 5e-1) AS metres FROM {{passes}}",
+    "ranked_nodes": "SELECT 'junction' AS kind, 0 AS cls, n_nationkey AS id, 0e0 AS worth, 0 AS cell FROM {nation} UNION ALL SELECT 'poi', CASE WHEN score >= 9 THEN 1 ELSE 3 END, id, score, CAST(score AS INT) FROM {places} UNION ALL SELECT 'pass', 2, id, quality, CAST(floor(quality * 50) AS INT) FROM {passes}",
+    "node_cap": "SELECT 300 AS cap FROM {region} WHERE r_regionkey = 0",
+    "starts": "SELECT n_nationkey AS start_id, 1 + n_nationkey % 9 AS node, 2e3 + n_nationkey * 500 AS budget FROM {nation}",
+    "pinned_tags": "SELECT o.o_custkey AS user_id, p.family AS tag, count(*) AS n FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey JOIN {places} p ON p.id = l.l_partkey GROUP BY o.o_custkey, p.family",
+    "priors": "SELECT c_mktsegment AS persona, count(*) / 1e9 AS prior FROM {customer} GROUP BY c_mktsegment",
+    "user_context": "SELECT c_custkey AS user_id, CASE c_custkey % 3 WHEN 0 THEN 'winter' WHEN 1 THEN 'summer' END AS context FROM {customer}",
+    "context_boosts": "SELECT 'winter' AS context, 'BUILDING' AS persona, 3e-1 AS boost FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT 'summer', 'MACHINERY', 4e-1 FROM {region} WHERE r_regionkey = 0",
     "users": "SELECT c_custkey AS user_id, c_mktsegment AS persona, c_acctbal AS balance, c_nationkey AS nation FROM {customer}",
 }
 

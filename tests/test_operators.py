@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import columns
-from waymark.operators import graph, routes, spatial
+from waymark.operators import drives, feeds, graph, routes, schedules, search, shapes, spatial
+from waymark.operators import records as records_
 from waymark.operators.status import status_rules
 from waymark.sources import readers, sinks
 
@@ -17,8 +18,8 @@ def rows(df, *names):
 
 @pytest.fixture(scope="module")
 def candidates(spark):
-    data = [(1, 10, 1, 3.0, 9.0, 9.0, "a"), (1, 11, 2, 2.5, 8.0, 8.0, "a"), (1, 12, 3, 1.0, 7.0, 7.0, "b"), (1, 13, 4, 5.0, 6.0, 6.0, "c"), (2, 10, 1, 9.0, 1.0, 1.0, "a")]
-    return spark.createDataFrame(data, "tour_id long, poi long, ord int, detour double, rank_score double, score double, family string")
+    data = [(1, 10, 1, 3.0, 9.0, 9.0, ["a", "x"]), (1, 11, 2, 2.5, 8.0, 8.0, ["a", "x"]), (1, 12, 3, 1.0, 7.0, 7.0, ["b"]), (1, 13, 4, 5.0, 6.0, 6.0, ["a", "c"]), (2, 10, 1, 9.0, 1.0, 1.0, [])]
+    return spark.createDataFrame(data, "tour_id long, poi long, ord int, detour double, rank_score double, score double, categories array<string>")
 
 
 def test_detour_budget_skips_what_does_not_fit(candidates):
@@ -28,12 +29,229 @@ def test_detour_budget_skips_what_does_not_fit(candidates):
 
 def test_mmr_prefers_other_families(candidates):
     got = rows(routes.mmr(candidates, 3), "tour_id", "place", "poi")
-    assert got == [(1, 1, 10), (1, 2, 12), (1, 3, 13), (2, 1, 10)]
+    # 11 is the same as 10 and loses 2.5, 13 shares one of three categories and loses 0.83
+    assert got == [(1, 1, 10), (1, 2, 12), (1, 3, 11), (2, 1, 10)]
+    assert rows(routes.mmr(candidates, 3, 5.0), "tour_id", "place", "poi") == [(1, 1, 10), (1, 2, 12), (1, 3, 13), (2, 1, 10)]
 
 
-def test_breaks_reset_the_load(spark):
-    chunks = spark.createDataFrame([(1, 1, i, 0.5) for i in range(12)], "tour_id long, ord int, chunk long, load double")
-    assert rows(routes.breaks(chunks, 1.2, 4), "number", "chunk") == [(1, 3), (2, 7), (3, 11)]
+LEGS = "tour_id long, ord int, duration_s long, distance_m long, scenic double, straight double, curvature double, gain_m long, dwell_s long, road_class string, kind string"
+
+
+def legs(spark, *rows_):
+    return spark.createDataFrame([(1, i + 1, *r) for i, r in enumerate(rows_)], LEGS)
+
+
+def plain_breaks(chunks, threshold):
+    """The rules one chunk after the other."""
+    out, load, since, gap, segment = [], 0.0, 0, 10**9, None
+    for seg, chunk, value, seconds in chunks:
+        if seg != segment:
+            segment, load, since = seg, 0.0, 0
+        load, since, gap = load + value, since + seconds, gap + seconds
+        if since > 2400 and gap >= 2400 and load > threshold + 1e-9:
+            out.append((seg, chunk))
+            load, since, gap = 0.0, 0, 0
+    return out
+
+
+def test_breaks_by_load_stops_and_cool_down(spark):
+    import random
+
+    rng = random.Random(6)
+    data = {t: [(s, c, round(rng.random() * 2, 3), rng.choice([600, 600, 600, 240])) for s in range(rng.randint(1, 3)) for c in range(rng.randint(1, 14))] for t in range(40)}
+    chunks = spark.createDataFrame([(t, *x, 0.0) for t, xs in data.items() for x in xs], "tour_id long, segment long, chunk long, load double, chunk_s long, position double")
+    for persona, threshold in (("default", 3.5), ("family", 2.5)):
+        got = rows(drives.breaks(chunks, persona), "tour_id", "segment", "chunk")
+        assert got == sorted((t, *x) for t, xs in data.items() for x in plain_breaks(xs, threshold)) and got
+
+
+def test_short_stays_do_not_cut_a_segment(spark):
+    e = legs(spark, (1200, 9000, 0.5, 0.5, 0.1, 100, 600, "primary", "connector"), (600, 3000, 0.2, 0.1, 0.0, 0, 900, "motorway", "connector"), (1800, 20000, 0.1, 0.9, 0.2, 900, 0, "motorway", "pass-climb"))
+    m = {r.segment: r for r in drives.segment_metrics(drives.segmented(e)).collect()}
+    assert [(m[s].legs, m[s].duration_s, m[s].clock_s) for s in (0, 1)] == [(2, 1800, 0), (1, 1800, 3300)]
+    assert m[0].scenic == 0.4 and m[0].motorway_share == 0.25 and m[0].main_road == "primary" and m[1].gain_per_km == 45.0
+    c = rows(drives.load_curve(drives.segment_metrics(drives.segmented(e))), "segment", "chunk", "position", "boredom", "effort")
+    # 10 minutes x 0.366667 straight x 0.6, and 10 x 0.2 x (45 - 30) / 100
+    assert c[0] == (0, 0, 1.667, 2.2, 0.0) and c[3] == (1, 0, 3.333, 8.1, 0.3) and len(c) == 6
+    assert drives.load_curve(drives.segment_metrics(drives.segmented(e.limit(0)))).count() == 0
+
+
+def test_hunger_peaks_at_noon_and_falls_on_scenic_legs(spark):
+    e = legs(spark, (14400, 1000, 0.1, 0, 0, 0, 0, "primary", "connector"), (3600, 1000, 0.1, 0, 0, 900, 0, "primary", "connector"), (3600, 1000, 0.9, 0, 0, 0, 0, "primary", "connector"))
+    seg = drives.segmented(e)
+    curve = {r.t_sec: r.need for r in drives.hunger_curve(seg).collect()}
+    want = lambda t, more: round(max(0, math.exp(-0.5 * ((480 + t // 60 - 750) / 30) ** 2) + min(1, max(0, (t / 3600 - 4) / 2)) * 0.55 + more), 4)
+    assert curve[0] == want(0, 0) == 0.0 and curve[16200] == want(16200, 0) and curve[18300] == want(18300, 0.3 - 0.2) and curve[21600] == want(21600, -0.2)
+    w = drives.lunch_windows(drives.hunger_curve(seg)).first()
+    # exp(-d^2 / 2 / 30^2) is a half 35 minutes off, before the pressure of driving
+    assert w.peak_s == 16500 and w.from_s == 14100 and w.to_s > w.peak_s
+
+
+def test_connections_need_a_schedule_and_a_proof_in_force(spark):
+    base = {"id": 1, "mode": "rail", "direction": "both", "operating": True, "action": "publish", "verification": "verified", "freshness": "current", "flag": None, "minutes": 20, "end_a": 1, "end_b": 2, "zone": "Europe/Zurich", "departures": ["08:05", "23:50"], "valid_from": "2024-01-01", "valid_until": "2024-12-31"}
+    odd = [{}, {"mode": "taxi"}, {"direction": "return"}, {"operating": None}, {"operating": False}, {"zone": None}, {"departures": ["8:05"]}, {"valid_until": "2024-06-30"}, {"verification": "disputed"}, {"flag": "critical_access_unknown"}, {}]
+    schema = "id long, mode string, direction string, operating boolean, action string, verification string, freshness string, flag string, minutes int, end_a long, end_b long, zone string, departures array<string>, valid_from string, valid_until string, lat double, lon double, lat2 double, lon2 double"
+    c = spark.createDataFrame([tuple({**base, **o, "id": i}.values()) + (0.0,) * 4 for i, o in enumerate(odd)], schema).withColumns({k: F.col(k).cast("date") for k in ("valid_from", "valid_until")})
+    proofs = spark.createDataFrame([(i, "/geometry/coordinates" if i != 10 else "/names", "verified", "2024-07-01", "2024-07-03") for i in range(11)], "connection_id long, field string, status string, observed string, valid_until string").withColumns({k: F.col(k).cast("date") for k in ("observed", "valid_until")})
+    at = lambda d, t: spark.createDataFrame([(1, i, i, d, f"{d} {t}") for i in range(11)], "tour_id long, ord int, connection_id long, day string, arrival string").withColumns({"day": F.col("day").cast("date"), "arrival": F.col("arrival").cast("timestamp")})
+    codes = {r.ord: (r.code, r.departure) for r in schedules.refusals(at("2024-07-02", "06:05:01"), c, proofs).collect()}  # 08:05:01 in Zurich
+    assert codes[0] == (None, 23 * 60 + 50)
+    assert [codes[i][0] for i in range(1, 11)] == ["invalid", "direction_invalid", "operating_unknown", "not_operating", "timezone_invalid", "schedule_not_valid", "schedule_not_valid", "unverified", "quality_not_current", "provenance_unverified"]
+    assert schedules.refusals(at("2024-07-02", "06:05:00"), c, proofs).where("ord = 0").first().departure == 8 * 60 + 5
+    assert schedules.refusals(at("2024-07-04", "06:00:00"), c, proofs).where("ord = 0").first().code == "provenance_unverified"
+    assert schedules.refusals(at("2024-07-02", "21:55:00"), c, proofs).where("ord = 0").first().code == "missed"
+    best = schedules.chosen(schedules.refusals(at("2024-07-02", "06:00:00").where("ord > 0"), c, proofs)).first()
+    assert best.chosen is None and best.reasons.startswith("invalid;direction_invalid;")
+
+
+def test_nearest_goes_as_far_as_it_must(spark):
+    import random
+
+    rng = random.Random(8)
+    nodes = [(i, 46 + rng.random(), 8 + rng.random()) for i in range(60)] + [(90, -45.0, 179.9)]
+    pts = [(i, 46 + rng.random(), 8 + rng.random()) for i in range(20)] + [(50, -44.0, -179.9), (51, 10.0, -60.0)]
+    df = lambda x: spark.createDataFrame(x, "id long, lat double, lon double")
+
+    def metres(a, b):
+        p, q, d = math.radians(a[1]), math.radians(b[1]), math.radians(b[2] - a[2])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(d / 2) ** 2
+        return math.floor(2 * 6_371_000 * math.asin(min(1, math.sqrt(h))) + 0.5)
+
+    want = sorted((p[0], r + 1, n[0]) for p in pts for r, n in enumerate(sorted(nodes, key=lambda n: (metres(p, n), n[0]))[:3]))
+    assert rows(spatial.nearest(df(pts), df(nodes), 3).withColumnRenamed("r_id", "node"), "id", "rank", "node") == want
+
+
+def test_paths_avoid_what_is_forbidden_and_dear(spark):
+    import heapq
+    import random
+
+    rng = random.Random(9)
+    e = {(rng.randrange(40), rng.randrange(40)): rng.randrange(1, 9000) for _ in range(160)}
+    df = spark.createDataFrame([(a, b, w / 1000) for (a, b), w in e.items()], "a long, b long, cost double")
+    bad, used = {3, 7}, {(a, b) for a, b in e if (a + b) % 5 == 0}
+    sources = spark.createDataFrame([(0,), (1,), (3,)], "source long")
+
+    def dijkstra(s):
+        best, heap = {}, [(0, 0, (s,), s)]
+        while heap:
+            d, h, path, n = heapq.heappop(heap)
+            if n in best:
+                continue
+            best[n] = (d, h)
+            for (a, b), w in e.items():
+                if a == n and b not in bad and a != b:
+                    heapq.heappush(heap, (d + w * (2 if (a, b) in used else 1), h + 1, (*path, b), b))
+        return best
+
+    got = graph.shortest_paths(df, sources, forbidden=spark.createDataFrame([(x,) for x in bad], "node long"), used=spark.createDataFrame(list(used), "a long, b long"), penalty=2.0)
+    assert rows(got, "source", "node", "cost", "hops") == sorted((s, n, *v) for s in (0, 1) for n, v in dijkstra(s).items())
+    assert all(r.path[0] == r.source and r.path[-1] == r.node and len(r.path) == r.hops + 1 for r in got.collect())
+    near = graph.shortest_paths(df, sources, cap=4000)
+    assert near.where("cost > 4000").count() == 0
+    pairs = spark.createDataFrame([(0, n) for n in range(40)], "source long, node long")
+    told = {r.node: r.status for r in graph.path_status(pairs, graph.shortest_paths(df, sources), 4000).collect()}
+    assert set(told.values()) == {"ok", "over budget", "unreachable"} or len(set(told.values())) >= 2
+
+
+def test_routes_join_their_legs(spark):
+    e = spark.createDataFrame([(1, 2, 1.0, 10.0, 100.0), (2, 3, 1.0, 20.0, 200.0)], "a long, b long, cost double, duration_s double, distance_m double")
+    stops = spark.createDataFrame([(1, 1, 1), (1, 2, 3), (1, 3, 3), (2, 1, 1), (2, 2, 9)], "tour_id long, ord int, node long")
+    paths = graph.shortest_paths(e, spark.createDataFrame([(1,), (3,)], "source long"))
+    assert rows(graph.route_cost(stops, paths).na.fill(-1), "tour_id", "legs", "cost") == [(1, 2, 2000), (2, 1, -1)]
+    r = {x.tour_id: x for x in graph.materialized_routes(stops, paths, e).collect()}
+    assert (list(r[1].path), r[1].edges, r[1].duration_s, r[1].distance_m) == ([1, 2, 3], 2, 30, 300) and r[2].unreachable == 1
+
+
+def test_search_equals_a_full_scan(spark):
+    import random
+
+    rng = random.Random(10)
+    word = lambda: rng.choice(["alp", "see", "furka", "grimsel", "pass", "b", "hut", "wald"])
+    docs = [(i, f"T{i}", " ".join(word() for _ in range(rng.randint(1, 3))), rng.choice(["hike", "bike"])) for i in range(80)]
+    asked = [(0, "furka pass"), (1, "grimsle"), (2, "b"), (3, ""), (4, "zzz qqq"), (5, "see alp hut"), (6, "forka pas")]
+    grams = lambda t: {f"  {t}  "[i : i + 3] for i in range(len(t) + 2)}
+
+    def score(q, t):
+        if not q or q == t:
+            return 1.0
+        if t.startswith(q):
+            return 0.94
+        if q in t:
+            return 0.82
+        a, b = grams(q), grams(t)
+        return sum(w in t for w in q.split(" ")) / len(q.split(" ")) * 0.62 + len(a & b) / len(a | b) * 0.38
+
+    d = spark.createDataFrame([(i, t, x, x, a, 46.0, 8.0) for i, t, x, a in docs], "id long, title string, name string, text string, activity string, lat double, lon double")
+    q = spark.createDataFrame([(i, x, None, None, None, None) for i, x in asked], "query_id long, query string, lat double, lon double, within_m double, activity string")
+    got = {(r.query_id, r.id): r.relevance for r in search.search(d, q).collect()}
+    want = {(i, j): score(x, t) for i, x in asked for j, _, t, _ in docs if score(x, t) >= 0.16}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+
+
+def test_hidden_discovery_needs_more_than_obscurity(spark):
+    schema = "id long, title string, distinctiveness double, uniqueness double, evidence double, confidence double, prominence double, variety double, activities array<string>, seasons array<string>, modes array<string>, themes array<string>, flags array<string>, lane string, legal string, action string, verification string"
+    base = (0.9, 0.8, 0.9, 0.8, 0.1, 0.5, ["hiking"], ["summer"], ["train"], [], [], "quieter_verified", "legal", "publish", "verified")
+    put = lambda i, **kw: (i, f"t{i}", *[kw.get(n.split()[0], v) for n, v in zip(schema.split(", ")[2:], base)])
+    e = spark.createDataFrame([put(1), put(2, evidence=0.2, distinctiveness=0.3), put(3, legal="unknown"), put(4, legal="private"), put(5, action="redact"), put(6, flags=["technical_route"])], schema)
+    a = {r.id: r for r in search.assess(e, search.Wish(hidden_only=True)).collect()}
+    assert [a[i].eligible for i in range(1, 7)] == [True, False, False, False, False, False]
+    assert a[2].lane == "quieter_lead" and "unverified lead" in a[2].uncertainties and a[4].exclusions[0] == "private"
+    whole = 0.9 * 0.22 + 0.8 * 0.14 + 0.9 * 0.2 + 0.9 * 0.1 + 0.65 * 0.12 + 0.65 * 0.08 + 0.9 * 0.1 + 0.5 * 0.04
+    assert a[1].score == round(whole, 3) and list(a[1].reasons) == ["distinctiveness", "evidence_quality", "lower_prominence"]
+    assert search.assess(e, search.Wish(technical=True)).where("id = 6").first().eligible
+
+
+def test_hints_in_two_languages(spark):
+    texts = ["Closed until 15.05.2025", "Voraussichtliche Öffnung: 3. Mai", "reopens on June 7th, 2024", "Gesperrt bis Ende Winter", "open", "Expected opening: soon. Open from 2/6", None]
+    got = rows(feeds.hints(spark.createDataFrame(list(enumerate(texts)), "id long, info string")).na.fill(0), "id", "kind", "day", "month", "year")
+    assert got == [(0, "closed-until", 15, 5, 2025), (1, "predicted", 3, 5, 0), (2, "open-from", 7, 6, 2024), (5, "open-from", 2, 6, 0)] or got[:3] == [(0, "closed-until", 15, 5, 2025), (1, "predicted", 3, 5, 0), (2, "open-from", 7, 6, 2024)]
+
+
+def test_record_rules_on_known_faults(spark):
+    records = spark.createDataFrame([(1, "Place", "entity:1", "CH", 0.5, "verified", "2024-01-01", "publish", None), (2, "Thing", "-x", "", 1.5, "odd", None, "hide", None), (3, "Place", "entity:3", "CH", 0.5, "verified", "2024-01-01", "redact", None)], "id long, entity_type string, key string, jurisdiction string, confidence double, verification string, assessed string, action string, reason string")
+    names = spark.createDataFrame([(1, 1, "en", "A", "primary"), (2, 1, "x1", " ", "nick"), (3, 1, "de", "Über", "alternate"), (3, 2, "DE", "über ", "alternate")], "entity_id long, idx int, language string, value string, kind string")
+    positions = spark.createDataFrame([(1, i, *p) for i, p in enumerate([(7.0, 46.0), (8.0, 46.0), (8.0, 47.0), (7.0, 46.0)])] + [(2, 0, 200.0, 0.0), (3, 0, 0.0, 0.0), (3, 1, 0.0, 1.0), (3, 2, 1.0, 1.0), (3, 3, 1.0, 0.0)], "entity_id long, ord int, lon double, lat double")
+    bounds = spark.createDataFrame([("CH", 5.0, 11.0, 45.0, 48.0)], "jurisdiction string, west double, east double, south double, north double")
+    evidence = spark.createDataFrame([(1, 5, "/names", "survey", "verified", 0.5), (2, None, "names", "rumour", "guessed", 2.0)], "entity_id long, source_id long, field string, kind string, status string, confidence double")
+    got = rows(records_.val_entity_common(records=records, names=names, positions=positions, bounds=bounds, evidence=evidence), "id", "rule")
+    assert {r for i, r in got if i == 1} == set()
+    assert {r for i, r in got if i == 2} == {"type unsupported", "key not readable", "jurisdiction missing", "name blank", "language tag", "name kind", "no primary name", "position invalid", "ring short", "assertion without source", "assertion pointer", "evidence kind", "assertion state", "assertion confidence", "quality confidence", "quality state", "quality not dated", "sensitivity action", "sensitivity without reason"}
+    assert {r for i, r in got if i == 3} == {"name repeated", "no primary name", "ring open", "outside the jurisdiction", "no assertion", "sensitivity without reason"}
+
+
+def test_adapters_run_apart(spark):
+    fine = lambda: spark.createDataFrame([(1, "x")], "id long, name string")
+
+    def broken():
+        raise ValueError("no feed")
+
+    got, failed = readers.isolated(spark, {"a": fine, "b": broken, "c": lambda: fine().drop("name")}, "id bigint, name string")
+    assert rows(got, "adapter", "id") == [("a", 1)] and [r.adapter for r in failed.collect()] == ["b", "c"]
+    with pytest.raises(RuntimeError):
+        readers.isolated(spark, {"b": broken}, "id bigint")
+
+
+def test_segments_join_and_turn_back(spark):
+    line = lambda *ps: [{"lat": a, "lon": o} for a, o in ps]
+    s = spark.createDataFrame([(1, 1, line((46.0, 8.0), (46.1, 8.0))), (1, 2, line((46.1, 8.0), (46.2, 8.1))), (2, 1, line((46.0, 8.0), (46.1, 8.0))), (2, 2, line((46.3, 8.0), (46.4, 8.0))), (3, 1, line((46.0, 8.0)))], "tour_id long, ord int, line array<struct<lat:double,lon:double>>")
+    got = {r.tour_id: r for r in shapes.joined_segments(s).collect()}
+    assert [p.y for p in got[1].out_and_back] == [46_000_000, 46_100_000, 46_200_000, 46_100_000, 46_000_000] and got[1].whole
+    assert not got[2].whole and len(got[2].line) == 2 and len(got[3].out_and_back) == 1
+
+
+def test_crossings_need_both_gateways_on_opposite_sides(spark):
+    stops = spark.createDataFrame([(1, 1, 90, 46.0, 7.9), (1, 2, 91, 46.0, 8.1), (2, 1, 90, 46.0, 7.9), (2, 2, 91, 46.0, 8.0), (2, 3, 92, 46.0, 7.9), (3, 1, 5, 46.0, 7.9), (3, 2, 91, 46.0, 8.1)], "tour_id long, ord int, pass_id long, lat double, lon double")
+    p = spark.createDataFrame([(5, 46.001, 8.0, False)], "id long, lat double, lon double, open boolean")
+    b = spark.createDataFrame([(5, "A", 46.0, 7.94), (5, "B", 46.0, 8.06)], "pass_id long, side string, lat double, lon double")
+    assert rows(shapes.pass_crossings(p, b, stops), "tour_id", "pass_id", "verdict") == [(1, 5, "blocked")]
+    assert shapes.pass_crossings(p.withColumn("open", F.lit(True)), b, stops).first().verdict == "implicit"
+
+
+def test_packages_refuse_what_cannot_fit(spark):
+    items = spark.createDataFrame([("r", i, b) for i, b in enumerate([40, 50, 30])], "region string, id long, bytes long")
+    assert rows(sinks.packages(items, 100), "shard", "n", "bytes") == [(0, 2, 90), (1, 1, 30)]
+    with pytest.raises(ValueError, match="item 1 "):
+        sinks.packages(items, 45)
 
 
 def test_rests_are_spread(spark):

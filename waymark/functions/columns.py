@@ -60,3 +60,21 @@ def relevance(documents: DataFrame, queries: DataFrame) -> DataFrame:
     cover = F.size(F.filter("tokens", lambda t: F.contains(F.col("name"), t))) / F.size("tokens")
     score = F.when(F.col("name") == F.col("query"), 1.0).when(F.startswith("name", "query"), 0.94).when(F.contains("name", "query"), 0.82).otherwise(cover * 0.62 + F.col("both") / (F.col("nd") + F.col("nq") - F.col("both")) * 0.38)
     return pairs.select("query", "name", (F.floor(score * 1e6 + 0.5) / 1e6).alias("score"))
+
+
+def canonical_json(column: str, schema: T.DataType) -> Column:
+    """A column as JSON with the keys of all objects in order, at every depth; null fields are kept."""
+
+    def ordered(c: Column, t: T.DataType) -> Column:
+        if isinstance(t, T.StructType):
+            fields = [ordered(c[f.name], f.dataType).alias(f.name) for f in sorted(t.fields, key=lambda f: f.name)]
+            return F.when(c.isNotNull(), F.struct(*fields))
+        if isinstance(t, T.ArrayType):
+            return F.transform(c, lambda x: ordered(x, t.elementType))
+        return c
+
+    return F.to_json(ordered(F.col(column), schema), {"ignoreNullFields": "false"})
+
+
+def canonical_hash(column: str, schema: T.DataType) -> Column:
+    return F.sha2(canonical_json(column, schema), 256)

@@ -102,15 +102,6 @@ proj_route_modes = define(
     "SELECT tour_id, pass_id, min_by(place_id, ord) AS entry, max_by(place_id, ord) AS exit, CASE WHEN count(*) > 1 AND min_by(place_id, ord) <> max_by(place_id, ord) THEN 'traverse' ELSE 'out-and-back' END AS mode FROM {stops} GROUP BY tour_id, pass_id",
 )
 
-proj_merge_route_facts = define("proj_merge_route_facts", "Provider's facts where there are any, else the straight line at 55 km/h.", f"SELECT r.tour_id, CASE WHEN max(o.bytes) > 200e3 THEN 'provider' ELSE 'straight' END AS basis, CASE WHEN max(o.bytes) > 200e3 THEN CAST(floor(max(o.bytes)) AS BIGINT) ELSE CAST(floor(max(r.s_m) + 5e-1) AS BIGINT) END AS metres, {js_round('CASE WHEN max(o.bytes) > 200e3 THEN max(r.t_sec) / 3600 ELSE floor(max(r.s_m) + 5e-1) / 55e3 END', 1000)} AS hours FROM {REFERENCE} r LEFT JOIN {{entities}} o ON o.id = r.tour_id GROUP BY r.tour_id")
-
-proj_tour_stops = define("proj_tour_stops", "Display rows of stops joined to their places, with endpoints.", "SELECT s.tour_id, CAST(s.ord AS BIGINT) AS ord, p.name, p.category, 'stop' AS role FROM {stops} s JOIN {places} p ON p.id = s.place_id UNION ALL SELECT tour_id, 0, 'start', NULL, 'endpoint' FROM (SELECT DISTINCT tour_id FROM {stops}) t UNION ALL SELECT tour_id, max(ord) + 1, 'end', NULL, 'endpoint' FROM {stops} GROUP BY tour_id")
-
-proj_tour_waypoints = define(
-    "proj_tour_waypoints", "Ordered waypoints: entry, summit and exit of climbs, the stop itself otherwise.",
-    """SELECT tour_id, CAST(row_number() OVER (PARTITION BY tour_id ORDER BY ord, sub) AS BIGINT) AS position, place_id, part FROM (SELECT tour_id, ord, place_id, 1 AS sub, 'entry' AS part FROM {stops} WHERE kind = 'pass-climb' UNION ALL SELECT tour_id, ord, place_id, 2, 'summit' FROM {stops} UNION ALL SELECT tour_id, ord, place_id, 3, 'exit' FROM {stops} WHERE kind = 'pass-climb') w""",
-)
-
 win_viewpoint_choice = define("win_viewpoint_choice", "Best viewpoint of each pass on a tour above the threshold, else the first stop.", "SELECT tour_id, pass_id, place_id, r = 1 AND scenic >= 25e-2 AS is_viewpoint FROM (SELECT *, row_number() OVER (PARTITION BY tour_id, pass_id ORDER BY CASE WHEN scenic >= 25e-2 THEN scenic ELSE 0 END DESC, ord) AS r FROM {stops}) s WHERE r = 1")
 
 win_largest_remainder = define(
@@ -144,12 +135,6 @@ agg_best_edge = define("agg_best_edge", "The cheapest edge of each undirected pa
 
 graph_adjacency = define("graph_adjacency", "Degrees and the least cost for each metre of each node.", "SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, floor(min(c) * 1e9 + 5e-1) / 1e9 AS least_cost FROM (SELECT a AS node, 1 AS o, 0 AS i, cost / distance_m AS c FROM {edges} UNION ALL SELECT b, 0, 1, cost / distance_m FROM {edges}) e GROUP BY node")
 
-agg_pass_features = define(
-    "agg_pass_features", "Population z-scores of elevation and quality, and a clamped scenic weight.",
-    f"""SELECT id, {js_round("ze", 1000000)} AS z_elev, {js_round("zq", 1000000)} AS z_quality, {js_round("least(5e-1, greatest(0e0, 25e-2 + 1e-1 * ze + 5e-2 * zq))", 1000000)} AS scenic_weight FROM (
-        SELECT id, (elev - (SELECT avg(elev) FROM {{passes}})) / (SELECT CASE WHEN stddev_pop(elev) = 0 THEN 1e0 ELSE stddev_pop(elev) END FROM {{passes}}) AS ze, (quality - (SELECT avg(quality) FROM {{passes}})) / (SELECT CASE WHEN stddev_pop(quality) = 0 THEN 1e0 ELSE stddev_pop(quality) END FROM {{passes}}) AS zq FROM {{passes}} p) z""",
-)
-
 agg_calibrate = define(
     "agg_calibrate", "Correlation of quality with elevation and the share of high passes in the top quarter, against thresholds.",
     """SELECT floor(corr(quality, elev) * 1e6 + 5e-1) / 1e6 AS r, floor(count_if(top AND elev > 2500) * 1e6 / nullif(count_if(elev > 2500), 0) + 5e-1) / 1e6 AS hero_share, count_if(top AND elev > 2500) * 2 >= count_if(elev > 2500) AS passed FROM (SELECT quality, elev, place > (SELECT floor(count(*) * 75e-2) FROM {passes}) AS top FROM RANKED_BY_QUALITY p) p""".replace("RANKED_BY_QUALITY", ranked("quality")),
@@ -160,8 +145,6 @@ proj_pass_edges = define(
     """SELECT id, side, kind, floor(d * mult * (1e0 - scenic) * (CASE kind WHEN 'descent' THEN 85e-2 WHEN 'out-and-back' THEN 168e-2 ELSE 1e0 END) * 1e3 + 5e-1) / 1e3 AS cost FROM (SELECT id, side, kind, (elev - 600) * 1.5e0 AS d, CASE WHEN elev > 2000 THEN 85e-2 ELSE 9e-1 END AS mult, least(5e-1, greatest(0e0, quality / 2)) AS scenic FROM (SELECT *, UNNEST(ARR('climb', 'descent', 'out-and-back')) AS kind FROM (SELECT *, UNNEST(ARR('A', 'B')) AS side FROM {passes}) a) p) e""",
 )
 
-proj_graph_nodes = define("proj_graph_nodes", "All nodes of the road graph: passes, their two bases, and sights with dwell.", "SELECT 'pass:' || CAST(id AS STRING) AS id, 'pass' AS kind, lon, lat, CAST(0 AS BIGINT) AS dwell_s FROM {passes} UNION ALL SELECT 'base:' || CAST(id AS STRING) || ':A', 'pass-base', lon - 6e-2, lat, 0 FROM {passes} UNION ALL SELECT 'base:' || CAST(id AS STRING) || ':B', 'pass-base', lon + 6e-2, lat, 0 FROM {passes} UNION ALL SELECT 'poi:' || CAST(id AS STRING), 'poi', lon, lat, 600 + size * 60 FROM {places}")
-
 join_price_cache = define("join_price_cache", "Places with the price cached for their name, and names without one.", "SELECT p.id, c.price AS cached, c.price IS NULL AS missing FROM {places} p LEFT JOIN (SELECT name, min(price) AS price FROM {places} WHERE size > 45 GROUP BY name) c ON c.name = p.name")
 
 join_price_refresh = define("join_price_refresh", "Prices after a refresh: only refreshable rows in the accepted currency change.", "SELECT p.id, CASE WHEN p.size % 2 = 0 AND c.currency = 'CHF' THEN c.amount ELSE p.price END AS price, p.size % 2 = 0 AND coalesce(c.currency = 'CHF', FALSE) AS refreshed FROM {places} p LEFT JOIN (SELECT id, price + 10 AS amount, currency FROM {places} WHERE size % 3 <> 0) c ON c.id = p.id")
@@ -172,18 +155,10 @@ proj_parking_entity = define("proj_parking_entity", "Parking points: the cached
 
 proj_pass_entity = define("proj_pass_entity", "A natural feature for each pass and up to two gateways.", "SELECT 'pass:' || CAST(id AS STRING) AS id, 'NaturalFeature' AS entity_type, lon, lat FROM {passes} UNION ALL SELECT 'gate:' || CAST(id AS STRING) || ':' || side, 'AccessPoint', lon + CASE side WHEN 'A' THEN -6e-2 ELSE 6e-2 END, lat FROM (SELECT *, UNNEST(ARR('A', 'B')) AS side FROM {passes}) p WHERE NOT (side = 'B' AND closes IS NULL AND elev < 1000)")
 
-proj_place_entity = define("proj_place_entity", "Places as entities: type, access modes, confidence, lane and minutes.", "SELECT id, CASE family WHEN 'nature' THEN 'NaturalFeature' WHEN 'museum' THEN 'Place' ELSE 'Place' END AS entity_type, CASE WHEN size % 2 = 0 THEN ARR('car', 'foot') ELSE ARR('foot') END AS modes, least(9e-1, greatest(36e-2, score / 10)) AS confidence, CASE WHEN score >= 9 THEN 'iconic' WHEN score <= 2 THEN 'quieter_lead' END AS lane, size * 3 AS minutes FROM {places}")
-
-proj_envelope = define("proj_envelope", "The common envelope of records: names, position, origin, three assertions.", "SELECT id, entity_type, ARR(name, upper(name)) AS names, ARR(lon, lat) AS position, 3 AS n_assertions, 'orders/' || CAST(id AS STRING) AS origin FROM {entities}")
-
 proj_drive_entity = define("proj_drive_entity", "Drives of tours: number of waypoints, and loops whose ends are under 250 m apart.", f"SELECT tour_id, count(*) AS waypoints, count(*) > 2 AND CAST(floor({haversine('min_by(lat, ord)', 'min_by(lon, ord)', 'max_by(lat, ord)', 'max_by(lon, ord)')} + 5e-1) AS BIGINT) < 250 AS is_loop FROM {{stops}} GROUP BY tour_id")
 
-proj_stable_pass_ids = define("proj_stable_pass_ids", "Slug ids; passes that share one get an ordinal suffix.", "SELECT id, CASE WHEN n = 1 THEN slug ELSE slug || '-' || CAST(r AS STRING) END AS stable FROM (SELECT id, slug, count(*) OVER (PARTITION BY slug) AS n, row_number() OVER (PARTITION BY slug ORDER BY id) AS r FROM (SELECT id, 'pass-' || CAST(nation AS STRING) || '-' || CAST(elev % 10 AS STRING) AS slug FROM {passes}) s) t")
-
 win_leg_timeline = define("win_leg_timeline", "Start and end of each leg in seconds, with a five-minute transfer after each.", "SELECT tour_id, ord, CAST(t - duration_s + (ord - 1) * 300 AS BIGINT) AS starts, CAST(t + (ord - 1) * 300 AS BIGINT) AS ends FROM (SELECT tour_id, ord, duration_s, sum(duration_s) OVER (PARTITION BY tour_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM {stops}) s")
 
-src_matrix_chunks = define("src_matrix_chunks", "One pair table out of chunks and a seed: a measured value wins over the seed.", "SELECT coalesce(m.a, s.a) AS a, coalesce(m.b, s.b) AS b, coalesce(m.distance_m, s.distance_m) AS distance_m, CASE WHEN m.a IS NOT NULL THEN 'measured' ELSE 'seed' END AS basis FROM (SELECT a, b, distance_m FROM {edges} WHERE (a + b) % 3 <> 0) m FULL OUTER JOIN (SELECT b AS a, a AS b, distance_m FROM {edges}) s ON s.a = m.a AND s.b = m.b")
-
 def _tours(stops: DataFrame, *aggregates: Column) -> DataFrame:
     """Tours with their first day and a digest of 256 bits of all their places in order."""
     route = F.transform(F.array_sort(F.collect_list(F.struct("ord", "place_id"))), lambda s: s["place_id"])
@@ -321,19 +296,6 @@ def overlay_clusters(items: DataFrame, zoom: int = 8, radius: int = 64) -> DataF
     return groups.unionByName(placed.where("planned").select(F.col("id").alias("first"), F.lit(1).cast("long").alias("n"), pixel(F.col("x")).alias("px"), pixel(F.col("y")).alias("py")))
 
 
-def pass_crossings(passes: DataFrame, stops: DataFrame) -> DataFrame:
-    """Passes that a tour truly crosses: a gateway hit on either side (2.5 km) of the summit's hit (1.5 km); planned ones are left out."""
-    from waymark.operators.spatial import line_segments, polyline_hits
-
-    lines = line_segments(stops)
-    side = lambda d: polyline_hits(passes.select("id", "lat", (F.col("lon") + d).alias("lon")), lines, 2500.0)
-    top = polyline_hits(passes, lines, 1500.0).select("id", "tour_id", F.col("position").alias("summit"))
-    west, east = side(-0.06).select("id", "tour_id", F.col("position").alias("w")), side(0.06).select("id", "tour_id", F.col("position").alias("e"))
-    met = top.join(west, ["id", "tour_id"]).join(east, ["id", "tour_id"]).where((F.least("w", "e") <= F.col("summit")) & (F.greatest("w", "e") >= F.col("summit")))
-    planned = stops.select("tour_id", F.col("pass_id").alias("id")).distinct()
-    return met.join(planned, ["tour_id", "id"], "left_anti").select("tour_id", F.col("id").alias("pass_id"), "summit")
-
-
 def _where_within(slope: Column, offset: Column, low: Column, high: Column) -> tuple[Column, Column]:
     """The ends of all x with slope * x + offset between low and high; the first exceeds the second where there is none."""
     a, b = (low - offset) / slope, (high - offset) / slope

@@ -14,13 +14,3 @@ fn_cell_cover = define(
         SELECT id, {tile_x("wlon")} AS x1, {tile_x("CASE WHEN wlon + 2e0 >= 180e0 THEN wlon - 358e0 ELSE wlon + 2e0 END")} AS x2, {tile_y("wlat + 1e0")} AS y1, {tile_y("wlat")} AS y2 FROM {{entities}}) c) d) e""",
 )
 
-flt_viewport_cells = define(
-    "flt_viewport_cells", "Cells that meet a box over the date line, with their records, and whether they fit the budget of 64 cells.",
-    f"""SELECT x, y, n, total <= 64 AS fits FROM (SELECT x, y, n, count(*) OVER (PARTITION BY 1) AS total FROM (SELECT {tile_x("wlon")} AS x, {tile_y("wlat")} AS y, count(*) AS n FROM {{entities}} WHERE (wlon >= 17e1 OR wlon <= -17e1) AND wlat BETWEEN -20 AND 20 GROUP BY {tile_x("wlon")}, {tile_y("wlat")}) c) d""",
-)
-
-proj_join_segments = define(
-    "proj_join_segments", "Segments of each tour in order: how many joints touch, and the length out and back.",
-    f"""SELECT tour_id, count(*) AS segments, count_if({haversine("plat", "plon", "lat", "lon")} <= 1e3) AS touching, 2 * count(*) + 1 AS vertices FROM (SELECT tour_id, lon, lat, lag(lon) OVER (PARTITION BY tour_id ORDER BY ord) AS plon, lag(lat) OVER (PARTITION BY tour_id ORDER BY ord) AS plat FROM {{stops}}) s WHERE plon IS NOT NULL GROUP BY tour_id""",
-)
-

@@ -22,16 +22,6 @@ flt_pass_layer = define("flt_pass_layer", "Passes for the map layer by status, e
 
 flt_seasonal_edges = define("flt_seasonal_edges", "Stops whose summer-only edge may be used on the day, 15 May to 31 October.", "SELECT tour_id, ord FROM {stops} WHERE kind = 'connector' OR EXTRACT(MONTH FROM day) * 100 + EXTRACT(DAY FROM day) BETWEEN 515 AND 1031")
 
-flt_forbidden_passes = define(
-    "flt_forbidden_passes", "Stops that are not on a forbidden pass or on a pass of the same nation within its group.",
-    """SELECT s.tour_id, s.ord, s.pass_id FROM {stops} s WHERE NOT EXISTS (SELECT 1 FROM {passes} p WHERE p.id = s.pass_id AND p.closes IS NOT NULL AND p.elev > 2000)""",
-)
-
-agg_history_median = define(
-    "agg_history_median", "Typical day of each pass: the upper median of the days seen, from three complete years on.",
-    """SELECT pass_id, count(*) AS n, AT(SORTED(array_agg(doy)), CAST(floor(count(*) / 2) AS INT) + 1) AS typical FROM (SELECT pass_id, CAST(EXTRACT(DAY FROM ts) * 24 + EXTRACT(HOUR FROM ts) AS BIGINT) AS doy FROM {statuses} WHERE state = 'open') h GROUP BY pass_id HAVING count(*) >= 3""",
-)
-
 history_status = define(
     "history_status", "Historical state of each pass on each month's first day, from typical open and close days.",
     f"SELECT id, CAST(m AS BIGINT) AS month, CASE WHEN open_day <= close_day THEN (m - 1) * 30 + 1 BETWEEN open_day AND close_day ELSE (m - 1) * 30 + 1 >= open_day OR (m - 1) * 30 + 1 <= close_day END AS is_open FROM {PASS_MONTHS} p WHERE open_day IS NOT NULL",
@@ -59,43 +49,5 @@ agg_tour_status_warnings = define(
         SELECT s.tour_id, p.name, row_number() OVER (PARTITION BY s.tour_id ORDER BY s.ord) AS r FROM {{stops}} s JOIN (SELECT *, coalesce({RULE}, {ELEVATION}) AS state FROM (SELECT *, 2 AS m FROM {{passes}}) q) p ON p.id = s.pass_id WHERE p.state = 'closed') w GROUP BY tour_id""",
 )
 
-agg_dominant_status = define(
-    "agg_dominant_status", "Most frequent state of each nation's passes on each day, ties by rank.",
-    """SELECT nation, day, max_by(state, n * 10 + rank) AS state, CAST(max(n) AS BIGINT) AS n FROM (SELECT p.nation, CAST(EPOCH_DAY(CAST(s.ts AS DATE)) AS BIGINT) AS day, s.state, count(*) AS n, max(CASE s.state WHEN 'open' THEN 1 WHEN 'restricted' THEN 2 WHEN 'closed' THEN 7 ELSE 0 END) AS rank FROM {statuses} s JOIN {passes} p ON p.id = s.pass_id GROUP BY p.nation, EPOCH_DAY(CAST(s.ts AS DATE)), s.state) c GROUP BY nation, day""",
-)
-
-agg_cluster_composition = define(
-    "agg_cluster_composition", "The states that make up each nation's passes, by share: three from 40 rows on, else two.",
-    """SELECT nation, state, n, CAST(r AS BIGINT) AS rank FROM (SELECT nation, state, n, row_number() OVER (PARTITION BY nation ORDER BY n DESC, state) AS r, sum(n) OVER (PARTITION BY nation) AS total FROM (SELECT p.nation, s.state, count(*) AS n FROM {statuses} s JOIN {passes} p ON p.id = s.pass_id GROUP BY p.nation, s.state) c) k WHERE r <= CASE WHEN total >= 40 THEN 3 ELSE 2 END""",
-)
-
-join_asof_weather = define(
-    "join_asof_weather", "The reading of a pass nearest to each stop's arrival hour within 90 minutes.",
-    """SELECT id, near_id, gap_us FROM (
-        SELECT a.id, b.id AS near_id, abs(EPOCH_US(a.ts) - EPOCH_US(b.ts)) AS gap_us, row_number() OVER (PARTITION BY a.id ORDER BY abs(EPOCH_US(a.ts) - EPOCH_US(b.ts)), b.id) AS r
-        FROM (SELECT *, d + floor(EPOCH_US(ts) / 36e8) AS bucket FROM (SELECT *, UNNEST(SEQ(-2, 2)) AS d FROM {statuses} WHERE state = 'open') s) a JOIN (SELECT *, floor(EPOCH_US(ts) / 36e8) AS bucket FROM {statuses} WHERE state = 'closed') b ON a.bucket = b.bucket AND a.pass_id % 10 = b.pass_id % 10
-        WHERE abs(EPOCH_US(a.ts) - EPOCH_US(b.ts)) <= 54e8) k WHERE r = 1""",
-)
-
 stream_twin_latest = define("status_latest", "Latest status of each pass, live rows older than a day marked stale.", f"SELECT pass_id, state, source, seen, source = 'live' AND seen < (SELECT max(EPOCH_US(ts)) FROM {{statuses}}) - 864e8 AS stale FROM {LATEST} l")
 
-proj_read_models = define(
-    "proj_read_models", "Read models of passes: name parts, quality signal, plannable flag, nearest-named link.",
-    """SELECT p.id, AT(SPLIT_ON(p.name, '#'), 1) AS kind, AT(SPLIT_ON(p.name, '#'), 2) AS number, floor(p.quality * 1e3 + 5e-1) / 1e3 AS signal, p.closes IS NULL OR p.elev < 2000 AS plannable, j.name AS nation FROM {passes} p LEFT JOIN {jurisdictions} j ON j.id = p.nation""",
-)
-
-proj_jurisdictions = define("proj_jurisdictions", "Jurisdiction and delivery region of each entity.", "SELECT e.id, j.name AS jurisdiction, r.r_name AS region FROM {entities} e JOIN {jurisdictions} j ON j.id = e.nation JOIN {region} r ON r.r_regionkey = j.region WHERE j.in_scope")
-
-src_nested_json = define("src_nested_json", "Events with the number inside their JSON properties.", "SELECT id, pass_id, CAST(JSON_AT(props, '$.k') AS BIGINT) AS k FROM {statuses}")
-
-status_hint_extract = define(
-    "status_hint_extract", "Dates out of status texts: closed-until day and month, or open-from day.",
-    r"""SELECT id, CASE WHEN info LIKE 'closed until%' THEN 'closed-until' WHEN info LIKE 'Ab %' THEN 'open-from' END AS kind, CAST(REGEX_PICK(info, '([0-9]+)[.]', 1) AS INT) AS day,
-        CASE WHEN info LIKE 'closed until%' THEN CAST(REGEX_PICK(info, '[0-9][0-9][.]([0-9][0-9])', 1) AS INT) WHEN info LIKE '%Mai%' THEN 5 END AS month FROM {statuses} WHERE info <> 'no news'""",
-)
-
-join_alias_alerts = define(
-    "join_alias_alerts", "Alerts to passes by shared alias (the number in the name), the nearest in elevation, none beyond 200 m.",
-    """SELECT user_id, pass_id, gap FROM (SELECT u.user_id, p.id AS pass_id, abs(p.elev - (800 + (u.user_id * 37) % 2200)) AS gap, row_number() OVER (PARTITION BY u.user_id ORDER BY abs(p.elev - (800 + (u.user_id * 37) % 2200)), p.id) AS r FROM {users} u JOIN {passes} p ON u.user_id % 50 = p.id % 50) k WHERE r = 1 AND gap <= 200""",
-)
-

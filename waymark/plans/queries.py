@@ -8,7 +8,7 @@ from waymark.functions import columns
 from waymark.functions.rounds import written
 from waymark.functions.sql import EARTH_KM, haversine
 from waymark.operators import ALL, discovery, governance, graph, records, routes, scalars, spatial, status
-from waymark.plans import drive_queries, search_queries
+from waymark.plans import drive_queries, search_queries, shape_queries
 from waymark.plans import tables as world
 from waymark.plans.drive_queries import nearest_sql
 from waymark.plans.tables import Tables, oracle
@@ -150,7 +150,6 @@ BUILT |= {
         f"SELECT tour_id, id, ord, CAST(m AS BIGINT) AS metres FROM ({nearest_sql(2000, 'TRUE')}) n",
     ),
     "join_polyline_hit": (lambda t: spatial.polyline_hits(t.passes, spatial.line_segments(t.stops), 1500.0), None),
-    "join_pass_crossings": (lambda t: routes.pass_crossings(t.passes, t.stops), None),
     "join_retrace_overlap": (lambda t: routes.retrace_overlap(t.stops), None),
     "join_waypoint_snap": (lambda t: routes.waypoint_snap(t.track), None),
     "win_rest_assignment": (lambda t: routes.rest_assignment(t.stops), None),
@@ -168,17 +167,9 @@ BUILT |= {
         lambda t: readers.graph_tables(graph_documents(t))[1],
         "SELECT a % 32 AS graph, a, b, CASE WHEN b % 2 = 0 THEN 'road' ELSE 'connector' END AS kind FROM {edges}",
     ),
-    "src_html_feed": (
-        lambda t: readers.html_links(t.pages.select("page_id", "html")),
-        """SELECT page_id, CAST(i - 1 AS BIGINT) AS position, hrefs[i] AS href, labels[i] AS label FROM (SELECT page_id, hrefs, labels, unnest(generate_series(1, len(hrefs))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS hrefs, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS labels FROM {pages}) p) q""",
-    ),
     "sink_packages": (lambda t: sinks.packages(t.entities.where("action = 'publish'").selectExpr("nation AS region", "id", "floor(bytes) AS bytes"), 2_500_000), None),
     "win_byte_shards": (lambda t: sinks.byte_shards(t.entities.selectExpr("nation AS region", "id", "floor(bytes) AS bytes"), 2_500_000), None),
     "sink_tables": (lambda t: sinks.stable_table(t.edges, "a", "b"), "SELECT a, b, duration_s, distance_m, cost FROM {edges}"),
-    "sink_route_export": (
-        lambda t: sinks.gpx(t.stops.join(t.places.select(F.col("id").alias("place_id"), "name"), "place_id")),
-        """SELECT tour_id, count(*) AS n, '<gpx><rte>' || string_agg('<rtept lat="' || CAST(CAST(floor(s.lat * 1e3 + 5e-1) AS BIGINT) AS VARCHAR) || 'e-3" lon="' || CAST(CAST(floor(s.lon * 1e3 + 5e-1) AS BIGINT) AS VARCHAR) || 'e-3"><name>' || p.name || '</name></rtept>', '' ORDER BY s.ord) || '</rte></gpx>' AS document FROM {stops} s JOIN {places} p ON p.id = s.place_id GROUP BY tour_id""",
-    ),
     "proj_search_document": (
         lambda t: t.entities.select("id", F.lower(F.concat_ws(" ", "name", "entity_type", "activity", "season")).alias("document")).withColumn("n_trigrams", F.size(columns.trigrams(F.col("document")))),
         "SELECT id, document, CAST(len(list_distinct(list_transform(generate_series(1, length(document) + 2), lambda i: substr('  ' || document || '  ', i, 3)))) AS INT) AS n_trigrams FROM (SELECT id, lower(concat_ws(' ', name, entity_type, activity, season)) AS document FROM {entities}) e",
@@ -191,10 +182,6 @@ BUILT |= {
         lambda t: t.places.select("id", columns.stable_id("place", F.concat_ws(" ", "name", F.col("id").cast("string"))).alias("stable_id")),
         """SELECT id, 'place:' || substr(regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), ' +', '-', 'g'), 1, 72) || ':' || lower(to_base(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split('place|' || s, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296), 36)) AS stable_id FROM (SELECT id, name || ' ' || CAST(id AS VARCHAR) AS s FROM {places}) p""",
     ),
-    "fn_canonical_hash": (
-        lambda t: t.entities.select("id", F.sha2(F.concat(F.lit('{"activity":"'), "activity", F.lit('","id":'), F.col("id").cast("string"), F.lit(',"nation":'), F.col("nation").cast("string"), F.lit("}")), 256).alias("hash")),
-        "SELECT id, sha256(chr(123) || '\"activity\":\"' || activity || '\",\"id\":' || CAST(id AS VARCHAR) || ',\"nation\":' || CAST(nation AS VARCHAR) || chr(125)) AS hash FROM {entities}",
-    ),
     "fn_text_relevance": (
         lambda t: columns.relevance(t.places.select("name").distinct(), t.places.select(F.concat_ws(" ", F.element_at(F.split("name", " "), -1), F.lit("red")).alias("query")).distinct()).where("score >= 0.16"),
         """SELECT query, name, floor(score * 1e6 + 5e-1) / 1e6 AS score FROM (SELECT query, name, CASE WHEN name = query THEN 1e0 WHEN starts_with(name, query) THEN 94e-2 WHEN contains(name, query) THEN 82e-2
@@ -224,7 +211,7 @@ BUILT |= {
     ),
 }
 
-BUILT |= drive_queries.BUILT | search_queries.BUILT
+BUILT |= drive_queries.BUILT | search_queries.BUILT | shape_queries.BUILT
 
 STREAMS = {
     "stream_latest_status": (streams.latest_status, "SELECT pass_id, state, seen, seen < (SELECT max(EPOCH_US(ts)) FROM {statuses}) - 864e8 AS stale FROM (SELECT pass_id, max_by(state, EPOCH_US(ts) * 1000 + id % 1000) AS state, max(EPOCH_US(ts)) AS seen FROM {statuses} GROUP BY pass_id) l"),

@@ -132,6 +132,38 @@ ADAPTERS = {
     "priors": "SELECT c_mktsegment AS persona, count(*) / 1e9 AS prior FROM {customer} GROUP BY c_mktsegment",
     "user_context": "SELECT c_custkey AS user_id, CASE c_custkey % 3 WHEN 0 THEN 'winter' WHEN 1 THEN 'summer' END AS context FROM {customer}",
     "context_boosts": "SELECT 'winter' AS context, 'BUILDING' AS persona, 3e-1 AS boost FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT 'summer', 'MACHINERY', 4e-1 FROM {region} WHERE r_regionkey = 0",
+    "closed_passes": "SELECT DISTINCT id AS pass_id FROM {passes} WHERE closes IS NOT NULL AND elev > 2000",
+    "notes": """SELECT id, kind, day, month, year, CASE kind WHEN 'predicted' THEN CASE id % 2 WHEN 0 THEN 'Predicted opening: ' ELSE 'Status: voraussichtliche Öffnung ' END WHEN 'open-from' THEN CASE id % 3 WHEN 0 THEN 'Pass opens on ' WHEN 1 THEN 'reopens again from ' ELSE 'Offen ab ' END WHEN 'closed-until' THEN CASE id % 2 WHEN 0 THEN 'Closed until ' ELSE 'Wintersperre bis ' END ELSE 'Road works, single lane ' END
+        || CASE style WHEN 0 THEN CAST(day AS STRING) || '.' || CAST(month AS STRING) || '.' WHEN 1 THEN lpad(CAST(day AS STRING), 2, '0') || '/' || lpad(CAST(month AS STRING), 2, '0') || '/' || CAST(year AS STRING) WHEN 2 THEN en || ' ' || CAST(day AS STRING) || 'th, ' || CAST(year AS STRING) ELSE CAST(day AS STRING) || '. ' || de END AS info, style
+        FROM (SELECT id, CAST(1 + id % 28 AS INT) AS day, CAST(1 + id % 12 AS INT) AS month, CAST(2020 + id % 5 AS INT) AS year, id % 4 AS style, CASE id % 5 WHEN 0 THEN 'predicted' WHEN 1 THEN 'open-from' WHEN 2 THEN 'closed-until' WHEN 3 THEN 'open-from' ELSE 'none' END AS kind,
+            CASE id % 12 WHEN 0 THEN 'January' WHEN 1 THEN 'Feb' WHEN 2 THEN 'March' WHEN 3 THEN 'April' WHEN 4 THEN 'May' WHEN 5 THEN 'June' WHEN 6 THEN 'July' WHEN 7 THEN 'August' WHEN 8 THEN 'Sept' WHEN 9 THEN 'October' WHEN 10 THEN 'November' ELSE 'Dec' END AS en, CASE id % 12 WHEN 0 THEN 'Januar' WHEN 1 THEN 'Februar' WHEN 2 THEN 'März' WHEN 3 THEN 'April' WHEN 4 THEN 'Mai' WHEN 5 THEN 'Juni' WHEN 6 THEN 'Juli' WHEN 7 THEN 'August' WHEN 8 THEN 'September' WHEN 9 THEN 'Oktober' WHEN 10 THEN 'November' ELSE 'Dezember' END AS de FROM {statuses}) s""",
+    "named_passes": "SELECT id, elev, CASE id % 4 WHEN 0 THEN 'Alpha ' || CAST(id % 40 AS STRING) || ' Pass / Beta ' || CAST(id AS STRING) WHEN 1 THEN 'Col Gamma ' || CAST(id % 25 AS STRING) ELSE 'Delta-' || CAST(id % 30 AS STRING) || ' Joch' END AS name FROM {passes}",
+    "alerts": "SELECT user_id AS id, CASE user_id % 3 WHEN 0 THEN 'ALPHA ' || CAST(user_id % 44 AS STRING) WHEN 1 THEN 'col gamma ' || CAST(user_id % 25 AS STRING) || ' col' ELSE 'Nothing/Delta ' || CAST(user_id % 33 AS STRING) || ' pass' END AS name, CASE WHEN user_id % 7 = 0 THEN NULL ELSE 800 + (user_id * 37) % 2200 END AS elev FROM {users}",
+    "etas": "SELECT id, pass_id, CAST(floor(EPOCH_US(ts) / 1e6) AS BIGINT) AS at_s FROM {statuses} WHERE state = 'open'",
+    "forecasts": "SELECT pass_id, hour_s, CAST(max(code) AS INT) AS code FROM (SELECT pass_id, CAST(floor(EPOCH_US(ts) / 36e8) AS BIGINT) * 3600 AS hour_s, id % 100 AS code FROM {statuses} WHERE state <> 'open') s GROUP BY pass_id, hour_s",
+    "history": "SELECT pass_id, CAST(EXTRACT(YEAR FROM day) AS INT) AS year, min(CASE WHEN EXTRACT(MONTH FROM day) < 7 THEN day END) AS open, max(CASE WHEN EXTRACT(MONTH FROM day) >= 7 THEN day END) AS close FROM {stops} WHERE place_id % 20 = 0 GROUP BY pass_id, CAST(EXTRACT(YEAR FROM day) AS INT)",
+    "clustered": f"SELECT CAST({tile_x('lon', 10)} AS BIGINT) * 4096 + {tile_y('lat', 10)} AS cluster, s.state, s.source AS kind FROM {{statuses}} s JOIN {{passes}} p ON p.id = s.pass_id",
+    "region_texts": "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Near ' || n_name || ', in the hills' WHEN 1 THEN n_name || ' / ' || r_name WHEN 2 THEN lower(r_name) || ' border' ELSE 'somewhere' END AS text FROM {orders} JOIN {nation} ON n_nationkey = o_custkey % 25 JOIN {region} ON r_regionkey = n_regionkey",
+    "place_words": "SELECT lower(n_name) AS word, n_name AS jurisdiction FROM {nation} UNION ALL SELECT lower(r_name), r_name FROM {region}",
+    "delivery": "SELECT n_name AS jurisdiction, r_name AS region FROM {nation} JOIN {region} ON r_regionkey = n_regionkey",
+    "cell_packages": f"SELECT x, y, count(*) AS packages, CAST(sum(b) AS BIGINT) AS bytes FROM (SELECT {tile_x('wlon')} AS x, {tile_y('wlat')} AS y, CAST(floor(bytes) AS BIGINT) AS b FROM {{entities}}) e GROUP BY x, y",
+    "raw_bases": "SELECT pass_id, side, lat + 1e-3 AS lat, lon FROM {bases} WHERE pass_id % 3 = 0",
+    "raw_viewpoints": "SELECT pass_id, lat, lon FROM (SELECT p.id AS pass_id, p.lat + (k % 3) * 1e-2 AS lat, p.lon + (k % 2) * 3e-2 AS lon FROM (SELECT *, UNNEST(SEQ(0, 5)) AS k FROM {passes}) p) v",
+    "junction_rows": f"SELECT n_nationkey AS id, {lon('n_nationkey')} AS lon, {lat('n_nationkey')} AS lat FROM {{nation}}",
+    "known_heights": "SELECT 'poi:' || CAST(id AS STRING) AS key, 400e0 + size * 20 AS elev FROM {places} WHERE size % 2 = 0",
+    "slugged": "SELECT id, 'pass-' || CAST(nation AS STRING) || '-' || CAST(elev % 10 AS STRING) AS slug, 'seed' || CAST(CASE WHEN id % 7 = 0 THEN 0 ELSE id END AS STRING) AS seed FROM {passes}",
+    "straight_tours": "SELECT tour_id, CAST(sum(CAST(distance_m AS BIGINT)) AS DOUBLE) AS straight_m, bool_or(kind = 'pass-climb') AS alpine FROM {stops} GROUP BY tour_id",
+    "provider_facts": "SELECT id AS tour_id, CASE WHEN id % 3 = 0 THEN NULL ELSE floor(bytes) END AS distance_m, CASE WHEN id % 5 = 0 THEN 0e0 ELSE floor(bytes / 20) END AS duration_s FROM {entities}",
+    "open_tours": "SELECT id AS tour_id, id % 2 = 0 AS closed, 'from ' || name AS start_name, 'to ' || activity AS end_name FROM {entities}",
+    "tour_breaks": "SELECT tour_id, ord + 4e-1 AS position FROM {stops} WHERE place_id % 9 = 0",
+    "implicit": "SELECT tour_id, pass_id + 1 AS pass_id, ord AS first FROM {stops} WHERE place_id % 13 = 0",
+    "pass_signals": "SELECT id, CAST(elev AS DOUBLE) AS elev, quality, CAST(id * 7 % 13 AS DOUBLE) AS peaks, 1e0 AS waters FROM {passes}",
+    "open_passes": "SELECT id, lat, lon, closes IS NULL AS open FROM {passes}",
+    "place_rows": "SELECT id, name, ARR(family, lower(category)) AS kinds, CASE WHEN size % 7 = 0 THEN ARR('iconic') WHEN size % 7 = 1 THEN ARR('hidden-gem') ELSE ARR('lake') END AS themes, CASE WHEN size % 2 = 0 THEN ARR('car', 'foot') ELSE ARR('foot') END AS access, score, CASE WHEN size % 5 = 0 THEN NULL ELSE size * 3 END AS minutes, size % 11 = 0 AS protected FROM {places}",
+    "cached_places": "SELECT name, CASE WHEN max(size) > 25 THEN 'train' END AS access, CASE WHEN max(size) % 3 = 0 THEN NULL ELSE 75e-2 END AS confidence FROM {places} WHERE size > 20 GROUP BY name",
+    "model_passes": "SELECT id, CASE WHEN id % 2 = 0 THEN name || ' / Other ' || CAST(id AS STRING) ELSE name END AS name, elev, quality, CASE WHEN id % 3 = 0 THEN NULL ELSE 8e-1 END AS confidence, CASE WHEN id % 10 = 0 THEN 1 ELSE 2 END AS bases FROM {passes}",
+    "curated_links": "SELECT id AS pass_id, 1 AS rank, 'drive:' || CAST(id % 9 AS STRING) AS link FROM {passes} WHERE id % 2 = 0",
+    "derived_links": "SELECT a AS pass_id, CAST(b AS INT) AS rank, 'drive:' || CAST(b % 9 AS STRING) AS link FROM {edges} WHERE b < 4",
     "users": "SELECT c_custkey AS user_id, c_mktsegment AS persona, c_acctbal AS balance, c_nationkey AS nation FROM {customer}",
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.rounds import new_path
+from waymark.functions.rounds import new_path, written
 
 
 def byte_shards(items: DataFrame, budget: int, chunk: int = 512) -> DataFrame:
@@ -30,13 +30,17 @@ def byte_shards(items: DataFrame, budget: int, chunk: int = 512) -> DataFrame:
 
 
 def packages(items: DataFrame, budget: int) -> DataFrame:
-    """Writes each shard of byte_shards(items) as a partition and returns a row for each: counts, bytes, content hash."""
-    sharded = byte_shards(items, budget)
+    """Writes each shard of byte_shards(items) as a partition and returns a row for each: counts, bytes, the hash of the
+    package document, and that document's length. An item over the budget is an error, before anything is written."""
+    sharded = written(byte_shards(items, budget))
+    if (worst := sharded.where("oversized").select("region", "id", "bytes").limit(1).collect()) :
+        raise ValueError(f"item {worst[0].id} of region {worst[0].region} has {worst[0].bytes} bytes, over the budget of {budget}")
     path = new_path(items.sparkSession)
     sharded.repartition("region", "part").write.partitionBy("region").parquet(path)
     back = items.sparkSession.read.schema(sharded.schema).parquet(path)
-    line = F.concat_ws(":", F.col("id").cast("string"), F.col("bytes").cast("string"))
-    return back.groupBy("region", "part", "shard").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("hash"))
+    listed = back.groupBy("region", "part", "shard").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.array_sort(F.collect_list(F.struct("id", "bytes"))).alias("items"))
+    document = F.to_json(F.struct(F.lit("1.0.0").alias("schemaVersion"), "region", F.concat_ws("-", "part", "shard").alias("shard"), "items"))
+    return listed.select("region", "part", "shard", "n", "bytes", F.sha2(document, 256).alias("hash"), F.length(document).alias("document_bytes"))
 
 
 def stable_table(df: DataFrame, *order: str) -> DataFrame:
@@ -55,3 +59,15 @@ def gpx(stops: DataFrame) -> DataFrame:
     return listed.select("tour_id", "n", F.concat(F.lit("<gpx><rte>"), F.array_join(F.transform("ps", lambda p: p["p"]), ""), F.lit("</rte></gpx>")).alias("document"))
 
 
+
+
+def route_exports(routes: DataFrame, vertices: DataFrame, notices: DataFrame) -> DataFrame:
+    """One GeoJSON document for each of routes(id, name, code) that the export gate lets pass (code is null), with its
+    vertices(id, ord, lon, lat) in order and the notices(id, source_id, attribution, licence) of its sources."""
+    line = vertices.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "lon", "lat"))), lambda v: F.array(v["lon"], v["lat"])).alias("coordinates"))
+    told = notices.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("source_id", "attribution", "licence"))).alias("notices"))
+    allowed = routes.where("code is null").select("id", "name").join(line, "id").join(told, "id", "left")
+    geometry = F.struct(F.lit("LineString").alias("type"), "coordinates")
+    properties = F.struct("id", "name", F.coalesce("notices", F.expr("cast(array() as array<struct<source_id:bigint,attribution:string,licence:string>>)")).alias("sourceNotices"))
+    document = F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")))
+    return allowed.select("id", F.size("coordinates").alias("vertices"), F.coalesce(F.size("notices"), F.lit(0)).alias("notices"), document.alias("document"))

@@ -83,8 +83,8 @@ def test_hunger_peaks_at_noon_and_falls_on_scenic_legs(spark):
     want = lambda t, more: round(max(0, math.exp(-0.5 * ((480 + t // 60 - 750) / 30) ** 2) + min(1, max(0, (t / 3600 - 4) / 2)) * 0.55 + more), 4)
     assert curve[0] == want(0, 0) == 0.0 and curve[16200] == want(16200, 0) and curve[18300] == want(18300, 0.3 - 0.2) and curve[21600] == want(21600, -0.2)
     w = drives.lunch_windows(drives.hunger_curve(seg)).first()
-    # the first leg is scenic, which keeps it under half of the peak
-    assert w.peak_s == 16500 and w.from_s == 14700 and w.to_s > w.peak_s
+    # the climb ends at 18,000 s; the first leg is scenic, which keeps it under half of the peak
+    assert w.peak_s == 18000 and w.from_s == 14700 and w.to_s > w.peak_s
 
 
 def test_connections_need_a_schedule_and_a_proof_in_force(spark):
@@ -444,3 +444,28 @@ def test_routes_are_told_apart_by_all_their_places(spark):
     stops = spark.createDataFrame(data, "tour_id long, ord int, place_id long, scenic double, day string").withColumn("day", F.col("day").cast("date"))
     assert rows(routes.alternatives(stops), "day", "rank", "tour_id") == [(19844, 1, 1), (19844, 2, 2), (19844, 3, 3), (19845, 1, 5)]
     assert rows(routes.tour_archive(stops), "day", "rank", "tour_id", "score") == [(19844, 1, 4, 4.0), (19844, 2, 2, 3.0), (19844, 3, 3, 2.0), (19845, 1, 5, 0.5)]
+
+
+def test_streamed_breaks_against_plain_rules(spark, tmp_path):
+    import random
+
+    from waymark.streaming import status
+
+    rng = random.Random(11)
+    data = [(i % 5, f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", i, rng.uniform(-10, 60)) for i in range(400)]
+    df = spark.createDataFrame(data, "pass_id long, ts string, event_id long, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    got = rows(spark.read.parquet(status._run(status.breaks_due(stream), "append")), "pass_id", "number", "event_id")
+    want = []
+    for key in range(5):
+        total, since, number = 0.0, 0, 0
+        for k, _, event, value in data:
+            if k != key:
+                continue
+            total, since = total + value, since + 1
+            if total > 120 and since >= 4:
+                number += 1
+                want.append((key, number, event))
+                total, since = 0.0, 0
+    assert got == sorted(want) and len(want) > 20

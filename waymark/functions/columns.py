@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.StringType())
-def without_marks(texts: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks; Spark has no built-in for it."""
-    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+@F.arrow_udf(T.StringType())
+def without_marks(texts: pa.Array) -> pa.Array:
+    """Compatibility decomposition without combining marks, a batch at once; Spark has no built-in for it."""
+    return pc.replace_substring_regex(pc.utf8_normalize(texts, form="NFKD"), r"\p{M}", "")
 
 
 def norm_text(text: Column) -> Column:
@@ -49,19 +48,6 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: padded.substr(i, F.lit(3))))
 
 
-def relevance(documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """documents(name), queries(query), in search form -> (query, name, score) of pairs that share a trigram: exact 1,
-    prefix 0.94, contained 0.82, else 0.62 token cover + 0.38 trigram Jaccard. Candidates come from an inverted
-    trigram table, so no query meets every document."""
-    d = documents.select("name", trigrams(F.col("name")).alias("dt"))
-    q = queries.select("query", trigrams(F.col("query")).alias("qt"), F.split("query", " ").alias("tokens"))
-    met = d.select("name", F.size("dt").alias("nd"), F.explode("dt").alias("t")).join(q.select("query", "tokens", F.size("qt").alias("nq"), F.explode("qt").alias("t")), "t")
-    pairs = met.groupBy("query", "name").agg(F.count("*").alias("both"), F.first("nd").alias("nd"), F.first("nq").alias("nq"), F.first("tokens").alias("tokens"))
-    cover = F.size(F.filter("tokens", lambda t: F.contains(F.col("name"), t))) / F.size("tokens")
-    score = F.when(F.col("name") == F.col("query"), 1.0).when(F.startswith("name", "query"), 0.94).when(F.contains("name", "query"), 0.82).otherwise(cover * 0.62 + F.col("both") / (F.col("nd") + F.col("nq") - F.col("both")) * 0.38)
-    return pairs.select("query", "name", (F.floor(score * 1e6 + 0.5) / 1e6).alias("score"))
-
-
 def canonical_json(column: str, schema: T.DataType) -> Column:
     """A column as JSON with the keys of all objects in order, at every depth; null fields are kept."""
 

@@ -14,15 +14,13 @@ ASSESS = f"""SELECT *, {js_round("total * (CASE WHEN legal = 'unknown' THEN 72e-
       FROM (SELECT *, (distinctiveness * 22e-2 + uniqueness * 14e-2 + ev * 2e-1 + (1e0 - prominence) * 1e-1 + 65e-2 * 12e-2 + season_fit * 8e-2 + fit * 1e-1 + 5e-1 * 4e-2) / 1e0 AS total
             FROM (SELECT *, coalesce(evidence, confidence) AS ev, {ACCESS_FIT} AS fit, CASE WHEN season IS NULL THEN 35e-2 WHEN season = 'summer' THEN 1e0 ELSE 0e0 END AS season_fit FROM {{entities}}) d) t"""
 
+LANED = f"(SELECT nation, id, chosen_lane AS lane, score, confidence, CASE WHEN chosen_lane = 'quieter_verified' AND score >= 55e-2 THEN 1 ELSE 0 END AS kind, CAST(floor(score * 200) AS BIGINT) AS cell FROM ({ASSESS}) a WHERE eligible)"
 win_interleave_lanes = define(
-    "win_interleave_lanes", "One quieter item after every three ordinary ones within a nation, the rest after them.",
-    f"""SELECT nation, id, chosen_lane AS lane, CAST(row_number() OVER (PARTITION BY nation ORDER BY place, kind, id) AS BIGINT) AS position FROM (
-        SELECT nation, id, chosen_lane, kind, CASE WHEN kind = 0 THEN CAST(r AS DOUBLE) WHEN r <= cap AND r * 3 <= ordinary THEN r * 3e0 ELSE 1e9 + r END AS place FROM (
-            SELECT *, row_number() OVER (PARTITION BY nation, kind ORDER BY score DESC, confidence DESC, id) AS r, count(1) OVER (PARTITION BY nation) - sum(kind) OVER (PARTITION BY nation) AS ordinary,
-                greatest(1, floor(count(1) OVER (PARTITION BY nation) / 4)) AS cap
-            FROM (SELECT *, CASE WHEN chosen_lane = 'quieter_verified' AND score >= 55e-2 THEN 1 ELSE 0 END AS kind FROM ({ASSESS}) a WHERE eligible) k
-        ) n
-    ) p""",
+    "win_interleave_lanes", "One quieter item after every three ordinary ones within a nation, a quarter of all at most, the rest after them. Ranks count rows by score first; places follow from ranks.",
+    f"""SELECT nation, id, lane, CAST(CASE WHEN kind = 0 THEN r + least(floor((r - 1) / 3), put) WHEN r <= put THEN r * 4 ELSE ordinary + r END AS BIGINT) AS position FROM (
+        SELECT l.nation, l.id, l.lane, l.kind, b.before + row_number() OVER (PARTITION BY l.nation, l.kind, l.cell ORDER BY l.score DESC, l.confidence DESC, l.id) AS r, n.ordinary, least(n.quieter, greatest(1, floor((n.ordinary + n.quieter) / 4)), floor(n.ordinary / 3)) AS put FROM {LANED} l
+          JOIN (SELECT nation, kind, cell, sum(count(*)) OVER (PARTITION BY nation, kind ORDER BY cell DESC) - count(*) AS before FROM {LANED} c GROUP BY nation, kind, cell) b ON b.nation = l.nation AND b.kind = l.kind AND b.cell = l.cell
+          JOIN (SELECT nation, count_if(kind = 0) AS ordinary, count_if(kind = 1) AS quieter FROM {LANED} c GROUP BY nation) n ON n.nation = l.nation) p""",
 )
 
 top_map_entities = define(
@@ -70,7 +68,10 @@ agg_category_entropy = define(
     f"""SELECT tour_id, CASE WHEN count(*) = 1 THEN 0e0 ELSE {js_round("-sum(n / t * ln(n / t)) / ln(count(*))", 1000000)} END AS entropy FROM (SELECT tour_id, family, CAST(n AS DOUBLE) AS n, CAST(sum(n) OVER (PARTITION BY tour_id) AS DOUBLE) AS t FROM (SELECT s.tour_id, p.family, count(*) AS n FROM {{stops}} s JOIN {{places}} p ON p.id = s.place_id GROUP BY s.tour_id, p.family) c) d GROUP BY tour_id""",
 )
 
-agg_photo_sample = define("agg_photo_sample", "Every tenth place of a category in name order, so a sample spans the list.", "SELECT category, id FROM (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY name, id) AS r FROM {places}) s WHERE r % 10 = 1")
+agg_photo_sample = define(
+    "agg_photo_sample", "Every tenth place of a category in name order, so a sample spans the list; counted by the name's first letters, then ranked within them.",
+    "SELECT p.category, p.id FROM (SELECT category, id, substr(name, 1, 3) AS cell, row_number() OVER (PARTITION BY category, substr(name, 1, 3) ORDER BY name, id) AS r FROM {places}) p JOIN (SELECT category, substr(name, 1, 3) AS cell, sum(count(*)) OVER (PARTITION BY category ORDER BY substr(name, 1, 3)) - count(*) AS before FROM {places} GROUP BY category, substr(name, 1, 3)) b ON b.category = p.category AND b.cell = p.cell WHERE (b.before + p.r) % 10 = 1",
+)
 
 proj_rank_poi_ids = define(
     "proj_rank_poi_ids", "Score-ordered ordinal ids over all places: counted by score, then ranked within it.",

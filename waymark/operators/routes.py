@@ -129,7 +129,10 @@ agg_spearman = define(
     f"""SELECT floor(corr(q.mid_rank, e.mid_rank) * 1e6 + 5e-1) / 1e6 AS rho, count(*) AS n FROM {ranked("quality")} q JOIN {ranked("elev", steps=1)} e ON e.id = q.id""",
 )
 
-agg_quantile = define("agg_quantile", "Interpolated quartile of prices by category.", "SELECT category, floor((lo + (hi - lo) * frac) * 1e6 + 5e-1) / 1e6 AS q3 FROM (SELECT category, max(CASE WHEN r = floor((n - 1) * 75e-2) + 1 THEN price END) AS lo, max(CASE WHEN r = least(n, floor((n - 1) * 75e-2) + 2) THEN price END) AS hi, max((n - 1) * 75e-2 - floor((n - 1) * 75e-2)) AS frac FROM (SELECT category, price, row_number() OVER (PARTITION BY category ORDER BY price, id) AS r, count(*) OVER (PARTITION BY category) AS n FROM {places}) s GROUP BY category) q")
+agg_quantile = define(
+    "agg_quantile", "Interpolated quartile of prices by category: counted by range of the price, then ranked within the ranges that hold it.",
+    "SELECT category, floor((lo + (hi - lo) * frac) * 1e6 + 5e-1) / 1e6 AS q3 FROM (SELECT category, max(CASE WHEN r = floor((n - 1) * 75e-2) + 1 THEN price END) AS lo, max(CASE WHEN r = least(n, floor((n - 1) * 75e-2) + 2) THEN price END) AS hi, max((n - 1) * 75e-2 - floor((n - 1) * 75e-2)) AS frac FROM (SELECT p.category, p.price, b.n, b.before + row_number() OVER (PARTITION BY p.category, p.cell ORDER BY p.price, p.id) AS r FROM (SELECT *, floor(price) AS cell FROM {places}) p JOIN (SELECT *, sum(m) OVER (PARTITION BY category) AS n, sum(m) OVER (PARTITION BY category ORDER BY cell) - m AS before FROM (SELECT category, floor(price) AS cell, count(*) AS m FROM {places} GROUP BY category, floor(price)) c) b ON b.category = p.category AND b.cell = p.cell WHERE b.before + b.m >= floor((b.n - 1) * 75e-2) + 1 AND b.before <= floor((b.n - 1) * 75e-2) + 2) s GROUP BY category) q",
+)
 
 agg_best_edge = define("agg_best_edge", "The cheapest edge of each undirected pair.", "SELECT least(a, b) AS low, greatest(a, b) AS high, min(cost) AS cost, count(*) AS n FROM {edges} GROUP BY least(a, b), greatest(a, b)")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from waymark.functions import columns
 from waymark.functions.rounds import written
 from waymark.functions.sql import EARTH_KM, haversine
-from waymark.operators import ALL, discovery, governance, graph, records, routes, scalars, spatial, status
+from waymark.operators import ALL, discovery, governance, graph, records, routes, scalars, search, spatial, status
 from waymark.plans import drive_queries, search_queries, shape_queries
 from waymark.plans import tables as world
 from waymark.plans.drive_queries import nearest_sql
@@ -36,6 +36,14 @@ def isolated_counts(t: Tables):
     return counts.unionByName(failures.select("adapter", F.lit(0).cast("long").alias("n"), F.lit(True).alias("failed")))
 
 
+def text_relevance(t: Tables):
+    """The distinct names of places against queries made of their last words."""
+    names = t.places.select(F.col("name").alias("id"), F.col("name").alias("title"), "name", F.col("name").alias("text"), F.lit(None).cast("string").alias("activity"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon")).distinct()
+    query = F.concat_ws(" ", F.element_at(F.split("name", " "), -1), F.lit("red"))
+    asked = t.places.select(query.alias("query_id"), query.alias("query"), *[F.lit(None).cast("double").alias(c) for c in ("lat", "lon", "within_m")], F.lit(None).cast("string").alias("activity")).distinct()
+    return search.search(names, asked, most=1 << 30).select(F.col("query_id").alias("query"), F.col("id").alias("name"), F.col("relevance").alias("score"))
+
+
 def _snapped_tours(t: Tables):
     ends = t.ends
     start, end = (spatial.snapped(ends.where(F.col("final") == final).drop("final"), t.road_nodes, reach) for final, reach in ((False, None), (True, 30_000.0)))
@@ -116,19 +124,19 @@ NORMAL = "trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[’''
 def assets(t: Tables):
     """Text assets out of places: one array literal for each category, with a comment and a trailing comma."""
     row = F.format_string('  {"id": %d, "score": %s}', F.col("id"), F.col("score").cast("string"))
-    listed = t.places.groupBy("category", (F.col("id") % 64).alias("part")).agg(F.array_sort(F.collect_list(row)).alias("xs"))
+    listed = t.places.groupBy("category", F.floor(F.col("id") / 256).alias("part")).agg(F.array_sort(F.collect_list(row)).alias("xs"))
     return listed.select(F.concat_ws(":", "category", "part").alias("asset"), F.concat(F.lit("/* places */\nconst ITEMS = [ // of one kind\n"), F.array_join("xs", ",\n"), F.lit(",\n];\n")).alias("text"))
 
 
 def snapshots(t: Tables):
     """Feature collections out of entities, some with a digest that does not match."""
-    made = t.entities.groupBy(F.col("nation").alias("nation"), (F.col("id") % 64).alias("part")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("id", "lon", "lat"))).alias("features"))).alias("json"))
+    made = t.entities.groupBy(F.col("nation").alias("nation"), F.floor(F.col("id") / 256).alias("part")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("id", "lon", "lat"))).alias("features"))).alias("json"))
     return made.select(F.concat_ws(":", "nation", "part").alias("name"), F.col("json").cast("binary").alias("content"), F.when(F.col("nation") % 5 == 4, F.lit("0")).otherwise(F.sha2("json", 256)).alias("sha256"))
 
 
 def graph_documents(t: Tables):
-    """Road-graph documents out of edges, one for each node modulo 32."""
-    e = t.edges.groupBy((F.col("a") % 32).alias("graph")).agg(F.array_sort(F.collect_list(F.struct("a", "b", F.when(F.col("b") % 2 == 0, "road").alias("kind")))).alias("edges"), F.array_sort(F.collect_set(F.struct(F.col("a").alias("id")))).alias("nodes"))
+    """Road-graph documents out of edges, one for each range of 32 nodes."""
+    e = t.edges.groupBy(F.floor(F.col("a") / 32).alias("graph")).agg(F.array_sort(F.collect_list(F.struct("a", "b", F.when(F.col("b") % 2 == 0, "road").alias("kind")))).alias("edges"), F.array_sort(F.collect_set(F.struct(F.col("a").alias("id")))).alias("nodes"))
     return e.select("graph", F.to_json(F.struct(F.lit(1).alias("version"), "nodes", "edges")).alias("text"))
 
 
@@ -157,15 +165,15 @@ BUILT |= {
     "agg_overlay_clusters": (lambda t: routes.overlay_clusters(t.sights), None),
     "src_embedded_array": (
         lambda t: readers.embedded_array(assets(t), "id:bigint,score:double").select("asset", "id", "score"),
-        "SELECT category || ':' || CAST(id % 64 AS STRING) AS asset, id, score FROM {places}",
+        "SELECT category || ':' || CAST(CAST(floor(id / 256) AS BIGINT) AS STRING) AS asset, id, score FROM {places}",
     ),
     "src_geojson_snapshot": (
         lambda t: readers.pinned_snapshot(snapshots(t), "id:bigint,lon:double,lat:double"),
-        "SELECT CAST(nation AS STRING) || ':' || CAST(id % 64 AS STRING) AS name, id, lon, lat FROM {entities} WHERE nation % 5 <> 4",
+        "SELECT CAST(nation AS STRING) || ':' || CAST(CAST(floor(id / 256) AS BIGINT) AS STRING) AS name, id, lon, lat FROM {entities} WHERE nation % 5 <> 4",
     ),
     "src_graph_tables": (
         lambda t: readers.graph_tables(graph_documents(t))[1],
-        "SELECT a % 32 AS graph, a, b, CASE WHEN b % 2 = 0 THEN 'road' ELSE 'connector' END AS kind FROM {edges}",
+        "SELECT CAST(floor(a / 32) AS BIGINT) AS graph, a, b, CASE WHEN b % 2 = 0 THEN 'road' ELSE 'connector' END AS kind FROM {edges}",
     ),
     "sink_packages": (lambda t: sinks.packages(t.entities.where("action = 'publish'").selectExpr("nation AS region", "id", "floor(bytes) AS bytes"), 2_500_000), None),
     "win_byte_shards": (lambda t: sinks.byte_shards(t.entities.selectExpr("nation AS region", "id", "floor(bytes) AS bytes"), 2_500_000), None),
@@ -183,10 +191,10 @@ BUILT |= {
         """SELECT id, 'place:' || substr(regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), ' +', '-', 'g'), 1, 72) || ':' || lower(to_base(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split('place|' || s, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296), 36)) AS stable_id FROM (SELECT id, name || ' ' || CAST(id AS VARCHAR) AS s FROM {places}) p""",
     ),
     "fn_text_relevance": (
-        lambda t: columns.relevance(t.places.select("name").distinct(), t.places.select(F.concat_ws(" ", F.element_at(F.split("name", " "), -1), F.lit("red")).alias("query")).distinct()).where("score >= 0.16"),
+        lambda t: text_relevance(t),
         """SELECT query, name, floor(score * 1e6 + 5e-1) / 1e6 AS score FROM (SELECT query, name, CASE WHEN name = query THEN 1e0 WHEN starts_with(name, query) THEN 94e-2 WHEN contains(name, query) THEN 82e-2
             ELSE len(list_filter(string_split(query, ' '), lambda x: contains(name, x))) / len(string_split(query, ' ')) * 62e-2 + len(list_intersect(qt, dt)) / (len(qt) + len(dt) - len(list_intersect(qt, dt))) * 38e-2 END AS score, len(list_intersect(qt, dt)) AS met
-          FROM (SELECT name, list_distinct(list_transform(generate_series(1, length(name) + 2), lambda i: substr('  ' || name || '  ', i, 3))) AS dt FROM (SELECT DISTINCT name FROM {places}) a) d, (SELECT query, list_distinct(list_transform(generate_series(1, length(query) + 2), lambda i: substr('  ' || query || '  ', i, 3))) AS qt FROM (SELECT DISTINCT string_split(name, ' ')[-1] || ' red' AS query FROM {places}) b) q) s WHERE met > 0 AND floor(score * 1e6 + 5e-1) / 1e6 >= 16e-2""",
+          FROM (SELECT name, list_distinct(list_transform(generate_series(1, length(name) + 2), lambda i: substr('  ' || name || '  ', i, 3))) AS dt FROM (SELECT DISTINCT name FROM {places}) a) d, (SELECT query, list_distinct(list_transform(generate_series(1, length(query) + 2), lambda i: substr('  ' || query || '  ', i, 3))) AS qt FROM (SELECT DISTINCT string_split(name, ' ')[-1] || ' red' AS query FROM {places}) b) q) s WHERE floor(score * 1e6 + 5e-1) / 1e6 >= 16e-2""",
     ),
     "graph_shortest_paths": (lambda t: all_paths(t).select("source", "node", "cost", "hops"), f"WITH RECURSIVE {PATHS} SELECT source, node, cost, hops FROM paths"),
     "graph_route_cost": (

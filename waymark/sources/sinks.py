@@ -12,7 +12,7 @@ def byte_shards(items: DataFrame, budget: int, chunk: int = 512) -> DataFrame:
     """items(region, id, bytes): greedy packing in id order under a byte budget. Each region is first cut into ranges of
     about `chunk` items by id, so a hot region is many folds; an item over the budget has a shard of its own, marked."""
     span = items.groupBy("region").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
-    cut = items.join(F.broadcast(span), "region")  # a row for each region
+    cut = items.join(span, "region")
     part = F.floor((F.col("id") - F.col("low")) * F.ceil(F.col("n") / chunk) / (F.col("high") - F.col("low") + 1))
     item = F.struct("id", F.col("bytes").cast("long").alias("bytes"))
     folded = cut.groupBy("region", part.cast("long").alias("part")).agg(F.array_sort(F.collect_list(item)).alias("xs")).withColumn(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +41,8 @@ def latest_status(spark: SparkSession, sf_dir: str, stale_hours: int = 24) -> Da
     agg = feed(spark, sf_dir).groupBy(F.col("user_id").alias("pass_id")).agg(F.max_by(state(), place).alias("state"), F.max(F.unix_micros("ts")).alias("seen"))
     out = spark.read.parquet(_run(agg, "complete"))
     last = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch")
-    newest = last.agg(F.max("seen").alias("newest"))
-    return last.join(F.broadcast(newest)).select("pass_id", "state", "seen", (F.col("seen") < F.col("newest") - stale_hours * 3_600_000_000).alias("stale"))
+    newest = last.agg(F.max("seen")).first()[0] or 0  # one number
+    return last.select("pass_id", "state", "seen", (F.col("seen") < newest - stale_hours * 3_600_000_000).alias("stale"))
 
 
 def stale_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,23 +60,43 @@ def freshness_gate(spark: SparkSession, sf_dir: str, clock: str = "2024-01-30 12
     return spark.read.parquet(_run(rows, "append")).drop("batch")
 
 
-def break_state(spark: SparkSession, sf_dir: str, threshold: float = 120.0, rest: int = 4) -> DataFrame:
-    """Load by key over the stream: past the threshold, and `rest` readings after the last break, a break is due."""
+#: Of each key: load since the last break, readings since it, breaks so far, and the newest reading.
+BREAK_STATE = "total double, since int, number long, newest long"
+
+
+def breaks_due(readings: DataFrame, threshold: float = 120.0, rest: int = 4) -> DataFrame:
+    """readings(pass_id, ts, event_id, value), a stream: a break is due once the load since the last one passes the threshold,
+    `rest` readings after it or more (the cool-down). Readings of a batch are taken in order of time; one older than the
+    newest of an earlier batch is dropped, as its place in the order has gone by."""
 
     def step(key, frames, held):
-        total, since, number = held.get if held.exists else (0.0, 0, 0)
-        out = []
-        for row in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
-            total, since = total + row.value, since + 1
-            if total > threshold and since >= rest:
-                number += 1
-                out.append((key[0], number, row.event_id))
-                total, since = 0.0, 0
-        held.update((total, since, number))
+        total, since, number, newest = held.get if held.exists else (0.0, 0, 0, -1 << 62)
+        batch = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        at = batch["ts"].astype("int64").to_numpy()
+        fine = at >= newest
+        loads, ids = batch["value"].to_numpy()[fine], batch["event_id"].to_numpy()[fine]
+        upto, i, out = np.concatenate(([0.0], np.cumsum(loads))), 0, []
+        while i < len(loads):
+            # the first reading from which both the cool-down and the threshold are passed; loads may be negative
+            first = max(i, i + rest - since - 1)
+            over = np.flatnonzero(total + upto[first + 1 :] - upto[i] > threshold)
+            if not len(over):
+                total, since = total + upto[-1] - upto[i], since + len(loads) - i
+                break
+            j = first + int(over[0])
+            number += 1
+            out.append((key[0], number, int(ids[j])))
+            total, since, i = 0.0, 0, j + 1
+        held.update((float(total), int(since), number, int(max(newest, at[fine].max(initial=newest)))))
         yield pd.DataFrame(out, columns=["pass_id", "number", "event_id"])
 
-    kept = feed(spark, sf_dir).select(F.col("user_id").alias("pass_id"), "ts", "event_id", "value").groupBy("pass_id").applyInPandasWithState(step, "pass_id long, number long, event_id long", "total double, since int, number long", "append", GroupStateTimeout.NoTimeout)
-    return spark.read.parquet(_run(kept, "append")).drop("batch")
+    return readings.groupBy("pass_id").applyInPandasWithState(step, "pass_id long, number long, event_id long", BREAK_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def break_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """breaks_due() over the events table as a stream."""
+    readings = feed(spark, sf_dir).select(F.col("user_id").alias("pass_id"), "ts", "event_id", "value")
+    return spark.read.parquet(_run(breaks_due(readings), "append")).drop("batch")
 
 
 def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

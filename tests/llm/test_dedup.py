@@ -128,9 +128,52 @@ def test_line_dedup_odd_rows(spark):
     assert linededup.deduplicated(spark, docs.limit(0)).count() == 0
 
 
-def test_windows():
-    assert linededup.windows(np.array([4, 4, 4, 12]), 10) == [[3], [3], [2], [1]]
-    assert linededup.windows(np.array([], dtype=int), 10) == []
+def long_runs(seed):
+    """Documents that share runs of 1 to 60 lines at odd places, with repeated lines, near copies and whole copies."""
+    rng = random.Random(seed)
+    line = lambda: " ".join(rng.choice("alp bole cot dint fjord gorge".split()) for _ in range(rng.choice([1, 1, 2, 3, 11])))
+    runs = [[line() for _ in range(rng.randint(1, 60))] for _ in range(8)]
+    made = []
+    for _ in range(40):
+        parts = [line() for _ in range(rng.randint(0, 4))]
+        for _ in range(rng.randint(0, 3)):
+            run = rng.choice(runs)
+            at = rng.randrange(len(run))
+            parts += run[at : at + rng.randint(1, 60)] + [f"own {rng.random()}"] * rng.randint(0, 1)
+        made.append("\n".join(parts))
+    near = made[3].split("\n")
+    near[len(near) // 2] = "changed here"
+    return [*made, made[3], "\n".join(near), made[5], "x\n" * 40, "x\n" * 55]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_runs_of_all_lengths_against_brute_force(spark, seed):
+    made = long_runs(seed)
+    docs = spark.createDataFrame([(len(made) - i, t, "m") for i, t in enumerate(made)], "doc_id long, text string, __mine string")
+    got = {r.doc_id: r for r in linededup.deduplicated(spark, docs).collect()}
+    gone = brute_lines(made[::-1], linededup.MIN_WORDS)[::-1]
+    assert sum(map(len, gone)) > 200
+    for i, t in enumerate(made):
+        assert got[len(made) - i].text == "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[i]), i
+        assert got[len(made) - i]["__mine"] == "m"
+
+
+def test_ranks_are_those_of_the_suffix_array(spark):
+    made = [t for t in long_runs(3) if t][:25]
+    scratch = Scratch(spark)
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(made)], "row long, doc_id long, text string")
+    every = scratch.write(docs.mapInArrow(linededup._lines, linededup.LINES)).cache()
+    ids = {r.row: list(zip(r.a, r.b)) for r in every.collect()}
+    every_suffix = sorted((tuple(x[i:]), row, i) for row, x in ids.items() for i in range(len(x)))
+    rank, at = {}, {}
+    for n, (x, row, i) in enumerate(every_suffix):
+        at.setdefault(x, n)
+        rank[row, i] = at[x]
+    lines, final = linededup.ranks(scratch, every.select("row", "a", "b"), 4)
+    got = {(r.row, r.i): r["rank"] for r in final.collect()}
+    firsts = [x[0] for x, _, _ in every_suffix]
+    shared = {x for x in firsts if firsts.count(x) > 1}
+    assert got == {(row, i): rank[row, i] for x, row, i in every_suffix if x[0] in shared}
 
 
 def mix(spark, docs, tmp):

@@ -13,8 +13,9 @@ from waymark import registry
 
 QUERIES = [
     "join_near_duplicates", "top_search", "top_discovery", "top_discover", "win_interleave_lanes", "gov_publication", "gov_record_rules", "safety_temporal_status", "export_gate",
-    "join_nearest_nodes", "join_knn_connectors", "corridor_candidates", "lunch_candidates", "win_route_reference", "win_detour_budget", "agg_segment_metrics", "agg_infer_intent",
-    "status_projection", "fn_haversine", "fn_cell_cover", "fn_norm_text", "graph_components",
+    "join_nearest_nodes", "join_knn_connectors", "join_access_point", "join_shared_gateway", "join_road_geometry", "join_overpass_features", "corridor_candidates", "top_corridor_tiers", "lunch_candidates",
+    "win_route_reference", "win_detour_budget", "win_load_curve", "agg_segment_metrics", "agg_infer_intent", "status_projection", "join_asof_weather", "plan_connection_ok", "val_entity_common",
+    "fn_haversine", "fn_cell_cover", "fn_norm_text", "graph_components", "graph_shortest_paths",
 ]
 
 

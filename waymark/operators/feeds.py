@@ -24,21 +24,22 @@ MONTH_DAY = rf"(?iu)\b({NAMES})\b\s+(\d{{1,2}})(?!\d)(?:st|nd|rd|th)?(?:,?\s*(\d
 DAY_MONTH = rf"(?iu)(\d{{1,2}})(?:st|nd|rd|th|\.)?\s+\b({NAMES})\b(?:\s*(\d{{4}}))?"
 
 
-def _date(text: Column) -> Column:
-    """The first date in a text, as (day, month, year); null without one."""
-    number = lambda pattern, group: F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("int")
-    named = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-    month = lambda pattern, group: F.try_element_at(named, F.lower(F.regexp_extract(text, pattern, group)))
-    tried = [(number(NUMERIC, 1), number(NUMERIC, 2), number(NUMERIC, 3)), (number(MONTH_DAY, 2), month(MONTH_DAY, 1), number(MONTH_DAY, 3)), (number(DAY_MONTH, 1), month(DAY_MONTH, 2), number(DAY_MONTH, 3))]
-    return F.coalesce(*[F.when(d.between(1, 31) & m.between(1, 12), F.struct(d.alias("day"), m.alias("month"), y.alias("year"))) for d, m, y in tried])
-
-
 def hints(statuses: DataFrame) -> DataFrame:
     """statuses(id, info): what the text says of an opening in English or German: predicted, open-from or closed-until, with
-    day, month and year. Rules are tried in order; one that holds no date is passed over."""
-    tried = [F.when(F.regexp_like("info", F.lit(rule)), F.struct(F.lit(kind).alias("kind"), _date(F.regexp_extract("info", rule, 1)).alias("d"))) for kind, rule in HINTS]
-    found = statuses.select("id", F.try_element_at(F.filter(F.array(*tried), lambda h: h["d"].isNotNull()), F.lit(1)).alias("h"))
-    return found.where("h is not null").select("id", "h.kind", "h.d.day", "h.d.month", "h.d.year")
+    day, month and year. Rules are tried in order; one that holds no date is passed over. Of a date's forms (2.5., May 2nd,
+    2. Mai) the first is taken."""
+    tails = F.array(*[F.struct(F.lit(kind).alias("kind"), F.regexp_extract("info", rule, 1).alias("text")) for kind, rule in HINTS])
+    tried = statuses.where("info is not null").select("id", F.posexplode(tails).alias("at", "h")).where("h.text <> ''").select("id", "at", "h.kind", "h.text")
+    # one column for each part of a date, so that each expression is read once
+    forms = {"n": (NUMERIC, 1, 2), "m": (MONTH_DAY, 2, 1), "d": (DAY_MONTH, 1, 2)}
+    part = lambda rule, group: F.nullif(F.regexp_extract("text", rule, group), F.lit(""))
+    tried = tried.withColumns({f"{f}_{what}": part(rule, group) for f, (rule, day, month) in forms.items() for what, group in (("day", day), ("month", month), ("year", 3))})
+    named = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
+    month = {"n": F.col("n_month").try_cast("int"), **{f: F.try_element_at(named, F.lower(f"{f}_month")) for f in "md"}}
+    tried = tried.select("id", "at", "kind", *[x for f in "nmd" for x in (F.col(f"{f}_day").try_cast("int").alias(f"{f}_day"), month[f].alias(f"{f}_month"), F.col(f"{f}_year").try_cast("int").alias(f"{f}_year"))])
+    date = F.coalesce(*[F.when(F.col(f"{f}_day").between(1, 31) & F.col(f"{f}_month").between(1, 12), F.struct(F.col(f"{f}_day").alias("day"), F.col(f"{f}_month").alias("month"), F.col(f"{f}_year").alias("year"))) for f in "nmd"])
+    first = tried.withColumn("d", date).where("d is not null").groupBy("id").agg(F.min(F.struct("at", "kind", "d")).alias("h"))
+    return first.select("id", "h.kind", "h.d.day", "h.d.month", "h.d.year")
 
 
 #: Words at the end of a name that say only what it is.

@@ -53,8 +53,8 @@ def stable_table(df: DataFrame, *order: str) -> DataFrame:
 def gpx(stops: DataFrame) -> DataFrame:
     """stops(tour_id, ord, lon, lat, name): one GPX document for each tour, names escaped."""
     safe = F.regexp_replace(F.regexp_replace(F.regexp_replace("name", "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
-    milli = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("string")
-    point = F.concat(F.lit('<rtept lat="'), milli("lat"), F.lit('e-3" lon="'), milli("lon"), F.lit('e-3"><name>'), safe, F.lit("</name></rtept>"))
+    degrees = lambda c: F.format_string("%.6f", F.col(c))
+    point = F.concat(F.lit('<rtept lat="'), degrees("lat"), F.lit('" lon="'), degrees("lon"), F.lit('"><name>'), safe, F.lit("</name></rtept>"))
     listed = stops.groupBy("tour_id").agg(F.array_sort(F.collect_list(F.struct("ord", point.alias("p")))).alias("ps"), F.count("*").alias("n"))
     return listed.select("tour_id", "n", F.concat(F.lit("<gpx><rte>"), F.array_join(F.transform("ps", lambda p: p["p"]), ""), F.lit("</rte></gpx>")).alias("document"))
 

@@ -58,12 +58,15 @@ def _lines(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["row", "doc_id", "lines", "words", "a", "b"])
 
 
-def _before(cut: DataFrame, keys: list[str], count: str, name: str) -> DataFrame:
-    """cut, distinct in keys and cut by their ranges into `part`, with the sum of count over all rows with smaller keys."""
-    offset = cut.groupBy("part").agg(F.sum(count).alias("m"))  # a row for each range
-    offset = offset.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("offset"))
-    upto = F.sum(count).over(Window.partitionBy("part").orderBy(*keys))
-    return cut.join(F.broadcast(offset), "part").withColumn(name, F.col("offset") + upto - F.col(count)).drop("offset")
+def _before(cut: DataFrame, keys: list[str], **sums: str) -> DataFrame:
+    """cut, distinct in keys and cut by their ranges into `part`, with, by name, the sum of a column over all rows with smaller
+    keys."""
+    offset = cut.groupBy("part").agg(*[F.sum(c).alias(name) for name, c in sums.items()])  # a row for each range
+    order = Window.orderBy("part")
+    offset = offset.select("part", *[(F.sum(name).over(order) - F.col(name)).alias(f"of_{name}") for name in sums])
+    upto = Window.partitionBy("part").orderBy(*keys)
+    made = {name: F.col(f"of_{name}") + F.sum(c).over(upto) - F.col(c) for name, c in sums.items()}
+    return cut.join(F.broadcast(offset), "part").withColumns(made).drop(*[f"of_{name}" for name in sums])
 
 
 def _cut(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
@@ -73,12 +76,9 @@ def _cut(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
 def _classes(scratch: Scratch, at: DataFrame, keys: list[str], rank, goes_on, parts: int) -> DataFrame:
     """Groups of at by keys: `new`, their rank (of keys and `before`, what is in smaller groups); open, if they have several
     members and go on; and next_start, the number of suffixes in open groups of smaller rank."""
-    cut = scratch.write(_cut(at.groupBy(*keys).agg(F.count("*").alias("n")), keys, parts))
-    ranked = _before(cut, keys, "n", "before").withColumns({"new": rank, "open": (F.col("n") > 1) & goes_on})
-    ranked = scratch.write(ranked.withColumn("held", F.when(F.col("open"), F.col("n")).otherwise(0)))
-    out = scratch.write(_before(ranked, keys, "held", "next_start").select(*keys, "new", "open", "next_start"))
-    scratch.drop(cut, ranked)
-    return out
+    counted = at.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("open", (F.col("n") > 1) & goes_on)
+    cut = scratch.write(_cut(counted.withColumn("held", F.when(F.col("open"), F.col("n")).otherwise(0)), keys, parts))
+    return _before(cut, keys, before="n", next_start="held").select(*keys, rank.alias("new"), "open", "next_start")
 
 
 def _pairs(h: int):
@@ -203,6 +203,14 @@ def _frontier(depths, places) -> list[tuple[int, int]]:
     return out
 
 
+def _edge(depth: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
+    """_frontier() of depths that fall."""
+    low = np.minimum.accumulate(place)
+    new = np.flatnonzero(np.concatenate(([True], low[1:] < low[:-1])) & (depth > 0))
+    last = np.concatenate((depth[new][1:] != depth[new][:-1], [True])) if len(new) else np.zeros(0, bool)
+    return list(zip(depth[new][last].tolist(), place[new][last].tolist()))
+
+
 def _nearest(place: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each suffix of a range the prefix in common with the nearest one above of smaller place, -1 where there is none; and
     the least lcp from the range's start on, itself included."""
@@ -235,7 +243,7 @@ def _scan(key, t):
     up, down = np.where(above < 0, up, 0), np.where(below < 0, down, 0)
     inner = np.concatenate(([1 << 40], np.minimum.accumulate(lcp[1:]))) if len(lcp) > 1 else np.array([1 << 40])
     to_end = np.minimum.accumulate(np.concatenate(([1 << 40], lcp[:0:-1])))[::-1]
-    summary = pickle.dumps((int(lcp[0]), int(lcp[1:].min(initial=1 << 40)), _frontier(inner, place), _frontier(to_end, place)))
+    summary = pickle.dumps((int(lcp[0]), int(lcp[1:].min(initial=1 << 40)), _edge(inner, place), _edge(to_end[::-1], place[::-1])))
     part = int(key[0].as_py())
     keep = (run > 0) | (up > 0) | (down > 0)
     n = int(keep.sum())
@@ -329,7 +337,7 @@ def removed(scratch: Scratch, docs: DataFrame, least: int = MIN_WORDS) -> DataFr
     lines, final = ranks(scratch, every.select("row", "a", "b"), parts)
     by = ["nil", "doc", "row"]
     placed = every.select(F.col("doc_id").isNull().alias("nil"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc"), "row", F.lit(1).alias("one"))
-    order = _before(scratch.write(_cut(placed, by, parts)), by, "one", "order").select("row", F.col("order").cast("long").alias("order"))
+    order = _before(scratch.write(_cut(placed, by, parts)), by, order="one").select("row", F.col("order").cast("long").alias("order"))
     ranked = final.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "rank"))).alias("xs"))
     suffixes = ranked.join(lines.select("row", "r").hint("merge"), "row").join(order.hint("merge"), "row").mapInArrow(_suffixes, SUFFIX)
     ranged = _cut(scratch.write(suffixes), ["rank", "place"], parts).sortWithinPartitions("rank", "place")

@@ -220,6 +220,12 @@ BUILT |= {
 }
 
 BUILT |= drive_queries.BUILT | search_queries.BUILT | shape_queries.BUILT
+#: From the paths of all sources.
+BUILT["top_tour_candidates"] = (
+    BUILT["top_tour_candidates"][0],
+    f"""WITH RECURSIVE {PATHS} SELECT start_id, id, value, rank FROM (SELECT start_id, id, value, row_number() OVER (PARTITION BY start_id ORDER BY value DESC, id) AS rank FROM (
+        SELECT s.start_id, p.id, floor(p.quality * (1 - 2 * t.cost / s.budget) * 1e6 + 5e-1) / 1e6 AS value FROM {{starts}} s JOIN paths t ON t.source = s.node JOIN {{passes}} p ON p.id = t.node WHERE t.cost * 2 <= s.budget AND p.id <> s.node) v) k WHERE rank <= 10""",
+)
 
 STREAMS = {
     "stream_latest_status": (streams.latest_status, "SELECT pass_id, state, seen, seen < (SELECT max(EPOCH_US(ts)) FROM {statuses}) - 864e8 AS stale FROM (SELECT pass_id, max_by(state, EPOCH_US(ts) * 1000 + id % 1000) AS state, max(EPOCH_US(ts)) AS seen FROM {statuses} GROUP BY pass_id) l"),

@@ -58,27 +58,40 @@ def _lines(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["row", "doc_id", "lines", "words", "a", "b"])
 
 
-def _before(cut: DataFrame, keys: list[str], **sums: str) -> DataFrame:
-    """cut, distinct in keys and cut by their ranges into `part`, with, by name, the sum of a column over all rows with smaller
-    keys."""
-    offset = cut.groupBy("part").agg(*[F.sum(c).alias(name) for name, c in sums.items()])  # a row for each range
-    order = Window.orderBy("part")
-    offset = offset.select("part", *[(F.sum(name).over(order) - F.col(name)).alias(f"of_{name}") for name in sums])
-    upto = Window.partitionBy("part").orderBy(*keys)
-    made = {name: F.col(f"of_{name}") + F.sum(c).over(upto) - F.col(c) for name, c in sums.items()}
-    return cut.join(F.broadcast(offset), "part").withColumns(made).drop(*[f"of_{name}" for name in sums])
+def _running(sums: dict[str, str]):
+    """Of a range in order: by name, the sum of a column over the rows before each."""
+
+    def run(batches):
+        total = dict.fromkeys(sums, 0)
+        for batch in batches:
+            made = []
+            for name, c in sums.items():
+                v = np.asarray(batch.column(batch.schema.get_field_index(c)), np.int64)
+                made.append(pa.array(total[name] + np.cumsum(v) - v))
+                total[name] += int(v.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *sums])
+
+    return run
 
 
-def _cut(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
-    return df.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id())
+def _before(scratch: Scratch, df: DataFrame, keys: list[str], parts: int, **sums: str) -> DataFrame:
+    """df, distinct in keys, with, by name, the sum of a column over all rows with smaller keys: within ranges of the keys
+    first, then what all smaller ranges hold."""
+    cut = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
+    schema = T.StructType([*cut.schema.fields, *(T.StructField(name, T.LongType()) for name in sums)])
+    cut = scratch.write(cut.mapInArrow(_running(sums), schema))
+    offset = cut.groupBy("part").agg(*[F.sum(c).alias(f"of_{name}") for name, c in sums.items()])  # a row for each range
+    order = Window.orderBy("part")
+    offset = offset.select("part", *[(F.sum(f"of_{name}").over(order) - F.col(f"of_{name}")).alias(f"of_{name}") for name in sums])
+    return cut.join(F.broadcast(offset), "part").withColumns({name: F.col(name) + F.col(f"of_{name}") for name in sums}).drop(*[f"of_{name}" for name in sums], "part")
 
 
 def _classes(scratch: Scratch, at: DataFrame, keys: list[str], rank, goes_on, parts: int) -> DataFrame:
     """Groups of at by keys: `new`, their rank (of keys and `before`, what is in smaller groups); open, if they have several
     members and go on; and next_start, the number of suffixes in open groups of smaller rank."""
     counted = at.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("open", (F.col("n") > 1) & goes_on)
-    cut = scratch.write(_cut(counted.withColumn("held", F.when(F.col("open"), F.col("n")).otherwise(0)), keys, parts))
-    return _before(cut, keys, before="n", next_start="held").select(*keys, rank.alias("new"), "open", "next_start")
+    counted = counted.withColumn("held", F.when(F.col("open"), F.col("n")).otherwise(0))
+    return _before(scratch, counted, keys, parts, before="n", next_start="held").select(*keys, rank.alias("new"), "open", "next_start")
 
 
 def _pairs(h: int):
@@ -337,10 +350,10 @@ def removed(scratch: Scratch, docs: DataFrame, least: int = MIN_WORDS) -> DataFr
     lines, final = ranks(scratch, every.select("row", "a", "b"), parts)
     by = ["nil", "doc", "row"]
     placed = every.select(F.col("doc_id").isNull().alias("nil"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc"), "row", F.lit(1).alias("one"))
-    order = _before(scratch.write(_cut(placed, by, parts)), by, order="one").select("row", F.col("order").cast("long").alias("order"))
+    order = _before(scratch, placed, by, parts, order="one").select("row", F.col("order").cast("long").alias("order"))
     ranked = final.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "rank"))).alias("xs"))
     suffixes = ranked.join(lines.select("row", "r").hint("merge"), "row").join(order.hint("merge"), "row").mapInArrow(_suffixes, SUFFIX)
-    ranged = _cut(scratch.write(suffixes), ["rank", "place"], parts).sortWithinPartitions("rank", "place")
+    ranged = scratch.write(suffixes).repartitionByRange(parts, "rank", "place").sortWithinPartitions("rank", "place").withColumn("part", F.spark_partition_id())
     near = scratch.write(ranged.mapInArrow(_neighbours, NEIGHBOUR))
     # the first of each range and the last of the one above it: a row for each range
     carried = F.struct("row", "i", "rank", "rest", "prev", "ahead")

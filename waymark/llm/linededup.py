@@ -37,7 +37,7 @@ from waymark.llm.common import Scratch, spare, table, width
 MIN_WORDS = 10
 #: Lines that travel with a suffix; lines compared in the first round where more are equal, and the factor to the next.
 AHEAD, SLICE, MORE = 4, 64, 16
-#: A place is the document's number in order, and the line below these bits.
+#: A place is the document's number in order, and the line below these bits; a text with more lines than they hold raises.
 LINE_BITS = 24
 
 LINES = "row long, doc_id long, lines array<int>, words array<int>, a array<long>, b array<long>"
@@ -166,6 +166,8 @@ def _suffixes(batches):
         out: list[list] = [[] for _ in range(7)]
         for row, order, r, xs in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("row", "order", "r", "xs"))):
             r, i, rank = np.asarray(r.values), np.asarray(xs.values.field("i")), np.asarray(xs.values.field("rank"))
+            if len(r) >> LINE_BITS:
+                raise ValueError(f"a text has {len(r)} lines, more than 2^{LINE_BITS}")
             padded = np.concatenate((r, np.full(AHEAD, -1, np.int64)))
             prev = np.where(i > 0, r[i - 1], -1)
             for o, v in zip(out, (rank, np.full(len(i), row.as_py()), i, len(r) - i, (order.as_py() << LINE_BITS) + i, prev)):

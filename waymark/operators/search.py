@@ -39,11 +39,6 @@ def _runs(text: Column, k: int) -> Column:
     return F.when(F.length(text) >= k, F.transform(at, lambda i: text.substr(i, F.lit(k)))).otherwise(F.array())
 
 
-def _grams(text: Column) -> Column:
-    """All runs of one to three characters."""
-    return F.array_distinct(F.concat(*[_runs(text, k) for k in (1, 2, 3)]))
-
-
 def search(docs: DataFrame, queries: DataFrame, least: float = LEAST_RELEVANCE, most: int = 200) -> DataFrame:
     """docs(id, title, name, text, activity, lat, lon) and queries(query_id, query, lat, lon, within_m, activity), name, text
     and query in search form -> each query's documents by relevance, distance (none last) and title, `most` at most.
@@ -59,7 +54,10 @@ def search(docs: DataFrame, queries: DataFrame, least: float = LEAST_RELEVANCE,
     words = q.where("query <> ''").select("query_id", word).select("query_id", "word", F.explode(F.array_distinct(parts)).alias("gram"))
     own = q.select("query_id", F.size("trigrams").alias("nq"), F.explode("trigrams").alias("gram"))
     asked = written(words.select("gram").union(own.select("gram")).distinct())
-    held = d.select("id", F.explode(F.array_union(_grams(F.col("text")), F.col("tri"))).alias("gram"))
+    # words of one or two characters have runs of their own length, made only where a query asks for them
+    short = [r.k for r in asked.select(F.length("gram").alias("k")).distinct().collect() if r.k < 3]  # at most two numbers
+    runs = F.concat("tri", *[F.array_distinct(_runs(F.col("text"), k)) for k in short]) if short else F.col("tri")
+    held = d.select("id", F.explode(runs).alias("gram"))
     held = held.join(F.broadcast(asked) if asked.count() <= 100_000 else asked.hint("merge"), "gram", "left_semi")  # short strings
     held = written(held)
     seen = written(held.groupBy("gram").agg(F.count("*").alias("seen")))

@@ -45,17 +45,41 @@ class Vocabulary:
         self.ranks, self.pattern = ranks, pattern
         self.matches = regex.compile(pattern)
         self.bytes = {rank: token for token, rank in ranks.items()}
-        self.ends: dict = {}  # tokens by their bytes from the last one backwards; None leads to the rank
-        for token, rank in ranks.items():
-            node = self.ends
-            for byte in reversed(token):
-                node = node.setdefault(byte, {})
-            node[None] = rank
+        self.steps, self.falls, self.found = self._automaton(ranks)
+        self.longest = max(map(len, ranks), default=0)
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._borders: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
-        self._meets: dict[tuple[int, int], bool] = {}
+        self._meets: dict[int, bool] = {}
         self._words: dict[str, tuple] = {}
 
+    @staticmethod
+    def _automaton(ranks: dict[bytes, int]) -> tuple[list[dict[int, int]], list[int], list[tuple[tuple[int, int], ...]]]:
+        """States are beginnings of tokens, the longest that the bytes so far end in: the next states by byte, the state
+        to fall back to, and the tokens (length, rank) that end here, the longest first."""
+        steps, falls, found = [{}], [0], [()]
+        for token, rank in ranks.items():
+            at = 0
+            for byte in token:
+                at = steps[at].setdefault(byte, len(steps))
+                if at == len(steps):
+                    steps.append({})
+                    falls.append(0)
+                    found.append(())
+            found[at] = ((len(token), rank),)
+        level = list(steps[0].values())
+        while level:
+            below = []
+            for at in level:
+                found[at] += found[falls[at]]
+                for byte, to in steps[at].items():
+                    back = falls[at]
+                    while back and byte not in steps[back]:
+                        back = falls[back]
+                    falls[to] = steps[back].get(byte, 0)
+                    below.append(to)
+            level = below
+        return steps, falls, found
+
     @classmethod
     def load(cls, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Vocabulary:
         with open(path, "rb") as lines:
@@ -96,40 +120,48 @@ class Vocabulary:
 
     def meets(self, a: int, b: int) -> bool:
         """Whether b may follow a: the bytes of both merge to a and b."""
-        found = self._meets.get((a, b))
-        if found is None:
+        found = self.halves(b) is not None
+        if found:
             left, right = self.border(a, True), self.border(b, False)
             i = j = 0
             while True:
                 (x, x_ends), (y, y_ends) = left[i], right[j]
                 across = self.ranks.get(x + y, NEVER)
-                found = not (across < x_ends and across <= y_ends and across != NEVER)
+                found = across == NEVER or across >= x_ends or across > y_ends
                 if not found or x_ends == y_ends == NEVER:
                     break
                 if x_ends <= y_ends:
                     i += 1
                 else:
                     j += 1
-            if len(self._meets) >= KEPT:
-                self._meets.clear()
-            self._meets[a, b] = found
+        if len(self._meets) >= KEPT:
+            self._meets.clear()
+        self._meets[a << 32 | b] = found
         return found
 
     def prefixes(self, piece: bytes, last: list[int]) -> list[int]:
         """last, the tokens that end the first prefixes of piece (from the prefix of one byte on), with those of the others."""
-        for end in range(len(last) + 1, len(piece) + 1):
-            node, at = self.ends, end
-            while at:
-                at -= 1
-                node = node.get(piece[at])
-                if node is None:
-                    raise ValueError(f"no token ends the first {end} bytes of {piece[: end][-40:]!r}")
-                token = node.get(None)
-                if token is not None and self.halves(token) and (not at or self.meets(last[at - 1], token)):
+        meets, steps, falls, found = self._meets, self.steps, self.falls, self.found
+        begin, at = len(last), 0
+        for end, byte in enumerate(piece[max(0, begin - self.longest) :], max(0, begin - self.longest)):
+            while at and byte not in steps[at]:
+                at = falls[at]
+            at = steps[at].get(byte, 0)
+            if end < begin:
+                continue
+            for size, token in found[at]:
+                if size <= end:
+                    before = last[end - size]
+                    right = meets.get(before << 32 | token)
+                    if right is None:
+                        right = self.meets(before, token)
+                else:
+                    right = self.halves(token) is not None
+                if right:
                     last.append(token)
                     break
             else:
-                raise ValueError(f"no token ends the first {end} bytes of {piece[: end][-40:]!r}")
+                raise ValueError(f"no token ends the first {end + 1} bytes of {piece[: end + 1][-40:]!r}")
         return last
 
     def followed(self, piece: bytes, last: list[int]) -> list[int]:

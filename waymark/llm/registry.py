@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from waymark.llm import ann, bytebpe, extract, langid, linededup, mixing, neardup, pieces, quality, simhash, toxicity
+from waymark.llm import ann, bytebpe, extract, langid, linededup, mixing, neardup, negatives, pieces, quality, simhash, toxicity
 
 
 def queries():
@@ -16,8 +16,9 @@ def queries():
         "op9_simhash": simhash.op9_simhash,
         "op10_mix_sources": mixing.op10_mix_sources,
         "op12_byte_bpe": bytebpe.op12_byte_bpe,
+        "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql():
-    return {"op10_mix_sources": mixing.SQL}
+    return {"op10_mix_sources": mixing.SQL, "op13_hard_negatives": negatives.SQL}

@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from waymark.llm import ann, bytebpe, extract, langid, linededup, mixing, neardup, negatives, pieces, quality, simhash, toxicity
+from waymark.llm import ann, bytebpe, dialogs, extract, langid, linededup, mixing, neardup, negatives, pieces, quality, simhash, toxicity
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op3_line_dedup": linededup.op3_line_dedup,
         "op9_simhash": simhash.op9_simhash,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_conversation_repair": dialogs.op11_conversation_repair,
         "op12_byte_bpe": bytebpe.op12_byte_bpe,
         "op13_hard_negatives": negatives.op13_hard_negatives,
     }

@@ -1,5 +1,7 @@
 import itertools
 import math
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -340,3 +342,91 @@ def test_nearest_against_brute_force(spark, tmp_path):
 def test_nearest_of_nothing(spark, tmp_path):
     spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert ann.op5_nearest(spark, str(tmp_path)).count() == 0
+
+
+ARTICLE = "<p>The first paragraph of the article is here, with words.</p><p>The second one ends it all.</p>"
+ARTICLE_TEXT = "The first paragraph of the article is here, with words.\nThe second one ends it all."
+LONG_COMMENT = "<p>" + "I think this is a very long comment about the article, longer than it. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article>{ARTICLE}</article><section id="comments"><h3>Comments</h3><article class="comment">{LONG_COMMENT}</article></section>',
+        f'<div class="post">{ARTICLE}</div><div class="userComments"><article>{LONG_COMMENT}</article></div>',
+        f'<article>{ARTICLE}<section id="discussion"><article>{LONG_COMMENT}</article></section></article>',
+        f'<aside><article>{LONG_COMMENT}</article></aside><article>{ARTICLE}</article>',
+        f'<main><article>{ARTICLE}</article><ol class="commentlist"><li>{LONG_COMMENT}</li></ol></main>',
+    ],
+)
+def test_reader_comments_are_no_main_text(page):
+    assert extract.main_text(f"<body>{page}</body>") == ARTICLE_TEXT
+
+
+def test_an_articles_own_lists_of_links_stay():
+    items = [f"Paper number {i} on the subject of cuts" for i in range(6)]
+    listed = "<ul>" + "".join(f'<li><a href="/{i}">{x}</a></li>' for i, x in enumerate(items)) + "</ul>"
+    assert extract.main_text(f"<nav>{listed}</nav><article><p>See the list:</p>{listed}<p>End of it.</p></article>").split("\n") == ["See the list:", *items, "End of it."]
+    assert extract.main_text(f"<nav>{listed}</nav><main>{listed}</main>").split("\n") == items
+
+
+def test_cuts_are_least_and_near_linear():
+    rng = random.Random(4)
+    for _ in range(200):
+        n = rng.randrange(1, 9)
+        scores = [rng.choice([-1.5, -0.5, -0.2, 0.3, 0.6, 1.0]) for _ in range(n)]
+        edges = [(rng.randrange(n), rng.randrange(n), rng.choice([0.25, 0.5, 1.0])) for _ in range(2 * n)]
+        cost = lambda keep: sum(abs(s) for s, k in zip(scores, keep) if k != (s > 0)) + sum(w for i, j, w in edges if keep[i] != keep[j])
+        assert abs(cost(extract.min_cut(scores, edges)) - min(cost(k) for k in itertools.product([False, True], repeat=n))) < 1e-9
+    n = 20_000
+    scores = [rng.uniform(-0.4, 0.4) for _ in range(n)]
+    edges = [(i, i + 1, 1.0) for i in range(n - 1)] + [(i, i + 7, 0.25) for i in range(0, n - 7, 3)]
+    began = time.perf_counter()
+    extract.min_cut(scores, edges)
+    assert time.perf_counter() - began < 20
+
+
+def test_short_texts_are_learnt(spark):
+    rows = [(i, "en", "The quick brown fox jumps over the lazy dog and runs away again now") for i in range(160)] + [(1000 + i, "zz", "zxqv jzzk qqx vvz zkq") for i in range(160)] + [(5000, "yy", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    net = langid.train(docs)
+    assert net.langs == ["en", "zz"]
+    got = {r.doc_id: r.lang_pred for r in langid.predicted(docs, net).collect()}
+    assert all(got[i] == ("en" if i < 1000 else "zz") for i, _, t in rows if t) and got[5000] == "und"
+
+
+def test_gradient_of_padded_windows_is_that_of_the_bytes():
+    rng = np.random.default_rng(3)
+    net = langid.Network(["a", "b", "c"], hidden=4)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    w, y, lengths = rng.integers(1, 255, (5, 12)).astype(np.uint8), np.array([0, 1, 2, 1, 0]), np.array([12, 3, 1, 7, 12])
+    w[np.arange(12)[None] >= lengths[:, None]] = 0
+    together = net.gradient(w, y, lengths)
+    apart = [net.gradient(w[i : i + 1, :n], y[i : i + 1]) for i, n in enumerate(lengths)]
+    for k in together:
+        assert np.allclose(together[k], sum(n * g[k] for n, g in zip(lengths, apart)) / lengths.sum())
+
+
+def test_rare_near_vectors_are_measured(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "AUDIT", (2, 4))
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16))
+    x[250:260] = x[:10] + 0.01 * rng.normal(size=(10, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in neardup.near_duplicates(Scratch(spark), df).collect()}
+    assert got == {i: int(i < 10 or 250 <= i < 260) for i in range(300)}
+    alone = neardup.near_duplicates(Scratch(spark), df.where("vec_id >= 10 and vec_id < 200")).collect()
+    assert all(r.n_links == 0 and r.kept for r in alone) and len(alone) == 190
+
+
+def test_nearest_raises_when_neighbours_stay_missing(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 16)))], "vec_id long, embedding array<double>")
+    index = ann.Index(Scratch(spark), df)
+    with pytest.raises(RuntimeError, match="missing"):
+        index.settings(index.queries(), recall=1.5)
+    monkeypatch.setattr(ann, "QUERIES", 2)
+    monkeypatch.setattr(ann, "BLOCK", 30)
+    small = ann.Index(Scratch(spark), df, lists=4)
+    got = {(r.query_id, r.rank): r.vec_id for r in small.search(small.queries(10), 4, 64.0).collect()}
+    assert got == {(r.query_id, r.rank): r.vec_id for r in index.search(index.queries(10), 1, 64.0).collect()} and len(got) == 100

@@ -5,8 +5,8 @@ two states label the position with a probability for each language, and the docu
 all its bytes; of equally likely languages the first in order is taken. The network is trained in numpy by backpropagation through time with a label at every position.
 
 Learnt from at most MAX_WINDOWS windows: about as many documents of each language, by the smallest hashes of doc_id,
-each with one window at a hashed place of its text (twice as many windows where doc_ids repeat). Every language of the
-labels is learnt; the network has an output for each. Texts that are null or have no letter are `und` with score 0; so
+each with one window at a hashed place of its text, or all of a shorter text (twice as many windows where doc_ids
+repeat). Every language that has a text with any byte is learnt; the network has an output for each. Texts that are null or have no letter are `und` with score 0; so
 is everything if there is no labelled text. Repeated rows give repeated rows; extra columns are ignored.
 """
 
@@ -72,23 +72,28 @@ class Network:
         e *= (np.arange(steps)[None] < lengths[:, None])[:, :, None]
         return e.sum(axis=1)
 
-    def gradient(self, w: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross entropy over all positions, by backpropagation through time; windows w (n, steps), language y of each."""
+    def gradient(self, w: np.ndarray, y: np.ndarray, lengths: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy over all positions, by backpropagation through time; windows w (n, steps), zero padded
+        beyond their lengths, and the language y of each."""
         p, h = self.p, self.h
-        both = np.stack([w.T, w[:, ::-1].T])
+        n, n_steps = w.shape
+        lengths = np.full(n, n_steps) if lengths is None else lengths
+        # where the direction from the end is after t bytes, which is also after how many bytes it is at t
+        at = np.maximum(lengths[:, None] - 1 - np.arange(n_steps)[None], 0).T
+        real = (np.arange(n_steps)[:, None] < lengths[None])[:, :, None]
+        both = np.stack([w.T, np.take_along_axis(w.T, at, 0)])
         held = list(self.states(both, True))
-        n, n_steps = len(w), both.shape[1]
         sf = np.stack([s[0] for s, _ in held])  # (t, n, h)
-        sb = np.stack([s[1] for s, _ in held])[::-1]
+        sb = np.take_along_axis(np.stack([s[1] for s, _ in held]), at[:, :, None], 0)
         logit = sf @ p["o"][0] + sb @ p["o"][1] + p["b"]
         e = np.exp(logit - logit.max(-1, keepdims=True))
         e /= e.sum(-1, keepdims=True)
         e[:, np.arange(n), y] -= 1
-        e /= n * n_steps
+        e *= real / lengths.sum()
         g = {k: np.zeros_like(a) for k, a in p.items()}
         g["b"] = e.sum((0, 1))
         g["o"][0], g["o"][1] = np.einsum("tnh,tnl->hl", sf, e), np.einsum("tnh,tnl->hl", sb, e)
-        out = np.stack([e @ p["o"][0].T, (e @ p["o"][1].T)[::-1]], 1)  # (t, 2, n, h) as each direction reads
+        out = np.stack([e @ p["o"][0].T, np.take_along_axis(e @ p["o"][1].T, at[:, :, None], 0) * real], 1)  # (t, 2, n, h) as each direction reads
         ds = np.zeros((2, n, h), p["u"].dtype)
         d = np.array([[0], [1]])
         for t in range(n_steps - 1, -1, -1):
@@ -103,13 +108,13 @@ class Network:
             ds = ds * (1 - z) + drs * r + dg @ p["u"].transpose(0, 2, 1)
         return g
 
-    def train(self, windows: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 11) -> None:
-        """windows (n, WINDOW) of full length; y the language of each."""
+    def train(self, windows: np.ndarray, y: np.ndarray, lengths: np.ndarray | None = None, steps: int = STEPS, seed: int = 11) -> None:
+        """windows (n, WINDOW), zero padded beyond their lengths; y the language of each."""
         rng, p = np.random.default_rng(seed), self.p
         m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
         for step in range(1, steps + 1):
             pick = rng.integers(0, len(y), BATCH)
-            g = self.gradient(windows[pick], y[pick])
+            g = self.gradient(windows[pick], y[pick], None if lengths is None else lengths[pick])
             norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
             rate = RATE * min(1, 2 - 2 * step / (steps + 1))
             for k in p:
@@ -152,7 +157,7 @@ def _window(batches):
 
 def train(docs: DataFrame, most: int = MAX_WINDOWS) -> Network | None:
     """None if there is nothing to learn from."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.octet_length("text") >= WINDOW))
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.octet_length("text") > 0))
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # one row for each language, as the network has an output for each
     if not counts:
         return None
@@ -165,7 +170,8 @@ def train(docs: DataFrame, most: int = MAX_WINDOWS) -> Network | None:
     langs = sorted(counts)
     net = Network(langs)
     if len(langs) > 1 and rows:
-        net.train(np.array([np.frombuffer(bytes(r["bytes"]), np.uint8) for r in rows]), np.array([langs.index(r.lang) for r in rows]))
+        raw = [bytes(r["bytes"]) for r in rows]
+        net.train(np.array([np.frombuffer(x.ljust(WINDOW, b"\0"), np.uint8) for x in raw]), np.array([langs.index(r.lang) for r in rows]), np.array([len(x) for x in raw]))
     return net
 
 

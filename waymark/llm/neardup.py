@@ -9,8 +9,9 @@ exactly, and a thick group of copies costs as much as its balls, not its pairs.
 
 Beams widen in two ways: a query whose beam ends while nodes are still near enough repeats with twice the width, and
 an audit compares a sample of nodes with all nodes by brute force (a sample of 256, or up to 4,096 where near nodes are
-rare); until its recall is RECALL, all queries repeat with twice the width. A beam as wide as the shard reads all of
-it, so the last repeat misses nothing.
+rare; where these want too few pairs, also up to 4,096 nodes for which the search has found some); until its recall is
+RECALL, all queries repeat with twice the width. Where no pair is wanted and none found, the width still doubles up to
+UNSEEN before that is believed. A beam as wide as the shard reads all of it, so the last repeat misses nothing.
 
 Cosines are in double precision on the original vectors. Null, zero and non-finite vectors link with nothing; only
 vectors of one length link. Null ids take part and never name a component. Repeated rows are vectors of their own.
@@ -35,6 +36,8 @@ LEAST = 0.95
 SHARDS, SHARD_ROWS = 4, 65_536
 #: Nodes of the audit, and more of them until so many pairs are wanted.
 BEAM, RECALL, AUDIT, WANTED = 16, 0.999, (256, 1_024, 4_096), 100
+#: The beam that has to have found nothing where the audit has nothing to measure by.
+UNSEEN = 128
 #: Neighbours of a node (twice as many below) and candidates looked at when it joins.
 NEIGHBOURS, CANDIDATES = 10, 32
 #: Nodes that query a shard in one task, members of a ball that are compared in one row.
@@ -126,12 +129,17 @@ def near_duplicates(scratch: Scratch, vectors: DataFrame, least: float = LEAST,
         n_want = want.count()
         if n_want >= WANTED or len(sample) < most:
             break
-    beam = BEAM
+    beam, all_read = BEAM, len(sample) < most
     while True:
         found = copies.cogroup(asking.groupBy("dim", "shard", "slot")).applyInPandas(_ask(angle, half, beam), "a long, b long, cosine double")
         pairs = scratch.write(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
+        if n_want < WANTED and not all_read:  # near nodes are rare: measured at nodes that have some
+            met = pairs.select(F.explode(F.array("a", "b")).alias("ball")).distinct()
+            some = nodes.join(met.hint("merge"), "ball", "left_semi").select(*nodes.columns).orderBy(F.xxhash64("ball", F.lit("found")), "ball").limit(AUDIT[-1]).toPandas()
+            want = scratch.write(want.unionByName(nodes.mapInPandas(_audit(some, angle), "a long, b long")).distinct())
+            n_want = want.count()
         hit = want.join(pairs.hint("merge"), ["a", "b"], "left_semi").count()
-        if hit >= RECALL * n_want:
+        if hit >= RECALL * n_want and (n_want or all_read or beam >= min(n, UNSEEN)):
             break
         if beam >= n:
             raise RuntimeError(f"whole shards were read and {n_want - hit} of {n_want} audited pairs are missing")

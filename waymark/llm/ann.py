@@ -12,7 +12,8 @@ abandoned once the test rejects that it can still beat the query's current k-th
 (1 + epsilon / sqrt(d))^2. Survivors are scored exactly, in double precision, on the original vectors.
 
 The number of probed lists is not guessed: a sample of the queries is answered by brute force, and probes double until
-the audit's recall is at least RECALL; once all lists are probed, epsilon doubles, until nothing is abandoned early.
+the audit's recall is at least RECALL; once all lists are probed, epsilon doubles, until nothing is abandoned early;
+if neighbours were still missing then, the search raises.
 
 Queries are the rows whose id is divisible by EVERY, candidates all rows with another id (rows that repeat an id are
 one query, of the smallest vector, and no candidates of it); nearness is the largest cosine, ties to the smaller id; a
@@ -199,23 +200,27 @@ class Index:
                 continue  # one list
             # PER_LIST vectors to a list on average, LISTS at least, as many as the sample can tell apart at most
             wanted = lists or max(LISTS, n // PER_LIST)
-            rows = every.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(max(SAMPLE, min(MOST_SAMPLE, 16 * wanted))).toPandas()
-            x = unit(np.array(rows["embedding"].tolist()))
+            rows = every.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(max(SAMPLE, min(MOST_SAMPLE, 16 * wanted))).select("embedding").toArrow()
+            x = unit(matrix(rows.column("embedding").combine_chunks()))
             self.centers[dim] = centroids(x, max(1, min(len(x) // 16 or 1, wanted)) if not lists else lists)
         self.dims = sorted(counts)
         schema = "vec_id long, embedding array<double>, dim int, list int"
         self.rows = scratch.write(every.mapInArrow(_assign(self.centers, None), schema))
-        size = self.rows.groupBy("dim", "list").agg(F.count("*").alias("n"))
-        cut = self.rows.join(F.broadcast(size), ["dim", "list"]).withColumn("cut", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / BLOCK)).cast("int"))  # sizes: a row for each list
+        self.cuts = scratch.write(self.rows.groupBy("dim", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts")))  # a row for each list
+        cut = self.rows.join(F.broadcast(self.cuts), ["dim", "list"]).withColumn("cut", F.pmod(F.xxhash64("vec_id"), "cuts").cast("int"))
         self.blocks = scratch.write(cut.groupBy("dim", "list", "cut").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("block")).mapInArrow(_stored, BLOCKS))
 
     def search(self, queries: DataFrame, probes: int, epsilon: float = EPSILON, k: int = K) -> DataFrame:
         """queries(query_id, embedding, dim) -> (query_id, rank, vec_id, score)."""
         told = queries.mapInArrow(_assign(self.centers, probes), "query_id long, embedding array<double>, dim int, lists array<int>")
         told = told.select("query_id", "embedding", "dim", F.explode("lists").alias("list"))
-        n = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERIES)))).cast("int")
-        packed = told.groupBy("dim", "list", n.alias("part")).agg(F.collect_list(F.struct(F.col("query_id").alias("id"), "embedding")).alias("queries"))
-        pairs = packed.join(self.blocks.hint("merge"), ["dim", "list"]).select("queries", "ids", "units", "turned").repartition(int(self.scratch.spark.conf.get("spark.sql.shuffle.partitions")))
+        # parts of the queries of a list, as many as it has queries for; a block meets those of its own list only
+        told = self.scratch.write(told)
+        parts = told.groupBy("dim", "list").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))  # a row for each list
+        told = told.join(F.broadcast(parts), ["dim", "list"]).join(F.broadcast(self.cuts), ["dim", "list"])
+        packed = told.groupBy("dim", "list", "cuts", F.pmod(F.xxhash64("query_id"), "parts").alias("part")).agg(F.collect_list(F.struct(F.col("query_id").alias("id"), "embedding")).alias("queries"))
+        packed = packed.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        pairs = packed.join(self.blocks.hint("merge"), ["dim", "list", "cut"]).select("queries", "ids", "units", "turned")
         found = pairs.mapInArrow(_search(k, epsilon), FOUND)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -239,8 +244,10 @@ class Index:
         probes, epsilon = min(most, 8), EPSILON
         while True:
             got = self.search(asked, probes, epsilon, k).join(exact, ["query_id", "vec_id"], "left_semi").count()
-            if got >= recall * want or (probes >= most and epsilon > NO_EPSILON):
+            if got >= recall * want:
                 return probes, epsilon
+            if probes >= most and epsilon > NO_EPSILON:
+                raise RuntimeError(f"all lists were read and {want - got} of {want} audited neighbours are missing")
             if probes < most:
                 probes = min(most, probes * 2)
             else:

@@ -1,11 +1,14 @@
 """Operators on small literal inputs."""
 
+import hashlib
+import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.functions import columns
+from waymark.functions import columns, ranges
 from waymark.operators import drives, feeds, graph, routes, schedules, search, shapes, spatial
 from waymark.operators import records as records_
 from waymark.operators.status import status_rules
@@ -104,21 +107,37 @@ def test_connections_need_a_schedule_and_a_proof_in_force(spark):
     assert best.chosen is None and best.reasons.startswith("invalid;direction_invalid;")
 
 
-def test_nearest_goes_as_far_as_it_must(spark):
-    import random
+def metres(a, b):
+    p, q, d = math.radians(a[1]), math.radians(b[1]), math.radians(b[2] - a[2])
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(d / 2) ** 2
+    return math.floor(2 * 6_371_000 * math.asin(min(1, math.sqrt(h))) + 0.5)
 
+
+def test_nearest_goes_as_far_as_it_must(spark):
     rng = random.Random(8)
-    nodes = [(i, 46 + rng.random(), 8 + rng.random()) for i in range(60)] + [(90, -45.0, 179.9)]
-    pts = [(i, 46 + rng.random(), 8 + rng.random()) for i in range(20)] + [(50, -44.0, -179.9), (51, 10.0, -60.0)]
+    nodes = [(i, 46 + rng.random(), 8 + rng.random()) for i in range(60)] + [(90, -45.0, 179.9), (91, 89.9, 10.0), (92, -90.0, 0.0)]
+    nodes += [(100 + i, 46.5, 8.5) for i in range(30)] + [(200 + i, rng.uniform(-85, 85), rng.uniform(-180, 180)) for i in range(200)]
+    pts = [(i, 46 + rng.random(), 8 + rng.random()) for i in range(20)] + [(50, -44.0, -179.9), (51, 10.0, -60.0), (52, 90.0, 0.0), (53, 46.5, 8.5), (54, 46.5, 8.5), (55, 0.0, 180.0), (56, 0.0, -180.0)]
+    pts += [(60 + i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(100)]
     df = lambda x: spark.createDataFrame(x, "id long, lat double, lon double")
+    odd = [(900, None, 8.0), (901, 46.0, None), (None, 46.1, 8.1)]
+    want = sorted((p[0], r + 1, n[0]) for p in pts for r, n in enumerate(sorted(nodes, key=lambda n: (metres(p, n), n[0]))[:3]))
+    got = spatial.nearest(df(pts + odd), df(nodes + odd[:2]), 3).withColumnRenamed("r_id", "node").where("id is not null")
+    assert rows(got, "id", "rank", "node") == want
+    few = df(nodes[:2])
+    assert rows(spatial.nearest(df(pts[:30]), few, 5), "id", "r_id") == sorted((p[0], n[0]) for p in pts[:30] for n in nodes[:2])
+    near = spatial.nearest(df(pts), df(nodes), 3, most_m=300_000.0)
+    assert rows(near, "id", "r_id") == sorted((p[0], n[0]) for p in pts for n in sorted(nodes, key=lambda n: (metres(p, n), n[0]))[:3] if metres(p, n) <= 300_000)
+    assert spatial.nearest(df(pts), df([]), 3).count() == spatial.nearest(df([]), df(nodes), 3).count() == 0
 
-    def metres(a, b):
-        p, q, d = math.radians(a[1]), math.radians(b[1]), math.radians(b[2] - a[2])
-        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(d / 2) ** 2
-        return math.floor(2 * 6_371_000 * math.asin(min(1, math.sqrt(h))) + 0.5)
 
-    want = sorted((p[0], r + 1, n[0]) for p in pts for r, n in enumerate(sorted(nodes, key=lambda n: (metres(p, n), n[0]))[:3]))
-    assert rows(spatial.nearest(df(pts), df(nodes), 3).withColumnRenamed("r_id", "node"), "id", "rank", "node") == want
+def test_nearest_of_other_kinds_and_own_numbers(spark):
+    rng = random.Random(9)
+    pts = [(i, i // 3, 46 + rng.random() * rng.choice([0.01, 1, 20]), 8 + rng.random(), rng.randrange(1, 6)) for i in range(120)]
+    df = spark.createDataFrame(pts, "id long, kind long, lat double, lon double, want long")
+    plain = lambda p: sorted((q for q in pts if q[1] != p[1]), key=lambda q: (metres((0, *p[2:4]), (0, *q[2:4])), q[0]))[: p[4]]
+    want = sorted((p[0], r + 1, q[0]) for p in pts for r, q in enumerate(plain(p)))
+    assert rows(spatial.nearest(df, df.drop("want"), None, apart="kind"), "id", "rank", "r_id") == want
 
 
 def test_paths_avoid_what_is_forbidden_and_dear(spark):
@@ -248,10 +267,44 @@ def test_crossings_need_both_gateways_on_opposite_sides(spark):
 
 
 def test_packages_refuse_what_cannot_fit(spark):
-    items = spark.createDataFrame([("r", i, b) for i, b in enumerate([40, 50, 30])], "region string, id long, bytes long")
-    assert rows(sinks.packages(items, 100), "shard", "n", "bytes") == [(0, 2, 90), (1, 1, 30)]
-    with pytest.raises(ValueError, match="item 1 "):
-        sinks.packages(items, 45)
+    items = spark.createDataFrame([("r", i, json.dumps({"id": i, "x": "y" * n})) for i, n in enumerate([40, 50, 30])], "region string, id long, document string")
+    got = {r.shard: r for r in sinks.packages(items, 270).collect()}
+    head = '{"schemaVersion":"1.0.0","artifactType":"region-package","regionId":"r","shardIndex":%d,"shardCount":2,"entities":['
+    documents = [head % 0 + ",".join(json.dumps({"id": i, "x": "y" * n}) for i, n in ((0, 40), (1, 50))) + "]}", head % 1 + json.dumps({"id": 2, "x": "y" * 30}) + "]}"]
+    assert {k: (r.n, r.bytes, r.hash) for k, r in got.items()} == {k: (2 - k, len(d), hashlib.sha256(d.encode()).hexdigest()) for k, d in enumerate(documents)}
+    with pytest.raises(ValueError, match="record 1 "):
+        sinks.packages(items, 180)
+
+
+def greedy(sizes, budget):
+    shard, used, held, out = 0, 0, 0, []
+    for b in sizes:
+        if held and used + b > budget:
+            shard, used, held = shard + 1, 0, 0
+        used, held = used + b, held + 1
+        out.append(shard)
+    return out
+
+
+def test_shards_are_those_of_the_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "ROWS", 150)
+    rng = random.Random(7)
+    one = [(None, i if i < 900 else 10**9 + i, rng.choice([0, 1, 5, 30, 99, 100, 101, 250])) for i in range(1_000)]  # clustered ids, one region of nearly all rows
+    few = [("s", i * i, rng.randrange(1, 60)) for i in range(40)]
+    got = {(r.region, r.id): (r.shard, r.oversized) for r in sinks.byte_shards(spark.createDataFrame(one + few, "region string, id long, bytes long"), 100).collect()}
+    for part in (one, few):
+        assert [got[r, i] for r, i, _ in part] == [(s, b > 100) for s, (_, _, b) in zip(greedy([b for *_, b in part], 100), part)]
+    assert sinks.byte_shards(spark.createDataFrame([], "region string, id long, bytes long"), 100).count() == 0
+
+
+def test_running_sums_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "ROWS", 20)
+    rows_ = [(k, i, (i * 7) % 5) for k in (None, "a", "b") for i in range(200 if k == "a" else 7)]
+    df = spark.createDataFrame(rows_, "k string, i long, x long")
+    got = {(r.k, r.i): (r.n, r.s) for r in ranges.running(df, ["k"], ["i"], n=F.lit(1), s=F.col("x")).collect()}
+    assert got == {(k, i): (i, sum((j * 7) % 5 for j in range(i))) for k, i, _ in rows_}
+    total = {r.i: r.n for r in ranges.running(df.where("k = 'a'"), [], [F.desc("i")], n=F.lit(1)).collect()}
+    assert total == {i: 199 - i for i in range(200)}
 
 
 def test_rests_are_spread(spark):

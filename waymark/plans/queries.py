@@ -149,6 +149,13 @@ def all_paths(t: Tables):
 PATHS = """e AS (SELECT a, b, CAST(floor(min(cost) * 1e3 + 5e-1) AS BIGINT) * 1000 + 1 AS w FROM {edges} GROUP BY a, b), best(source, node, far) USING KEY (source, node) AS (
     SELECT DISTINCT a, a, CAST(0 AS BIGINT) FROM e UNION SELECT x.source, x.node, x.far FROM (SELECT p.source, e.b AS node, min(p.far + e.w) AS far FROM best p JOIN e ON e.a = p.node GROUP BY p.source, e.b) x LEFT JOIN recurring.best r ON r.source = x.source AND r.node = x.node WHERE r.far IS NULL OR x.far < r.far),
     paths AS (SELECT source, node, far // 1000 AS cost, CAST(far % 1000 AS INT) AS hops FROM best)"""
+#: Greedy packing of i(region, id, bytes, room), one shard after the other.
+SHARDS = """w AS (SELECT region, id, bytes, room, row_number() OVER o - 1 AS n, sum(bytes) OVER o AS upto FROM i WINDOW o AS (PARTITION BY region ORDER BY id)),
+    s AS (SELECT region, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS shard FROM w WHERE n = 0
+      UNION ALL SELECT s.region, min(b.n), min(s.shard) + 1 FROM s JOIN w a ON a.region = s.region AND a.n = s.n JOIN w b ON b.region = s.region AND b.n > s.n AND b.upto - a.upto + a.bytes > a.room GROUP BY s.region),
+    packed AS (SELECT w.region, w.id, w.bytes, (SELECT max(s.shard) FROM s WHERE s.region = w.region AND s.n <= w.n) AS shard FROM w)"""
+HEAD = """'{{"schemaVersion":"1.0.0","artifactType":"region-package","regionId":' || region || ',"shardIndex":' || {0} || ',"shardCount":' || {1} || ',"entities":['"""
+PACKAGE_BYTES = 4_000
 LEGS = "SELECT * FROM (SELECT tour_id, node AS source, lead(node) OVER (PARTITION BY tour_id ORDER BY ord) AS node FROM {tour_nodes}) n WHERE node IS NOT NULL"
 
 
@@ -175,8 +182,17 @@ BUILT |= {
         lambda t: readers.graph_tables(graph_documents(t))[1],
         "SELECT CAST(floor(a / 32) AS BIGINT) AS graph, a, b, CASE WHEN b % 2 = 0 THEN 'road' ELSE 'connector' END AS kind FROM {edges}",
     ),
-    "sink_packages": (lambda t: sinks.packages(t.entities.where("action = 'publish'").selectExpr("nation AS region", "id", "floor(bytes) AS bytes"), 2_500_000), None),
-    "win_byte_shards": (lambda t: sinks.byte_shards(t.entities.selectExpr("nation AS region", "id", "floor(bytes) AS bytes"), 2_500_000), None),
+    "sink_packages": (
+        lambda t: sinks.packages(t.entities.where("action = 'publish'").select(F.col("nation").alias("region"), "id", F.to_json(F.struct("id", "name")).alias("document")), PACKAGE_BYTES),
+        f"""WITH RECURSIVE e AS (SELECT nation AS region, id, '{{"id":' || id || ',"name":"' || name || '"}}' AS document FROM {{entities}} WHERE action = 'publish'), h AS (SELECT region, count(*) AS most, {HEAD.format("count(*) - 1", "count(*)")} AS head FROM e GROUP BY region),
+          i AS (SELECT e.region, id, document, octet_length(encode(document)) + 1 AS bytes, {PACKAGE_BYTES} - octet_length(encode(head)) - 1 AS room FROM e JOIN h ON h.region = e.region), {SHARDS}, c AS (SELECT region, max(shard) + 1 AS shards FROM packed GROUP BY region),
+          d AS (SELECT region, shard, n, {HEAD.format("shard", "shards")} || document || ']}}' AS document FROM (SELECT p.region, p.shard, c.shards, count(*) AS n, string_agg(i.document, ',' ORDER BY i.id) AS document FROM packed p JOIN i ON i.region = p.region AND i.id = p.id JOIN c ON c.region = p.region GROUP BY ALL) g)
+          SELECT region, shard, n, sha256(document) AS hash, CAST(octet_length(encode(document)) AS BIGINT) AS bytes FROM d""",
+    ),
+    "win_byte_shards": (
+        lambda t: sinks.byte_shards(t.entities.selectExpr("nation AS region", "id", "floor(bytes) AS bytes"), 2_500_000),
+        f"WITH RECURSIVE i AS (SELECT nation AS region, id, CAST(floor(bytes) AS BIGINT) AS bytes, 2500000 AS room FROM {{entities}}), {SHARDS} SELECT region, id, bytes, shard, bytes > 2500000 AS oversized FROM packed",
+    ),
     "sink_tables": (lambda t: sinks.stable_table(t.edges, "a", "b"), "SELECT a, b, duration_s, distance_m, cost FROM {edges}"),
     "proj_search_document": (
         lambda t: t.entities.select("id", F.lower(F.concat_ws(" ", "name", "entity_type", "activity", "season")).alias("document")).withColumn("n_trigrams", F.size(columns.trigrams(F.col("document")))),

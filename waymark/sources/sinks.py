@@ -2,45 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions.ranges import running
 from waymark.functions.rounds import new_path, written
 
 
-def byte_shards(items: DataFrame, budget: int, chunk: int = 512) -> DataFrame:
-    """items(region, id, bytes): greedy packing in id order under a byte budget. Each region is first cut into ranges of
-    about `chunk` items by id, so a hot region is many folds; an item over the budget has a shard of its own, marked."""
-    span = items.groupBy("region").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
-    cut = items.join(span, "region")
-    part = F.floor((F.col("id") - F.col("low")) * F.ceil(F.col("n") / chunk) / (F.col("high") - F.col("low") + 1))
-    item = F.struct("id", F.col("bytes").cast("long").alias("bytes"))
-    folded = cut.groupBy("region", part.cast("long").alias("part")).agg(F.array_sort(F.collect_list(item)).alias("xs")).withColumn(
-        "state",
-        F.aggregate(
-            "xs",
-            F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("shard"), F.expr("cast(array() as array<struct<id:bigint,bytes:bigint,shard:int>>)").alias("out")),
-            lambda s, x: F.when(
-                (s["used"] > 0) & (s["used"] + x["bytes"] > budget),
-                F.struct(x["bytes"].alias("used"), (s["shard"] + 1).alias("shard"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), x["bytes"].alias("bytes"), (s["shard"] + 1).alias("shard")))).alias("out")),
-            ).otherwise(F.struct((s["used"] + x["bytes"]).alias("used"), s["shard"].alias("shard"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), x["bytes"].alias("bytes"), s["shard"].alias("shard")))).alias("out"))),
-        ),
-    )
-    return folded.select("region", "part", F.inline("state.out")).withColumn("oversized", F.col("bytes") > budget)
+def byte_shards(items: DataFrame, budget: int | Column) -> DataFrame:
+    """items(region, id, bytes), ids unique in a region, with shard and oversized: each shard takes items in order of id as
+    long as they fit in the budget (a number, or a column that is equal in a region); an item over it has a shard of its
+    own, marked.
+
+    Running byte sums give every item the first one that would not fit in a shard that begins with it. From each region's
+    first item these pointers lead from shard to shard; round by round they double, and the shards found so far find as
+    many more. So a region may be all rows, and ids may lie as they like."""
+    room = budget if isinstance(budget, Column) else F.lit(budget)
+    items = items.select("region", "id", F.col("bytes").cast("long").alias("bytes"), room.cast("long").alias("room"))
+    items = written(running(items, ["region"], ["id"], n=F.lit(1), begins=F.col("bytes")))
+    # item ends and budget ends on one line: how many items end before or where the budget of a shard from here does
+    ends = items.select("region", "n", (F.col("begins") + F.col("bytes")).alias("at"), F.lit(0).alias("kind"))
+    marks = ends.unionByName(items.select("region", "n", (F.col("begins") + F.col("room")).alias("at"), F.lit(1).alias("kind")))
+    told = running(marks, ["region"], ["at", "kind", "n"], ended=F.when(F.col("kind") == 0, 1).otherwise(0)).where("kind = 1")
+    pointers = written(told.select("region", "n", F.greatest("ended", F.col("n") + 1).alias("to")))
+    starts, step = written(items.where("n = 0").select("region", "n", F.lit(0).cast("long").alias("shard"))), 1
+    while True:
+        s, p = starts.alias("s"), pointers.alias("p")
+        more = written(s.join(p.hint("merge"), F.expr("s.region <=> p.region and s.n = p.n")).select("s.region", F.col("p.to").alias("n"), (F.col("s.shard") + step).alias("shard")))
+        if not more.limit(1).count():
+            break
+        starts = written(starts.unionByName(more))
+        q = pointers.alias("q")
+        pointers = written(p.join(q.hint("merge"), F.expr("p.region <=> q.region and p.to = q.n")).select("p.region", "p.n", "q.to"))
+        step *= 2
+    i, s = items.alias("i"), starts.select("region", "n").alias("s")
+    marked = i.join(s.hint("merge"), F.expr("i.region <=> s.region and i.n = s.n"), "left").select("i.*", F.col("s.n").isNotNull().cast("int").alias("new"))
+    out = running(marked, ["region"], ["n"], shards=F.col("new"))
+    return out.select("region", "id", "bytes", (F.col("shards") + F.col("new") - 1).alias("shard"), (F.col("bytes") > F.col("room")).alias("oversized"))
+
+
+def _head(index: str, count: str) -> Column:
+    """A package document up to its entities."""
+    known = F.to_json(F.struct(F.lit("1.0.0").alias("schemaVersion"), F.lit("region-package").alias("artifactType"), F.col("region").alias("regionId"), F.col(index).alias("shardIndex"), F.col(count).alias("shardCount")))
+    return F.concat(known.substr(F.lit(1), F.length(known) - 1), F.lit(',"entities":['))
 
 
 def packages(items: DataFrame, budget: int) -> DataFrame:
-    """Writes each shard of byte_shards(items) as a partition and returns a row for each: counts, bytes, the hash of the
-    package document, and that document's length. An item over the budget is an error, before anything is written."""
-    sharded = written(byte_shards(items, budget))
-    if (worst := sharded.where("oversized").select("region", "id", "bytes").limit(1).collect()) :
-        raise ValueError(f"item {worst[0].id} of region {worst[0].region} has {worst[0].bytes} bytes, over the budget of {budget}")
-    path = new_path(items.sparkSession)
-    sharded.repartition("region", "part").write.partitionBy("region").parquet(path)
-    back = items.sparkSession.read.schema(sharded.schema).parquet(path)
-    listed = back.groupBy("region", "part", "shard").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.array_sort(F.collect_list(F.struct("id", "bytes"))).alias("items"))
-    document = F.to_json(F.struct(F.lit("1.0.0").alias("schemaVersion"), "region", F.concat_ws("-", "part", "shard").alias("shard"), "items"))
-    return listed.select("region", "part", "shard", "n", "bytes", F.sha2(document, 256).alias("hash"), F.length(document).alias("document_bytes"))
+    """items(region, id, document): the records' JSON, packed in order of id into documents of at most budget bytes, their
+    own. Each document is written to its region's partition; returned are region, shard, n, hash (SHA-256), bytes. A record
+    that no document can hold is an error, before anything is written.
+
+    While packing, a document's head is taken as long as it can get: with as many shards as the region has records."""
+    total = items.groupBy("region").agg(F.count("*").alias("most")).alias("t")
+    sized = items.alias("i").join(total.hint("merge"), F.expr("i.region <=> t.region")).select("i.*", "most", (F.col("most") - 1).alias("last"))
+    room = F.lit(budget) - F.octet_length(_head("last", "most")) - 1  # without "]}" and with a comma that the last record lacks
+    sharded = written(byte_shards(sized.withColumns({"bytes": F.octet_length("document") + 1, "room": room}), F.col("room")))
+    if worst := sharded.where("oversized").select("region", "id", "bytes").limit(1).collect():
+        raise ValueError(f"record {worst[0].id} of region {worst[0].region} can't fit in a package of {budget} bytes")
+    s, i = sharded.alias("s"), items.alias("i")
+    held = s.join(i.hint("merge"), F.expr("s.region <=> i.region and s.id = i.id")).select("s.region", "s.shard", "s.id", "i.document")
+    counts = sharded.groupBy("region").agg((F.max("shard") + 1).alias("shards")).alias("c")
+    listed = held.groupBy("region", "shard").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", "document"))).alias("records")).alias("l")
+    told = listed.join(counts.hint("merge"), F.expr("l.region <=> c.region")).select("l.*", "shards")
+    document = F.concat(_head("shard", "shards"), F.array_join(F.transform("records", lambda r: r["document"]), ","), F.lit("]}"))
+    path, spark = new_path(items.sparkSession), items.sparkSession
+    made = told.select("region", "shard", "n", document.alias("document"))
+    made.write.partitionBy("region").parquet(path)
+    back = spark.read.schema(made.select("shard", "n", "document", "region").schema).parquet(path)
+    return back.select("region", "shard", "n", F.sha2("document", 256).alias("hash"), F.octet_length("document").cast("long").alias("bytes"))
 
 
 def stable_table(df: DataFrame, *order: str) -> DataFrame:

@@ -1,9 +1,11 @@
-"""Text search and evidence-aware ranking over entities, as column expressions and one candidate join."""
+"""Text search by an inverted index, and evidence-aware ranking over entities as column expressions."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,46 +41,122 @@ def _runs(text: Column, k: int) -> Column:
     return F.when(F.length(text) >= k, F.transform(at, lambda i: text.substr(i, F.lit(k)))).otherwise(F.array())
 
 
-def search(docs: DataFrame, queries: DataFrame, least: float = LEAST_RELEVANCE, most: int = 200) -> DataFrame:
-    """docs(id, title, name, text, activity, lat, lon) and queries(query_id, query, lat, lon, within_m, activity), name, text
-    and query in search form -> each query's documents by relevance, distance (none last) and title, `most` at most.
-
-    A document can only pass if it holds a word of the query, or if their trigrams' likeness passes least / 0.38; so a pair
-    is looked at only if the document holds the rarest run of three characters of one of the query's words (a shorter word
-    itself), or one of the query's rarest trigrams, as many as leave too few others. An empty query takes all documents,
-    each with relevance 1. A null activity or distance of a query filters nothing."""
-    d = written(docs.select("id", "title", "name", "text", "activity", "lat", "lon", trigrams(F.col("text")).alias("tri")))
-    q = written(queries.withColumn("trigrams", F.when(F.col("query") == "", F.array()).otherwise(trigrams(F.col("query")))))
-    word = F.explode(F.split("query", " ")).alias("word")
-    parts = F.when(F.length("word") < 3, F.array("word")).otherwise(_runs(F.col("word"), 3))
-    words = q.where("query <> ''").select("query_id", word).select("query_id", "word", F.explode(F.array_distinct(parts)).alias("gram"))
-    own = q.select("query_id", F.size("trigrams").alias("nq"), F.explode("trigrams").alias("gram"))
-    asked = written(words.select("gram").union(own.select("gram")).distinct())
-    # words of one or two characters have runs of their own length, made only where a query asks for them
-    short = [r.k for r in asked.select(F.length("gram").alias("k")).distinct().collect() if r.k < 3]  # at most two numbers
-    runs = F.concat("tri", *[F.array_distinct(_runs(F.col("text"), k)) for k in short]) if short else F.col("tri")
-    held = d.select("id", F.explode(runs).alias("gram"))
-    held = held.join(F.broadcast(asked) if asked.count() <= 100_000 else asked.hint("merge"), "gram", "left_semi")  # short strings
-    held = written(held)
-    seen = written(held.groupBy("gram").agg(F.count("*").alias("seen")))
-    rare = lambda df, *by: df.join(seen.hint("merge"), "gram", "left").withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.coalesce("seen", F.lit(0)), "gram")))
-    enough = F.ceil(F.col("nq") * (least / 0.38))
-    keys = rare(words, "query_id", "word").where("r = 1").select("query_id", "gram").union(rare(own, "query_id").where(F.col("r") <= F.col("nq") - enough + 1).select("query_id", "gram")).distinct()
-    pairs = written(keys).join(held.hint("merge"), "gram").select("query_id", "id").distinct()
-    pairs = written(pairs.union(_all_for_empty(q, d)))
-    met = pairs.join(q.hint("merge"), "query_id").withColumnsRenamed({"lat": "qlat", "lon": "qlon", "activity": "wanted"}).join(d.hint("merge"), "id")
-    shared = F.size(F.array_intersect("tri", "trigrams"))
-    score = F.when(F.col("query") == "", 1.0).otherwise(relevance(F.col("name"), F.col("text"), F.col("query"), shared, F.size("tri"), F.size("trigrams")))
-    met = met.withColumns({"relevance": rounded(score, 6), "distance_m": F.floor(_metres(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon")) + 0.5)})
-    fine = (F.col("wanted").isNull() | (F.col("activity") == F.col("wanted"))) & (F.col("within_m").isNull() | F.coalesce(F.col("distance_m") <= F.col("within_m"), F.lit(False))) & (F.col("relevance") >= least)
-    w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.asc_nulls_last("distance_m"), "title", "id")
-    return met.where(fine).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most).select("query_id", "rank", "id", "relevance", "distance_m")
-
-
-def _all_for_empty(q: DataFrame, d: DataFrame) -> DataFrame:
-    """(query_id, id) of empty queries with every document, by an equal key."""
-    key = F.lit("").alias("none")
-    return q.where("query = ''").select("query_id", key).join(d.select("id", key).hint("merge"), "none").select("query_id", "id")
+#: Documents of a block and queries that are counted together.
+BLOCK, CHUNK = 65_536, 256
+
+
+def _postings(key, docs):
+    """Of a block: for each trigram of the padded texts, and each run of one and two characters, the documents that have it;
+    under null each document's number of trigrams."""
+    held: dict[str, list[int]] = {}
+    sizes = np.zeros(docs.num_rows, np.int32)
+    for at, text in zip(docs.column("local").to_pylist(), docs.column("text").to_pylist()):
+        if text is None:
+            continue
+        padded = f"  {text}  "
+        grams = {padded[i : i + 3] for i in range(len(padded) - 2)}
+        sizes[at] = len(grams)
+        for gram in grams | set(text) | {text[i : i + 2] for i in range(len(text) - 1)}:
+            held.setdefault(gram, []).append(at)
+    return pa.table({"block": pa.array([key[0].as_py()] * (len(held) + 1), pa.int64()), "gram": [*held, None], "at": [*(np.array(v, np.int32).tobytes() for v in held.values()), sizes.tobytes()]})
+
+
+def _counted(least: float):
+    """Pairs of a query and a document of a block whose greatest possible relevance is enough, and passes the query's mark.
+
+    The trigrams in common are counted; a word, or the whole query, is taken to be held where all its runs are."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sizes = np.frombuffer(batch.column("sizes")[k].as_py(), np.int32)
+                asked: dict[int, dict] = {}
+                for p in batch.column("postings")[k].values.to_pylist():
+                    at = np.frombuffer(p["at"], np.int32)
+                    for u in p["uses"]:
+                        own = asked.setdefault(u["qn"], u | {"parts": {}})
+                        part = own["parts"].setdefault((u["kind"], u["word"]), [u["need"], []])
+                        part[1].append(at)
+                for qn, own in asked.items():
+                    counts = {key: (need, np.bincount(np.concatenate(lists), minlength=len(sizes))) for key, (need, lists) in own["parts"].items()}
+                    shared = counts.get((0, 0), (0, np.zeros(len(sizes), np.int64)))[1]
+                    words = sum((c == need for (kind, _), (need, c) in counts.items() if kind == 1), np.zeros(len(sizes), np.int64))
+                    may = words / own["words"] * 0.62 + shared / np.maximum(sizes + own["trigrams"] - shared, 1) * 0.38
+                    if (2, 0) in counts:
+                        may = np.where(counts[2, 0][1] == counts[2, 0][0], 1.0, may)
+                    may = may + 1e-6
+                    if own["mark"] is None:  # the best of the block only
+                        at = np.flatnonzero(may >= least)
+                        at = at[np.argsort(-may[at], kind="stable")[: own["most"]]]
+                    else:
+                        at = np.flatnonzero(may >= max(least, own["mark"]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), qn)), pa.array(np.full(len(at), batch.column("block")[k].as_py())), pa.array(at.astype(np.int32))], ["qn", "block", "local"])
+
+    return run
+
+
+class Index:
+    """An inverted index of docs(id, title, name, text, activity, lat, lon), name and text in search form, written in blocks."""
+
+    def __init__(self, docs: DataFrame):
+        d = written(docs.select("id", "title", "name", "text", "activity", "lat", "lon"))
+        self.blocks = max(1, -(-d.count() // BLOCK), int(d.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+        d = d.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(self.blocks)))
+        self.docs = written(d.withColumn("local", F.row_number().over(Window.partitionBy("block").orderBy("id", "title", "text")) - 1))
+        self.postings = written(self.docs.select("block", "local", "text").groupBy("block").applyInArrow(_postings, "block long, gram string, at binary"))
+
+    def candidates(self, q: DataFrame, least: float, most: int) -> DataFrame:
+        """(qn, block, local) of q(qn, query, mark): for a query without a mark the `most` of each block that may be most
+        relevant, else all that may be as relevant as the mark."""
+        q = q.withColumns({"trigrams": F.size(trigrams(F.col("query"))), "words": F.size(F.split("query", " ")), "chunk": F.pmod(F.xxhash64("qn"), F.lit(-(-q.count() // CHUNK)))})
+        runs = lambda x: F.array_distinct(F.when(F.length(x) < 3, F.array(x)).otherwise(_runs(x, 3)))
+        word = q.select("*", F.posexplode(F.split("query", " ")).alias("word", "said")).withColumn("grams", runs(F.col("said"))).drop("said")
+        parts = [(0, F.lit(0), trigrams(F.col("query")), q), (1, F.col("word"), F.col("grams"), word), (2, F.lit(0), runs(F.col("query")), q)]
+        uses = None
+        for kind, number, grams, df in parts:
+            made = df.select("chunk", F.explode(grams).alias("gram"), F.struct("qn", F.lit(kind).alias("kind"), number.cast("int").alias("word"), F.size(grams).alias("need"), "trigrams", "words", F.col("mark").cast("double").alias("mark"), F.lit(most).alias("most")).alias("use"))
+            uses = made if uses is None else uses.unionByName(made)
+        uses = written(uses.groupBy("chunk", "gram").agg(F.collect_list("use").alias("uses")))
+        met = uses.join(self.postings.where("gram is not null").hint("merge"), "gram").groupBy("chunk", "block").agg(F.collect_list(F.struct("at", "uses")).alias("postings"))
+        heads = self.postings.where("gram is null").select("block", F.col("at").alias("sizes"))
+        return written(met.join(heads.hint("merge"), "block").select("block", "sizes", "postings").mapInArrow(_counted(least), "qn long, block long, local int"))
+
+    def scored(self, q: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+        """(qn, id, title, relevance, distance_m) of the pairs that pass the query's filters."""
+        asked = q.withColumnsRenamed({"lat": "qlat", "lon": "qlon", "activity": "wanted"}).withColumn("asked", trigrams(F.col("query")))
+        met = pairs.join(self.docs.hint("merge"), ["block", "local"]).join(asked.hint("merge"), "qn")
+        held = trigrams(F.col("text"))
+        score = F.when(F.col("query") == "", 1.0).otherwise(relevance(F.col("name"), F.col("text"), F.col("query"), F.size(F.array_intersect(held, "asked")), F.size(held), F.size("asked")))
+        met = met.withColumns({"relevance": rounded(score, 6), "distance_m": F.floor(_metres(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon")) + 0.5)})
+        fine = (F.col("wanted").isNull() | (F.col("activity") == F.col("wanted"))) & (F.col("within_m").isNull() | F.coalesce(F.col("distance_m") <= F.col("within_m"), F.lit(False))) & (F.col("relevance") >= least)
+        return met.where(fine).select("qn", "query_id", "id", "title", "relevance", "distance_m")
+
+    def search(self, queries: DataFrame, least: float = LEAST_RELEVANCE, most: int | None = 200) -> DataFrame:
+        """queries(query_id, query, lat, lon, within_m, activity), the query in search form -> each query's documents by
+        relevance, distance (none last) and title, `most` at most (None: all).
+
+        First the documents of each block that may be most relevant are scored; the relevance of the last of the best
+        `most` of them marks what others must be able to reach, and only those are scored too. An empty query takes all
+        documents, each with relevance 1. A null activity or distance of a query filters nothing."""
+        q = written(queries.select("query_id", "query", "lat", "lon", "within_m", "activity").withColumn("qn", F.monotonically_increasing_id()))
+        full, empty = q.where("query <> ''"), q.where("query = ''")
+        order = Window.partitionBy("qn").orderBy(F.desc("relevance"), F.asc_nulls_last("distance_m"), "title", "id")
+        best = lambda df: df.withColumn("rank", F.row_number().over(order).cast("long")).where(F.lit(True) if most is None else F.col("rank") <= most)
+        marked = full.withColumn("mark", F.lit(least))
+        if most is not None and full.limit(1).count():
+            first = best(self.scored(q, self.candidates(full.withColumn("mark", F.lit(None).cast("double")), least, most), least))
+            marks = first.where(F.col("rank") == most).select("qn", F.col("relevance").alias("mark"))
+            marked = written(full.join(marks.hint("merge"), "qn", "left").withColumn("mark", F.coalesce("mark", F.lit(least))))
+        every = empty.select("qn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.blocks - 1).cast("long"))).alias("block")).join(self.docs.select("block", "local").hint("merge"), "block")
+        pairs = every.select("qn", "block", "local")
+        if marked.limit(1).count():
+            pairs = self.candidates(marked, least, 0).unionByName(pairs)
+        return best(self.scored(q, pairs, least)).select("query_id", "rank", "id", "relevance", "distance_m")
+
+
+def search(docs: DataFrame, queries: DataFrame, least: float = LEAST_RELEVANCE, most: int | None = 200) -> DataFrame:
+    """Index(docs).search(queries)."""
+    return Index(docs).search(queries, least, most)
 
 
 @dataclass(frozen=True)

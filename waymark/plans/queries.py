@@ -41,7 +41,7 @@ def text_relevance(t: Tables):
     names = t.places.select(F.col("name").alias("id"), F.col("name").alias("title"), "name", F.col("name").alias("text"), F.lit(None).cast("string").alias("activity"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon")).distinct()
     query = F.concat_ws(" ", F.element_at(F.split("name", " "), -1), F.lit("red"))
     asked = t.places.select(query.alias("query_id"), query.alias("query"), *[F.lit(None).cast("double").alias(c) for c in ("lat", "lon", "within_m")], F.lit(None).cast("string").alias("activity")).distinct()
-    return search.search(names, asked, most=1 << 30).select(F.col("query_id").alias("query"), F.col("id").alias("name"), F.col("relevance").alias("score"))
+    return search.search(names, asked, most=None).select(F.col("query_id").alias("query"), F.col("id").alias("name"), F.col("relevance").alias("score"))
 
 
 def _snapped_tours(t: Tables):

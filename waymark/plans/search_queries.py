@@ -31,7 +31,7 @@ SEARCH = f"""WITH d AS (SELECT *, {GRAMS.format('text')} AS dt FROM {{search_doc
 
 
 def discovered(t):
-    found = search.search(t.search_documents, t.search_queries.where("query_id = 0").withColumns({"within_m": F.lit(None).cast("double"), "activity": F.lit(None).cast("string")}), most=1 << 30)
+    found = search.search(t.search_documents, t.search_queries.where("query_id = 0").withColumns({"within_m": F.lit(None).cast("double"), "activity": F.lit(None).cast("string")}), most=None)
     return search.discover(t.finds, found, WISH, interest="lake", minutes=400.0).select("id", "blended", "score", "relevance")
 
 

@@ -108,7 +108,8 @@ BUILT = {
     "status_hint_extract": (lambda t: feeds.hints(t.notes), "SELECT id, kind, day, month, CASE WHEN style IN (1, 2) THEN year END AS year FROM {notes} WHERE kind <> 'none'"),
     "join_alias_alerts": (
         lambda t: feeds.alias_alerts(t.alerts, t.named_passes),
-        """WITH part AS (SELECT 'a' AS who, id, elev, unnest(string_split(name, '/')) AS p FROM {alerts} UNION ALL SELECT 'p', id, elev, unnest(string_split(name, '/')) FROM {named_passes}), plain AS (SELECT who, id, elev, trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g')) AS p FROM part), form AS (SELECT * FROM plain UNION SELECT who, id, elev, regexp_replace(p, ' (pass|col|joch|passo|furka|sattel)$', '') FROM plain)
+        """WITH named AS (SELECT 'a' AS who, id, elev, lower(strip_accents(name)) AS name FROM {alerts} UNION ALL SELECT 'p', id, elev, lower(strip_accents(name)) FROM {named_passes}), part AS (SELECT who, id, elev, unnest(list_append(regexp_split_to_array(name, '\\s*/\\s*|\\s+-\\s+'), name)) AS p FROM named),
+          plain AS (SELECT who, id, elev, regexp_replace(p, '[^a-z0-9]+', '', 'g') AS p FROM part), form AS (SELECT * FROM plain UNION SELECT who, id, elev, p[:length(p) - length(e)] FROM plain, unnest(['pass', 'joch', 'sattel', 'strasse', 'hohenstrasse', 'panoramastrasse', 'alpenstrasse', 'gipfelstrasse']) u(e) WHERE ends_with(p, e) AND length(p) > length(e) + 2)
           SELECT id, pass_id, gap FROM (SELECT a.id, b.id AS pass_id, CAST(coalesce(abs(a.elev - b.elev), 0) AS BIGINT) AS gap, row_number() OVER (PARTITION BY a.id ORDER BY coalesce(abs(a.elev - b.elev), 0), b.id) AS r FROM form a JOIN form b ON a.who = 'a' AND b.who = 'p' AND a.p = b.p AND a.p <> '') k WHERE r = 1 AND gap <= 200""",
     ),
     "join_asof_weather": (

@@ -138,7 +138,7 @@ ADAPTERS = {
         FROM (SELECT id, CAST(1 + id % 28 AS INT) AS day, CAST(1 + id % 12 AS INT) AS month, CAST(2020 + id % 5 AS INT) AS year, id % 4 AS style, CASE id % 5 WHEN 0 THEN 'predicted' WHEN 1 THEN 'open-from' WHEN 2 THEN 'closed-until' WHEN 3 THEN 'open-from' ELSE 'none' END AS kind,
             CASE id % 12 WHEN 0 THEN 'January' WHEN 1 THEN 'Feb' WHEN 2 THEN 'March' WHEN 3 THEN 'April' WHEN 4 THEN 'May' WHEN 5 THEN 'June' WHEN 6 THEN 'July' WHEN 7 THEN 'August' WHEN 8 THEN 'Sept' WHEN 9 THEN 'October' WHEN 10 THEN 'November' ELSE 'Dec' END AS en, CASE id % 12 WHEN 0 THEN 'Januar' WHEN 1 THEN 'Februar' WHEN 2 THEN 'März' WHEN 3 THEN 'April' WHEN 4 THEN 'Mai' WHEN 5 THEN 'Juni' WHEN 6 THEN 'Juli' WHEN 7 THEN 'August' WHEN 8 THEN 'September' WHEN 9 THEN 'Oktober' WHEN 10 THEN 'November' ELSE 'Dezember' END AS de FROM {statuses}) s""",
     "named_passes": "SELECT id, elev, CASE id % 4 WHEN 0 THEN 'Alpha ' || CAST(id % 40 AS STRING) || ' Pass / Beta ' || CAST(id AS STRING) WHEN 1 THEN 'Col Gamma ' || CAST(id % 25 AS STRING) ELSE 'Delta-' || CAST(id % 30 AS STRING) || ' Joch' END AS name FROM {passes}",
-    "alerts": "SELECT user_id AS id, CASE user_id % 3 WHEN 0 THEN 'ALPHA ' || CAST(user_id % 44 AS STRING) WHEN 1 THEN 'col gamma ' || CAST(user_id % 25 AS STRING) || ' col' ELSE 'Nothing/Delta ' || CAST(user_id % 33 AS STRING) || ' pass' END AS name, CASE WHEN user_id % 7 = 0 THEN NULL ELSE 800 + (user_id * 37) % 2200 END AS elev FROM {users}",
+    "alerts": "SELECT user_id AS id, CASE user_id % 3 WHEN 0 THEN 'ALPHA ' || CAST(user_id % 44 AS STRING) WHEN 1 THEN 'Còl Gamma ' || CAST(user_id % 25 AS STRING) || ' - East' ELSE 'Nothing/Delta ' || CAST(user_id % 33 AS STRING) || ' pass' END AS name, CASE WHEN user_id % 7 = 0 THEN NULL ELSE 800 + (user_id * 37) % 2200 END AS elev FROM {users}",
     "etas": "SELECT id, pass_id, CAST(floor(EPOCH_US(ts) / 1e6) AS BIGINT) AS at_s FROM {statuses} WHERE state = 'open'",
     "forecasts": "SELECT pass_id, hour_s, CAST(max(code) AS INT) AS code FROM (SELECT pass_id, CAST(floor(EPOCH_US(ts) / 36e8) AS BIGINT) * 3600 AS hour_s, id % 100 AS code FROM {statuses} WHERE state <> 'open') s GROUP BY pass_id, hour_s",
     "history": "SELECT pass_id, CAST(EXTRACT(YEAR FROM day) AS INT) AS year, min(CASE WHEN EXTRACT(MONTH FROM day) < 7 THEN day END) AS open, max(CASE WHEN EXTRACT(MONTH FROM day) >= 7 THEN day END) AS close FROM {stops} WHERE place_id % 20 = 0 GROUP BY pass_id, CAST(EXTRACT(YEAR FROM day) AS INT)",

@@ -37,6 +37,8 @@ from waymark.llm.common import Scratch, spare, table, width
 MIN_WORDS = 10
 #: Lines that travel with a suffix; lines compared in the first round where more are equal, and the factor to the next.
 AHEAD, SLICE, MORE = 4, 64, 16
+#: Suffixes of a range, on average; a range is held in one task.
+RANGE_ROWS = 1_000_000
 #: A place is the document's number in order, and the line below these bits; a text with more lines than they hold raises.
 LINE_BITS = 24
 
@@ -355,7 +357,9 @@ def removed(scratch: Scratch, docs: DataFrame, least: int = MIN_WORDS) -> DataFr
     order = _before(scratch, placed, by, parts, order="one").select("row", F.col("order").cast("long").alias("order"))
     ranked = final.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "rank"))).alias("xs"))
     suffixes = ranked.join(lines.select("row", "r").hint("merge"), "row").join(order.hint("merge"), "row").mapInArrow(_suffixes, SUFFIX)
-    ranged = scratch.write(suffixes).repartitionByRange(parts, "rank", "place").sortWithinPartitions("rank", "place").withColumn("part", F.spark_partition_id())
+    every_suffix = scratch.write(suffixes)
+    ranges = max(parts, -(-every_suffix.count() // RANGE_ROWS))
+    ranged = every_suffix.repartitionByRange(ranges, "rank", "place").sortWithinPartitions("rank", "place").withColumn("part", F.spark_partition_id())
     near = scratch.write(ranged.mapInArrow(_neighbours, NEIGHBOUR))
     # the first of each range and the last of the one above it: a row for each range
     carried = F.struct("row", "i", "rank", "rest", "prev", "ahead")

@@ -16,7 +16,7 @@ place, so they do not depend on partitioning.
 Decoding joins the pieces; it gives back the text exactly, whatever its characters.
 
 Null and empty texts have one path, of no pieces. Texts with fewer paths than asked give those they have, each with
-inclusion 1. A null key is a key of its own; repeated rows get the same paths. Extra columns are ignored.
+inclusion 1. A null key draws as key -1 does; repeated rows get the same paths. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -43,6 +43,8 @@ def _runs(text: Column, k: int) -> Column:
 
 #: Documents of a block and queries that are counted together.
 BLOCK, CHUNK = 65_536, 256
+#: So many queries, short strings, are broadcast.
+FEW = 50_000
 
 
 def _postings(key, docs):
@@ -90,7 +92,7 @@ def _counted(least: float):
                         at = at[np.argsort(-may[at], kind="stable")[: own["most"]]]
                     else:
                         at = np.flatnonzero(may >= max(least, own["mark"]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), qn)), pa.array(np.full(len(at), batch.column("block")[k].as_py())), pa.array(at.astype(np.int32))], ["qn", "block", "local"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), qn)), pa.array(np.full(len(at), batch.column("block")[k].as_py())), pa.array(at.astype(np.int32)), pa.array(shared[at].astype(np.int32)), pa.array(sizes[at])], ["qn", "block", "local", "shared", "held"])
 
     return run
 
@@ -100,13 +102,13 @@ class Index:
 
     def __init__(self, docs: DataFrame):
         d = written(docs.select("id", "title", "name", "text", "activity", "lat", "lon"))
-        self.blocks = max(1, -(-d.count() // BLOCK), int(d.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+        self.blocks = max(-(-d.count() // BLOCK), 4 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
         d = d.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(self.blocks)))
         self.docs = written(d.withColumn("local", F.row_number().over(Window.partitionBy("block").orderBy("id", "title", "text")) - 1))
         self.postings = written(self.docs.select("block", "local", "text").groupBy("block").applyInArrow(_postings, "block long, gram string, at binary"))
 
     def candidates(self, q: DataFrame, least: float, most: int) -> DataFrame:
-        """(qn, block, local) of q(qn, query, mark): for a query without a mark the `most` of each block that may be most
+        """(qn, block, local, shared, held: trigrams in common and of the document) of q(qn, query, mark): for a query without a mark the `most` of each block that may be most
         relevant, else all that may be as relevant as the mark."""
         q = q.withColumns({"trigrams": F.size(trigrams(F.col("query"))), "words": F.size(F.split("query", " ")), "chunk": F.pmod(F.xxhash64("qn"), F.lit(-(-q.count() // CHUNK)))})
         runs = lambda x: F.array_distinct(F.when(F.length(x) < 3, F.array(x)).otherwise(_runs(x, 3)))
@@ -119,14 +121,13 @@ class Index:
         uses = written(uses.groupBy("chunk", "gram").agg(F.collect_list("use").alias("uses")))
         met = uses.join(self.postings.where("gram is not null").hint("merge"), "gram").groupBy("chunk", "block").agg(F.collect_list(F.struct("at", "uses")).alias("postings"))
         heads = self.postings.where("gram is null").select("block", F.col("at").alias("sizes"))
-        return written(met.join(heads.hint("merge"), "block").select("block", "sizes", "postings").mapInArrow(_counted(least), "qn long, block long, local int"))
+        return written(met.join(heads.hint("merge"), "block").select("block", "sizes", "postings").mapInArrow(_counted(least), "qn long, block long, local int, shared int, held int"))
 
     def scored(self, q: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
         """(qn, id, title, relevance, distance_m) of the pairs that pass the query's filters."""
-        asked = q.withColumnsRenamed({"lat": "qlat", "lon": "qlon", "activity": "wanted"}).withColumn("asked", trigrams(F.col("query")))
-        met = pairs.join(self.docs.hint("merge"), ["block", "local"]).join(asked.hint("merge"), "qn")
-        held = trigrams(F.col("text"))
-        score = F.when(F.col("query") == "", 1.0).otherwise(relevance(F.col("name"), F.col("text"), F.col("query"), F.size(F.array_intersect(held, "asked")), F.size(held), F.size("asked")))
+        asked = q.withColumnsRenamed({"lat": "qlat", "lon": "qlon", "activity": "wanted"}).withColumn("asked", F.size(trigrams(F.col("query"))))
+        met = pairs.join(self.docs.hint("merge"), ["block", "local"]).join(F.broadcast(asked) if q.count() <= FEW else asked.hint("merge"), "qn")
+        score = F.when(F.col("query") == "", 1.0).otherwise(relevance(F.col("name"), F.col("text"), F.col("query"), F.col("shared"), F.col("held"), F.col("asked")))
         met = met.withColumns({"relevance": rounded(score, 6), "distance_m": F.floor(_metres(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon")) + 0.5)})
         fine = (F.col("wanted").isNull() | (F.col("activity") == F.col("wanted"))) & (F.col("within_m").isNull() | F.coalesce(F.col("distance_m") <= F.col("within_m"), F.lit(False))) & (F.col("relevance") >= least)
         return met.where(fine).select("qn", "query_id", "id", "title", "relevance", "distance_m")
@@ -148,7 +149,7 @@ class Index:
             marks = first.where(F.col("rank") == most).select("qn", F.col("relevance").alias("mark"))
             marked = written(full.join(marks.hint("merge"), "qn", "left").withColumn("mark", F.coalesce("mark", F.lit(least))))
         every = empty.select("qn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.blocks - 1).cast("long"))).alias("block")).join(self.docs.select("block", "local").hint("merge"), "block")
-        pairs = every.select("qn", "block", "local")
+        pairs = every.select("qn", "block", "local", F.lit(0).alias("shared"), F.lit(0).alias("held"))
         if marked.limit(1).count():
             pairs = self.candidates(marked, least, 0).unionByName(pairs)
         return best(self.scored(q, pairs, least)).select("query_id", "rank", "id", "relevance", "distance_m")

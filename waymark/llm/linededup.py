@@ -42,12 +42,14 @@ RANGE_ROWS = 1_000_000
 #: A place is the document's number in order, and the line below these bits; a text with more lines than they hold raises.
 LINE_BITS = 24
 
+#: Documents that are cut into lines at once.
+SOME = 500
 LINES = "row long, doc_id long, lines array<int>, words array<int>, a array<long>, b array<long>"
 
 
 def _lines(batches):
     """Of each document with words: the numbers, words and 128-bit hashes of its lines."""
-    for batch in batches:
+    for batch in (whole.slice(a, SOME) for whole in batches for a in range(0, whole.num_rows, SOME)):
         cols: list[list] = [[] for _ in range(6)]
         for row, doc, text in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("row", "doc_id", "text"))):
             found = [(at, x.strip(), n) for at, x in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")) if (n := len(x.split()))]

@@ -394,8 +394,6 @@ def test_shortest_paths_components_and_closure(spark):
     assert rows(graph.shortest_paths(e, src), "node", "cost", "hops") == [(1, 0, 0), (2, 1000, 1), (3, 2000, 2)]
     assert rows(graph.components(e), "node", "root") == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
     assert rows(graph.reachable(e, spark.createDataFrame([(2,)], "node long")), "node") == [(1,), (2,), (3,)]
-    r = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 9), (5, 4), (6, 6)], "id long, ref long")
-    assert rows(graph.reference_closure(r), "id") == [(1,), (2,), (3,), (6,)]
 
 
 def test_byte_shards_respect_the_budget(spark):
@@ -547,3 +545,36 @@ def test_streamed_breaks_against_plain_rules(spark, tmp_path):
                 want.append((key, number, event))
                 total, since = 0.0, 0
     assert got == sorted(want) and len(want) > 20
+
+
+def test_withheld_records_take_those_that_ask_for_them(spark):
+    records = spark.createDataFrame([(i, i in (20, 21, 22)) for i in [*range(1, 10), 20, 21, 22, 23, 30, 31, 32, 40, 41]] + [(1, False), (None, False)], "id long, coarsened boolean")
+    references = [(2, 1), (3, 2), (3, 1), (4, 99), (5, 4), (5, 1), (6, 5), (7, 7), (8, None)]
+    references += [(21, 20), (23, 20)]  # only what is coarsened itself may ask for what is coarsened
+    references += [(30, 31), (31, 32), (32, 30)]  # a ring stays
+    references += [(40, 41), (41, 40), (41, 6)]  # unless something takes one of it
+    got = graph.reference_closure(records, spark.createDataFrame(references, "id long, ref long"))
+    assert rows(got, "id") == [(i,) for i in (1, 2, 3, 7, 8, 9, 20, 21, 22, 30, 31, 32)]
+    assert graph.reference_closure(records.limit(0), spark.createDataFrame(references, "id long, ref long")).count() == 0
+
+
+def test_a_chain_of_withheld_records(spark):
+    n = 30
+    records = spark.range(n).selectExpr("id", "false AS coarsened")
+    chain = spark.range(1, n).selectExpr("id", "id - 1 AS ref")
+    assert graph.reference_closure(records, chain).count() == n
+    assert graph.reference_closure(records.where("id > 0"), chain).count() == 0
+
+
+def test_pairs_of_places_are_told_apart(spark):
+    stops = spark.createDataFrame([(1, i, p, i) for i, p in enumerate([1, 2_000_001, 2, 1_000_001])] + [(2, i, p, 5) for i, p in enumerate([1, 2, 1, 2])], "tour_id long, ord int, place_id long, pass_id long")
+    assert rows(routes.agg_retrace_counts(stops=stops), "tour_id", "retraced", "out_and_back") == [(1, 0, 0), (2, 2, 2)]
+
+
+def test_positions_when_all_keys_are_equal(spark, monkeypatch):
+    from waymark.operators import discovery
+
+    monkeypatch.setattr(ranges, "ROWS", 30)
+    passes = spark.range(100).selectExpr("id", "'same' AS name", "2000 AS elev", "0.5D AS quality", "cast(null as int) AS closes", "1 AS nation", "false AS seasonal", "7.0D AS metres")
+    got = discovery.list_positions(passes).groupBy("id").agg(F.min("position").alias("a"), F.max("position").alias("b"), F.count("*").alias("n"))
+    assert rows(got, "id", "a", "b", "n") == [(i, i + 1, i + 1, 7) for i in range(100)]

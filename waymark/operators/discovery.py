@@ -1,5 +1,9 @@
 """Search, evidence-aware ranking, intent and list orders."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from waymark.functions.ranges import running
 from waymark.functions.sql import clamp, haversine_atan2, js_round
 from waymark.operators import define
 
@@ -73,19 +77,25 @@ agg_photo_sample = define(
     "SELECT p.category, p.id FROM (SELECT category, id, substr(name, 1, 3) AS cell, row_number() OVER (PARTITION BY category, substr(name, 1, 3) ORDER BY name, id) AS r FROM {places}) p JOIN (SELECT category, substr(name, 1, 3) AS cell, sum(count(*)) OVER (PARTITION BY category ORDER BY substr(name, 1, 3)) - count(*) AS before FROM {places} GROUP BY category, substr(name, 1, 3)) b ON b.category = p.category AND b.cell = p.cell WHERE (b.before + p.r) % 10 = 1",
 )
 
-proj_rank_poi_ids = define(
-    "proj_rank_poi_ids", "Score-ordered ordinal ids over all places: counted by score, then ranked within it.",
-    """SELECT p.id, CAST(b.before + row_number() OVER (PARTITION BY p.score ORDER BY p.name, p.id) AS BIGINT) AS ordinal FROM {places} p JOIN (SELECT score, sum(count(*)) OVER (ORDER BY score DESC) - count(*) AS before FROM {places} GROUP BY score) b ON b.score = p.score""",
-)
 
-#: Orders of pass lists, each with ties by id: column expressions over passes(name, elev, quality, closes, nation, metres).
+
+def rank_poi_ids(places: DataFrame) -> DataFrame:
+    """places(id, name, score) with their ordinal by falling score, then name, over all; ties by id."""
+    ranked = running(places.select("id", "name", "score"), [], [F.desc("score"), "name", "id"], before=F.lit(1))
+    return ranked.select("id", (F.col("before") + 1).alias("ordinal"))
+
+
+#: Orders of pass lists, each with ties by id: over passes(name, elev, quality, closes, nation, seasonal, metres).
 ORDERS = {"name": "name", "elevation": "-elev", "quality": "-quality", "category": "CASE WHEN seasonal THEN 1 ELSE 0 END", "region": "nation", "distance": "metres", "status": "CASE WHEN closes IS NULL THEN 0 ELSE 1 END"}
 
-top_list_sort = define(
-    "top_list_sort", "The places of passes in each of seven list orders, ties by id: counted by range of the key first and ranked within it.",
-    "SELECT o.how, o.id, CAST(b.before + row_number() OVER (PARTITION BY o.how, o.cell ORDER BY o.k, o.t, o.id) AS BIGINT) AS position FROM (KEYED) o JOIN (SELECT how, cell, sum(count(*)) OVER (PARTITION BY how ORDER BY cell) - count(*) AS before FROM (KEYED) k GROUP BY how, cell) b ON b.how = o.how AND b.cell = o.cell".replace(
-        "KEYED", " UNION ALL ".join(f"SELECT '{how}' AS how, id, {'0e0' if how == 'name' else f'CAST({k} AS DOUBLE)'} AS k, {k if how == 'name' else chr(39) * 2} AS t, {'CAST(ascii(substr(name, length(name), 1)) * 0 AS DOUBLE)' if how == 'name' else f'floor(CAST({k} AS DOUBLE) * 2)'} AS cell FROM {{ranked_passes}}" for how, k in ORDERS.items())),
-)
+
+def list_positions(passes: DataFrame) -> DataFrame:
+    """The places of passes in each of seven list orders. Ranges of (order, key, id) count their rows, so that no task sorts
+    a whole list, even one in which all keys are equal."""
+    keys = [F.struct(F.lit(how).alias("how"), (F.lit(0.0) if how == "name" else F.expr(key).cast("double")).alias("k"), (F.col("name") if how == "name" else F.lit("")).alias("t")) for how, key in ORDERS.items()]
+    keyed = passes.select("id", F.explode(F.array(*keys)).alias("x")).select("id", "x.*")
+    return running(keyed, ["how"], ["k", "t", "id"], before=F.lit(1)).select("how", "id", (F.col("before") + 1).alias("position"))
+
 
 top_pass_priority = define(
     "top_pass_priority", "Nodes within a cap: all junctions, then the best places up to their share, then the best passes in what is left; counted first, so that no task sorts all nodes.",

@@ -184,8 +184,9 @@ def segment_density(places: DataFrame, segments: DataFrame, track: DataFrame, re
     return km.join(near, ["tour_id", "segment"], "left").select("tour_id", "segment", n.alias("places"), rounded(n / F.col("km"), 3).alias("density"))
 
 
+#: Categories of places.
 COFFEE, FOOD = ("cafe", "coffee"), ("restaurant", "food", "food-drink", "cafe-bistro", "restaurant-cafe")
-VIEW, PARK = ("viewpoint", "panoramic-view", "scenic", "hidden-gem", "mountain-summit"), ("playground", "park", "picnic")
+VIEW, PARK = ("viewpoint", "viewpoints", "viewpoint-panorama", "panoramic-view", "scenic", "hidden-gem", "mountain-summit"), ("playground", "park", "picnic")
 FUEL, TOWN = ("fuel", "gas", "petrol", "charging"), ("settlement", "village", "valley")
 LIKES = {"family": ("playground", "restaurant", "picnic", "park"), "motorcyclist": ("viewpoint", "panoramic-view", "drivers-road"), "gourmet": COFFEE + FOOD}
 

@@ -91,15 +91,25 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components still change after {rounds} rounds")
 
 
-def reference_closure(records: DataFrame, rounds: int = 200) -> DataFrame:
-    """records(id, ref): drops records whose required reference is gone, again and again until nothing changes. Which
-    records remain does not depend on the order."""
-    kept = written(records.select("id", "ref"))
-    n = kept.count()
+def reference_closure(records: DataFrame, references: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """records(id, coarsened) that may be delivered, given their required references(id, ref): each must be delivered too,
+    and none may be coarsened unless the record is itself. A record that loses one is withheld, and so on.
+
+    What is withheld is peeled off: each round looks only at the records that were withheld in the round before and takes
+    the references to them, so each reference is read once as part of a frontier. Records of a ring of references stay if
+    nothing else takes them. Null references ask for nothing; null ids are not delivered; repeated rows count once."""
+    held = written(records.where("id is not null").groupBy("id").agg(F.max(F.coalesce("coarsened", F.lit(False))).alias("coarsened")))
+    asked = references.where("id is not null and ref is not null").select("id", "ref").distinct()
+    own = asked.join(held.hint("merge"), "id")
+    to = held.select(F.col("id").alias("ref"), F.col("coarsened").alias("ref_coarsened"))
+    edges = written(own.join(to.hint("merge"), "ref", "left").select("id", "ref", (F.col("ref_coarsened").isNull() | (F.col("ref_coarsened") & ~F.col("coarsened"))).alias("unsafe")))
+    frontier = written(edges.where("unsafe").select("id").distinct())
+    gone = frontier
+    edges = written(edges.groupBy("id", "ref").agg(F.max("unsafe").alias("unsafe")).where("not unsafe and id <> ref").select("id", "ref"))
     for _ in range(rounds):
-        kept = written(kept.join(kept.select(F.col("id").alias("ref")).distinct(), "ref", "left_semi").select("id", "ref").unionByName(kept.where("ref is null")))
-        now = kept.count()
-        if now == n:
-            return kept
-        n = now
-    raise RuntimeError(f"records still drop after {rounds} rounds")
+        if not frontier.limit(1).count():
+            return held.join(gone.hint("merge"), "id", "left_anti")
+        told = edges.join(frontier.select(F.col("id").alias("ref")).hint("merge"), "ref", "left_semi").select("id").distinct()
+        frontier = written(told.join(gone.hint("merge"), "id", "left_anti"))
+        gone = gone.unionByName(frontier)
+    raise RuntimeError(f"records are still withheld after {rounds} rounds")

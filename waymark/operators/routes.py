@@ -88,11 +88,11 @@ agg_itinerary_totals = define("agg_itinerary_totals", "Distance and time of each
 
 agg_budget_fit = define("agg_budget_fit", "Used and remaining budget, ratio, and whether it is within the target.", f"SELECT tour_id, {js_round('sum(duration_s) / 3600', 1000)} AS used_h, {js_round('8e0 - sum(duration_s) / 3600', 1000)} AS left_h, sum(duration_s) <= 28800 AS within, abs(sum(duration_s) - 7200) <= 1800 AS in_range FROM {{stops}} GROUP BY tour_id")
 
-agg_tour_score = define("agg_tour_score", "Weighted score of each tour from its sums.", f"SELECT tour_id, {js_round('sum(scenic) * 12e-1 + count(DISTINCT place_id) * 5e-1 - sum(duration_s) / 36e2 * 3e-1 - (count(*) - count(DISTINCT pass_id)) * 75e-2', 1000)} AS score FROM {{stops}} GROUP BY tour_id")
+agg_tour_score = define("agg_tour_score", "Weighted score of each tour from its sums.", f"SELECT tour_id, {js_round('sum(CAST(floor(scenic * 1e6 + 5e-1) AS BIGINT)) / 1e6 * 12e-1 + count(DISTINCT place_id) * 5e-1 - sum(duration_s) / 36e2 * 3e-1 - (count(*) - count(DISTINCT pass_id)) * 75e-2', 1000)} AS score FROM {{stops}} GROUP BY tour_id")
 
 agg_retrace_counts = define(
     "agg_retrace_counts", "Connectors used again in either direction, and stops left by the side they were entered.",
-    """SELECT tour_id, count(*) - count(DISTINCT pair) AS retraced, count_if(pass_id = before) AS out_and_back FROM (SELECT tour_id, least(place_id, nxt) * 1000000 + greatest(place_id, nxt) AS pair, pass_id, before FROM (SELECT tour_id, place_id, pass_id, lead(place_id) OVER w AS nxt, lag(pass_id) OVER w AS before FROM {stops} WINDOW w AS (PARTITION BY tour_id ORDER BY ord)) l WHERE nxt IS NOT NULL) p GROUP BY tour_id""",
+    """SELECT tour_id, CAST(sum(n) - count(*) AS BIGINT) AS retraced, CAST(sum(back) AS BIGINT) AS out_and_back FROM (SELECT tour_id, least(place_id, nxt) AS a, greatest(place_id, nxt) AS b, count(*) AS n, count_if(pass_id = before) AS back FROM (SELECT tour_id, place_id, pass_id, lead(place_id) OVER w AS nxt, lag(pass_id) OVER w AS before FROM {stops} WINDOW w AS (PARTITION BY tour_id ORDER BY ord)) l WHERE nxt IS NOT NULL GROUP BY tour_id, least(place_id, nxt), greatest(place_id, nxt)) p GROUP BY tour_id""",
 )
 
 agg_extras = define("agg_extras", "Stop, lunch and rest hours of each tour.", f"SELECT tour_id, {js_round('count(*) * 15 / 60e0', 1000)} AS stop_h, CASE WHEN sum(duration_s) > 14400 THEN 1e0 ELSE 0e0 END AS lunch_h, CAST(greatest(0, ceil(sum(duration_s) / 7200e0) - 1) AS DOUBLE) * 25e-2 AS rest_h FROM {{stops}} GROUP BY tour_id")

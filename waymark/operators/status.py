@@ -27,7 +27,7 @@ history_status = define(
     f"SELECT id, CAST(m AS BIGINT) AS month, CASE WHEN open_day <= close_day THEN (m - 1) * 30 + 1 BETWEEN open_day AND close_day ELSE (m - 1) * 30 + 1 >= open_day OR (m - 1) * 30 + 1 <= close_day END AS is_open FROM {PASS_MONTHS} p WHERE open_day IS NOT NULL",
 )
 
-LATEST = "(SELECT pass_id, max_by(state, EPOCH_US(ts) * 1000 + id % 1000) AS state, max_by(source, EPOCH_US(ts) * 1000 + id % 1000) AS source, max(EPOCH_US(ts)) AS seen FROM {statuses} GROUP BY pass_id)"
+LATEST = "(SELECT pass_id, max_by(state, ARR(EPOCH_US(ts), id)) AS state, max_by(source, ARR(EPOCH_US(ts), id)) AS source, max(EPOCH_US(ts)) AS seen FROM {statuses} GROUP BY pass_id)"
 
 join_status_precedence = define(
     "join_status_precedence", "Live status over alert over history (only over estimates) over rule over elevation.",

@@ -159,7 +159,11 @@ PACKAGE_BYTES = 4_000
 LEGS = "SELECT * FROM (SELECT tour_id, node AS source, lead(node) OVER (PARTITION BY tour_id ORDER BY ord) AS node FROM {tour_nodes}) n WHERE node IS NOT NULL"
 
 
+POSITIONS = " UNION ALL ".join(f"SELECT '{how}' AS how, id, row_number() OVER (ORDER BY {key}, id) AS position FROM {{ranked_passes}}" for how, key in discovery.ORDERS.items())
+
 BUILT |= {
+    "proj_rank_poi_ids": (lambda t: discovery.rank_poi_ids(t.places), "SELECT id, row_number() OVER (ORDER BY score DESC, name, id) AS ordinal FROM {places}"),
+    "top_list_sort": (lambda t: discovery.list_positions(t.ranked_passes), POSITIONS),
     "join_nearest_vertex": (
         lambda t: spatial.nearest_vertex(t.sights.select("id", "lat", "lon"), t.track.select("tour_id", "ord", "lat", "lon"), 2000.0).select("tour_id", "id", "ord", F.floor(F.col("metres") + 0.5).alias("metres")),
         f"SELECT tour_id, id, ord, CAST(m AS BIGINT) AS metres FROM ({nearest_sql(2000, 'TRUE')}) n",
@@ -230,8 +234,9 @@ BUILT |= {
         f"WITH RECURSIVE f AS (SELECT * FROM {{places}} WHERE family = 'food'), e AS (SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON {H('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 4000), r AS (SELECT id AS node, id AS seen FROM f UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS root FROM r GROUP BY node",
     ),
     "gov_reference_closure": (
-        lambda t: graph.reference_closure(t.entities.where("action = 'publish'").selectExpr("id", "CASE WHEN id % 3 = 0 THEN floor(id / 3) END AS ref")),
-        "WITH RECURSIVE k AS (SELECT id, CASE WHEN id % 3 = 0 THEN CAST(floor(id / 3) AS BIGINT) END AS ref FROM {entities} WHERE action = 'publish'), good AS (SELECT id, ref FROM k WHERE ref IS NULL OR ref = id UNION SELECT k.id, k.ref FROM k JOIN good g ON g.id = k.ref) SELECT id, ref FROM good",
+        lambda t: graph.reference_closure(t.entities.where("action in ('publish', 'coarsen')").selectExpr("id", "action = 'coarsen' AS coarsened"), t.required_refs),
+        """WITH RECURSIVE k AS (SELECT id, action = 'coarsen' AS coarsened FROM {entities} WHERE action IN ('publish', 'coarsen')), e AS (SELECT k.id, r.ref, t.id IS NULL OR (t.coarsened AND NOT k.coarsened) AS unsafe FROM k JOIN {required_refs} r ON r.id = k.id AND r.ref IS NOT NULL LEFT JOIN k t ON t.id = r.ref),
+          gone AS (SELECT id FROM e WHERE unsafe UNION SELECT e.id FROM gone g JOIN e ON e.ref = g.id) SELECT id, coarsened FROM k WHERE id NOT IN (SELECT id FROM gone)""",
     ),
 }
 
@@ -244,11 +249,11 @@ BUILT["top_tour_candidates"] = (
 )
 
 STREAMS = {
-    "stream_latest_status": (streams.latest_status, "SELECT pass_id, state, seen, seen < (SELECT max(EPOCH_US(ts)) FROM {statuses}) - 864e8 AS stale FROM (SELECT pass_id, max_by(state, EPOCH_US(ts) * 1000 + id % 1000) AS state, max(EPOCH_US(ts)) AS seen FROM {statuses} GROUP BY pass_id) l"),
+    "stream_latest_status": (streams.latest_status, "SELECT pass_id, state, seen, seen < (SELECT max(EPOCH_US(ts)) FROM {statuses}) - 864e8 AS stale FROM (SELECT pass_id, max_by(state, list_value(EPOCH_US(ts), id)) AS state, max(EPOCH_US(ts)) AS seen FROM {statuses} GROUP BY pass_id) l"),
     "stream_stale_drop": (streams.stale_drop, "SELECT DISTINCT pass_id, state, CAST(EPOCH_DAY(CAST(ts AS DATE)) AS BIGINT) AS day FROM {statuses}"),
     "stream_freshness_gate": (streams.freshness_gate, "SELECT id, CASE WHEN EPOCH_US(TIMESTAMP '2024-01-30 12:00:00') - EPOCH_US(ts) > 2592e8 THEN 'late' WHEN EPOCH_US(TIMESTAMP '2024-01-30 12:00:00') - EPOCH_US(ts) < -3e8 THEN 'future' ELSE 'fresh' END AS verdict FROM {statuses}"),
     "stream_break_state": (streams.break_state, None),
-    "stream_cache_merge": (streams.cache_merge, "SELECT p.p_partkey AS key, CASE WHEN p.p_size >= 5 AND c.price IS NOT NULL THEN c.price ELSE p.p_retailprice END AS price FROM {part} p LEFT JOIN (SELECT user_id AS key, max_by(value, EPOCH_US(ts) * 1000 + event_id % 1000) AS price FROM {events} WHERE event_type = 'purchase' GROUP BY user_id) c ON c.key = p.p_partkey"),
+    "stream_cache_merge": (streams.cache_merge, "SELECT p.p_partkey AS key, CASE WHEN p.p_size >= 5 AND c.price IS NOT NULL THEN c.price ELSE p.p_retailprice END AS price FROM {part} p LEFT JOIN (SELECT user_id AS key, max_by(value, list_value(EPOCH_US(ts), event_id)) AS price FROM {events} WHERE event_type = 'purchase' GROUP BY user_id) c ON c.key = p.p_partkey"),
 }
 
 

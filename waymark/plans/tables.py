@@ -133,6 +133,8 @@ ADAPTERS = {
     "user_context": "SELECT c_custkey AS user_id, CASE c_custkey % 3 WHEN 0 THEN 'winter' WHEN 1 THEN 'summer' END AS context FROM {customer}",
     "context_boosts": "SELECT 'winter' AS context, 'BUILDING' AS persona, 3e-1 AS boost FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT 'summer', 'MACHINERY', 4e-1 FROM {region} WHERE r_regionkey = 0",
     "closed_passes": "SELECT DISTINCT id AS pass_id FROM {passes} WHERE closes IS NOT NULL AND elev > 2000",
+    "required_refs": """SELECT id, CASE WHEN id % 3 = 0 THEN CAST(floor(id / 3) AS BIGINT) END AS ref FROM {entities} UNION ALL SELECT id, CAST(floor(id / 5) AS BIGINT) + 1 FROM {entities} WHERE id % 5 = 1
+        UNION ALL SELECT id, CASE WHEN id % 40 = 7 THEN id + 3 ELSE id - 3 END FROM {entities} WHERE id % 40 IN (7, 10)""",
     "notes": """SELECT id, kind, day, month, year, CASE kind WHEN 'predicted' THEN CASE id % 2 WHEN 0 THEN 'Predicted opening: ' ELSE 'Status: voraussichtliche Öffnung ' END WHEN 'open-from' THEN CASE id % 3 WHEN 0 THEN 'Pass opens on ' WHEN 1 THEN 'reopens again from ' ELSE 'Offen ab ' END WHEN 'closed-until' THEN CASE id % 2 WHEN 0 THEN 'Closed until ' ELSE 'Wintersperre bis ' END ELSE 'Road works, single lane ' END
         || CASE style WHEN 0 THEN CAST(day AS STRING) || '.' || CAST(month AS STRING) || '.' WHEN 1 THEN lpad(CAST(day AS STRING), 2, '0') || '/' || lpad(CAST(month AS STRING), 2, '0') || '/' || CAST(year AS STRING) WHEN 2 THEN en || ' ' || CAST(day AS STRING) || 'th, ' || CAST(year AS STRING) ELSE CAST(day AS STRING) || '. ' || de END AS info, style
         FROM (SELECT id, CAST(1 + id % 28 AS INT) AS day, CAST(1 + id % 12 AS INT) AS month, CAST(2020 + id % 5 AS INT) AS year, id % 4 AS style, CASE id % 5 WHEN 0 THEN 'predicted' WHEN 1 THEN 'open-from' WHEN 2 THEN 'closed-until' WHEN 3 THEN 'open-from' ELSE 'none' END AS kind,

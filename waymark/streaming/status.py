@@ -36,11 +36,10 @@ def _run(stream: DataFrame, mode: str, each=None) -> str:
 
 
 def latest_status(spark: SparkSession, sf_dir: str, stale_hours: int = 24) -> DataFrame:
-    """Latest state of each pass, kept as streaming state; stale ones are marked against the newest reading."""
-    place = F.unix_micros("ts") * 1000 + F.col("event_id") % 1000
-    agg = feed(spark, sf_dir).groupBy(F.col("user_id").alias("pass_id")).agg(F.max_by(state(), place).alias("state"), F.max(F.unix_micros("ts")).alias("seen"))
-    out = spark.read.parquet(_run(agg, "complete"))
-    last = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch")
+    """Latest state of each pass, of readings of one instant that of the largest id, kept as streaming state; stale ones are
+    marked against the newest reading. Each batch writes the passes that changed, and the last row of a pass counts."""
+    agg = feed(spark, sf_dir).groupBy(F.col("user_id").alias("pass_id")).agg(F.max_by(state(), F.struct("ts", "event_id")).alias("state"), F.max(F.unix_micros("ts")).alias("seen"))
+    last = spark.read.parquet(_run(agg, "update")).groupBy("pass_id").agg(F.max_by("state", "batch").alias("state"), F.max("seen").alias("seen"))
     newest = last.agg(F.max("seen")).first()[0] or 0  # one number
     return last.select("pass_id", "state", "seen", (F.col("seen") < newest - stale_hours * 3_600_000_000).alias("stale"))
 
@@ -101,7 +100,7 @@ def break_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price claims merged batch by batch: the newest claim of each key, manual keys (value under 5) left alone."""
-    place = F.unix_micros("ts") * 1000 + F.col("event_id") % 1000
+    place = F.struct("ts", "event_id")
     claims = feed(spark, sf_dir).where("event_type = 'purchase'")
 
     def each(batch: DataFrame, number: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from waymark.functions import columns, ranges
 from waymark.operators import drives, feeds, graph, routes, schedules, search, shapes, spatial
 from waymark.operators import records as records_
+from waymark.operators import status as status_
 from waymark.operators.status import status_rules
 from waymark.sources import readers, sinks
 
@@ -578,3 +579,41 @@ def test_positions_when_all_keys_are_equal(spark, monkeypatch):
     passes = spark.range(100).selectExpr("id", "'same' AS name", "2000 AS elev", "0.5D AS quality", "cast(null as int) AS closes", "1 AS nation", "false AS seasonal", "7.0D AS metres")
     got = discovery.list_positions(passes).groupBy("id").agg(F.min("position").alias("a"), F.max("position").alias("b"), F.count("*").alias("n"))
     assert rows(got, "id", "a", "b", "n") == [(i, i + 1, i + 1, 7) for i in range(100)]
+
+
+def known(spark, asked, rules=(), histories=(), readings=()):
+    """pass_status() of (pass_id, today, day) as pass_id -> (state, basis); passes 1 to 9 lie at 1,000 m, others at 2,500 m."""
+    frame = lambda rows_, kind: spark.createDataFrame(list(rows_), kind)
+    passes = frame([(i, 1_000 if i < 10 else 2_500) for i in range(1, 30)], "id long, elev int")
+    asked = frame([(i, p, t, d) for i, (p, t, d) in enumerate(asked)], "k long, pass_id long, today string, day string").withColumns({"today": F.to_date("today"), "day": F.to_date("day")})
+    readings = frame([(i, *r[:4], *(r[4] if len(r) > 4 else (None,) * 4)) for i, r in enumerate(readings)], "id long, pass_id long, ts string, source string, state string, hint_kind string, hint_day int, hint_month int, hint_year int").withColumn("ts", F.to_timestamp("ts"))
+    out = status_.pass_status(asked, passes, frame(rules, "pass_id long, value string, from_month int, to_month int"), frame(histories, "pass_id long, open_doy int, close_doy int"), readings)
+    return [(r.state, r.basis) for r in out.orderBy("k").collect()]
+
+
+def test_status_of_a_day_goes_by_precedence(spark):
+    day = "2024-11-20"
+    asked = [(p, day, day) for p in (1, 10, 11, 12, 13, 14, 15)]
+    rules = [(11, "no", 11, 5), (12, "no", 11, 5), (13, "destination", 1, 12), (14, "no", 11, 5)]
+    histories = [(13, 150, 290), (14, 150, 350), (15, 300, 30)]
+    readings = [(12, "2024-11-01 10:00", "alert", "restricted"), (12, "2024-11-21 10:00", "live", "open"), (14, "2024-11-19 08:00", "alert", "unknown"), (11, "2024-11-20 23:00", "live", "open"), (11, "2024-11-20 23:00", "live", "restricted")]
+    want = [("open", "elevation"), ("closed", "elevation"), ("restricted", "live"), ("restricted", "alert"), ("closed", "history"), ("closed", "rule"), ("open", "history")]
+    assert known(spark, asked, rules, histories, readings) == want
+
+
+def test_status_of_a_later_day(spark):
+    today = "2024-03-01"
+    hint = lambda kind, d, m, y=None: (kind, d, m, y)
+    asked = [(10, today, "2024-04-01"), (10, today, "2024-04-02"), (11, today, "2024-06-30"), (12, today, "2024-06-30"), (13, today, "2024-05-15"), (13, today, "2024-05-16"), (13, today, "2024-06-20"), (14, today, "2024-03-09"), (15, today, "2024-03-09"), (16, today, "2024-12-31"), (17, "2024-03-10", "2024-03-01"), (99, today, today)]
+    rules = [(11, "no", 11, 5), (16, "closed", 12, 1)]
+    histories = [(12, 170, 300)]
+    readings = [(10, "2024-02-28", "live", "closed"), (13, "2024-02-28", "live", "closed", hint("closed-until", 15, 5)), (14, "2024-02-28", "live", "closed", hint("open-from", 9, 3)), (15, "2024-02-28", "live", "restricted", hint("open-from", 1, 2)), (17, "2024-03-05", "alert", "closed")]
+    want = [("closed", "assumed-unchanged"), ("closed", "elevation"), ("open", "rule"), ("open", "history"), ("closed", "opening-hint"), ("open", "opening-hint"), ("open", "elevation"), ("open", "opening-hint"), ("restricted", "assumed-unchanged"), ("closed", "rule"), ("closed", "alert")]
+    assert known(spark, asked, rules, histories, readings) == want
+
+
+def test_layers_and_warnings_of_statuses(spark):
+    stops = spark.createDataFrame([(1, i, f"P{i}", "closed" if i % 2 else "open", "rule" if i < 3 else "elevation", i >= 3, 0.1 * i) for i in range(14)], "tour_id long, ord int, name string, state string, basis string, estimated boolean, quality double")
+    assert rows(status_.tour_warnings(stops), "tour_id", "n", "named") == [(1, 7, "P1;P3;P5;P7;P9")]
+    assert rows(status_.pass_layer(stops, ["open"], 0.15, 0.75), "ord") == [(2,), (8,), (10,), (12,)]
+    assert rows(status_.pass_layer(stops, ["open"], 0.15, None), "ord") == [(2,)]

@@ -1,5 +1,8 @@
 """Pass status: rules, histories, projections, alerts and the feeds' precedence."""
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
 from waymark.functions.sql import haversine
 from waymark.operators import define
 
@@ -18,8 +21,6 @@ status_rules = define(
 
 flt_season_closed = define("flt_season_closed", "Passes of each nation above 1,700 m, closed from November to April, and how many are open.", f"SELECT nation, CAST(m AS BIGINT) AS month, count_if((m >= 11 OR m <= 4) AND elev > 1700) AS closed, count_if(NOT ((m >= 11 OR m <= 4) AND elev > 1700)) AS open FROM {PASS_MONTHS} p GROUP BY nation, m")
 
-flt_pass_layer = define("flt_pass_layer", "Passes for the map layer by status, estimate switch and quality.", f"SELECT id, state FROM (SELECT id, quality, coalesce({RULE}, {ELEVATION}) AS state, closes IS NULL AS estimated FROM (SELECT *, 7 AS m FROM {{passes}}) p) s WHERE state = 'open' AND quality >= 25e-2 AND (NOT estimated OR quality >= 5e-1)")
-
 flt_seasonal_edges = define("flt_seasonal_edges", "Stops whose summer-only edge may be used on the day, 15 May to 31 October.", "SELECT tour_id, ord FROM {stops} WHERE kind = 'connector' OR EXTRACT(MONTH FROM day) * 100 + EXTRACT(DAY FROM day) BETWEEN 515 AND 1031")
 
 history_status = define(
@@ -29,25 +30,101 @@ history_status = define(
 
 LATEST = "(SELECT pass_id, max_by(state, ARR(EPOCH_US(ts), id)) AS state, max_by(source, ARR(EPOCH_US(ts), id)) AS source, max(EPOCH_US(ts)) AS seen FROM {statuses} GROUP BY pass_id)"
 
-join_status_precedence = define(
-    "join_status_precedence", "Live status over alert over history (only over estimates) over rule over elevation.",
-    f"""SELECT id, coalesce(CASE WHEN source = 'live' THEN live_state END, CASE WHEN source = 'alert' AND live_state <> 'unknown' THEN live_state END, {RULE}, CASE WHEN open_day IS NOT NULL THEN CASE WHEN 15 + (m - 1) * 30 BETWEEN open_day AND close_day THEN 'open' ELSE 'closed' END END, {ELEVATION}) AS state,
-        CASE WHEN source = 'live' THEN 'live' WHEN source = 'alert' AND live_state <> 'unknown' THEN 'alert' WHEN closes IS NOT NULL THEN 'rule' WHEN open_day IS NOT NULL THEN 'history' ELSE 'elevation' END AS basis
-      FROM (SELECT p.*, l.state AS live_state, l.source, 2 AS m FROM {{passes}} p LEFT JOIN {LATEST} l ON l.pass_id = p.id) j""",
-)
+#: Days for which a reading is taken to hold, or an announced opening to be near.
+HORIZON = 31
+CLOSURES = ("no", "private", "closed")
 
-status_projection = define(
-    "status_projection", "Status for a trip in 20 and in 90 days: rule, live unchanged for up to 31 days, history, elevation.",
-    f"""SELECT id, days, coalesce(r, CASE WHEN source = 'live' AND live_state <> 'unknown' AND days <= 31 THEN live_state END, h, e) AS state, CASE WHEN r IS NOT NULL THEN 'osm' WHEN source = 'live' AND live_state <> 'unknown' AND days <= 31 THEN 'assumed-unchanged' WHEN h IS NOT NULL THEN 'history' ELSE 'elevation' END AS basis FROM (
-        SELECT *, {RULE} AS r, {ELEVATION} AS e, CASE WHEN open_day IS NOT NULL THEN CASE WHEN 15 + (m - 1) * 30 BETWEEN open_day AND close_day THEN 'open' ELSE 'closed' END END AS h FROM (
-            SELECT p.*, l.state AS live_state, l.source, CASE p.days WHEN 20 THEN 2 ELSE 5 END AS m FROM (SELECT *, UNNEST(ARR(20, 90)) AS days FROM {{passes}}) p LEFT JOIN {LATEST} l ON l.pass_id = p.id) j) k""",
-)
 
-agg_tour_status_warnings = define(
-    "agg_tour_status_warnings", "Stops of each tour on passes that are closed, with the first five named.",
-    f"""SELECT tour_id, count(*) AS n, GLUE(SORTED(array_agg(CASE WHEN r <= 5 THEN name END)), ';') AS named FROM (
-        SELECT s.tour_id, p.name, row_number() OVER (PARTITION BY s.tour_id ORDER BY s.ord) AS r FROM {{stops}} s JOIN (SELECT *, coalesce({RULE}, {ELEVATION}) AS state FROM (SELECT *, 2 AS m FROM {{passes}}) q) p ON p.id = s.pass_id WHERE p.state = 'closed') w GROUP BY tour_id""",
-)
+def _month_within(month: Column, first: Column, last: Column) -> Column:
+    return F.when(first <= last, month.between(first, last)).otherwise((month >= first) | (month <= last))
 
-stream_twin_latest = define("status_latest", "Latest status of each pass, live rows older than a day marked stale.", f"SELECT pass_id, state, source, seen, source = 'live' AND seen < (SELECT max(EPOCH_US(ts)) FROM {{statuses}}) - 864e8 AS stale FROM {LATEST} l")
 
+def rule_states(asked: DataFrame, rules: DataFrame, day: str) -> DataFrame:
+    """asked(pass_id, ...) with rule_state: by closure rules(pass_id, value, from_month, to_month) closed in any of their months,
+    which may wrap the year, else open; null without one."""
+    # a row for each pass: the months in which it is closed
+    months = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.when(_month_within(m, F.col("from_month"), F.col("to_month")), m))
+    shut = rules.where(F.col("value").isin(*CLOSURES) & F.col("from_month").isNotNull() & F.col("to_month").isNotNull()).select("pass_id", F.explode(months).alias("m"))
+    by_pass = shut.groupBy("pass_id").agg(F.collect_set("m").alias("__shut"))
+    told = asked.join(by_pass.hint("merge"), "pass_id", "left")
+    return told.withColumn("rule_state", F.when(F.col("__shut").isNotNull(), F.when(F.array_contains("__shut", F.month(day)), "closed").otherwise("open"))).drop("__shut")
+
+
+def elevation_state(elev: Column, day: Column) -> Column:
+    """The season that is usual at an elevation."""
+    month = F.month(day)
+    first = F.when(elev < 1300, 1).when(elev < 1700, 4).when(elev < 2100, 5).otherwise(6)
+    last = F.when(elev < 1300, 12).when(elev < 1700, 11).otherwise(10)
+    return F.when(month.between(first, last), "open").otherwise("closed")
+
+
+def history_state(day: Column) -> Column:
+    """Of typical days of the year open_doy and close_doy, which may wrap the year; null without them."""
+    doy = F.dayofyear(day)
+    within = F.when(F.col("open_doy") <= F.col("close_doy"), doy.between(F.col("open_doy"), F.col("close_doy"))).otherwise((doy >= F.col("open_doy")) | (doy <= F.col("close_doy")))
+    return F.when(F.col("open_doy").isNotNull() & F.col("close_doy").isNotNull(), F.when(within, "open").otherwise("closed"))
+
+
+def _readings_as_of(asked: DataFrame, readings: DataFrame) -> DataFrame:
+    """asked(pass_id, today) with the last live and the last alert reading up to the end of each day. Readings become one row
+    for each pass, source and day first, so that what is looked through for a pass are days and not readings."""
+    day = F.to_date("ts").alias("today")
+    reading = F.struct("state", "hint_kind", "hint_day", "hint_month", "hint_year")
+    last = lambda source: F.max_by(F.when(F.col("source") == source, reading), F.when(F.col("source") == source, F.struct("ts", "id"))).alias(source)
+    daily = readings.where(F.col("source").isin("live", "alert")).groupBy("pass_id", day).agg(last("live"), last("alert")).withColumn("__asks", F.lit(False))
+    both = daily.unionByName(asked.select("pass_id", "today").distinct().withColumn("__asks", F.lit(True)), allowMissingColumns=True)
+    so_far = Window.partitionBy("pass_id").orderBy("today", "__asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.select("pass_id", "today", "__asks", F.last("live", True).over(so_far).alias("live"), F.last("alert", True).over(so_far).alias("alert")).where("__asks").drop("__asks")
+
+
+def pass_status(asked: DataFrame, passes: DataFrame, rules: DataFrame, histories: DataFrame, readings: DataFrame) -> DataFrame:
+    """asked(pass_id, today, day, ...) with state, basis, estimated: the status of a pass on a day as known today.
+
+    passes(id, elev); rules(pass_id, value, from_month, to_month); histories(pass_id, open_doy, close_doy); readings(id,
+    pass_id, ts, source, state, hint_kind, hint_day, hint_month, hint_year), of which the last one of a source counts.
+    Today (and before) a live reading goes before an alert that says anything, then a closure rule, then history, then
+    the elevation's season. For a later day an announced opening (hint) decides, up to 31 days after it; then today's
+    rule; then a live state that is known, for 31 days; then rule, history and elevation of that day. A hint without a
+    year means the day's year; an open-from date that has passed today says nothing. Unknown passes give nothing."""
+    known = asked.join(passes.select(F.col("id").alias("pass_id"), F.col("elev").alias("__elev")).hint("merge"), "pass_id")
+    known = known.join(histories.select("pass_id", "open_doy", "close_doy").hint("merge"), "pass_id", "left")
+    known = known.join(_readings_as_of(asked, readings).hint("merge"), ["pass_id", "today"], "left")
+    known = rule_states(rule_states(known, rules, "today").withColumnRenamed("rule_state", "__rule_today"), rules, "day").withColumnRenamed("rule_state", "__rule_day")
+    live, alert = F.col("live.state"), F.when(F.col("alert.state") != "unknown", F.col("alert.state"))
+    first = lambda day, rule: (F.col(rule), history_state(F.col(day)), elevation_state(F.col("__elev"), F.col(day)))
+    rule, history, season = first("today", "__rule_today")
+    now = F.coalesce(live, alert, rule, history, season)
+    now_basis = F.when(live.isNotNull(), "live").when(alert.isNotNull(), "alert").when(rule.isNotNull(), "rule").when(history.isNotNull(), "history").otherwise("elevation")
+    said = F.when(live.isNotNull(), F.col("live")).otherwise(F.when(alert.isNotNull(), F.col("alert")))
+    date = F.expr("try_make_timestamp(coalesce(__said.hint_year, year(day)), __said.hint_month, __said.hint_day, 0, 0, 0)").cast("date")
+    known = known.withColumns({"__now": now, "__basis": now_basis, "__said": said}).withColumn("__date", date)
+    past = F.datediff("day", "__date")
+    kind = F.col("__said.hint_kind")
+    opened = F.when(kind == "closed-until", past > 0).otherwise(past >= 0)
+    hinted = F.when(F.col("__date").isNotNull() & ~((kind == "open-from") & (F.col("__date") < F.col("today"))) & ~(opened & (past > HORIZON)), F.when(opened, "open").otherwise("closed"))
+    rule, history, season = first("day", "__rule_day")
+    ahead = F.datediff("day", "today")
+    unchanged = F.when((F.col("__basis") == "live") & F.col("__now").isin("open", "restricted", "closed") & (ahead <= HORIZON), F.col("__now"))
+    of_rule = F.when(F.col("__basis") == "rule", rule)
+    state = F.when(ahead <= 0, F.col("__now")).otherwise(F.coalesce(hinted, of_rule, unchanged, rule, history, season))
+    basis = F.when(ahead <= 0, F.col("__basis")).when(hinted.isNotNull(), "opening-hint").when(of_rule.isNotNull(), "rule").when(unchanged.isNotNull(), "assumed-unchanged").when(rule.isNotNull(), "rule").when(history.isNotNull(), "history").otherwise("elevation")
+    out = known.withColumns({"state": state, "basis": basis})
+    return out.select(*asked.columns, "state", "basis", F.col("basis").isin("history", "elevation", "assumed-unchanged").alias("estimated"))
+
+
+def pass_layer(statuses: DataFrame, states: list[str], least_quality: float = 0.0, estimates: float | None = 0.0) -> DataFrame:
+    """Of pass_status(), with quality, what a map layer shows: the wanted states from a quality on, estimated ones from a
+    quality of their own on (None: not at all)."""
+    fine = F.lit(False) if estimates is None else F.col("quality") >= estimates
+    return statuses.where(F.col("state").isin(*states) & (F.col("quality") >= least_quality) & (~F.col("estimated") | fine))
+
+
+def tour_warnings(stops: DataFrame, most: int = 5) -> DataFrame:
+    """Of pass_status() of stops(tour_id, ord, name): for each tour how many lie on passes that are closed on their day, and
+    the first of their names."""
+    shut = stops.where("state = 'closed'").withColumn("__nth", F.row_number().over(Window.partitionBy("tour_id").orderBy("ord")))
+    names = F.array_sort(F.collect_list(F.when(F.col("__nth") <= most, F.struct("__nth", "name"))))
+    return shut.groupBy("tour_id").agg(F.count("*").alias("n"), F.array_join(F.transform(names, lambda x: x["name"]), ";").alias("named"))
+
+
+stream_twin_latest = define("status_latest", "Latest status of each pass, live rows older than a day marked stale.", f"SELECT pass_id, state, source, seen, source = 'live' AND seen < (SELECT max(EPOCH_US(ts)) FROM {{statuses}}) - 864e8 AS stale FROM {LATEST} l")

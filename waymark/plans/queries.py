@@ -161,7 +161,42 @@ LEGS = "SELECT * FROM (SELECT tour_id, node AS source, lead(node) OVER (PARTITIO
 
 POSITIONS = " UNION ALL ".join(f"SELECT '{how}' AS how, id, row_number() OVER (ORDER BY {key}, id) AS position FROM {{ranked_passes}}" for how, key in discovery.ORDERS.items())
 
+#: The status of passes on days, one step after the other: asked(pass_id, today, day, ...) stands for {asked}.
+STATUS = """latest AS (SELECT a.pass_id, a.today, s.source, max_by({'state': r.state, 'k': r.hint_kind, 'd': r.hint_day, 'm': r.hint_month}, list_value(EPOCH_US(r.ts), r.id)) AS r FROM (SELECT DISTINCT pass_id, today FROM asked) a JOIN (SELECT unnest(['live', 'alert']) AS source) s ON TRUE JOIN {readings} r ON r.pass_id = a.pass_id AND r.source = s.source AND CAST(r.ts AS DATE) <= a.today GROUP BY a.pass_id, a.today, s.source),
+    seen AS (SELECT pass_id, today, max(r) FILTER (source = 'live') AS live, max(r) FILTER (source = 'alert' AND r.state <> 'unknown') AS alert FROM latest GROUP BY pass_id, today),
+    shut AS (SELECT * FROM {closure_rules} WHERE value IN ('no', 'private', 'closed') AND from_month IS NOT NULL AND to_month IS NOT NULL),
+    facts AS (SELECT a.*, coalesce(s.live, s.alert) AS said, s.live IS NOT NULL AS is_live, s.alert IS NOT NULL AS is_alert, p.elev, h.open_doy AS o, h.close_doy AS c, datediff('day', a.today, a.day) AS ahead,
+      (SELECT CASE WHEN count(*) > 0 THEN CASE WHEN bool_or(CASE WHEN from_month <= to_month THEN month(a.today) BETWEEN from_month AND to_month ELSE month(a.today) >= from_month OR month(a.today) <= to_month END) THEN 'closed' ELSE 'open' END END FROM shut WHERE shut.pass_id = a.pass_id) AS rule_today,
+      (SELECT CASE WHEN count(*) > 0 THEN CASE WHEN bool_or(CASE WHEN from_month <= to_month THEN month(a.day) BETWEEN from_month AND to_month ELSE month(a.day) >= from_month OR month(a.day) <= to_month END) THEN 'closed' ELSE 'open' END END FROM shut WHERE shut.pass_id = a.pass_id) AS rule_day
+      FROM asked a JOIN {passes} p ON p.id = a.pass_id LEFT JOIN {seasons} h ON h.pass_id = a.pass_id LEFT JOIN seen s ON s.pass_id = a.pass_id AND s.today = a.today),
+    states AS (SELECT *, CASE WHEN ahead <= 0 THEN today ELSE day END AS upon, CASE WHEN ahead <= 0 THEN rule_today ELSE rule_day END AS ruled, try_cast(year(day) || '-' || lpad(CAST(said.m AS VARCHAR), 2, '0') || '-' || lpad(CAST(said.d AS VARCHAR), 2, '0') AS DATE) AS until FROM facts),
+    judged AS (SELECT *, CASE WHEN o IS NOT NULL THEN CASE WHEN dayofyear(upon) BETWEEN o AND c THEN 'open' ELSE 'closed' END END AS past, CASE WHEN month(upon) BETWEEN CASE WHEN elev < 1300 THEN 1 WHEN elev < 1700 THEN 4 WHEN elev < 2100 THEN 5 ELSE 6 END AND CASE WHEN elev < 1300 THEN 12 WHEN elev < 1700 THEN 11 ELSE 10 END THEN 'open' ELSE 'closed' END AS season,
+      CASE WHEN until IS NOT NULL AND NOT (day > until AND datediff('day', until, day) > 31) THEN CASE WHEN day > until THEN 'open' ELSE 'closed' END END AS hinted FROM states),
+    named AS (SELECT *, CASE WHEN ahead <= 0 AND is_live THEN 'live' WHEN ahead <= 0 AND is_alert THEN 'alert' WHEN ahead > 0 AND hinted IS NOT NULL THEN 'opening-hint' WHEN ahead > 0 AND is_live AND said.state <> 'unknown' AND ahead <= 31 THEN 'assumed-unchanged' WHEN ruled IS NOT NULL THEN 'rule' WHEN past IS NOT NULL THEN 'history' ELSE 'elevation' END AS basis FROM judged),
+    status AS (SELECT *, CASE basis WHEN 'opening-hint' THEN hinted WHEN 'rule' THEN ruled WHEN 'history' THEN past WHEN 'elevation' THEN season ELSE said.state END AS state, basis IN ('history', 'elevation', 'assumed-unchanged') AS estimated FROM named)"""
+
+
+def known_status(t: Tables, asked):
+    return status.pass_status(asked, t.passes, t.closure_rules, t.seasons, t.readings)
+
+
 BUILT |= {
+    "join_status_precedence": (
+        lambda t: known_status(t, t.asked_days.where("days = 0")).select(F.col("pass_id").alias("id"), "state", "basis"),
+        f"WITH asked AS (SELECT * FROM {{asked_days}} WHERE days = 0), {STATUS} SELECT pass_id AS id, state, basis FROM status",
+    ),
+    "status_projection": (
+        lambda t: known_status(t, t.asked_days).select(F.col("pass_id").alias("id"), "days", "state", "basis"),
+        f"WITH asked AS (SELECT * FROM {{asked_days}}), {STATUS} SELECT pass_id AS id, days, state, basis FROM status",
+    ),
+    "agg_tour_status_warnings": (
+        lambda t: status.tour_warnings(known_status(t, t.trip_stops)),
+        f"WITH asked AS (SELECT * FROM {{trip_stops}}), {STATUS}, w AS (SELECT *, row_number() OVER (PARTITION BY tour_id ORDER BY ord) AS r FROM status WHERE state = 'closed') SELECT tour_id, count(*) AS n, string_agg(name, ';' ORDER BY r) FILTER (r <= 5) AS named FROM w GROUP BY tour_id",
+    ),
+    "flt_pass_layer": (
+        lambda t: status.pass_layer(known_status(t, t.asked_days.where("days = 200").join(t.passes.select(F.col("id").alias("pass_id"), "quality").hint("merge"), "pass_id")), ["open"], 0.25, 0.5).select(F.col("pass_id").alias("id"), "state"),
+        f"WITH asked AS (SELECT * FROM {{asked_days}} WHERE days = 200), {STATUS} SELECT s.pass_id AS id, s.state FROM status s JOIN {{passes}} p ON p.id = s.pass_id WHERE s.state = 'open' AND p.quality >= 25e-2 AND (NOT s.estimated OR p.quality >= 5e-1)",
+    ),
     "proj_rank_poi_ids": (lambda t: discovery.rank_poi_ids(t.places), "SELECT id, row_number() OVER (ORDER BY score DESC, name, id) AS ordinal FROM {places}"),
     "top_list_sort": (lambda t: discovery.list_positions(t.ranked_passes), POSITIONS),
     "join_nearest_vertex": (

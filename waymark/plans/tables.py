@@ -135,6 +135,11 @@ ADAPTERS = {
     "closed_passes": "SELECT DISTINCT id AS pass_id FROM {passes} WHERE closes IS NOT NULL AND elev > 2000",
     "required_refs": """SELECT id, CASE WHEN id % 3 = 0 THEN CAST(floor(id / 3) AS BIGINT) END AS ref FROM {entities} UNION ALL SELECT id, CAST(floor(id / 5) AS BIGINT) + 1 FROM {entities} WHERE id % 5 = 1
         UNION ALL SELECT id, CASE WHEN id % 40 = 7 THEN id + 3 ELSE id - 3 END FROM {entities} WHERE id % 40 IN (7, 10)""",
+    "closure_rules": "SELECT id AS pass_id, 'no' AS value, closes AS from_month, opens AS to_month FROM {passes} WHERE closes IS NOT NULL UNION ALL SELECT id, CASE WHEN id % 2 = 0 THEN 'destination' ELSE 'closed' END, 7, 8 FROM {passes} WHERE id % 7 = 1 UNION ALL SELECT id, 'private', 5, CAST(NULL AS INT) FROM {passes} WHERE id % 7 = 2",
+    "seasons": "SELECT id AS pass_id, open_day AS open_doy, close_day AS close_doy FROM {passes} WHERE open_day IS NOT NULL",
+    "readings": "SELECT id, pass_id, ts, source, state, CASE WHEN state = 'closed' THEN 'closed-until' END AS hint_kind, CASE WHEN state = 'closed' THEN CAST(1 + id % 28 AS INT) END AS hint_day, CASE WHEN state = 'closed' THEN CAST(1 + id % 12 AS INT) END AS hint_month, CAST(NULL AS INT) AS hint_year FROM {statuses} WHERE id % 9 < 4",
+    "asked_days": "SELECT p.id AS pass_id, DATE '2024-01-20' AS today, DATE '2024-01-20' + d AS day, d AS days FROM (SELECT id, UNNEST(ARR(0, 20, 31, 32, 90, 200)) AS d FROM {passes}) p",
+    "trip_stops": "SELECT s.tour_id, s.ord, s.pass_id, p.name, DATE '2024-01-20' AS today, s.day + 9862 AS day FROM {stops} s JOIN {passes} p ON p.id = s.pass_id",
     "notes": """SELECT id, kind, day, month, year, CASE kind WHEN 'predicted' THEN CASE id % 2 WHEN 0 THEN 'Predicted opening: ' ELSE 'Status: voraussichtliche Öffnung ' END WHEN 'open-from' THEN CASE id % 3 WHEN 0 THEN 'Pass opens on ' WHEN 1 THEN 'reopens again from ' ELSE 'Offen ab ' END WHEN 'closed-until' THEN CASE id % 2 WHEN 0 THEN 'Closed until ' ELSE 'Wintersperre bis ' END ELSE 'Road works, single lane ' END
         || CASE style WHEN 0 THEN CAST(day AS STRING) || '.' || CAST(month AS STRING) || '.' WHEN 1 THEN lpad(CAST(day AS STRING), 2, '0') || '/' || lpad(CAST(month AS STRING), 2, '0') || '/' || CAST(year AS STRING) WHEN 2 THEN en || ' ' || CAST(day AS STRING) || 'th, ' || CAST(year AS STRING) ELSE CAST(day AS STRING) || '. ' || de END AS info, style
         FROM (SELECT id, CAST(1 + id % 28 AS INT) AS day, CAST(1 + id % 12 AS INT) AS month, CAST(2020 + id % 5 AS INT) AS year, id % 4 AS style, CASE id % 5 WHEN 0 THEN 'predicted' WHEN 1 THEN 'open-from' WHEN 2 THEN 'closed-until' WHEN 3 THEN 'open-from' ELSE 'none' END AS kind,

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import columns, ranges
-from waymark.operators import drives, feeds, graph, routes, schedules, search, shapes, spatial
+from waymark.operators import drives, feeds, graph, links, routes, schedules, search, shapes, spatial
 from waymark.operators import records as records_
 from waymark.operators import status as status_
 from waymark.operators.status import status_rules
@@ -617,3 +617,31 @@ def test_layers_and_warnings_of_statuses(spark):
     assert rows(status_.tour_warnings(stops), "tour_id", "n", "named") == [(1, 7, "P1;P3;P5;P7;P9")]
     assert rows(status_.pass_layer(stops, ["open"], 0.15, 0.75), "ord") == [(2,), (8,), (10,), (12,)]
     assert rows(status_.pass_layer(stops, ["open"], 0.15, None), "ord") == [(2,)]
+
+
+def linked(spark, *rows_):
+    """Records of (id, type, linked ids, own lists by field)."""
+    kinds = ", ".join(f"{f} array<string>" for f in links.OPTIONAL)
+    return spark.createDataFrame([(i, kind, f"name {i}", back, *(lists.get(f) for f in links.OPTIONAL)) for i, kind, back, lists in rows_], f"id string, entity_type string, name string, linkedEntityIds array<string>, {kinds}")
+
+
+def test_references_to_what_is_not_delivered_go(spark):
+    records = linked(spark, ("a", "TrailRoute", None, {"stageIds": ["c", "x", "b", "c", None], "priceIds": [], "hazardRefs": ["x"]}), ("b", "Place", None, {}))
+    got = {r.id: r for r in links.pruned(records, spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "id string")).collect()}
+    assert got["a"].stageIds == ["c", "b", "c"] and got["a"].priceIds == [] and got["a"].hazardRefs == [] and got["a"].variantIds is None
+    assert all(got["b"][f] is None for f in links.OPTIONAL) and got["a"].name == "name a"
+
+
+def test_routes_get_what_they_name_and_what_links_to_them(spark):
+    records = linked(
+        spark,
+        ("r1", "TrailRoute", ["r2"], {"accessPointIds": ["p9", "gone", "p1", "p9"], "hazardRefs": ["p1"]}),
+        ("r2", "TrailRoute", None, {}),
+        ("p1", "AccessPoint", ["r1", "r2", "r1"], {}), ("p3", "AccessPoint", ["r1"], {}), ("p2", "AccessPoint", ["r1", None], {}), ("p9", "Place", ["r1"], {}),
+        ("h1", "Hazard", ["r2", "p1"], {}), ("q1", "PermitRequirement", ["r2"], {}), ("s1", "TrailSegment", ["nowhere"], {}),
+    )
+    got = {r.id: r for r in links.attached(records, "name", "entity_type").collect()}
+    assert set(got) == {"r1", "r2"}
+    ids = {route: {f: [x.id for x in r[f]] for f in links.ATTACHED if r[f]} for route, r in got.items()}
+    assert ids == {"r1": {"accessPoints": ["p9", "p1", "p2", "p3"], "hazards": ["p1"]}, "r2": {"accessPoints": ["p1"], "hazards": ["h1"], "permitRequirements": ["q1"]}}
+    assert got["r1"].accessPoints[0].name == "name p9" and got["r1"].conditions == []

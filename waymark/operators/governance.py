@@ -68,11 +68,6 @@ agg_dedupe_stable_id = define(
     "SELECT tour_id, place_id, count(*) AS copies, count(DISTINCT CAST(duration_s AS BIGINT)) > 1 AS conflicting FROM {stops} GROUP BY tour_id, place_id",
 )
 
-proj_prune_refs = define(
-    "proj_prune_refs", "References to delivered records only, as sorted lists.",
-    """SELECT a.entity_id, SORTED(array_agg(a.ref)) AS refs FROM (SELECT DISTINCT entity_id, record_id AS ref FROM {assertions}) a JOIN (SELECT id FROM {places} WHERE score >= 3) d ON d.id = a.ref GROUP BY a.entity_id""",
-)
-
 proj_map_features = define(
     "proj_map_features", "Routes and points by rank, at most 100 of each nation and class, with how many were cut.",
     """SELECT id, nation, class, rank, total FROM (
@@ -91,9 +86,3 @@ set_union_except = define(
         ) u WHERE NOT EXISTS (SELECT 1 FROM {sources} s WHERE s.id = u.id AND s.disposition = 'blocked')
     ) k WHERE r = 1""",
 )
-
-join_linked_entities = define(
-    "join_linked_entities", "Children of each entity by explicit link and by back-reference, counted by type.",
-    """SELECT e.id, count(*) AS children, count_if(c.entity_type = 'AccessPoint') AS access_points, count_if(c.entity_type = 'Place') AS places
-      FROM {entities} e JOIN (SELECT DISTINCT parent, child FROM (SELECT record_id AS parent, entity_id AS child FROM {assertions} UNION ALL SELECT ref_back, id FROM {entities}) l) k ON k.parent = e.id JOIN {entities} c ON c.id = k.child GROUP BY e.id""",
-)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from waymark.functions import columns
 from waymark.functions.rounds import written
 from waymark.functions.sql import EARTH_KM, haversine
-from waymark.operators import ALL, discovery, governance, graph, records, routes, scalars, search, spatial, status
+from waymark.operators import ALL, discovery, governance, graph, links, records, routes, scalars, search, spatial, status
 from waymark.plans import drive_queries, search_queries, shape_queries
 from waymark.plans import tables as world
 from waymark.plans.drive_queries import nearest_sql
@@ -180,7 +180,20 @@ def known_status(t: Tables, asked):
     return status.pass_status(asked, t.passes, t.closure_rules, t.seasons, t.readings)
 
 
+PRUNED = ", ".join(f"CASE WHEN {f} IS NOT NULL THEN coalesce((SELECT list(x ORDER BY i) FROM (SELECT unnest({f}) AS x, generate_subscripts({f}, 1) AS i) u WHERE x IN (SELECT id FROM {{entities}} WHERE action = 'publish')), []) END AS {f}" for f in links.OPTIONAL)
+#: Own lists first, then what links to the route, by one union for each of the seven.
+CHILDREN = " UNION ALL ".join(f"SELECT r.id, '{name}' AS field, o.child, o.i FROM {{linked_records}} r, (SELECT unnest(r.{column}) AS child, generate_subscripts(r.{column}, 1) AS i) o WHERE r.entity_type = 'TrailRoute' UNION ALL SELECT l.parent, '{name}', l.id, 1000000 FROM (SELECT id, unnest(linkedEntityIds) AS parent FROM {{linked_records}} WHERE entity_type = '{kind}') l" for name, (column, kind) in links.ATTACHED.items())
+NESTED = ", ".join(f"coalesce(list(child ORDER BY i, child) FILTER (field = '{name}'), []) AS {name}" for name in links.ATTACHED)
+
 BUILT |= {
+    "proj_prune_refs": (
+        lambda t: links.pruned(t.linked_records, t.entities.where("action = 'publish'")).where("action = 'publish'").select("id", *links.OPTIONAL),
+        f"SELECT id, {PRUNED} FROM {{linked_records}} WHERE action = 'publish'",
+    ),
+    "join_linked_entities": (
+        lambda t: links.attached(t.linked_records, "name").select("id", *[F.transform(f, lambda x: x["id"]).alias(f) for f in links.ATTACHED]),
+        f"WITH k AS (SELECT id, field, child, min(i) AS i FROM ({CHILDREN}) c WHERE child IN (SELECT id FROM {{linked_records}}) GROUP BY id, field, child) SELECT r.id, {NESTED} FROM {{linked_records}} r LEFT JOIN k ON k.id = r.id WHERE r.entity_type = 'TrailRoute' GROUP BY r.id",
+    ),
     "join_status_precedence": (
         lambda t: known_status(t, t.asked_days.where("days = 0")).select(F.col("pass_id").alias("id"), "state", "basis"),
         f"WITH asked AS (SELECT * FROM {{asked_days}} WHERE days = 0), {STATUS} SELECT pass_id AS id, state, basis FROM status",

@@ -140,6 +140,11 @@ ADAPTERS = {
     "readings": "SELECT id, pass_id, ts, source, state, CASE WHEN state = 'closed' THEN 'closed-until' END AS hint_kind, CASE WHEN state = 'closed' THEN CAST(1 + id % 28 AS INT) END AS hint_day, CASE WHEN state = 'closed' THEN CAST(1 + id % 12 AS INT) END AS hint_month, CAST(NULL AS INT) AS hint_year FROM {statuses} WHERE id % 9 < 4",
     "asked_days": "SELECT p.id AS pass_id, DATE '2024-01-20' AS today, DATE '2024-01-20' + d AS day, d AS days FROM (SELECT id, UNNEST(ARR(0, 20, 31, 32, 90, 200)) AS d FROM {passes}) p",
     "trip_stops": "SELECT s.tour_id, s.ord, s.pass_id, p.name, DATE '2024-01-20' AS today, s.day + 9862 AS day FROM {stops} s JOIN {passes} p ON p.id = s.pass_id",
+    "linked_records": """SELECT id, name, action, CASE id % 8 WHEN 0 THEN 'TrailRoute' WHEN 1 THEN 'AccessPoint' WHEN 2 THEN 'TransportConnection' WHEN 3 THEN 'TrailSegment' WHEN 4 THEN 'Hazard' WHEN 5 THEN 'Condition' WHEN 6 THEN 'Restriction' ELSE 'PermitRequirement' END AS entity_type,
+        CASE WHEN id % 3 = 0 THEN ARR(id - id % 8, id - id % 8 + 8, id + 1) WHEN id % 3 = 1 THEN ARR(id - id % 8, id - id % 8) END AS linkedEntityIds,
+        ARR(id + 9, id + 1, id + 1, id * 2 + 1) AS accessPointIds, CASE WHEN id % 5 > 0 THEN ARR(id + 2) END AS transportConnectionIds, ARR(id * 7, id * 3) AS priceIds, CASE WHEN id % 16 = 0 THEN ARR(id + 16, id + 8) END AS stageIds,
+        CASE WHEN id % 24 = 0 THEN ARR(id + 24) END AS variantIds, ARR(id + 11, id + 3, id + 19) AS segmentIds, CASE WHEN id % 2 = 0 THEN ARR(id + 6) END AS restrictionRefs, ARR(id + 12, id + 4) AS hazardRefs,
+        CASE WHEN id % 7 = 0 THEN ARR(id + 5, id + 6) END AS conditionRefs, CASE WHEN id % 9 > 3 THEN ARR(id + 15) END AS permitRequirementIds, ARR(id + 40) AS openingScheduleIds FROM {entities}""",
     "notes": """SELECT id, kind, day, month, year, CASE kind WHEN 'predicted' THEN CASE id % 2 WHEN 0 THEN 'Predicted opening: ' ELSE 'Status: voraussichtliche Öffnung ' END WHEN 'open-from' THEN CASE id % 3 WHEN 0 THEN 'Pass opens on ' WHEN 1 THEN 'reopens again from ' ELSE 'Offen ab ' END WHEN 'closed-until' THEN CASE id % 2 WHEN 0 THEN 'Closed until ' ELSE 'Wintersperre bis ' END ELSE 'Road works, single lane ' END
         || CASE style WHEN 0 THEN CAST(day AS STRING) || '.' || CAST(month AS STRING) || '.' WHEN 1 THEN lpad(CAST(day AS STRING), 2, '0') || '/' || lpad(CAST(month AS STRING), 2, '0') || '/' || CAST(year AS STRING) WHEN 2 THEN en || ' ' || CAST(day AS STRING) || 'th, ' || CAST(year AS STRING) ELSE CAST(day AS STRING) || '. ' || de END AS info, style
         FROM (SELECT id, CAST(1 + id % 28 AS INT) AS day, CAST(1 + id % 12 AS INT) AS month, CAST(2020 + id % 5 AS INT) AS year, id % 4 AS style, CASE id % 5 WHEN 0 THEN 'predicted' WHEN 1 THEN 'open-from' WHEN 2 THEN 'closed-until' WHEN 3 THEN 'open-from' ELSE 'none' END AS kind,

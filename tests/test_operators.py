@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import columns, ranges
-from waymark.operators import drives, feeds, graph, links, routes, schedules, search, shapes, spatial
+from waymark.operators import drives, feeds, graph, links, planning, routes, schedules, search, shapes, spatial
 from waymark.operators import records as records_
 from waymark.operators import status as status_
 from waymark.operators.status import status_rules
@@ -645,3 +645,44 @@ def test_routes_get_what_they_name_and_what_links_to_them(spark):
     ids = {route: {f: [x.id for x in r[f]] for f in links.ATTACHED if r[f]} for route, r in got.items()}
     assert ids == {"r1": {"accessPoints": ["p9", "p1", "p2", "p3"], "hazards": ["p1"]}, "r2": {"accessPoints": ["p1"], "hazards": ["h1"], "permitRequirements": ["q1"]}}
     assert got["r1"].accessPoints[0].name == "name p9" and got["r1"].conditions == []
+
+
+NOTICE = "route_id long, id long, position int, source string, active boolean, state string, kind string, severity string, blocking boolean, unsafe boolean, valid_from string, valid_until string"
+
+
+def blocked(spark, route, *notices):
+    """The code and notice of one route at 2026-07-01 10:00, which is fine but for what is given."""
+    fine = {"access_state": "open", "verification": "verified", "freshness": "current", "assessed_at": "2026-06-01 00:00:00", "flags": ["official_centerline"], "sensitive": False} | route
+    r = spark.createDataFrame([(1, "2026-07-01 10:00:00", *fine.values())], "id long, at string, access_state string, verification string, freshness string, assessed_at string, flags array<string>, sensitive boolean").withColumns({"at": F.to_timestamp("at"), "assessed_at": F.to_timestamp("assessed_at")})
+    blank = {"source": "condition", "active": True, "state": None, "kind": None, "severity": None, "blocking": None, "unsafe": None, "valid_from": None, "valid_until": None}
+    n = spark.createDataFrame([(1, 100 + i, i, *(blank | x).values()) for i, x in enumerate(notices)], NOTICE).withColumns({c: F.to_timestamp(c) for c in ("valid_from", "valid_until")})
+    found = planning.route_blockers(r, n).first()
+    return found.code, found.notice_id
+
+
+@pytest.mark.parametrize(
+    ("route", "notices", "want"),
+    [
+        ({}, [], (None, None)),
+        ({"verification": "partially_verified", "access_state": "closed"}, [], ("route_unverified", None)),
+        ({"flags": None}, [], ("route_quality_invalid", None)),
+        ({"flags": ["slope_danger"], "freshness": "stale"}, [], ("unsafe_condition", None)),
+        ({"freshness": "stale"}, [], ("route_quality_not_current", None)),
+        ({"flags": ["parking_hours_unknown", "bridge_access_unknown"]}, [], ("route_quality_not_current", None)),
+        ({"assessed_at": "2026-07-02 00:00:00"}, [], ("route_quality_invalid", None)),
+        ({"assessed_at": None}, [], ("route_quality_invalid", None)),
+        ({"access_state": " Private "}, [{"state": "closed"}], ("active_restriction", None)),
+        ({}, [{"state": "open"}, {"kind": "trail_closure"}], ("route_closed", 101)),
+        ({}, [{"state": "closed", "valid_until": "2026-07-01 09:59:59"}, {"state": "closed", "valid_from": "2026-07-01 10:00:01"}, {"state": "closed", "active": False}, {"state": "expired", "kind": "trail_closure"}], (None, None)),
+        ({}, [{"state": "closed", "valid_from": "2026-07-01 10:00:00", "valid_until": "2026-07-01 10:00:00"}], ("route_closed", 100)),
+        ({}, [{"kind": "avalanche"}, {"kind": "avalanche", "blocking": True}], ("unsafe_condition", 101)),
+        ({}, [{"source": "restriction", "blocking": True}, {"severity": "extreme", "blocking": True}], ("unsafe_condition", 101)),
+        ({}, [{"source": "restriction", "state": "closed", "blocking": False}], (None, None)),
+        ({}, [{"source": "restriction", "kind": "private_land"}], ("active_restriction", 100)),
+        ({}, [{"source": "restriction", "kind": "safety", "unsafe": True}], ("unsafe_condition", 100)),
+        ({"flags": ["critical_condition_unknown"], "sensitive": True}, [], ("critical_condition_unknown", None)),
+        ({"flags": ["critical_condition_unknown"]}, [], (None, None)),
+    ],
+)
+def test_what_blocks_a_route(spark, route, notices, want):
+    assert blocked(spark, route, *notices) == want

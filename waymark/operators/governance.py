@@ -29,12 +29,6 @@ gov_record_rules = define(
 
 flt_flags = define("flt_planning_flags", "Entities whose flags block planning.", "SELECT id, flag FROM {entities} WHERE flag LIKE 'critical%' OR flag = 'technical_route'")
 
-plan_route_blocker = define(
-    "plan_route_blocker", "First reason a route cannot be planned; null if it can.",
-    """SELECT id, CASE WHEN verification = 'unverified' THEN 'quality' WHEN confidence < 6e-1 THEN 'confidence' WHEN legal IN ('private', 'unknown') THEN 'access' WHEN action IN ('redact', 'exclude') THEN 'sensitivity' WHEN flag IS NOT NULL THEN 'flag:' || flag END AS blocker
-      FROM {entities} WHERE entity_type = 'TrailRoute'""",
-)
-
 plan_access_safe = define("plan_access_safe", "Access points usable for a mode.", "SELECT id, mode FROM {entities} WHERE entity_type = 'AccessPoint' AND legal IN ('legal', 'restricted') AND verification <> 'unverified' AND (flag IS NULL OR flag <> 'critical_access_unknown') AND action = 'publish'")
 
 export_gate = define(

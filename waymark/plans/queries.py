@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from waymark.functions import columns
 from waymark.functions.rounds import written
 from waymark.functions.sql import EARTH_KM, haversine
-from waymark.operators import ALL, discovery, governance, graph, links, records, routes, scalars, search, spatial, status
+from waymark.operators import ALL, discovery, governance, graph, links, planning, records, routes, scalars, search, spatial, status
 from waymark.plans import drive_queries, search_queries, shape_queries
 from waymark.plans import tables as world
 from waymark.plans.drive_queries import nearest_sql
@@ -185,7 +185,16 @@ PRUNED = ", ".join(f"CASE WHEN {f} IS NOT NULL THEN coalesce((SELECT list(x ORDE
 CHILDREN = " UNION ALL ".join(f"SELECT r.id, '{name}' AS field, o.child, o.i FROM {{linked_records}} r, (SELECT unnest(r.{column}) AS child, generate_subscripts(r.{column}, 1) AS i) o WHERE r.entity_type = 'TrailRoute' UNION ALL SELECT l.parent, '{name}', l.id, 1000000 FROM (SELECT id, unnest(linkedEntityIds) AS parent FROM {{linked_records}} WHERE entity_type = '{kind}') l" for name, (column, kind) in links.ATTACHED.items())
 NESTED = ", ".join(f"coalesce(list(child ORDER BY i, child) FILTER (field = '{name}'), []) AS {name}" for name in links.ATTACHED)
 
+DANGER = "coalesce(n.unsafe, FALSE) OR (coalesce(n.blocking, FALSE) AND (severity IN ('high', 'extreme') OR kind IN ('fire', 'avalanche', 'flood', 'volcanic', 'emergency')))"
+BLOCKERS = f"""WITH n AS (SELECT r.id, n.id AS notice_id, source, position, CASE WHEN source = 'condition' THEN CASE WHEN state = 'closed' OR kind IN ('road_closure', 'trail_closure', 'seasonal_gate') THEN 'route_closed' WHEN state IN ('forbidden', 'private') THEN 'active_restriction' WHEN state = 'unsafe' OR {DANGER} THEN 'unsafe_condition' END
+      WHEN n.blocking IS NOT DISTINCT FROM FALSE THEN NULL WHEN state = 'closed' THEN 'route_closed' WHEN state = 'unsafe' OR (kind = 'safety' AND ({DANGER})) THEN 'unsafe_condition' WHEN n.blocking OR state IN ('forbidden', 'private') OR kind = 'private_land' THEN 'active_restriction' END AS code
+      FROM {{planned_routes}} r JOIN {{route_notices}} n ON n.route_id = r.id AND n.active AND state <> 'expired' AND (valid_from IS NULL OR valid_from <= r.at) AND (valid_until IS NULL OR valid_until >= r.at)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source, position, notice_id) AS nth FROM n WHERE code IS NOT NULL)
+  SELECT r.id, CASE WHEN verification IS DISTINCT FROM 'verified' THEN 'route_unverified' WHEN flags IS NULL THEN 'route_quality_invalid' WHEN list_contains(flags, 'rockfall_hazard') THEN 'unsafe_condition' WHEN freshness <> 'current' OR list_contains(flags, 'bridge_access_unknown') THEN 'route_quality_not_current' WHEN assessed_at IS NULL OR assessed_at > r.at THEN 'route_quality_invalid'
+      WHEN access_state = ' Closed' THEN 'route_closed' WHEN access_state = 'private' THEN 'active_restriction' WHEN access_state = 'unsafe' THEN 'unsafe_condition' WHEN k.code IS NOT NULL THEN k.code WHEN list_contains(flags, 'critical_condition_unknown') AND sensitive THEN 'critical_condition_unknown' END AS blocker FROM {{planned_routes}} r LEFT JOIN k ON k.id = r.id AND nth = 1"""
+
 BUILT |= {
+    "plan_route_blocker": (lambda t: planning.route_blockers(t.planned_routes, t.route_notices).select("id", F.col("code").alias("blocker")), BLOCKERS),
     "proj_prune_refs": (
         lambda t: links.pruned(t.linked_records, t.entities.where("action = 'publish'")).where("action = 'publish'").select("id", *links.OPTIONAL),
         f"SELECT id, {PRUNED} FROM {{linked_records}} WHERE action = 'publish'",

@@ -145,6 +145,9 @@ ADAPTERS = {
         ARR(id + 9, id + 1, id + 1, id * 2 + 1) AS accessPointIds, CASE WHEN id % 5 > 0 THEN ARR(id + 2) END AS transportConnectionIds, ARR(id * 7, id * 3) AS priceIds, CASE WHEN id % 16 = 0 THEN ARR(id + 16, id + 8) END AS stageIds,
         CASE WHEN id % 24 = 0 THEN ARR(id + 24) END AS variantIds, ARR(id + 11, id + 3, id + 19) AS segmentIds, CASE WHEN id % 2 = 0 THEN ARR(id + 6) END AS restrictionRefs, ARR(id + 12, id + 4) AS hazardRefs,
         CASE WHEN id % 7 = 0 THEN ARR(id + 5, id + 6) END AS conditionRefs, CASE WHEN id % 9 > 3 THEN ARR(id + 15) END AS permitRequirementIds, ARR(id + 40) AS openingScheduleIds FROM {entities}""",
+    "planned_routes": """SELECT id, CAST(observed AS TIMESTAMP) AS at, CASE WHEN id % 23 = 0 THEN ' Closed' WHEN id % 29 = 0 THEN 'private' WHEN id % 31 = 0 THEN 'unsafe' ELSE 'open' END AS access_state, CASE WHEN id % 7 = 0 THEN 'unverified' WHEN id % 77 = 1 THEN NULL ELSE 'verified' END AS verification, CASE WHEN id % 9 = 0 THEN 'stale' ELSE 'current' END AS freshness,
+        CASE WHEN id % 41 = 0 THEN NULL WHEN id % 13 = 0 THEN CAST(observed + 3 AS TIMESTAMP) ELSE CAST(observed AS TIMESTAMP) END AS assessed_at, CASE WHEN id % 37 = 0 THEN NULL WHEN id % 12 = 0 THEN ARR('critical_condition_unknown') WHEN id % 12 = 4 THEN ARR('parking_fee_unknown', 'official_centerline') WHEN id % 60 = 8 THEN ARR('rockfall_hazard') WHEN id % 60 = 20 THEN ARR('bridge_access_unknown') ELSE ARR('official_centerline') END AS flags, id % 8 = 0 AS sensitive FROM {entities} WHERE entity_type = 'TrailRoute'""",
+    "route_notices": "SELECT l_orderkey AS route_id, l_partkey * 10 + l_linenumber AS id, l_linenumber AS position, CASE WHEN l_linenumber % 3 = 0 THEN 'restriction' ELSE 'condition' END AS source, l_partkey % 9 <> 0 AS active, CASE l_partkey % 16 WHEN 0 THEN 'closed' WHEN 1 THEN 'forbidden' WHEN 2 THEN 'expired' ELSE 'open' END AS state, CASE l_suppkey % 11 WHEN 0 THEN 'trail_closure' WHEN 1 THEN 'fire' WHEN 2 THEN 'safety' WHEN 3 THEN 'private_land' ELSE 'weather' END AS kind, CASE l_linenumber % 3 WHEN 0 THEN 'high' ELSE 'low' END AS severity, CASE l_partkey % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS blocking, l_partkey % 33 = 0 AS unsafe, CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) END AS valid_from, CASE WHEN l_partkey % 14 = 0 THEN NULL ELSE CAST(CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) * 5 AS TIMESTAMP) END AS valid_until FROM {lineitem}",
     "notes": """SELECT id, kind, day, month, year, CASE kind WHEN 'predicted' THEN CASE id % 2 WHEN 0 THEN 'Predicted opening: ' ELSE 'Status: voraussichtliche Öffnung ' END WHEN 'open-from' THEN CASE id % 3 WHEN 0 THEN 'Pass opens on ' WHEN 1 THEN 'reopens again from ' ELSE 'Offen ab ' END WHEN 'closed-until' THEN CASE id % 2 WHEN 0 THEN 'Closed until ' ELSE 'Wintersperre bis ' END ELSE 'Road works, single lane ' END
         || CASE style WHEN 0 THEN CAST(day AS STRING) || '.' || CAST(month AS STRING) || '.' WHEN 1 THEN lpad(CAST(day AS STRING), 2, '0') || '/' || lpad(CAST(month AS STRING), 2, '0') || '/' || CAST(year AS STRING) WHEN 2 THEN en || ' ' || CAST(day AS STRING) || 'th, ' || CAST(year AS STRING) ELSE CAST(day AS STRING) || '. ' || de END AS info, style
         FROM (SELECT id, CAST(1 + id % 28 AS INT) AS day, CAST(1 + id % 12 AS INT) AS month, CAST(2020 + id % 5 AS INT) AS year, id % 4 AS style, CASE id % 5 WHEN 0 THEN 'predicted' WHEN 1 THEN 'open-from' WHEN 2 THEN 'closed-until' WHEN 3 THEN 'open-from' ELSE 'none' END AS kind,

@@ -21,14 +21,16 @@ def folder(spark, tmp_path_factory):
     labels = [(i, 0 if i == 53 else 1, i % 2) for i in [*range(12), 53, 54]] + [(None, 1, 0), (5, None, None)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, "u", "<p>x", "t"), (None, None, None, None), (1, "u", "<p>x", "t")], "page_id long, url string, html string, text string").write.parquet(f"{path}/pages.parquet")
-    spark.createDataFrame([(1, [1.0, 2.0]), (50, None), (None, [1.0, 2.0])], "vec_id long, embedding array<double>").write.parquet(f"{path}/embeddings.parquet")
+    turns = [(1, 0, "user", "Hello.", 1, "x"), (1, 1, None, None, 2, None), (1, None, "assistant", "w " * 60_000, None, "y"), (1, 0, "user", "Hello.", 1, "x"), (None, None, None, None, None, None), (2, 7, "system", "", 0, "")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, pos long, block string").write.parquet(f"{path}/conversations.parquet")
+    spark.createDataFrame([(1, [1.0, 2.0], 1, 0), (50, None, 1, 0), (None, [1.0, 2.0], None, 0), (101, [1.0, 2.0], None, 0)], "vec_id long, embedding array<double>, label int, dim int").write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
 
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "labels", "pages", "embeddings"):
+    for t in ("documents", "labels", "pages", "embeddings", "conversations"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{path}/{t}.parquet")
     return str(path)
 
@@ -38,8 +40,10 @@ def test_queries_take_odd_rows_and_empty_tables(spark, folder, empty, name):
     table = {"op6": "pages", "op2": "embeddings"}.get(name.split("_")[0], "documents")
     got = registry.queries()[name](spark, folder)
     n = spark.read.parquet(f"{folder}/{table}.parquet").count()
-    if name.startswith("op5"):
+    if name.startswith(("op5", "op13")):
         assert got.count() == 0
+    elif name.startswith("op11"):
+        assert {r.conv_id for r in got.collect()} == {1, 2, None}
     elif name.startswith("op7"):
         assert got.where("rank = 1").count() == n
     else:

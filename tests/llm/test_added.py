@@ -101,6 +101,15 @@ def test_repair_of_odd_rows_and_cut_conversations(spark, monkeypatch, bits):
     assert turns == {conv: list(w[1]) for conv, w in want.items() if w[1]}
 
 
+def test_repair_of_conversations_cut_before_their_last_rows(spark, monkeypatch):
+    monkeypatch.setattr(dialogs, "BITS", 2)
+    rng = random.Random(11)
+    rows = [(conv, turn, *(("user", "A.") if turn == 0 else rng.choice([("user", " "), ("user", "A."), ("assistant", "")]))) for conv in range(60) for turn in range(rng.randrange(1, 6))]
+    df = spark.createDataFrame(rows, TURNS)
+    got = {r["conv_id"]: tuple(r[n] for n in REPORT) for r in dialogs.reported(Scratch(spark), df, df.select("conv_id")).collect()}
+    assert got == {conv: plain_repair(own)[0] for conv, own in in_order(rows).items()}
+
+
 def test_repair_without_rows_and_with_nulls(spark):
     empty = spark.createDataFrame([], TURNS)
     assert dialogs.reported(Scratch(spark), empty, empty.select("conv_id")).count() == 0

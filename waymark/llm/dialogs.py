@@ -157,9 +157,9 @@ def _beyond(pieces: pa.Table) -> pa.Table:
     right, out = AFTER, []
     for row in sorted(pieces.to_pylist(), key=lambda r: -r["block"]):
         if row["tail"]:
-            out.append((row["block"], right.tolist()))
+            out.append((row["block"], right.tolist(), right is AFTER))
         right = np.minimum((np.array(row["costs"]).reshape(4, 4) + right[None]).min(axis=1), NEVER)
-    return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "right": pa.array([o[1] for o in out], pa.list_(pa.int64())), "closed": pa.array([i == 0 for i in range(len(out))], pa.bool_())})
+    return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "right": pa.array([o[1] for o in out], pa.list_(pa.int64())), "closed": pa.array([o[2] for o in out], pa.bool_())})
 
 
 def _solved(batch, k: int, borders: bool):

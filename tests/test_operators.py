@@ -376,6 +376,16 @@ def test_polyline_hit_is_fractional(spark):
     assert rows(spatial.polyline_hits(point, line, 500.0), "id", "metres", "position") == [(9, 111, 1.25)]
 
 
+def test_surroundings_meet_places_and_not_their_copies(spark):
+    p = spark.createDataFrame([(i, 46.0, 8.0) for i in range(50)] + [(60, None, 8.0)], "id long, lat double, lon double")
+    kinds = ["peak", "peak", "open", "closed", "closed", "parking"]
+    f = spark.createDataFrame([(100 + i, k, 46.001, 8.0) for i, k in enumerate(kinds * 20)], "id long, kind string, lat double, lon double")
+    got = spatial.surroundings(p, f, 8_000.0)
+    assert rows(got, *got.columns) == [*((i, 40, 0, 0, 0, 0.333, 105, 111) for i in range(50)), (60, 0, 0, 0, 0, None, None, None)]
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Aggregate [lat") + text.count("Aggregate [r_lat") >= 2
+
+
 def test_region_by_crossings(spark):
     square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (1.0, 1.0), (0.0, 2.0)]
     pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.0, 1.8), (3, 3.0, 1.0)], "id long, lon double, lat double")

@@ -386,6 +386,15 @@ def test_surroundings_meet_places_and_not_their_copies(spark):
     assert text.count("Aggregate [lat") + text.count("Aggregate [r_lat") >= 2
 
 
+def test_points_of_one_place_are_linked_through_its_least_id(spark):
+    from waymark.operators import graph
+
+    df = spark.createDataFrame([(i, 46.0, 8.0) for i in range(30)] + [(i, 46.0, 8.01) for i in range(30, 60)] + [(70, 47.0, 8.0)], "id long, lat double, lon double")
+    edges = spatial.proximity(df, 1_000.0)
+    assert edges.count() == 62
+    assert sorted(tuple(r) for r in graph.components(edges).collect()) == [*((i, 0) for i in range(60)), (70, 70)]
+
+
 def test_region_by_crossings(spark):
     square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (1.0, 1.0), (0.0, 2.0)]
     pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.0, 1.8), (3, 3.0, 1.0)], "id long, lon double, lat double")

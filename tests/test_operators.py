@@ -395,6 +395,14 @@ def test_points_of_one_place_are_linked_through_its_least_id(spark):
     assert sorted(tuple(r) for r in graph.components(edges).collect()) == [*((i, 0) for i in range(60)), (70, 70)]
 
 
+def test_polyline_hits_are_made_once_for_a_place_and_reduced_there(spark):
+    line = spark.createDataFrame([(1, 1, 46.0, 8.0, 46.0, 8.1), (1, 2, 46.0, 8.1, 46.0, 8.0), (2, 1, 46.3, 8.0, 46.3, 9.0)], "tour_id long, ord int, lat double, lon double, lat2 double, lon2 double")
+    point = spark.createDataFrame([(9, 46.001, 8.025), (7, 46.001, 8.025), (7, 46.001, 8.025), (6, 46.302, 8.5), (6, 46.301, 8.75), (None, 46.0, 8.0)], "id long, lat double, lon double")
+    hits = spatial.polyline_hits(point, line, 500.0)
+    assert rows(hits, "id", "tour_id", "metres", "position") == [(6, 2, 111, 1.75), (7, 1, 111, 1.25), (9, 1, 111, 1.25)]
+    assert "Window" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
 def test_region_by_crossings(spark):
     square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (1.0, 1.0), (0.0, 2.0)]
     pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.0, 1.8), (3, 3.0, 1.0)], "id long, lon double, lat double")

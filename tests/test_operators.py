@@ -501,6 +501,12 @@ def test_retraces_equal_all_pairs_of_samples(spark):
     assert rows(routes.retrace_overlap(stops), "tour_id", "ord", "other", "metres") == want
 
 
+def test_pairs_of_legs_are_dealt_out_before_their_samples_are_listed(spark):
+    stops = spark.createDataFrame([(1, 1, 46.0, 8.0), (1, 2, 46.1, 8.1)], "tour_id long, ord int, lat double, lon double")
+    plan = routes.retrace_overlap(stops)._jdf.queryExecution().executedPlan().toString().replace("#", " ")
+    assert "REPARTITION_BY_NUM" in plan
+
+
 def plain_clusters(items, radius=64, size=65536):
     """Links of adjoining cells tried one by one, the closest first."""
     cells, out = {}, []

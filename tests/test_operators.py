@@ -403,6 +403,14 @@ def test_polyline_hits_are_made_once_for_a_place_and_reduced_there(spark):
     assert "Window" not in hits._jdf.queryExecution().executedPlan().toString()
 
 
+def test_road_classes_meet_places_once(spark):
+    sides = spark.createDataFrame([(i, "A", 46.0, 8.0, 46.0, 8.05) for i in range(20)], "pass_id long, side string, lat double, lon double, lat2 double, lon2 double")
+    roads = spark.createDataFrame([(i, "track" if i % 3 else "trunk", 46.001, 8.02) for i in range(30)], "id long, class string, lat double, lon double")
+    got = spatial.road_classes(sides, roads)
+    assert rows(got, *got.columns) == [(i, "A", 30, "track", True) for i in range(20)]
+    assert rows(got, *got.columns) == rows(spatial.dominant_class(spatial.road_geometry(sides, roads)), *got.columns)
+
+
 def test_region_by_crossings(spark):
     square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (1.0, 1.0), (0.0, 2.0)]
     pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.0, 1.8), (3, 3.0, 1.0)], "id long, lon double, lat double")

@@ -292,6 +292,33 @@ def test_crossings_need_both_gateways_on_opposite_sides(spark):
     assert shapes.pass_crossings(p.withColumn("open", F.lit(True)), b, stops).first().verdict == "implicit"
 
 
+def test_crossings_are_found_by_block_and_equal_those_of_single_hits(spark, monkeypatch):
+    import random
+
+    from waymark.operators import spatial
+
+    rng = random.Random(4)
+    sites = [(46.0 + rng.random(), 7.0 + rng.random() * 2) for _ in range(12)]
+    near = lambda: [x + rng.uniform(-0.01, 0.01) for x in rng.choice(sites)]
+    stops = spark.createDataFrame([(t, o, rng.randrange(60), *near()) for t in range(300) for o in range(1, 5)], "tour_id long, ord int, pass_id long, lat double, lon double")
+    spots = [near() for _ in range(20)]  # passes of one place
+    tops = [(i, *spots[i % 20], i % 3 > 0) for i in range(60)]
+    sides = [(i, side, la, lo + d) for i, la, lo, _ in tops for side, d in (("A", -0.06), ("B", 0.06))]
+    for tops_, sides_ in ((tops, sides), (tops + [(1, *spots[7], True)], sides + [(2, "A", *spots[5])])):
+        p = spark.createDataFrame(tops_ + [(None, 46.0, 8.0, True), (99, None, 8.0, True)], "id long, lat double, lon double, open boolean")
+        b = spark.createDataFrame(sides_, "pass_id long, side string, lat double, lon double")
+        lines = spatial.line_segments(stops)
+        hits = lambda q, m, name: {(r.tour_id, r.id): r.position for r in spatial.polyline_hits(q, lines, m).collect()}
+        top = hits(p.select("id", "lat", "lon"), 1_500.0, "top")
+        a, z = (hits(b.where(F.col("side") == s).select(F.col("pass_id").alias("id"), "lat", "lon"), 2_500.0, s) for s in "AB")
+        planned = {(r.tour_id, r.pass_id) for r in stops.collect()}
+        want = sorted((k[0], k[1], top[k], "implicit" if o else "blocked") for k in top if k in a and k in z and k not in planned and (a[k] < top[k]) != (z[k] < top[k]) for i, _, _, o in tops_ if i == k[1])
+        assert len(want) > 20
+        with monkeypatch.context() as m:  # nothing is listed by pass
+            m.setattr(spatial, "polyline_hits", None)
+            assert rows(shapes.pass_crossings(p, b, stops), "tour_id", "pass_id", "summit", "verdict") == want
+
+
 def test_packages_refuse_what_cannot_fit(spark):
     items = spark.createDataFrame([("r", i, json.dumps({"id": i, "x": "y" * n})) for i, n in enumerate([40, 50, 30])], "region string, id long, document string")
     got = {r.shard: r for r in sinks.packages(items, 270).collect()}

@@ -319,6 +319,24 @@ def test_crossings_are_found_by_block_and_equal_those_of_single_hits(spark, monk
             assert rows(shapes.pass_crossings(p, b, stops), "tour_id", "pass_id", "summit", "verdict") == want
 
 
+def test_links_and_options_meet_places_and_not_their_copies(spark, monkeypatch):
+    from waymark.operators import schedules
+
+    seen, plain = [], schedules.within
+
+    def within(left, right, *more):
+        seen.append((left.count(), right.count()))
+        return plain(left, right, *more)
+
+    monkeypatch.setattr(schedules, "within", within)
+    points = spark.createDataFrame([(i, 46.0, 8.0, "bus" if i % 2 else "car") for i in range(40)] + [(90, 10.0, 8.0, "bus")], "id long, lat double, lon double, mode string")
+    links = spark.createDataFrame([(i, ("both", "outbound", "return")[i % 3], 46.0, 8.0, 46.0, 8.001 if i % 2 else 9.0) for i in range(30)], "id long, direction string, lat double, lon double, lat2 double, lon2 double")
+    assert rows(schedules.transport_links(points, links), "id", "outbound", "inbound") == [(i, 15, 20) for i in range(40)]
+    routes = spark.createDataFrame([(i, 46.0, 8.0, 46.0, 8.0 if i % 2 else 9.0, True) for i in range(20)] + [(50, 10.0, 8.0, 20.0, 8.0, True)], "id long, lat double, lon double, lat2 double, lon2 double, retraced boolean")
+    assert rows(schedules.journey_options(routes, points, links), "id", "modes", "way_back") == [(i, "bus,car", "loop" if i % 2 else "transport") for i in range(20)] + [(50, "bus", "out_and_back")]
+    assert max(max(x) for x in seen) <= 12
+
+
 def test_packages_refuse_what_cannot_fit(spark):
     items = spark.createDataFrame([("r", i, json.dumps({"id": i, "x": "y" * n})) for i, n in enumerate([40, 50, 30])], "region string, id long, document string")
     got = {r.shard: r for r in sinks.packages(items, 270).collect()}

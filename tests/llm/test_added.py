@@ -203,6 +203,17 @@ def test_bpe_over_tables(spark, vocabulary, library):
     assert bytebpe.encoded(df.limit(0)).count() == 0
 
 
+def test_bpe_words_are_written_once_and_again_when_the_table_is_full(vocabulary, library, monkeypatch):
+    texts = list(some_texts(random.Random(12), 60)) + ["", "a" * 200, "na\u00efve \u4e2d\u6587 " * 40]
+    for kept in (bytebpe.KEPT, 5):
+        monkeypatch.setattr(bytebpe, "KEPT", kept)
+        v = bytebpe.Vocabulary(vocabulary.ranks, vocabulary.pattern)
+        for text in texts + texts:
+            ids = library.encode_ordinary(text)
+            assert v.written(text) == (len(ids), ",".join(map(str, ids)).encode(), text.encode())
+        assert len(v._written) <= kept
+
+
 def test_bpe_query(spark, library):
     got = {r["doc_id"]: r for r in bytebpe.op12_byte_bpe(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():

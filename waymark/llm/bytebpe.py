@@ -40,6 +40,24 @@ SHORT = 48
 NEVER = 1 << 60
 
 
+class Written(dict):
+    """A word's number of tokens, these in decimal, and the bytes that they decode to; made when first asked for."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+
+    def __missing__(self, match: str) -> tuple[int, bytes, bytes]:
+        v = self.v
+        piece = match.encode()
+        ids = v.followed(piece, [] if piece in v.ranks else v.prefixes(piece, []))
+        found = len(ids), ",".join(map(str, ids)).encode(), v.decode(ids)
+        if len(piece) <= SHORT:
+            if len(self) >= KEPT:
+                self.clear()
+            self[match] = found
+        return found
+
+
 class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
         self.ranks, self.pattern = ranks, pattern
@@ -49,8 +67,13 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=0)
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._borders: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
-        self._meets: dict[int, bool] = {}
+        # for each token whether it may follow another; what each state's tokens need at hand; states reached by falling
+        self._meets: dict[int, dict[int, bool]] = {token: {} for token in self.bytes}
+        self._n_meets = 0
+        self._ends = [tuple((size, token, self._meets[token]) for size, token in tokens) for tokens in self.found]
+        self._past: list[dict[int, int]] = [dict(to) for to in self.steps]
         self._words: dict[str, tuple] = {}
+        self._written = Written(self)
 
     @staticmethod
     def _automaton(ranks: dict[bytes, int]) -> tuple[list[dict[int, int]], list[int], list[tuple[tuple[int, int], ...]]]:
@@ -134,25 +157,32 @@ class Vocabulary:
                     i += 1
                 else:
                     j += 1
-        if len(self._meets) >= KEPT:
-            self._meets.clear()
-        self._meets[a << 32 | b] = found
+        if self._n_meets >= KEPT:
+            for met in self._meets.values():
+                met.clear()
+            self._n_meets = 0
+        self._meets[b][a] = found
+        self._n_meets += 1
         return found
 
     def prefixes(self, piece: bytes, last: list[int]) -> list[int]:
         """last, the tokens that end the first prefixes of piece (from the prefix of one byte on), with those of the others."""
-        meets, steps, falls, found = self._meets, self.steps, self.falls, self.found
-        begin, at = len(last), 0
+        steps, ends = self.steps, self._ends
+        begin, at, past = len(last), 0, self._past
         for end, byte in enumerate(piece[max(0, begin - self.longest) :], max(0, begin - self.longest)):
-            while at and byte not in steps[at]:
-                at = falls[at]
-            at = steps[at].get(byte, 0)
+            to = past[at].get(byte)
+            if to is None:
+                to = at
+                while to and byte not in steps[to]:
+                    to = self.falls[to]
+                to = past[at][byte] = steps[to].get(byte, 0)
+            at = to
             if end < begin:
                 continue
-            for size, token in found[at]:
+            for size, token, meets in ends[at]:
                 if size <= end:
                     before = last[end - size]
-                    right = meets.get(before << 32 | token)
+                    right = meets.get(before)
                     if right is None:
                         right = self.meets(before, token)
                 else:
@@ -188,6 +218,12 @@ class Vocabulary:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.word, self.matches.findall(text))))
 
+    def written(self, text: str) -> tuple[int, bytes, bytes]:
+        """How many tokens a text has, the tokens in decimal, joined by commas, and the bytes that they decode to. Words come
+        again and again, so that a word's tokens are written and decoded once, as long as the table holds them."""
+        told = list(map(self._written.__getitem__, self.matches.findall(text)))
+        return sum(w[0] for w in told), b",".join([w[1] for w in told]), b"".join([w[2] for w in told])
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -275,9 +311,8 @@ def digested(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizer
     shipped = _vocabulary(docs.sparkSession, path, pattern)
 
     def of(batch, i):
-        v = shipped.value
-        ids = v.encode(batch.column("text")[i].as_py() or "")
-        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(v.decode(ids)).hexdigest()
+        n, ids, raw = shipped.value.written(batch.column("text")[i].as_py() or "")
+        return n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()
 
     return _more(docs, {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}, of)
 

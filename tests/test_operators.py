@@ -772,3 +772,31 @@ def blocked(spark, route, *notices):
 )
 def test_what_blocks_a_route(spark, route, notices, want):
     assert blocked(spark, route, *notices) == want
+
+
+def test_stops_are_dealt_out_by_rows(spark, monkeypatch):
+    from waymark.plans import tables
+
+    t = tables.Tables(spark, "/root/testdata/sf0.001")
+    want = rows(t.stops, "tour_id", "ord", "place_id")
+    monkeypatch.setattr(tables, "ROWS", 300)
+    small = tables.Tables(spark, "/root/testdata/sf0.001")
+    per_task = small.stops.groupBy(F.spark_partition_id()).count().agg(F.count("*"), F.max("count")).first()
+    assert per_task[0] >= 15 and per_task[1] < 900 and rows(small.stops, "tour_id", "ord", "place_id") == want
+    assert small.stops.rdd.getNumPartitions() == small.parts("lineitem") == -(-len(want) // 300)
+    op = routes.agg_retrace_counts.text
+    assert small.sql(op).rdd.getNumPartitions() == small.parts("lineitem") and rows(small.sql(op), "tour_id", "retraced") == rows(t.sql(op), "tour_id", "retraced")
+
+
+def test_rows_shown_for_tours_meet_once(spark):
+    from waymark.operators import shapes
+
+    stops = spark.createDataFrame([(1, 1, 10), (1, 2, 99), (1, 3, 11), (2, 1, 10), (3, 1, 99)], "tour_id long, ord int, place_id long")
+    places = spark.createDataFrame([(10, "ten", "c"), (11, "eleven", None)], "id long, name string, category string")
+    tours = spark.createDataFrame([(1, False, "from", "to"), (2, True, "from", "to"), (3, False, "from", "to"), (4, None, "from", "to")], "tour_id long, closed boolean, start_name string, end_name string")
+    breaks = spark.createDataFrame([(1, 1.4), (1, 9.0), (2, -5.0), (3, 1.0), (9, 1.0)], "tour_id long, position double")
+    got = shapes.display_stops(stops, places, tours, breaks, 7)
+    want = [(1, "start", "from"), (1, "stop", "ten"), (1, "break", None), (1, "stop", "eleven"), (1, "break", None), (1, "end", "to"), (2, "stop", "ten"), (2, "break", None)]
+    assert [(r.tour_id, r.role, r.name) for r in got.orderBy("tour_id", "row").collect()] == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(tour_id" in plan.replace("#", " ").replace("tour_id ", "tour_id") and plan.count("REPARTITION_BY_NUM") == 1

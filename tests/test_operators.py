@@ -800,3 +800,32 @@ def test_rows_shown_for_tours_meet_once(spark):
     assert [(r.tour_id, r.role, r.name) for r in got.orderBy("tour_id", "row").collect()] == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(tour_id" in plan.replace("#", " ").replace("tour_id ", "tour_id") and plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_alerts_meet_the_elevations_of_an_alias_and_not_its_passes(spark):
+    rng = random.Random(5)
+    names = ["Alpha Pass", "Beta / Alpha", "Gamma - Beta", "Gammá", "none"]
+    some = lambda n: [(i, rng.choice(names), rng.choice([None, *range(500, 2500, 37)])) for i in range(n)]
+    alerts, passes = some(300), some(60)
+    schema = "id long, name string, elev int"
+    forms = {r.name: set(r.a) for r in spark.createDataFrame([(n,) for n in names], "name string").select("name", feeds.aliases(F.col("name")).alias("a")).collect()}
+    want = []
+    for i, name, elev in alerts:
+        near = [(0 if elev is None or e is None else abs(elev - e), p) for p, n, e in passes if forms[n] & forms[name]]
+        if near and min(near)[0] <= 200:
+            want.append((i, *reversed(min(near))))
+    got = feeds.alias_alerts(spark.createDataFrame(alerts, schema), spark.createDataFrame(passes, schema))
+    assert rows(got, "id", "pass_id", "gap") == want and len(want) > 100
+    # half a billion pairs of one alias: one row for each alert, without listing the pairs
+    many = spark.range(22_000).selectExpr("id", "'Alpha' AS name", "cast(1000 + id % 900 as int) AS elev")
+    assert feeds.alias_alerts(many, many).where("gap = 0 and pass_id = id % 900").count() == 22_000
+
+
+def test_passes_of_the_same_bases_are_one_class(spark):
+    rng = random.Random(6)
+    spots = [(46 + rng.randrange(12) / 50, 7 + rng.randrange(12) / 50) for _ in range(25)] + [(None, 7.0), (10.0, 179.99), (10.0, -179.99)]
+    bases = [(i, *rng.choice(spots)) for i in range(70) for _ in range(i % 3)]
+    df = spark.createDataFrame(bases, "pass_id long, lat double, lon double")
+    pairs = df.crossJoin(df.selectExpr("pass_id AS b", "lat AS lat2", "lon AS lon2")).where("pass_id < b").withColumn("m", spatial.distance_m("lat", "lon", "lat2", "lon2")).where("m <= 5000")
+    want = pairs.groupBy(F.col("pass_id").alias("a"), "b").agg(F.min(F.floor(F.col("m") + 0.5)).alias("metres"))
+    assert rows(spatial.shared_gateways(df), "a", "b", "metres") == rows(want, "a", "b", "metres") and want.count() > 50

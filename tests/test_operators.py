@@ -829,3 +829,41 @@ def test_passes_of_the_same_bases_are_one_class(spark):
     pairs = df.crossJoin(df.selectExpr("pass_id AS b", "lat AS lat2", "lon AS lon2")).where("pass_id < b").withColumn("m", spatial.distance_m("lat", "lon", "lat2", "lon2")).where("m <= 5000")
     want = pairs.groupBy(F.col("pass_id").alias("a"), "b").agg(F.min(F.floor(F.col("m") + 0.5)).alias("metres"))
     assert rows(spatial.shared_gateways(df), "a", "b", "metres") == rows(want, "a", "b", "metres") and want.count() > 50
+
+
+def test_needs_for_lunch_against_each_leg_looked_through(spark):
+    rng = random.Random(8)
+    legs = [(t, i + 1, rng.choice([0, 300, 450, 900, 4000]), rng.choice([0, 900]), round(rng.random(), 1), rng.choice([0, 799, 800, 1200])) for t in range(60) for i in range(1 + t % 7)]
+    edges = spark.createDataFrame(legs, "tour_id long, ord int, duration_s long, dwell_s long, scenic double, gain_m long")
+    want = []
+    for t in range(60):
+        at, es = 0, []
+        for _, _, d, _, scenic, gain in legs[sum(1 + x % 7 for x in range(t)) :][: 1 + t % 7]:
+            es.append((at, at + d, scenic, gain))
+            at += d
+        threshold = sorted(e[2] for e in es)[math.floor((len(es) - 1) * 0.9)]
+        for step, s in enumerate([*range(0, max(at, 1), 300), at]):
+            here = next(e for e in es if e[0] <= s <= e[1])
+            need = math.exp(-0.5 * ((480 + s // 60 - 750) / 30.0) ** 2) + max(0.0, min(1.0, (s / 3600 - 4) / 2)) * 0.55
+            need += 0.3 if any(e[3] >= 800 and e[1] <= s <= e[1] + 2700 for e in es) else 0.0
+            want.append((t, step, s, math.floor(max(0.0, need + (-0.2 if here[2] >= threshold else 0.0)) * 10**4 + 0.5) / 10**4))
+    curve = drives.hunger_curve(drives.segmented(edges))
+    assert rows(curve, "tour_id", "step", "t_sec", "need") == sorted(want)
+    assert "lambda" not in curve._jdf.queryExecution().optimizedPlan().toString()  # samples are rows, legs are not looked through for each
+
+
+def test_places_around_a_position_are_found_once(spark):
+    rng = random.Random(9)
+    spots = [(10 + rng.randrange(40) / 100, 20 + rng.randrange(40) / 100) for _ in range(20)] + [(10.0, 179.99), (10.0, -179.99)]
+    places = [(i, 5.0, ["restaurant"], rng.choice(["food", "nature"]), *rng.choice(spots)) for i in range(40)]
+    track = [(t, o, 900.0 * o, 0, 0.0, *rng.choice(spots)) for t in range(30) for o in range(1, 4)]
+    p = spark.createDataFrame(places, "id long, score double, categories array<string>, family string, lat double, lon double")
+    v = spark.createDataFrame(track, "tour_id long, ord int, t_sec double, place_id long, scenic double, lat double, lon double")
+    far = v.crossJoin(p.selectExpr("id", "family", "lat AS r_lat", "lon AS r_lon")).withColumn("m", spatial.distance_m("lat", "lon", "r_lat", "r_lon"))
+    segments = v.selectExpr("tour_id", "ord", "0L AS segment", "1000L AS distance_m").unionByName(v.limit(0).selectExpr("tour_id", "ord", "0L AS segment", "1000L AS distance_m"))
+    want = {r.tour_id: r.n for r in far.where("m <= 5000 and ord <> 2").groupBy("tour_id").agg(F.count_distinct("id").alias("n")).collect()}
+    got = {r.tour_id: r.places for r in drives.segment_density(p, segments, v).collect()}
+    assert got == {t: want.get(t, 0) for t in range(30)} and any(want.values())
+    windows = v.select("tour_id").distinct().selectExpr("tour_id", "900L AS from_s", "1800L AS to_s", "900L AS peak_s")
+    fed = drives.fed_tours(p, v, windows)
+    assert rows(fed, "tour_id") == rows(drives.lunch_candidates(p, v, windows).select("tour_id").distinct(), "tour_id") and 0 < fed.count() < 30

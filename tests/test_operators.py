@@ -855,7 +855,7 @@ def test_needs_for_lunch_against_each_leg_looked_through(spark):
 def test_places_around_a_position_are_found_once(spark):
     rng = random.Random(9)
     spots = [(10 + rng.randrange(40) / 100, 20 + rng.randrange(40) / 100) for _ in range(20)] + [(10.0, 179.99), (10.0, -179.99)]
-    places = [(i, 5.0, ["restaurant"], rng.choice(["food", "nature"]), *rng.choice(spots)) for i in range(40)]
+    places = [(i, 5.0, ["restaurant"], "food" if i < 3 else "nature", *rng.choice(spots)) for i in range(40)]
     track = [(t, o, 900.0 * o, 0, 0.0, *rng.choice(spots)) for t in range(30) for o in range(1, 4)]
     p = spark.createDataFrame(places, "id long, score double, categories array<string>, family string, lat double, lon double")
     v = spark.createDataFrame(track, "tour_id long, ord int, t_sec double, place_id long, scenic double, lat double, lon double")
@@ -867,3 +867,16 @@ def test_places_around_a_position_are_found_once(spark):
     windows = v.select("tour_id").distinct().selectExpr("tour_id", "900L AS from_s", "1800L AS to_s", "900L AS peak_s")
     fed = drives.fed_tours(p, v, windows)
     assert rows(fed, "tour_id") == rows(drives.lunch_candidates(p, v, windows).select("tour_id").distinct(), "tour_id") and 0 < fed.count() < 30
+
+
+def test_clusters_pass_nothing_through_the_driver(spark, monkeypatch):
+    plans, own = [], routes.written
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df)
+
+    monkeypatch.setattr(routes, "written", kept)
+    items = spark.range(3_000).selectExpr("id", "7 + (id * 37 % 101) / 40 AS lon", "46 + (id * 53 % 97) / 40 AS lat")
+    got = routes.overlay_clusters(items)
+    assert got.agg(F.sum("n")).first()[0] == 3_000 and len(plans) > 5 and not any("Broadcast" in p for p in plans)

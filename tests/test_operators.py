@@ -5,6 +5,7 @@ import json
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -880,3 +881,29 @@ def test_clusters_pass_nothing_through_the_driver(spark, monkeypatch):
     items = spark.range(3_000).selectExpr("id", "7 + (id * 37 % 101) / 40 AS lon", "46 + (id * 53 % 97) / 40 AS lat")
     got = routes.overlay_clusters(items)
     assert got.agg(F.sum("n")).first()[0] == 3_000 and len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_lunch_zones_take_places_of_a_position_at_once(spark, monkeypatch):
+    rng = random.Random(12)
+    spots = [(46 + rng.randrange(60) / 200, 8 + rng.randrange(60) / 200) for _ in range(25)]
+    kinds = [["food", "restaurant"], ["food", "cafe", "cafe"], ["food", "mountain-hut"], [], None]
+    places = [(i, rng.choice([None, 2.0, 4.0, 9.0]), rng.choice(kinds), "food" if i % 7 else "nature", *rng.choice(spots)) for i in range(200)]
+    track = [(t, o, 900 * o, round(rng.random(), 1), *rng.choice(spots)) for t in range(20) for o in range(1, 5)]
+    p = spark.createDataFrame(places, "id long, score double, categories array<string>, family string, lat double, lon double")
+    v = spark.createDataFrame(track, "tour_id long, ord int, t_sec long, scenic double, lat double, lon double")
+    windows = v.select("tour_id").distinct().selectExpr("tour_id", "900L AS from_s", "2700L AS to_s", "1800L AS peak_s")
+    segments = v.selectExpr("tour_id", "scenic", "'connector' AS kind", "t_sec AS end_s")
+    one, each = drives.lunch_spots(p, v, windows), drives.lunch_candidates(p, v, windows)
+    names = ("tour_id", "zone", "n", "lat", "lon", "score", "entropy", "arrive_from_s", "arrive_to_s", "vibe", "role")
+    got = drives.lunch_zones(one, segments)
+    assert sorted(map(str, rows(got, *names))) == sorted(map(str, rows(drives.lunch_zones(each, segments), *names))) and got.count() > 20
+    assert one.groupBy("tour_id", "lat", "lon").count().where("count > 1").count() == 0 and one.count() * 3 < each.count() == one.agg(F.sum("n")).first()[0]
+    # components of each array equal a plain search, wherever the pairs are cut
+    monkeypatch.setattr(drives, "PAIRS", 50)
+    arrays = [[rng.choice(spots) for _ in range(rng.choice([0, 1, 2, 9, 20]))] for _ in range(30)]
+    found = drives._roots(4_000.0).func(*(pa.array([[x[k] for x in xs] for xs in arrays], pa.list_(pa.float64())) for k in (0, 1))).to_pylist()
+    for xs, roots in zip(arrays, found, strict=True):
+        want = list(range(len(xs)))
+        for _ in xs:
+            want = [min(want[j] for j, y in enumerate(xs) if 2 * 6371e3 * math.asin(math.sqrt(math.sin(math.radians(y[0] - x[0]) / 2) ** 2 + math.cos(math.radians(x[0])) * math.cos(math.radians(y[0])) * math.sin(math.radians(y[1] - x[1]) / 2) ** 2)) <= 4000) for x in xs]
+        assert roots == want

@@ -907,3 +907,32 @@ def test_lunch_zones_take_places_of_a_position_at_once(spark, monkeypatch):
         for _ in xs:
             want = [min(want[j] for j, y in enumerate(xs) if 2 * 6371e3 * math.asin(math.sqrt(math.sin(math.radians(y[0] - x[0]) / 2) ** 2 + math.cos(math.radians(x[0])) * math.cos(math.radians(y[0])) * math.sin(math.radians(y[1] - x[1]) / 2) ** 2)) <= 4000) for x in xs]
         assert roots == want
+
+
+def test_corridor_counts_and_leftovers_equal_those_of_all_tiers(spark):
+    rng = random.Random(13)
+    spots = [(46 + rng.randrange(40) / 1000, 8 + rng.randrange(40) / 1000) for _ in range(12)]
+    places = [(i, float(rng.randrange(11)), rng.choice([["food", "cafe"], ["nature", "viewpoint"], ["museum"]]), *rng.choice(spots)) for i in range(150)]
+    track = [(t, o, 1500 * o, bool(o % 2), rng.randrange(200), *rng.choice(spots)) for t in range(15) for o in range(1, 5)]
+    p = spark.createDataFrame(places, "id long, score double, categories array<string>, lat double, lon double")
+    v = spark.createDataFrame(track, "tour_id long, ord int, t_sec long, on_climb boolean, place_id long, lat double, lon double")
+    own = {(t[0], t[4]) for t in track}
+    ranked = drives.ranked_corridor(p, v, themes=("viewpoint",))
+    assert ranked.count() > 100 and not own & set(rows(ranked, "tour_id", "poi"))
+    told = drives.tiers(ranked)
+    want = told.groupBy("tour_id").agg(F.count_if(F.col("tier") == "auto").alias("auto"), F.count_if(F.col("tier") == "suggestion").alias("suggestions"))
+    assert rows(drives.tier_counts(p, v), "tour_id", "auto", "suggestions") == rows(want, "tour_id", "auto", "suggestions")
+    kept = drives.hour_fairness(told.where("tier = 'auto'"))
+    left = rows(kept.where("not kept"), "tour_id", "poi") + rows(told.where("tier = 'suggestion'"), "tour_id", "poi")
+    few = drives.left_over(drives.ranked_corridor(p, v, themes=("viewpoint",), least=6.0))
+    assert rows(few, "tour_id", "poi") == sorted(left)
+    picked, pool = {}, {}
+    for r in few.collect():
+        pool.setdefault(r.tour_id, []).append(r)
+    for t, xs in pool.items():
+        for place in range(1, 4):
+            like = lambda x: max([len({*x.categories} & {*y.categories}) / len({*x.categories} | {*y.categories}) for y in picked.get(t, [])], default=0.0)
+            left = [x for x in xs if x not in picked.get(t, [])]
+            if left:
+                picked.setdefault(t, []).append(min(left, key=lambda x: (round(-x.rank_score + like(x) * 2.5, 9), -x.rank_score, -x.score, x.detour, x.ord, x.poi)))
+    assert rows(routes.mmr(few, 3), "tour_id", "place", "poi") == sorted((t, i + 1, x.poi) for t, xs in picked.items() for i, x in enumerate(xs))

@@ -561,6 +561,42 @@ def test_pairs_of_legs_are_dealt_out_before_their_samples_are_listed(spark):
     assert "REPARTITION_BY_NUM" in plan
 
 
+def test_legs_of_a_tour_meet_without_a_join_and_only_where_enough_samples_can(spark):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from waymark.operators import legs
+
+    rng = random.Random(8)
+    corners = [(46 + a * 0.05, 8 + b * 0.05) for a in range(3) for b in range(3)]
+    tours = {t: [(p[0] + rng.uniform(-0.002, 0.002), p[1] + rng.uniform(-0.002, 0.002)) for p in (rng.choice(corners) for _ in range(n))] for t, n in enumerate([2, 90, 1, 30, 7, 7])}
+    stops = spark.createDataFrame([(t, i + 1, *p) for t, line in tours.items() for i, p in enumerate(line)] + [(None, 1, 46.0, 8.0), (None, 2, 46.1, 8.0), (None, 3, 46.0, 8.0)], "tour_id long, ord int, lat double, lon double")
+    want = plain_retraces({t: line for t, line in tours.items() if len(line) > 1})
+    assert len(want) > 50
+    for size in ("7", "10000"):  # tours go on in the next batch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert rows(routes.retrace_overlap(stops), "tour_id", "ord", "other", "metres") == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Join" not in routes.retrace_overlap(stops)._jdf.queryExecution().executedPlan().toString()
+
+    ids = [1, 1, 1, 2, 3, 3, 3, 3, 4]
+    for size in range(1, 10):
+        for least in range(1, 10):
+            told = list(legs.whole_tours([pa.record_batch({"tour_id": ids[k : k + size]}) for k in range(0, 9, size)], least))
+            assert sum((t["tour_id"].to_pylist() for t, _ in told), []) == ids
+            assert [t["tour_id"].to_pylist()[a] for t, starts in told for a in starts] == [1, 2, 3, 4]
+    assert [(s.start, s.stop) for s in legs.slices(np.array([3, 3, 9, 1, 1]), 4)] == [(0, 1), (1, 2), (2, 4), (4, 5)]
+
+    line = [(46.0, 8.0), (46.2, 8.0), (46.2, 8.2), (46.0, 8.2001), (46.1, 8.1), (46.0, 8.01), (46.2, 8.0001)]
+    made = pa.record_batch({"tour_id": [1] * 6, "ord": list(range(1, 7)), **{c: [p[k % 2] for p in line[k // 2 : 6 + k // 2]] for k, c in enumerate(("lat", "lon", "lat2", "lon2"))}, "length": [legs.metres(*p, *q) for p, q in zip(line, line[1:])]})
+    pairs = [(r["ord"], r["other"]) for b in legs.Retraces(200, 100.0, 800, 350.0).pairs([made]) for r in b.to_pylist()]
+    assert pairs == [(1, 6)]  # of fifteen, of which most touch
+
+
 def plain_clusters(items, radius=64, size=65536):
     """Links of adjoining cells tried one by one, the closest first."""
     cells, out = {}, []

@@ -449,6 +449,60 @@ def test_polyline_hits_are_made_once_for_a_place_and_reduced_there(spark):
     assert "Window" not in hits._jdf.queryExecution().executedPlan().toString()
 
 
+def plain_hits(points, legs, reach):
+    """Every point against every cut of every leg: the least whole metres, and of those the first place."""
+
+    def metres(p, q):
+        a, b, d = math.radians(p[0]), math.radians(q[0]), math.radians(q[1] - p[1])
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(d / 2) ** 2
+        return 2 * 6_371_000 * math.asin(min(1, math.sqrt(h)))
+
+    best = {}
+    for tour, ord_, p, q in legs:
+        n = max(1, math.ceil(metres(p, q) / (2 * reach)))
+        at = lambda f: (p[0] + (q[0] - p[0]) * f, p[1] + (q[1] - p[1]) * f)  # noqa: E731, B023
+        for i, lat, lon in points:
+            for turn in (-360, 0, 360):
+                c = math.cos(math.radians(lat))
+                for k in range(n):
+                    (y, x), (y2, x2) = at(k / n), at((k + 1) / n)
+                    dx, dy = (x2 - x) * c, y2 - y
+                    t = max(0.0, min(1.0, ((lon + turn - x) * c * dx + (lat - y) * dy) / max(dx * dx + dy * dy, 1e-300)))
+                    off = math.floor(metres((lat, lon), (y + dy * t, x + (x2 - x) * t)) + 0.5)
+                    if off <= reach:
+                        best[i, tour] = min(best.get((i, tour), (1e9,)), (off, math.floor((ord_ + (k + t) / n) * 1000 + 0.5) / 1000))
+    return sorted((*k, *v) for k, v in best.items())
+
+
+@pytest.mark.parametrize("reach", [1_500.0, 60_000.0])
+def test_hits_of_tracks_equal_plain_ones_and_meet_no_points_in_a_join(spark, monkeypatch, reach):
+    import random
+
+    rng = random.Random(11)
+    wide = reach / 1_500
+    sites = [(46.0, 8.0), (46.2 + wide / 50, 8.3), (0.0, 179.99), (-0.01, -179.99), (78.0, 15.0), (44.0, 5.5)]
+    near = lambda s: (s[0] + rng.uniform(-0.02, 0.02) * wide, min(180.0, max(-180.0, s[1] + rng.uniform(-0.02, 0.02) * wide)))
+    tours = {t: [near(rng.choice(sites[:2] if t % 2 else sites[2:4] if t % 3 else sites[4:])) for _ in range(n)] for t, n in enumerate([1, 2, 5, 9, 60, 3, 7, 4])}
+    tours[8] = [(44.0, 5.5), (47.8, 14.0)]
+    sides = [(t, o + 1, *p) for t, line in tours.items() for o, p in enumerate(line)]
+    spots = [(i, *near(s)) for i, s in enumerate(sites * 8)] + [(90, 44.0 - 3.8 * 1.46e-3 * wide, 5.5 - 8.5 * 1.46e-3 * wide)]
+    points = spark.createDataFrame([*spots, (91, *spots[0][1:]), (None, 46.0, 8.0), (92, None, 8.0)], "id long, lat double, lon double")
+    stops = spark.createDataFrame([*sides, (3, 100, None, None)], "tour_id long, ord int, lat double, lon double")
+    legs = [(t, o + 1, *pair) for t, line in tours.items() for o, pair in enumerate(zip(line, line[1:])) if abs(pair[0][1] - pair[1][1]) < 350]
+    whole = stops.where("lat is not null").join(spark.createDataFrame([(t, o) for t, o, *_ in legs], "tour_id long, ord int"), ["tour_id", "ord"])
+    want = plain_hits([*spots, (91, *spots[0][1:])], legs, reach)
+    assert len(want) > 80 and any(i == 90 for i, *_ in want)
+    segments = spark.createDataFrame([(t, o, *p, *q) for t, o, p, q in legs], "tour_id long, ord int, lat double, lon double, lat2 double, lon2 double")
+    assert whole.count() == len(legs) and rows(spatial.polyline_hits(points, segments, reach), "id", "tour_id", "metres", "position") == want
+    inland = [h for h in want if h[1] % 2 or h[1] == 8]
+    monkeypatch.setattr(spatial, "CELLS", 10)  # places go in several groups
+    hits = spatial.track_hits(points, stops.where("tour_id % 2 = 1 or tour_id = 8"), reach)
+    assert rows(hits, "id", "tour_id", "metres", "position") == inland
+    monkeypatch.undo()
+    plan = spatial.track_hits(points, stops, reach)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "cy" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_road_classes_meet_places_once(spark):
     sides = spark.createDataFrame([(i, "A", 46.0, 8.0, 46.0, 8.05) for i in range(20)], "pass_id long, side string, lat double, lon double, lat2 double, lon2 double")
     roads = spark.createDataFrame([(i, "track" if i % 3 else "trunk", 46.001, 8.02) for i in range(30)], "id long, class string, lat double, lon double")

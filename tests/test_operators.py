@@ -320,6 +320,33 @@ def test_crossings_are_found_by_block_and_equal_those_of_single_hits(spark, monk
             assert rows(shapes.pass_crossings(p, b, stops), "tour_id", "pass_id", "summit", "verdict") == want
 
 
+def test_crossings_shuffle_the_stops_alone_and_go_by_groups_of_systems(spark, monkeypatch):
+    import random
+
+    from waymark.operators import spatial
+
+    rng = random.Random(6)
+    sites = [(46.0 + rng.random() / 2, 7.0 + rng.random()) for _ in range(12)]
+    near = lambda: [x + rng.uniform(-0.01, 0.01) for x in rng.choice(sites)]
+    stops = spark.createDataFrame([(t, o, rng.choice([None, rng.randrange(60)]), *near()) for t in range(200) for o in range(1, rng.choice([2, 4, 9]))], "tour_id long, ord int, pass_id long, lat double, lon double")
+    tops = [(i, *near(), i % 3 > 0) for i in range(60)]
+    p = spark.createDataFrame(tops, "id long, lat double, lon double, open boolean")
+    b = spark.createDataFrame([(i, side, la, lo + d) for i, la, lo, _ in tops for side, d in (("A", -0.06), ("B", 0.06))], "pass_id long, side string, lat double, lon double")
+    lines = [tuple(r) for r in spatial.line_segments(stops).collect()]
+    hits = [{h[:2]: h[3] for h in plain_hits([(i, la, lo + d) for i, la, lo, _ in tops], [(t, o, (y, x), (y2, x2)) for t, o, y, x, y2, x2 in lines], reach)} for d, reach in ((0, 1_500.0), (-0.06, 2_500.0), (0.06, 2_500.0))]
+    planned = {(r.pass_id, r.tour_id) for r in stops.collect()}
+    s, a, z = hits
+    want = sorted((k[1], k[0], s[k], "implicit" if tops[k[0]][3] else "blocked") for k in s if k in a and k in z and k not in planned and (a[k] < s[k]) != (z[k] < s[k]))
+    assert len(want) > 20 and any(k in planned and k in a and k in z and (a[k] < s[k]) != (z[k] < s[k]) for k in s)
+    made = shapes.pass_crossings(p, b, stops)
+    assert rows(made, *made.columns) == want
+    plan = shapes.pass_crossings(p, b, stops)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan
+    monkeypatch.setattr(spatial, "CELLS", 20)
+    made = shapes.pass_crossings(p, b, stops)
+    assert rows(made, *made.columns) == want and made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") >= 3
+
+
 def test_links_and_options_meet_places_and_not_their_copies(spark, monkeypatch):
     from waymark.operators import schedules
 
